@@ -84,7 +84,7 @@ WITH bytes AS (
 ), crc AS (
   SELECT doc_id, source, n + 8 AS size,
     xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: ('0x' || hex[2 * i + 1:2 * i + 2])::BIGINT)),
-      lambda a, b: xor(a >> 8, {_crc_table()}::BIGINT[][(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+      lambda a, b: xor(a >> 8, list_extract({_crc_table()}, (xor(a, b) & 255) + 1))), 4294967295::BIGINT) AS text_crc32
   FROM bytes
 ), keyed AS (
   SELECT *, coalesce('=' || source, '-') AS source_key, ('0x' || md5('7:' || coalesce('=' || source, '-') || ':' || coalesce(doc_id::VARCHAR, '-'))[1:15])::BIGINT AS key FROM crc
