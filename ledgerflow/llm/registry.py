@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import line_dedup, sharding
+from ledgerflow.llm import line_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, token_ids
 
-MODULES = (sharding, line_dedup)
+MODULES = (sharding, token_ids, packing, token_counts, quality_rules, quality_classifier, line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
