@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import line_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, token_ids
+from ledgerflow.llm import decontamination, line_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, token_ids, url_filter
 
-MODULES = (sharding, token_ids, packing, token_counts, quality_rules, quality_classifier, line_dedup)
+MODULES = (sharding, token_ids, packing, url_filter, token_counts, quality_rules, quality_classifier, line_dedup, decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {n: f for m in MODULES for n, f in vars(m).items() if n.startswith("op") and callable(f)}
+    found = {n: f for m in MODULES for n, f in vars(m).items() if re.match(r"op\d+_", n)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
