@@ -188,3 +188,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs that the model doesn't reject, in one pass without a join: features are measured again and scored where the text is.
+
+    For training, only the labelled rows' features are needed: documents meet the list of labelled ids, which is the hashed side, and the rest of a
+    document goes no further. Nulls, repeats and empty tables: see quality_scores; rejected are scores under 0.5.
+    """
+    ids = labels.filter(~held_out("doc_id") & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.xxhash64("doc_id")).alias("_order")).orderBy("_order", "_id").limit(sample_rows).select("_id")
+    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    learn = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")  # at most sample_rows ids
+    sent = docs.sparkSession.sparkContext.broadcast(train(staged(features(learn), "features"), labels, sample_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_column):
+            s = sent.value.score(np.asarray([measure(t) for t in texts_of(batch, text_column)], float))
+            yield batch.filter(pa.array(s >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,15 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import decontamination, line_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, token_ids, url_filter
+import corpus_pipeline
+from ledgerflow.llm import decontamination, line_dedup, near_dup, packing, quality_classifier, quality_rules, sharding, token_counts, token_ids, url_filter
 
-MODULES = (sharding, token_ids, packing, url_filter, token_counts, quality_rules, quality_classifier, line_dedup, decontamination)
+MODULES = (sharding, token_ids, near_dup, packing, url_filter, token_counts, quality_rules, quality_classifier, line_dedup, decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: f for m in MODULES for n, f in vars(m).items() if re.match(r"op\d+_", n)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for m in MODULES for n, s in getattr(m, "ORACLE_SQL", {}).items()}
+    found = {n: s for m in MODULES for n, s in getattr(m, "ORACLE_SQL", {}).items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
