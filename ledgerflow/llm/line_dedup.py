@@ -52,13 +52,13 @@ def repeated_lines(docs: DataFrame, least_chars: int = 10, id_column: str = "doc
 
 def keep_lines(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with kept_text, n_lines and n_dropped. Texts aren't sorted: the bitmaps, which are small, are the hashed side of the join."""
-    own = docs.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID))).withColumn("_hash", F.xxhash64(text_column))
-    maps = bitmaps.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_n_dropped"), F.col("dropped").alias("_dropped"))
-    joined = own.join(maps.hint("shuffle_hash"), ["_id", "_hash"], "left")
-    lines = text_lines(F.col(text_column))
-    kept = F.filter(lines, lambda line, i: F.coalesce(F.getbit(F.try_element_at(F.col("_dropped"), F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))), F.lit(0)) == 0)
-    text = F.when(F.col("_n_dropped").isNull(), F.coalesce(F.col(text_column), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return joined.select(docs["*"], text.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.col("_n_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    others = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text_column).alias("text"), F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_column).alias("text_hash"))
+    joined = own.join(bitmaps.hint("shuffle_hash"), ["id", "text_hash"], "left")
+    lines = text_lines(F.col("text"))
+    kept = F.filter(lines, lambda line, i: F.coalesce(F.getbit(F.try_element_at(F.col("dropped"), F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))), F.lit(0)) == 0)
+    text = F.when(F.col("n_dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    return joined.select("row.*", text.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, least_chars: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
