@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import new_folder, partitions, slices, texts_of
 
-#: Parts of texts that an encoder remembers; beyond, it starts anew.
-MOST_PARTS = 600_000
+#: Parts of texts that an encoder remembers lately, and as many from before that it falls back to.
+MOST_PARTS = 400_000
 #: A text is cut after letters that plain punctuation, a blank or the end follows, and before blanks that follow another character; no word of a tokenizer
 #: reaches over such a place, and what stands before it has no say in how the rest is split.
 _PARTS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[ \n.,;:!?*&%#$|]|\Z)|[ \n]*[^ \n]+|[ \n]+").findall
 #: Other white space than blanks and line ends, whose place in words differs between tokenizers.
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
-#: A number stands between parts that go through the library together: words of letters never join with it.
-_BETWEEN = " 0"
-_LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: A number stands between parts that go through the library together: letters and plain punctuation never join with it.
+_BETWEEN, _TOGETHER = " 0", 400
+_PLAIN = re.compile(r"[ \n]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-/:-@\[-`{-~]+").fullmatch
 
 
 def tokenizer_file(name: str) -> str:
@@ -51,6 +51,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.most_parts = most_parts
         between = self.whole([_BETWEEN])[0]
         self.between = int.from_bytes(between, "little") if len(between) == 4 else None
@@ -59,7 +60,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def together(self, words: list[str]) -> list[bytes]:
-        """For words of letters alone: one call for many."""
+        """For words of letters and plain punctuation: one call for many."""
         if self.between is None:
             return self.whole(words)
         ids = self.whole([_BETWEEN.join(words) + _BETWEEN])[0]
@@ -69,11 +70,11 @@ class Encoder:
         return [ids[4 * a + 4 : 4 * b] for a, b in zip([-1, *ends], ends, strict=False)]
 
     def learn(self, parts: set[str]) -> None:
-        plain = [p for p in parts if _LETTERS(p)]
+        plain = [p for p in parts if _PLAIN(p)]
         other = list(parts.difference(plain))
         for listed, encode in ((plain, self.together), (other, self.whole)):
-            for i in range(0, len(listed), 2000):
-                some = listed[i : i + 2000]
+            for i in range(0, len(listed), _TOGETHER):
+                some = listed[i : i + _TOGETHER]
                 self.known.update(zip(some, encode(some), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -81,7 +82,11 @@ class Encoder:
         wanted = set().union(*(x for x in split if x is not None))
         new = wanted.difference(self.known)
         if len(self.known) + len(new) > self.most_parts:
-            self.known, new = {}, wanted
+            self.earlier, self.known, new = self.known, {}, wanted
+        if self.earlier:
+            again = new.intersection(self.earlier)
+            self.known.update(zip(again, map(self.earlier.__getitem__, again), strict=True))
+            new = new.difference(again)
         self.learn(new)
         find = self.known.__getitem__
         return [b"".join(map(find, x)) if x is not None else self.whole([t])[0] for t, x in zip(texts, split, strict=True)]
