@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.fixed_values import CURRENCIES, DASHES, NOT_AVAILABLE, NOT_MEANINGFUL
@@ -23,15 +23,18 @@ def parse(raw: Column) -> Column:
     digit is a misread dollar sign that names no currency. Null counts as blank.
     """
     text = normalize(raw)
+    body = F.trim(F.regexp_replace(text, rf"^(?:[{CURRENCIES}]|S(?=[ 0-9]))\s*", ""))
+    inner = F.trim(F.regexp_replace(body, r"(?s)^\((.*)\)$", "$1"))
+    bare = F.trim(F.regexp_replace(inner, rf"^[{CURRENCIES}]\s*", ""))
+    return _token(raw, text, body, inner, bare, F.translate(F.trim(F.regexp_replace(bare, r"[%xX]$", "")), "−, ", "-"))
+
+
+def _token(raw: Column, text: Column, body: Column, inner: Column, bare: Column, digits: Column) -> Column:
     low = F.lower(text)
     first = F.regexp_extract(text, rf"^([{CURRENCIES}])", 1)
-    body = F.trim(F.regexp_replace(text, rf"^(?:[{CURRENCIES}]|S(?=[ 0-9]))\s*", ""))
     wrapped = body.rlike(r"(?s)^\(.*\)$")
-    inner = F.trim(F.regexp_replace(body, r"(?s)^\((.*)\)$", "$1"))
     second = F.regexp_extract(inner, rf"^([{CURRENCIES}])", 1)
-    bare = F.trim(F.regexp_replace(inner, rf"^[{CURRENCIES}]\s*", ""))
     percent, ratio = bare.endswith("%"), F.lower(bare).endswith("x")
-    digits = F.translate(F.trim(F.regexp_replace(bare, r"[%xX]$", "")), "−, ", "-")
     currency = F.when(first != "", first).otherwise(second)
     number = F.when(digits.rlike(_FLOAT), F.regexp_replace(digits, "_", "").try_cast("double")).when(digits.rlike(_WORDS), F.regexp_replace(F.lower(digits), "^([+-]?)inf$", "$1infinity").try_cast("double"))
     number = F.when(wrapped, -F.abs(number)).otherwise(number)
@@ -51,6 +54,14 @@ def parse(raw: Column) -> Column:
     )
 
 
+def with_token(rows: DataFrame, raw: str, name: str = "token") -> DataFrame:
+    """rows with parse() of a column as a struct. The steps are projections of their own, so that each text is worked on once and the generated code stays small."""
+    text = rows.withColumn("_t", normalize(F.col(raw))).withColumn("_body", F.trim(F.regexp_replace("_t", rf"^(?:[{CURRENCIES}]|S(?=[ 0-9]))\s*", "")))
+    inner = text.withColumn("_inner", F.trim(F.regexp_replace("_body", r"(?s)^\((.*)\)$", "$1"))).withColumn("_bare", F.trim(F.regexp_replace("_inner", rf"^[{CURRENCIES}]\s*", "")))
+    digits = inner.withColumn("_digits", F.translate(F.trim(F.regexp_replace("_bare", r"[%xX]$", "")), "−, ", "-"))
+    return digits.withColumn(name, _token(F.col(raw), *[F.col(c) for c in ("_t", "_body", "_inner", "_bare", "_digits")])).drop("_t", "_body", "_inner", "_bare", "_digits")
+
+
 def strict_number(cell: Column, movement: bool = False) -> Column:
     """The value of a cell that is one finite number, else null; in movements a dash counts as 0."""
     token = parse(cell)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.text import label_key
-from ledgerflow.functions.tokens import SINGLE, parse, strict_number
+from ledgerflow.functions.tokens import SINGLE, with_token
 
 EXACT = "exact_concept"
 
@@ -121,11 +121,13 @@ def unit_checks(units: DataFrame) -> DataFrame:
 
 
 def grid_cells(grids: DataFrame, labels: str = "period_labels", movement: bool = False) -> DataFrame:
-    """doc_id, table_id, row_index, kind, key, period_ord, period, cell, value for each amount cell."""
+    """doc_id, table_id, row_index, kind, key, period_ord, period, cell, value (of one finite number), moved (where a dash counts 0) for each amount cell."""
     rows = grids.select("doc_id", "table_id", F.col(labels).alias("_labels"), F.posexplode(F.arrays_zip(F.col("rows"), F.col("row_kinds"))).alias("row_index", "_r"))
     each = rows.select("doc_id", "table_id", "row_index", F.col("_r.row_kinds").alias("kind"), label_key(F.get("_r.rows", F.lit(0))).alias("key"), F.posexplode("_labels").alias("period_ord", "period"), F.col("_r.rows").alias("_cells"))
-    cell = F.get(F.col("_cells"), F.col("period_ord") + 1)
-    return each.select("doc_id", "table_id", "row_index", "kind", "key", "period_ord", "period", cell.alias("cell"), strict_number(cell, movement).alias("value"))
+    cut = each.select("doc_id", "table_id", "row_index", "kind", "key", "period_ord", "period", F.get(F.col("_cells"), F.col("period_ord") + 1).alias("cell"))
+    single = F.col("cell").rlike(SINGLE) & ~F.isnan("_token.value") & (F.abs("_token.value") < float("inf"))
+    value = F.when(F.lit(movement) & (F.col("_token.status") == "DASH"), 0.0).otherwise(F.when(single, F.col("_token.value")))
+    return with_token(cut, "cell", "_token").withColumn("value", value).withColumn("moved", F.when(F.col("_token.status") == "DASH", 0.0).otherwise(F.col("value"))).drop("_token")
 
 
 def equation(actual: Column, expected: Column) -> Column:
@@ -186,7 +188,7 @@ def fund_balance_checks(grids: DataFrame) -> DataFrame:
 
 def cash_grid_checks(grids: DataFrame) -> DataFrame:
     """Durations: beginning, change and exchange-rate effect make the end. Dates: the components make total cash."""
-    data = grid_cells(grids).filter("kind = 'data'").withColumn("moved", F.when(parse(F.col("cell"))["status"] == "DASH", 0.0).otherwise(F.col("value")))
+    data = grid_cells(grids).filter("kind = 'data'")
     has = lambda pattern: F.col("key").rlike(pattern)
     fx = has("^effect of (?:foreign currency )?exchange rates")
     is_total = F.col("key").startswith("total cash")
@@ -202,7 +204,7 @@ def cash_grid_checks(grids: DataFrame) -> DataFrame:
 
 def equity_grid_checks(grids: DataFrame) -> DataFrame:
     """grids with component_labels and period_sections(start, end, caption): opening and change make the closing, movements make the change."""
-    cells = grid_cells(grids, "component_labels").withColumn("moved", F.when(parse(F.col("cell"))["status"] == "DASH", 0.0).otherwise(F.col("value")))
+    cells = grid_cells(grids, "component_labels")
     spans = grids.select("doc_id", "table_id", F.explode("period_sections").alias("s")).select("doc_id", "table_id", "s.start", "s.end", "s.caption")
     inside = cells.join(spans, ["doc_id", "table_id"]).filter("row_index >= start AND row_index < end")
     at = lambda row, value="value": F.max(F.when(F.col("row_index") == row, F.col(value)))
@@ -220,7 +222,7 @@ def equity_grid_checks(grids: DataFrame) -> DataFrame:
 def grid_integrity(grids: DataFrame, labels: str = "period_labels") -> DataFrame:
     """doc_id, table_id, Status, failures: headings distinct, counts equal, every data row as wide as its headings, amounts valid, no source row used twice."""
     head = F.coalesce(F.col(labels), F.array().cast("array<string>"))
-    zipped = F.arrays_zip(F.col("rows").alias("cells"), F.col("row_kinds").alias("kind"), F.col("row_sources").alias("src"))
+    zipped = F.arrays_zip("rows", "row_kinds", "row_sources")
     data = F.filter(zipped, lambda r: r["row_kinds"] == "data")
     bad_cell = lambda v: (~F.lower(F.trim(F.coalesce(v, F.lit("")))).isin("-", "–", "—", "−", "n/a", "na", "n.a.", "n.a", "not applicable", "nm", "n.m.", "n.m", "not meaningful")) & ~F.coalesce(v.rlike(SINGLE) | v.rlike(r"^\s*[$€£¥]\s*[-–—−]\s*$"), F.lit(False))
     source = F.transform(F.filter(data, lambda r: F.coalesce(r["row_sources"], F.lit("")) != ""), lambda r: r["row_sources"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.text import normalize, numbers_in
-from ledgerflow.functions.tokens import parse
+from ledgerflow.functions.text import numbers_in
+from ledgerflow.functions.tokens import parse, with_token
 
 
 def counted(rows: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
@@ -76,8 +76,9 @@ def table_score(accuracy: Column, whitespace: Column) -> Column:
 
 def normalized_cells(cells: DataFrame) -> DataFrame:
     """Selected cells with their token."""
-    token = parse(F.col("raw_text"))
-    return cells.filter("selected").select(*[c for c in cells.columns if c != "selected"], normalize(F.col("raw_text")).alias("normalized_text"), token["value"].alias("parsed_value"), token["status"].alias("parse_status"), token["currency"].alias("currency"), token["is_percent"].alias("is_percent"), token["is_ratio"].alias("is_ratio"), token["precision"].alias("precision"))
+    token = F.col("_token")
+    others = [c for c in cells.columns if c != "selected"]
+    return with_token(cells.filter("selected"), "raw_text", "_token").select(*others, token["normalized"].alias("normalized_text"), token["value"].alias("parsed_value"), token["status"].alias("parse_status"), token["currency"].alias("currency"), token["is_percent"].alias("is_percent"), token["is_ratio"].alias("is_ratio"), token["precision"].alias("precision"))
 
 
 def body_tokens(text: Column) -> Column:
