@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import audits, coverage, grids, statements
+from ledgerflow.operators import audits, completeness, coverage, grids, layouts, statements
+from ledgerflow.paths import checked
 from ledgerflow.plans import pages as plans
 from ledgerflow.sources import html, snapshots, text
 
@@ -43,8 +44,8 @@ def _labelled(rows: DataFrame) -> DataFrame:
     return rows.filter("row_type = 'Data'")
 
 
-def from_lines(lines: DataFrame, **more) -> Result:
-    rows = statements.statement_rows(lines)
+def from_lines(lines: DataFrame, recover: bool = True, **more) -> Result:
+    rows = statements.statement_rows(lines, recover)
     units = statements.unit_notes(lines)
     values = statements.parsed_values(rows, units)
     return Result(lines, rows, values, units, statements.companies(lines), _checks(rows, values, units), **more)
@@ -61,7 +62,7 @@ def extract_html(files: DataFrame) -> Result:
     chosen = html.selected(html.classify(tables))
     names = html.metadata(tables)
     cells = html.cells(chosen)
-    return from_lines(html.statement_lines(chosen, names), cells=coverage.normalized_cells(cells), grids=grids.trimmed(grids.assembled(cells)), metadata=names)
+    return from_lines(html.statement_lines(chosen, names), False, cells=coverage.normalized_cells(cells), grids=grids.trimmed(grids.assembled(cells)), metadata=names)
 
 
 def extract_pages(captured: DataFrame, pages: str = "auto", policy: str = "review") -> Result:
@@ -83,4 +84,31 @@ def extract_pages(captured: DataFrame, pages: str = "auto", policy: str = "revie
     from pyspark.sql import Window
 
     ended = F.max(opens.cast("int")).over(Window.partitionBy("doc_id", "source_page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return from_lines(selected.withColumn("_ended", ended).filter("_ended = 0").drop("_ended"), plan=chosen)
+    found = layouts.recovered(captured, chosen)
+    result = from_lines(selected.withColumn("_ended", ended).filter("_ended = 0").drop("_ended"), plan=chosen, grids=found)
+    covered = completeness.page_coverage(chosen, found.filter("error IS NULL"))
+    unclear = found.filter("error IS NOT NULL").select("doc_id", F.concat("statement_type", F.lit(" layout")).alias("Check"), F.concat(F.lit("Page "), F.col("source_page").cast("string")).alias("Scope"), F.lit("WARN").alias("Status"), F.concat("error", F.lit(" Original grids retained; source review is required.")).alias("Detail"))
+    return replace(result, checks=audits.review_report(result.checks, covered, unclear, _grid_checks(found.filter("error IS NULL"))))
+
+
+def _grid_checks(found: DataFrame) -> DataFrame:
+    """Equation checks of recovered grids, by the kind of statement."""
+    named = found.withColumn("period_labels", F.col("labels"))
+    checks = [
+        audits.corporate_balance_checks(named.filter("statement_type = 'BalanceSheet'")), audits.fund_balance_checks(named.filter("statement_type = 'BalanceSheet'")),
+        audits.cash_grid_checks(named.filter("statement_type = 'CashFlowStatement'")),
+        audits.equity_grid_checks(named.filter("statement_type IN ('StockholdersEquityStatement', 'PartnersCapital')").withColumn("component_labels", F.col("labels")).withColumn("period_sections", F.col("sections"))),
+    ]
+    tested = [c.select("doc_id", "Check", "Scope", "Status").filter("Status <> 'NOT_TESTED'") for c in checks]
+    return tested[0].unionByName(tested[1]).unionByName(tested[2]).unionByName(tested[3])
+
+
+def extract(spark: SparkSession, path: str, pages: str = "auto", policy: str = "review", allow_nonlocal: bool = False) -> Result:
+    """Filings under a path, by suffix: HTML, or page snapshots as JSON or Parquet; anything else is an error."""
+    plain = checked(path, allow_nonlocal)
+    suffix = plain.rstrip("/*").rpartition(".")[2].lower()
+    if suffix in ("html", "htm", "xhtml"):
+        return extract_html(html.load(spark, plain))
+    if suffix in ("json", "parquet"):
+        return extract_pages(snapshots.load(spark, plain, suffix), pages, policy)
+    raise ValueError(f"not a kind of filing that is read here: {path!r}")
