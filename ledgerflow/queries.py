@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import names, text, tokens, units
-from ledgerflow.operators import audits, coverage, diff, grids, mapping, sections, statements
+from ledgerflow.operators import audits, completeness, coverage, diff, grids, mapping, sections, statements
 from ledgerflow.plans import pages as plans
 from ledgerflow.sources import html
 from ledgerflow.sources import text as text_source
@@ -562,3 +562,73 @@ def statement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat_ws("\n", F.concat(F.lit("Nation "), F.col("doc").cast("string")), F.lit("Statements of Cash Flows"), F.lit("Years Ended December 31, 1998 1997"), F.lit("Operating Activities"), line("Net income", a, b), line("Net increase in cash and cash equivalents", a, b), line("Cash and cash equivalents at beginning of period", b, a), line("Cash and cash equivalents at end of period", a + b, a + b))
     lines = text_source.pasted(spark, wide.select(F.col("doc").cast("string").alias("doc_id"), body.alias("text")))
     return statements.parsed_values(statements.statement_rows(lines), statements.unit_notes(lines)).select("doc_id", "statement_type", "row_index", "raw_item", "standard_item", "mapping_rule", "period", "parsed_value", "parse_status")
+
+
+# Pages, layouts and completeness
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS page, CASE o_orderkey % 4 WHEN 0 THEN '' ELSE o_orderpriority END AS kind, o_orderstatus <> 'P' AS selected FROM orders)
+SELECT doc_id, 'Page ' || page || CASE WHEN kind = '' THEN '' ELSE ' / ' || kind END AS "Scope", CASE WHEN kind = '' THEN 'WARN' WHEN page % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS "Status" FROM p WHERE selected
+""")
+def selected_page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    plan = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("page"), F.when(k % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("statement_type"), (F.col("o_orderstatus") != "P").alias("selected"))
+    have = plan.filter("page % 3 <> 0").withColumnRenamed("page", "source_page")
+    return completeness.page_coverage(plan, have).select("doc_id", "Scope", "Status")
+
+
+@query("""
+WITH t AS (SELECT c_custkey AS doc_id, c_custkey % 5 AS k FROM customer)
+SELECT doc_id, CASE k WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'NOT_TESTED' WHEN 3 THEN 'FAIL' ELSE 'FAIL' END AS "Status" FROM t
+""")
+def balance_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A body of seven lines for each customer: whole, with a token lost, without its end, without a grid, and with a section lost."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5).alias("k"), F.lit(1).alias("source_page"), F.col("c_name").alias("name"))
+    lines = F.array(F.lit("Assets"), F.concat(F.lit("Cash "), "name"), F.lit("Total assets 10"), F.lit("Total liabilities 4"), F.lit("Total equity 6"), F.when(F.col("k") == 2, "The end").otherwise("See accompanying notes"))
+    text_lines = c.select("doc_id", "source_page", F.posexplode(lines).alias("line_no", "raw_text"))
+    rows = F.array(F.array(F.lit("Assets"), F.lit("")), F.array(F.lit("Cash"), F.when(F.col("k") == 1, "").otherwise(F.col("name"))), F.array(F.lit("Total assets"), F.lit("10")), F.array(F.lit("Total liabilities"), F.lit("4")), F.array(F.when(F.col("k") == 4, "Rest").otherwise("Total equity"), F.lit("6")))
+    exported = c.filter("k <> 3").select("doc_id", "source_page", rows.alias("rows"))
+    return completeness.balance_completeness(text_lines, exported, c).select("doc_id", "Status")
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 7 AS k, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, count(*) AS expected, count(*) FILTER (k = 0) AS missing, CASE WHEN count(*) FILTER (k = 0) > 0 THEN 'WARN' ELSE 'PASS' END AS "Status" FROM r GROUP BY o_custkey
+""")
+def text_row_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as text rows against a grid where every seventh order has another amount."""
+    own = _read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("source_page"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" x")).alias("label"), F.floor("o_totalprice").cast("long").alias("v"), (F.col("o_orderkey") % 7).alias("k"))
+    source = own.select("doc_id", "source_page", "label", F.array(F.col("v").cast("double")).alias("values"))
+    row = F.struct("label", F.when(F.col("k") == 0, F.col("v") + 1).otherwise(F.col("v")).cast("string").alias("v"))
+    grid = own.groupBy("doc_id", "source_page").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: F.array(r["label"], r["v"])).alias("rows")).select("doc_id", "source_page", F.lit("t").alias("table_id"), "rows", F.transform("rows", lambda r: F.lit("data")).alias("row_kinds"), F.array(F.lit("2026")).alias("period_labels"))
+    return completeness.row_coverage(source, grid).select("doc_id", "expected", "missing", "Status")
+
+
+@query("""
+WITH e AS (SELECT user_id % 40 AS page, event_id, CAST(event_id % 31 AS DOUBLE) AS x, CAST(floor(event_id / 31) AS DOUBLE) * 10 AS top FROM events)
+SELECT CAST(page AS INTEGER) AS page, CAST(dense_rank() OVER (PARTITION BY page ORDER BY top) - 1 AS INTEGER) AS line, event_id || '' AS text FROM e
+""")
+def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    words = _read(spark, sf_dir, "events").select(F.lit("d").alias("doc_id"), (F.col("user_id") % 40).cast("int").alias("page"), k.cast("string").alias("text"), (k % 31).cast("double").alias("x0"), (k % 31 + 1).cast("double").alias("x1"), (F.floor(k / 31) * 10).cast("double").alias("top"), (F.floor(k / 31) * 10 + 8).cast("double").alias("bottom"))
+    return grids.lines_of_words(words).select("page", "line", "text")
+
+
+@query()
+def automatic_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings of five pages for each nation through the planner's state machine. tests/test_pages.py has cases with their results."""
+    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), "n_name")
+    texts = F.array(F.col("n_name"), F.concat(F.lit("Balance Sheets\nTotal assets 10 9\nTotal liabilities 4 "), F.col("doc_id")), F.lit("Statements of Operations\nRevenue 10 9\nNet income 5 4"), F.lit("Statements of Cash Flows\nNet income 5 4\nCash at end 3 2"), F.lit("Notes to Financial Statements\nNote 1. Organization"))
+    pages = n.select("doc_id", F.posexplode(texts).alias("_p", "text")).select("doc_id", (F.col("_p") + 1).alias("page"), "text")
+    return plans.automatic_plan(pages).select("doc_id", "page", "role", "statement_type", "selected", "review_required")
+
+
+@query()
+def schedule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates for each region that repeat rows at one place. tests/test_grids.py has cases with their results."""
+    r = _read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("doc_id"), F.lit(1).alias("source_page"), F.lit("stream").alias("flavor"), F.explode(F.array(F.lit(0), F.lit(1))).alias("source_order"), "r_name")
+    rows = F.transform(F.sequence(F.col("source_order") * 2, F.col("source_order") * 2 + 4), lambda i: F.array(F.concat("r_name", i.cast("string")), i.cast("string")))
+    bounds = F.transform(F.sequence(F.col("source_order") * 2, F.col("source_order") * 2 + 4), lambda i: F.array((F.lit(500) - i * 12).cast("double"), (F.lit(490) - i * 12).cast("double")))
+    columns = F.array(F.array(F.lit(0.0), F.lit(50.0)), F.array(F.lit(50.0), F.lit(90.0)))
+    return grids.merged_schedules(r.select("doc_id", "source_page", "flavor", F.concat(F.lit("t"), F.col("source_order").cast("string")).alias("table_id"), "source_order", rows.alias("rows"), bounds.alias("row_bounds"), columns.alias("column_bounds"))).select("doc_id", F.size("rows").alias("n_rows"), F.size("table_ids").alias("n_tables"), "conflict")
