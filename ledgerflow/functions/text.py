@@ -54,8 +54,9 @@ def split_note(label: Column) -> Column:
 
 
 def safe_name(text: Column) -> Column:
-    """A part of a file name: letters, digits, dash and underscore."""
-    return F.regexp_replace(F.regexp_replace(normalize(text), r"[^A-Za-z0-9_-]+", "_"), r"^_+|_+$", "")
+    """A part of a path: no characters that file systems refuse, no blanks."""
+    bare = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"[<>:\"/\\|?*]+", "_")
+    return F.regexp_replace(F.regexp_replace(bare, r"\s+", "_"), r"^[_ .]+|[_ .]+$", "")
 
 
 def numbers_in(text: Column) -> Column:
@@ -68,5 +69,9 @@ def years_in(text: Column) -> Column:
 
 def is_total_label(label: Column) -> Column:
     """Rows that sheets set apart as totals."""
-    low = F.lower(normalize(label))
-    return low.rlike(r"^(?:sub)?total\b") | low.rlike(r"^net (?:income|loss|earnings|cash|sales|increase|decrease|assets)\b") | low.rlike(r"\b(?:gross profit|gross margin)\b") | low.rlike(r"^(?:beginning|ending) balance\b")
+    return F.lower(F.trim(label)).rlike(r"^(?:total |net cash |net income|operating income|income before |net increase |net decrease )")
+
+
+def is_grand_total_label(label: Column) -> Column:
+    low = F.lower(F.trim(label))
+    return low.isin("net income", "total assets") | low.startswith("total liabilities and ") | low.endswith("cash, cash equivalents and restricted cash, end of year")

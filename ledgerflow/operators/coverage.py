@@ -69,9 +69,10 @@ def best_flavors(tables: DataFrame, keys: list[str], flavor: str = "flavor", sco
     return means.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("mean_score"), flavor))).filter("_n = 1").drop("_n")
 
 
-def table_score(accuracy: Column, whitespace: Column) -> Column:
-    """Accuracy less white space; a white space of 0 counts as 100, like a missing one."""
-    return F.coalesce(accuracy, F.lit(0.0)) - F.coalesce(F.nullif(whitespace, F.lit(0.0)), F.lit(100.0))
+def table_score(accuracy: Column, whitespace: Column, n_rows: Column, n_columns: Column) -> Column:
+    """Accuracy, less 45 in 100 of white space, and up to 8 for size. A white space of 0 counts as 100, like a missing one."""
+    blank = F.coalesce(F.nullif(whitespace, F.lit(0.0)), F.lit(100.0))
+    return F.coalesce(accuracy, F.lit(0.0)) - 0.45 * blank + F.least(F.lit(8.0), F.sqrt(n_rows * n_columns) / 2)
 
 
 def normalized_cells(cells: DataFrame) -> DataFrame:

@@ -89,11 +89,11 @@ def label_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, 'FY' || right(CAST(2000 + c_custkey % 30 AS VARCHAR), 2) || CASE WHEN c_custkey % 5 IN (1, 2, 3, 4) THEN '_Q' || (c_custkey % 5) ELSE '' END || '_10K_' || replace(c_name, '#', '_') || '.xlsx' AS name FROM customer
+SELECT c_custkey, 'FY' || right(CAST(2000 + c_custkey % 30 AS VARCHAR), 2) || CASE WHEN c_custkey % 2 = 1 AND c_custkey % 5 IN (1, 2, 3, 4) THEN '_Q' || (c_custkey % 5) ELSE '' END || CASE WHEN c_custkey % 2 = 1 THEN '_10Q_' ELSE '_10K_' END || replace(c_name, '#', '_') || '.xlsx' AS name FROM customer
 """)
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
-    return _read(spark, sf_dir, "customer").select("c_custkey", names.output_name(F.col("c_name"), (c % 30 + 2000).cast("string"), F.concat(F.lit("q"), (c % 5).cast("string")), F.lit("10-K")).alias("name"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", names.output_name(F.col("c_name"), (c % 30 + 2000).cast("string"), F.concat(F.lit("q"), (c % 5).cast("string")), F.when(c % 2 == 1, "10-Q").otherwise("10-K")).alias("name"))
 
 
 @query("""

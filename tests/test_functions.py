@@ -86,8 +86,11 @@ def test_labels(spark):
 
 
 def test_names(spark):
-    rows = [("Acme Corp", "2026", "", "10-K"), ("Acme Corp", "2026", "Q2", "10-Q"), (None, None, None, None)]
-    got = [r[0] for r in spark.createDataFrame(rows, "c string, y string, p string, f string").select(names.output_name(*map(F.col, "cypf"))).collect()]
-    assert got == ["FY26_10K_Acme_Corp.xlsx", "FY26_Q2_10Q_Acme_Corp.xlsx", "Extracted_Financials.xlsx"]
-    forms = [r[0] for r in spark.createDataFrame([("Form 10-K/A",), ("a 10-Q",), ("10-K",), (None,)], "t string").select(names.form_type(F.col("t"))).collect()]
-    assert forms == ["10-K/A", "10-Q", "10-K", ""]
+    rows = [("Acme Corp", "2026", "", "10-K", "x"), ("Acme Corp", "2026", "Q2", "10-Q", "x"), (None, None, None, None, None), ("Société Générale S.A.", "FY 26", "", "", "a"), ("Acme", None, None, None, "Acme 2026 10-K"), ("Acme", "2026", None, None, "Acme_Q2_10-Q"), (None, "2026", "Monthly", "", ""), ("Acme", "", "Half-year", "", "")]
+    got = [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, c string, y string, p string, f string, s string").orderBy("i").select(names.output_name(*map(F.col, "cypfs"))).collect()]
+    assert got == ["FY26_10K_Acme_Corp.xlsx", "FY26_Q2_10Q_Acme_Corp.xlsx", "Extracted_Financials.xlsx", "FY26_Societe_Generale_S_A.xlsx", "FY26_10K_Acme.xlsx", "FY26_Q2_10Q_Acme.xlsx", "FY26_Financials.xlsx", "Acme_Financials.xlsx"]
+    forms = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(["Form 10-K/A", "a 10-Q", "10-K", None])], "i int, t string").orderBy("i").select(names.form_type(F.col("t"))).collect()]
+    assert forms == ["10K-A", "10Q", "10K", ""]
+    year = spark.createDataFrame([(["Year Ended June 30, 2025", "2024"],), ([],)], "l array<string>").select(names.fiscal_year(F.col("l")))
+    assert [r[0] for r in year.collect()] == ["FY25", ""]
+    assert spark.createDataFrame([('a/b: "c" .',)], "t string").select(text.safe_name(F.col("t"))).first()[0] == "a_b_c"
