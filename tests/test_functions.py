@@ -93,4 +93,4 @@ def test_names(spark):
     assert forms == ["10K-A", "10Q", "10K", ""]
     year = spark.createDataFrame([(["Year Ended June 30, 2025", "2024"],), ([],)], "l array<string>").select(names.fiscal_year(F.col("l")))
     assert [r[0] for r in year.collect()] == ["FY25", ""]
-    assert spark.createDataFrame([('a/b: "c" .',)], "t string").select(text.safe_name(F.col("t"))).first()[0] == "a_b_c"
+    assert spark.createDataFrame([('a/b: "c" .',)], "t string").select(text.safe_name(F.col("t"))).first()[0] == "a_b___c"
