@@ -49,14 +49,14 @@ def heavy_keys(counts: DataFrame, rows: int, n: str = "n") -> DataFrame:
     return counts.filter(F.col(n) >= max(HEAVY_LEAST, int(rows * HEAVY_SHARE)))
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", rows_per_task: int = HEAVY_LEAST) -> DataFrame:
+def spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", rows_per_task: int = HEAVY_LEAST, counts: DataFrame | None = None, total: int | None = None, n: str = "n") -> DataFrame:
     """left join right on `key`, where right has one row per key and a few keys may hold most of left.
 
     A heavy key of left is dealt over ceil(rows / rows_per_task) salts (from `by`), and right's row is repeated once for each of them: at most
-    rows(left) / rows_per_task rows more. The list of heavy keys is bounded by HEAVY_SHARE.
+    rows(left) / rows_per_task rows more. The list of heavy keys is bounded by HEAVY_SHARE. counts(key, n) and total may be given where they are known.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total = left.count()
+    counts = left.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts.select(key, F.col(n).alias("_n"))
+    total = left.count() if total is None else total
     heavy = F.broadcast(heavy_keys(counts, total, "_n").select(F.col(key).alias("_key"), F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
     salted = left.join(heavy, F.col(key) == F.col("_key"), "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"))).drop("_key", "_salts")
     copies = right.join(heavy, F.col(key) == F.col("_key"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_key", "_salts")

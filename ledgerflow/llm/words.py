@@ -28,7 +28,7 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> hash, remembered; begun anew when it holds too many."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         super().__init__()
         self.most = most
 
