@@ -17,7 +17,8 @@ BLANKS = b" \t\n\x0b\x0c\r"
 #: A line may end so.
 ENDINGS = tuple(".!?:;\"')]}…”’»。！？")
 #: Phrases of pages' furniture, in lines of up to BOILERPLATE_WORDS words.
-BOILERPLATE = re.compile(r"\b(?:cookies?|privacy policy|terms of (?:use|service)|all rights reserved|sign (?:in|up)|log ?in|subscribe|newsletter|click here|read more|javascript|lorem ipsum|powered by|share (?:on|this)|skip to|copyright)\b", re.IGNORECASE)
+PHRASES = r"\b(?:cookies?|privacy policy|terms of (?:use|service)|all rights reserved|sign (?:in|up)|log ?in|subscribe|newsletter|click here|read more|javascript|lorem ipsum|powered by|share (?:on|this)|skip to|copyright)\b"
+BOILERPLATE = re.compile(PHRASES, re.IGNORECASE | re.ASCII)
 BOILERPLATE_WORDS = 25
 #: Lines with fewer words need an ending; longer ones may lack it.
 SHORT_WORDS = 10
@@ -25,15 +26,14 @@ SHORT_WORDS = 10
 
 def line_fails(line: str) -> str | None:
     """The rule that a line with words breaks: navigation, punctuation or boilerplate."""
-    words = line.split()
-    n = len(words)
+    data = line.encode("utf-8", "surrogatepass")
+    n = len(data.split())
     bars = line.count("|") + line.count(">") + line.count("»") + line.count("•")
     if bars >= 2 and 3 * bars >= n:
         return "navigation"
-    data = line.encode()
     if n >= 3 and (3 * count_of(data, SYMBOLS) >= n or 3 * line.count("!") >= 2 * n):
         return "punctuation"
-    if n < SHORT_WORDS and not line.rstrip().endswith(ENDINGS):
+    if n < SHORT_WORDS and not line.rstrip(BLANKS.decode()).endswith(ENDINGS):
         return "punctuation"
     if n <= BOILERPLATE_WORDS and BOILERPLATE.search(line):
         return "boilerplate"
@@ -57,7 +57,7 @@ def judge(text: str, most_lost: float = 0.5) -> tuple:
     kept, lost, verdicts = [], 0, {}
     for line in parts:
         if line not in verdicts:
-            verdicts[line] = bool(line.strip()) and line_fails(line) is not None
+            verdicts[line] = bool(line.strip(BLANKS.decode())) and line_fails(line) is not None
         if verdicts[line]:
             lost += len(line.encode("utf-8", "surrogatepass").split())
         else:
@@ -84,3 +84,31 @@ def clean_lines(docs: DataFrame, most_lost: float = 0.5, id_column: str = "doc_i
 
 def op7_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("cleaned").withColumnRenamed("id", "doc_id")
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+ORACLE_SQL = {
+    "op7_line_first_cleaning": rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS w, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM docs),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], chr(1)) AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, run FROM windows GROUP BY doc_id, run HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT v.doc_id, unnest(range(v.i, v.i + 8)) AS place FROM windows v JOIN twice t ON v.doc_id = t.doc_id AND v.run = t.run) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+counted AS (
+  SELECT doc_id, line, len(regexp_extract_all(line, '{_WORD}')) AS n, length(line) - length(regexp_replace(line, '[|>»•]', '', 'g')) AS bars,
+    length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols, length(line) - length(replace(line, '!', '')) AS marks,
+    regexp_matches(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '(?:{"|".join(re.escape(c) for c in ENDINGS).replace("'", "''")})$') AS ended, regexp_matches(line, '(?i){PHRASES}') AS phrase
+  FROM lines
+), judged AS (
+  SELECT *, n > 0 AND (bars >= 2 AND 3 * bars >= n OR n >= 3 AND (3 * symbols >= n OR 3 * marks >= 2 * n) OR n < {SHORT_WORDS} AND NOT ended OR n <= {BOILERPLATE_WORDS} AND phrase) AS fails FROM counted
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) FILTER (fails) AS n_lines_removed, coalesce(sum(n) FILTER (fails), 0) AS n_words_removed FROM judged GROUP BY doc_id
+), base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(n_lines_removed AS BIGINT) AS n_lines_removed, CAST(n_words_removed AS BIGINT) AS n_words_removed
+  FROM words LEFT JOIN covered USING (doc_id) JOIN by_doc USING (doc_id)
+), verdict AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND n_words_removed <= 0.5 * n_words AS kept FROM verdict
+"""
+}

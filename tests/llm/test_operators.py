@@ -89,6 +89,12 @@ def test_base_rules_by_brute_force(spark):
     assert quality_rules.clean_lines(table(spark, [])).count() == 0
 
 
+def test_rules_match_the_sql(spark, sf):
+    got = quality_rules.op7_line_first_cleaning(spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    assert rows_of(got) == rows_of(by_sql(quality_rules.ORACLE_SQL["op7_line_first_cleaning"], documents=docs))
+
+
 def test_line_rules():
     good = "A sentence of some length that ends as it should."
     assert [quality_rules.line_fails(x) for x in (good, "Home | About | Contact", "Short heading", "buy### now*** cheap$$$ pills&&&", "We use cookies to improve this site.", "one long line without any mark at its end that goes on for more than ten words")] == [None, "navigation", "punctuation", "punctuation", "boilerplate", None]
