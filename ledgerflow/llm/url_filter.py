@@ -83,8 +83,9 @@ def best_split(name: str, counts: dict[str, int], total: int) -> list[str]:
 def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """name, words. Each name's own substrings are joined with the counts, so no word list is sent about; what a name meets there is bounded by its length."""
     total = max(2, counts.agg(F.sum("n")).first()[0] or 0)
-    spans = names.select("name", F.explode(F.expr(f"transform(sequence(1, greatest(1, length(name))), i -> transform(sequence(1, {MOST_LETTERS}), k -> substring(name, i, k)))")).alias("subs")).select("name", F.explode(F.array_distinct("subs")).alias("word"))
-    known = spans.distinct().join(counts, "word").groupBy("name").agg(F.collect_list("word").alias("parts"), F.collect_list("n").alias("n"))
+    spans = names.select("name", F.explode(F.expr(f"transform(sequence(1, greatest(1, length(name))), i -> transform(sequence(1, {MOST_LETTERS}), k -> substring(name, i, k)))")).alias("subs")).select("name", F.explode("subs").alias("word")).distinct()
+    spans = staged(spans, "spans")
+    known = spread(spans, counts, "word", "name").groupBy("name").agg(F.collect_list("word").alias("parts"), F.collect_list("n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +112,9 @@ def judged(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_column
     seen = staged(seen.withColumn("rule", rule).withColumn("ruled", verdict), "urls")
     hosts = seen.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.expr("flatten(transform(slice(split(host, '[.]'), 1, greatest(0, size(split(host, '[.]')) - 1)), l -> split(l, '[^\\\\p{L}]+')))")).alias("pos", "name")).filter("name != ''")
-    parts = staged(split_names(labels.select("name").distinct(), word_counts(pages, html_column)), "names")
-    words = labels.join(parts, "name").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("host_words"))
+    labels = staged(labels, "labels")
+    parts = staged(split_names(labels.select("name").distinct(), staged(word_counts(pages, html_column), "words")), "names")
+    words = spread(labels, parts, "name", "host").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("host_words"))
     by_host = hosts.join(words, "host", "left").select("host", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"))
     path_words = F.expr("filter(split(regexp_replace(lower(path), '[0-9]+', '/0/'), '[^\\\\p{L}0]+'), w -> w != '')")
     tokens = F.concat(F.transform("host_words", lambda w: F.concat(F.lit("h:"), w)), F.transform(path_words, lambda w: F.concat(F.lit("p:"), w)))
