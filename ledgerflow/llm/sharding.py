@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.shared import staged
 
 #: Rows that one window group holds on average.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 1000
 #: Window groups at most; beyond, groups grow (Spark's windows spill).
-MOST_GROUPS = 1 << 16
+MOST_GROUPS = 1 << 18
 
 
 def _groups(rows: int) -> int:
