@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 PAGE = (
     "doc_id string, number int, width double, height double, text string, n_images int, n_curves int, words array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>, "
     "tables array<struct<bbox:array<double>,cells:array<array<double>>,rows:array<array<array<double>>>,extracted:array<array<string>>>>, "
-    "candidates array<struct<flavor:string,rows:array<array<string>>,accuracy:double,whitespace:double,ord:int,row_bounds:array<array<double>>,column_bounds:array<array<double>>>>"
+    "candidates array<struct<flavor:string,rows:array<array<string>>,accuracy:double,whitespace:double,ord:int,row_bounds:array<array<double>>,column_bounds:array<array<double>>>>, "
+    "edges array<struct<x0:double,x1:double,top:double,bottom:double>>"
 )
 
 

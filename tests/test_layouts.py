@@ -37,7 +37,23 @@ def balance_page(change=None):
     rows.insert(0, [[0, 95, 180, 99], [200, 95, 280, 99], [300, 95, 380, 99]])
     extracted.insert(0, ["", "", ""])
     text.append("See accompanying notes")
-    return {"width": 400.0, "text": "\n".join(text), "words": words, "tables": [{"bbox": [0, 95, 380, 200], "rows": rows, "extracted": extracted}]}
+    return {"width": 400.0, "text": "\n".join(text), "words": words, "edges": [], "tables": [{"bbox": [0, 95, 380, 200], "rows": rows, "extracted": extracted}]}
+
+
+def test_rows_that_are_one_cell():
+    page = balance_page()
+    table = page["tables"][0]
+    for i, (values, cells) in enumerate(zip(table["extracted"], table["rows"], strict=True)):
+        if i and any(v for v in values[1:]):
+            table["rows"][i], table["extracted"][i] = [[0, cells[0][1], 380, cells[0][3]]], [" ".join(v for v in values if v)]
+    with pytest.raises(Y.Unclear):
+        Y.balance_grid(page)
+    page["edges"] = [{"x0": x, "x1": x + 80.0, "top": 95.0, "bottom": 95.5} for x in (200.0, 300.0)]
+    got = Y.balance_grid(page)
+    assert got["labels"] == ["June 30, 2026", "June 30, 2025"] and got["rows"][1] == ["Cash", "$ 10", "$ 9"] and got["row_kinds"].count("data") == 3
+    page["words"].append(word("77", 278, 112))
+    with pytest.raises(Y.Unclear):
+        Y.balance_grid(page)
 
 
 def test_balance_geometry():
@@ -91,7 +107,7 @@ def floats(x):
 
 def test_recovery_over_pages(spark):
     captured = spark.createDataFrame(
-        [("d", n, p["width"], 500.0, p["text"], 0, 0, p["words"], [{"bbox": floats(t["bbox"]), "cells": [], "rows": floats(t["rows"]), "extracted": t["extracted"]} for t in p["tables"]], None) for n, p in ((1, balance_page()), (2, equity_page()), (3, {**balance_page(), "tables": []}))], snapshots.PAGE
+        [("d", n, p["width"], 500.0, p["text"], 0, 0, p["words"], [{"bbox": floats(t["bbox"]), "cells": [], "rows": floats(t["rows"]), "extracted": t["extracted"]} for t in p["tables"]], None, None) for n, p in ((1, balance_page()), (2, equity_page()), (3, {**balance_page(), "tables": []}))], snapshots.PAGE
     )
     plan = spark.createDataFrame([("d", 1, "BalanceSheet", True), ("d", 2, "StockholdersEquityStatement", True), ("d", 3, "BalanceSheet", True), ("d", 4, "BalanceSheet", True)], "doc_id string, page int, statement_type string, selected boolean")
     got = {r["source_page"]: r for r in Y.recovered(captured, plan).collect()}

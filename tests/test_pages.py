@@ -67,7 +67,7 @@ def test_manual_plan(spark):
 
 
 def test_pages_end_to_end(spark):
-    rows = [("d", i, 1.0, 1.0, t, 0, 0, None, None, None) for i, t in enumerate(["cover", BALANCE, INCOME, CASH, NOTES], 1)]
+    rows = [("d", i, 1.0, 1.0, t, 0, 0, None, None, None, None) for i, t in enumerate(["cover", BALANCE, INCOME, CASH, NOTES], 1)]
     captured = spark.createDataFrame(rows, snapshots.PAGE)
     result = api.extract_pages(captured)
     assert {r["source_page"] for r in result.values.collect()} == {2, 3}  # the cash flow page has no period
