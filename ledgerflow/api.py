@@ -85,10 +85,14 @@ def extract_pages(captured: DataFrame, pages: str = "auto", policy: str = "revie
 
     ended = F.max(opens.cast("int")).over(Window.partitionBy("doc_id", "source_page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = layouts.recovered(captured, chosen)
-    result = from_lines(selected.withColumn("_ended", ended).filter("_ended = 0").drop("_ended"), plan=chosen, grids=found)
+    own = selected.withColumn("_ended", ended).filter("_ended = 0").drop("_ended")
+    repairs = layouts.income_repairs(own.withColumn("statement_type", F.col("statement_type_hint")), captured)
+    own = own.join(repairs.withColumn("_repaired", F.lit(True)), ["doc_id", "source_page", "line_no"], "left").filter("_repaired IS NULL OR text IS NOT NULL").withColumn("raw_text", F.coalesce("text", "raw_text")).drop("text", "method", "_repaired")
+    result = from_lines(own, plan=chosen, grids=found)
+    unread = repairs.filter(F.col("method").startswith("Incomplete")).select("doc_id", F.lit("Period-count alignment").alias("Check"), F.format_string("Page %d line %d", "source_page", "line_no").alias("Scope"), F.lit("WARN").alias("Status"), F.concat_ws(" ", "method", "text").alias("Detail"))
     covered = completeness.page_coverage(chosen, found.filter("error IS NULL"))
     unclear = found.filter("error IS NOT NULL").select("doc_id", F.concat("statement_type", F.lit(" layout")).alias("Check"), F.concat(F.lit("Page "), F.col("source_page").cast("string")).alias("Scope"), F.lit("WARN").alias("Status"), F.concat("error", F.lit(" Original grids retained; source review is required.")).alias("Detail"))
-    return replace(result, checks=audits.review_report(result.checks, covered, unclear, _grid_checks(found.filter("error IS NULL"))))
+    return replace(result, checks=audits.review_report(result.checks, covered, unclear, unread, _grid_checks(found.filter("error IS NULL"))))
 
 
 def _grid_checks(found: DataFrame) -> DataFrame:

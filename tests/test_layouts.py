@@ -171,3 +171,25 @@ def test_row_coverage_and_reconciliation(spark):
     assert {r["Scope"].split(" / ")[1]: r["Status"] for r in K.reconciliation(cash, balance, units).collect()} == {"bank": "PASS", "held": "PASS", "other": "NOT_TESTED"}
     mixed = units.unionByName(spark.createDataFrame([("d", "thousands", "USD")], units.schema))
     assert {r["Status"] for r in K.reconciliation(cash, balance, mixed).collect()} == {"NOT_TESTED"}
+
+
+def income_words(rows):
+    """rows of (top, [(text, x0)])."""
+    return [word(t, x, top) for top, line in rows for t, x in line]
+
+
+def test_income_rows():
+    lines = [(1, "Years Ended December 31,"), (2, "2026 2025 2024"), (3, "Revenue 10 5"), (4, "—"), (5, "Costs $ 4$ 3$ 2"), (6, "Other 1 2"), (7, "Net 6 7 8")]
+    words = income_words([(10, [("Years", 0), ("Ended", 24), ("December", 48), ("31,", 84)]), (20, [("2026", 100), ("2025", 150), ("2024", 200)]), (30, [("Revenue", 0), ("10", 104), ("5", 206)]), (33, [("—", 154)]), (60, [("Other", 0), ("1", 104), ("2", 152)])])
+    got = {no: (text, how) for no, text, how in Y.repaired_rows(lines, words, 300.0, ["2026", "2025", "2024"])}
+    assert got[3] == ("Revenue 10 — 5", "offset_dash_row_geometry") and got[4] == (None, "offset_dash_row_geometry")
+    assert got[5] == ("Costs $ 4 $ 3 $ 2", "adjacent_currency_separator")
+    assert got[6][0] == "Other 1 2" and got[6][1].startswith("Incomplete") and set(got) == {3, 4, 5, 6}
+
+
+def test_income_repairs_over_pages(spark):
+    lines = [(1, "2026 2025 2024"), (2, "Revenue 10 5"), (3, "—")]
+    words = income_words([(20, [("2026", 100), ("2025", 150), ("2024", 200)]), (30, [("Revenue", 0), ("10", 104), ("5", 206)]), (33, [("—", 154)])])
+    frame = spark.createDataFrame([("d", 1, n, t, "IncomeStatement") for n, t in lines] + [("d", 2, 1, "x", "BalanceSheet")], "doc_id string, source_page int, line_no int, raw_text string, statement_type string")
+    captured = spark.createDataFrame([("d", 1, 300.0, 400.0, "", 0, 0, words, None, None, None)], snapshots.PAGE)
+    assert sorted((r["line_no"], r["text"]) for r in Y.income_repairs(frame, captured).collect()) == [(2, "Revenue 10 — 5"), (3, None)]
