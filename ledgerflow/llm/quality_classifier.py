@@ -155,10 +155,20 @@ def held_out(id_column: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Additive:
-    """A model from at most sample_rows labelled rows, those with the smallest hashes of their ids; rows held out have no part in it. Labels that differ for one id: the higher."""
-    learn = labels.filter(~held_out("doc_id") & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("double").alias("y"))
-    rows = measured.dropDuplicates(["id"]).join(learn, "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("y", *FEATURES).toPandas().to_numpy(float).reshape(-1, len(FEATURES) + 1)
+def sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """id, y of at most sample_rows labelled documents that aren't held out: those with the smallest hashes of their ids. Labels that differ for one id: the higher.
+
+    A hash bound that about a quarter more than sample_rows stay under comes first, so that tasks together hand on no more than that, however many there are.
+    """
+    learn = labels.filter(~held_out("doc_id") & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("double").alias("y")).filter("id IS NOT NULL")
+    share = min(1.0, 1.25 * sample_rows / max(1, learn.count()))
+    near = learn.withColumn("order", F.xxhash64("id")).filter(F.col("order") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+    return near.orderBy("order", "id").limit(sample_rows).select("id", "y")
+
+
+def train(measured: DataFrame, learn: DataFrame) -> Additive:
+    """A model from the features of sample()'s documents, which is small enough to be broadcast."""
+    rows = measured.join(F.broadcast(learn), "id").dropDuplicates(["id"]).orderBy("id").select("y", *FEATURES).toPandas().to_numpy(float).reshape(-1, len(FEATURES) + 1)
     return fit(rows[:, 1:], (rows[:, 0] > 0.5).astype(float))
 
 
@@ -182,7 +192,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     prediction 1; an empty table gives no rows; other columns aren't read.
     """
     measured = staged(features(docs, id_column, text_column), "features")
-    return score(measured, train(measured, labels, sample_rows))
+    return score(measured, train(measured, sample(labels, sample_rows)))
 
 
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,10 +206,10 @@ def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     For training, only the labelled rows' features are needed: documents meet the list of labelled ids, which is the hashed side, and the rest of a
     document goes no further. Nulls, repeats and empty tables: see quality_scores; rejected are scores under 0.5.
     """
-    ids = labels.filter(~held_out("doc_id") & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.xxhash64("doc_id")).alias("_order")).orderBy("_order", "_id").limit(sample_rows).select("_id")
+    learn = staged(sample(labels, sample_rows), "sample")
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    learn = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")  # at most sample_rows ids
-    sent = docs.sparkSession.sparkContext.broadcast(train(staged(features(learn), "features"), labels, sample_rows))
+    known = own.join(F.broadcast(learn.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")  # at most sample_rows ids
+    sent = docs.sparkSession.sparkContext.broadcast(train(staged(features(known), "features"), learn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
