@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,13 +20,15 @@ HEAVY_LEAST = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a session that is one process (tests) gets a folder of
+    its own; a cluster gets an error, as its machines wouldn't see each other's local folders."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            at = f"file://{tempfile.mkdtemp(prefix='ledgerflow-')}"
-            spark.sparkContext.setCheckpointDir(at)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='ledgerflow-')}"
+        spark.sparkContext.setCheckpointDir(at)
+        drop_at_end(spark, at)
     return at.rstrip("/")
 
 
@@ -33,10 +36,17 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/ledgerflow-{uuid.uuid4().hex[:12]}-{what}"
 
 
+def drop_at_end(spark: SparkSession, at: str) -> None:
+    """A folder that is there goes when the application ends: until then, DataFrames that read it can run again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors cost no recomputation of it."""
     spark, at = df.sparkSession, new_folder(df.sparkSession, what)
     df.write.parquet(at)
+    drop_at_end(spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -49,18 +59,19 @@ def heavy_keys(counts: DataFrame, rows: int, n: str = "n") -> DataFrame:
     return counts.filter(F.col(n) >= max(HEAVY_LEAST, int(rows * HEAVY_SHARE)))
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", rows_per_task: int = HEAVY_LEAST, counts: DataFrame | None = None, total: int | None = None, n: str = "n") -> DataFrame:
+def spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", rows_per_task: int = HEAVY_LEAST, counts: DataFrame | None = None, total: int | None = None, n: str = "n", hashed: bool = False) -> DataFrame:
     """left join right on `key`, where right has one row per key and a few keys may hold most of left.
 
     A heavy key of left is dealt over ceil(rows / rows_per_task) salts (from `by`), and right's row is repeated once for each of them: at most
     rows(left) / rows_per_task rows more. The list of heavy keys is bounded by HEAVY_SHARE. counts(key, n) and total may be given where they are known.
+    hashed: right is narrow beside left, so its share of a partition is the hashed side and left isn't sorted.
     """
     counts = left.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts.select(key, F.col(n).alias("_n"))
     total = left.count() if total is None else total
     heavy = F.broadcast(heavy_keys(counts, total, "_n").select(F.col(key).alias("_key"), F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
     salted = left.join(heavy, F.col(key) == F.col("_key"), "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"))).drop("_key", "_salts")
     copies = right.join(heavy, F.col(key) == F.col("_key"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_key", "_salts")
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("shuffle_hash") if hashed else copies, [key, "_salt"], how).drop("_salt")
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

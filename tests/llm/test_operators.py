@@ -203,12 +203,13 @@ def test_urls_by_brute_force(spark):
 
 
 def brute_classes(docs, least=0.8):
-    """Exact copies and all pairs of that weighted Jaccard similarity, by an inverted index over all cells."""
-    nodes = {}
-    for d, t in sorted(docs):
-        nodes.setdefault(b" ".join(near_dup.words_of(t or "")), d)
-    sets = {d: set(near_dup.cells_of(k.split()).tolist()) for k, d in nodes.items()}
-    parent = {d: d for d in sets}
+    """Exact copies and all pairs of that weighted Jaccard similarity, counted in plain Python over an inverted index of shingles; rows are named by their place."""
+    nodes, sets, parent = {}, {}, {}
+    for i, (_, t) in enumerate(docs):
+        w = (t or "").lower().split()
+        n = nodes.setdefault(" ".join(w), i)
+        sets.setdefault(n, Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter())
+        parent.setdefault(n, n)
 
     def find(x):
         while parent[x] != x:
@@ -217,13 +218,18 @@ def brute_classes(docs, least=0.8):
 
     seen = defaultdict(list)
     for d, own in sets.items():
-        for e, n in Counter(e for c in own for e in seen[c]).items():
-            if n >= least * (len(own) + len(sets[e]) - n) - 1e-9:
+        both = Counter()
+        for c, n in own.items():
+            for e in seen[c]:
+                both[e] += min(n, sets[e][c])
+            seen[c].append(d)
+        for e, n in both.items():
+            if n >= least * (own.total() + sets[e].total() - n) - 1e-9:
                 a, b = find(d), find(e)
                 parent[max(a, b)] = min(a, b)
-        for c in own:
-            seen[c].append(d)
-    return {d: find(nodes[b" ".join(near_dup.words_of(t or ""))]) for d, t in docs}
+    found = [find(nodes[" ".join((t or "").lower().split())]) for _, t in docs]
+    least_id = {c: min((d for (d, _), x in zip(docs, found, strict=True) if x == c and d is not None), default=None) for c in set(found)}
+    return {docs[i]: least_id[c] for i, c in enumerate(found)}
 
 
 def planted(n_star=150):
@@ -251,31 +257,79 @@ def planted(n_star=150):
     return [(int(i), docs[k]) for i, k in enumerate(order)]
 
 
-def test_classes_by_brute_force(spark):
+@pytest.mark.parametrize("blocks", [(1024, 24), (16, 1)])
+def test_classes_by_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(near_dup, "BLOCK", blocks[0])
+    monkeypatch.setattr(near_dup, "SPLIT_BLOCKS", blocks[1])
     docs = planted()
-    got = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(clash(table(spark, docs))).collect()}
-    assert got == brute_classes(docs)
+    classes = brute_classes(docs)
+    got = {r["id"]: r for r in near_dup.near_duplicates(clash(table(spark, docs))).collect()}
+    assert {d: r["class_id"] for d, r in got.items()} == {d: c for (d, _), c in classes.items()}
+    texts = {}
+    for d, t in docs:
+        texts.setdefault(" ".join(t.lower().split()), got[d]["class_id"])
+    sizes = Counter(texts.values())
+    for d, r in got.items():  # texts with another one in their class are linked, with the similarity that was verified
+        assert (r["n_links"] > 0) == (sizes[r["class_id"]] > 1) == (r["similarity"] is not None)
+        assert r["similarity"] is None or 0.8 - 1e-9 <= r["similarity"] < 1
     left = near_dup.first_of_each(table(spark, docs)).collect()
-    assert sorted(r["doc_id"] for r in left) == sorted(set(got.values()))
+    assert sorted(r["doc_id"] for r in left) == sorted(set(classes.values()))
+
+
+def test_texts_with_a_shared_id_stay(spark):
+    speak = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    t, u, v = speak("t"), speak("u"), speak("v")
+    near = t.replace("t39", "other")
+    rows = [(1, t), (2, t), (2, u), (5, near), (5, near), (6, v), (6, v), (None, speak("n")), (None, None), (None, speak("n").upper()), (7, speak("p")), (7, speak("q"))]
+    left = near_dup.first_of_each(clash(table(spark, rows)))
+    assert left.columns == clash(table(spark, [])).columns
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    n = {x for x in got if x[0] is None and x[1] and x[1].lower() == speak("n")}
+    assert len(n) == 1 and got == Counter([(1, t), (2, u), (6, v), (None, None), (7, speak("p")), (7, speak("q")), *n])
+
+
+def test_a_row_that_is_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HEAVY_LEAST", 50)
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(3, t)] * 400 + [(None, "null id, one text over and over")] * 300 + [(i, f"{t} and more {i} {i}") for i in range(10, 20)]
+    left = near_dup.first_of_each(table(spark, rows)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in left) == [(-1, "null id, one text over and over"), (3, t)]
 
 
 def test_classes_of_odd_tables(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
-    got = [tuple(r) for r in near_dup.near_duplicates(table(spark, ODD)).collect()]
+    got = [(r["id"], r["class_id"]) for r in near_dup.near_duplicates(table(spark, ODD)).collect()]
     assert len(got) == len(ODD) and (2, 1) in got and (5, 4) in got and (None, 1) in got
     assert near_dup.first_of_each(table(spark, [])).columns == table(spark, []).columns
 
 
-def test_darts_estimate_weighted_similarity():
-    rng = np.random.default_rng(2)
-    off = []
-    for _ in range(80):
-        x = rng.integers(0, 1 << 62, 200).astype(np.uint64)
-        u, v = rng.uniform(0, 1, 200), rng.uniform(0, 1, 200)
-        off.append((near_dup.darts(x, weights=u) == near_dup.darts(x, weights=v)).mean() - np.minimum(u, v).sum() / np.maximum(u, v).sum())
+def test_every_pair_of_the_similarity_is_found(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.op3_dart_minhash(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {d: c for (d, _), c in brute_classes(docs).items()}
+
+
+@pytest.mark.parametrize("weights", ["count", "log", "set"])
+def test_darts_estimate_weighted_similarity(weights):
+    rng, off = np.random.default_rng(2), []
+    for _ in range(60):
+        base = rng.integers(0, 40, 300).astype(str)
+        x, y = (near_dup.weighted_shingles([w.encode() for w in own], weights, 1) for own in (base[:250], base[60:]))
+        u, v = (dict(zip(*z, strict=True)) for z in (x, y))
+        exact = sum(min(u.get(k, 0), v.get(k, 0)) for k in u | v) / sum(max(u.get(k, 0), v.get(k, 0)) for k in u | v)
+        assert near_dup.similarity(x, y) == pytest.approx(exact)
+        assert near_dup.similarity(*(near_dup.unpacked_set(near_dup.packed_set(*z)) for z in (x, y))) == pytest.approx(exact)
+        off.append((near_dup.darts(*x) == near_dup.darts(*y)).mean() - exact)
     assert abs(np.mean(off)) < 0.02
 
 
+def test_darts_of_small_weights():
+    x = np.arange(5).astype(np.uint64) * words.multiplier(3)
+    u, v = np.array([0.01, 0.02, 0.005, 0.01, 0.03]), np.array([0.01, 0.01, 0.005, 0.02, 0.03])
+    got = np.mean([(near_dup.darts(x + np.uint64(k), u) == near_dup.darts(x + np.uint64(k), v)).mean() for k in range(30)])
+    assert abs(got - np.minimum(u, v).sum() / np.maximum(u, v).sum()) < 0.03
+
+
 def test_repeated_words_by_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(50):

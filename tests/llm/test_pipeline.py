@@ -56,6 +56,8 @@ def test_stages_by_brute_force(spark, tmp_path):
     third = rows(corpus_pipeline.near_duplicates(spark, table(spark, sorted(second.items())), sf))
     classes = brute_classes(sorted(second.items()))
     assert set(third) == set(classes.values())
+    twice = corpus_pipeline.near_duplicates(spark, table(spark, [*sorted(second.items()), (1, "a text of its own under an id that is there before, and it stays")]), sf)
+    assert sorted(r["doc_id"] for r in twice.collect()) == sorted([*third, 1])
 
     fourth = rows(corpus_pipeline.decontaminated(spark, table(spark, sorted(third.items())), sf))
     assert set(third) - set(fourth) == {502}
