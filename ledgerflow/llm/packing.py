@@ -32,44 +32,43 @@ class Run(NamedTuple):
     fill: int
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
-    """Bin configurations and how often each is used: the linear program of cutting stock, by column generation."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, near: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """Bin configurations and how often each is used: the linear program of cutting stock, by column generation, to within the share `near` of its least number of bins."""
     m = len(sizes)
     columns = np.diag(capacity // sizes).astype(float)
     used = demand / np.diag(columns)
     deepest = int(capacity // sizes.min())
-    for _ in range(rounds):
+    least = 0.0
+    while True:
         price = np.linalg.solve(columns.T, np.ones(m))
-        value, picked = np.zeros(capacity + 1), np.full((deepest, capacity + 1), -1)
-        for layer in range(deepest):  # the best content of at most `layer` + 1 items for each room
-            better = value.copy()
-            for i, (s, p) in enumerate(zip(sizes, price, strict=True)):
-                if p > 1e-12:
-                    gain = value[:-s] + p if s else value + p
-                    wins = gain > better[s:] + 1e-12
-                    better[s:][wins] = gain[wins]
-                    picked[layer, s:][wins] = i
-            if np.array_equal(better, value):
-                deepest_used = layer
+        worth = np.flatnonzero(price > 1e-12)
+        value, picked = np.zeros(capacity + 1), []
+        for _ in range(deepest):  # the best content of one item more, for each room
+            gain = np.zeros((len(worth) + 1, capacity + 1))
+            gain[-1] = value
+            for row, i in enumerate(worth):
+                gain[row, sizes[i] :] = value[: capacity + 1 - sizes[i]] + price[i]
+            best = gain.argmax(axis=0)
+            better = gain[best, np.arange(capacity + 1)]
+            best[better <= value + 1e-12] = len(worth)
+            if (best == len(worth)).all():
                 break
-            value = better
-        else:
-            deepest_used = deepest
-        if value[capacity] <= 1 + 1e-9:
-            break
+            picked.append(best)
+            value = np.maximum(value, better)
+        least = max(least, float(demand @ price) / max(1.0, value[capacity]))
+        if value[capacity] <= 1 + 1e-9 or used.sum() <= least * (1 + near):
+            return [(columns[:, j].astype(int), float(used[j])) for j in range(m)]
         column, room = np.zeros(m), capacity
-        for layer in range(deepest_used - 1, -1, -1):
-            i = picked[layer, room]
-            if i >= 0:
-                column[i] += 1
-                room -= sizes[i]
+        for best in reversed(picked):
+            if best[room] < len(worth):
+                column[worth[best[room]]] += 1
+                room -= sizes[worth[best[room]]]
         step = np.linalg.solve(columns, column)
         ratio = np.where(step > 1e-9, used / np.where(step > 1e-9, step, 1), np.inf)
         leaves = int(np.argmin(ratio))
         used = np.maximum(used - ratio[leaves] * step, 0)
         used[leaves] = ratio[leaves]
         columns[:, leaves] = column
-    return [(columns[:, j].astype(int), float(used[j])) for j in range(m)]
 
 
 class _Bins:
@@ -107,64 +106,77 @@ class _Bins:
             rank, count = rank + full * each, count - full * each
 
 
-def _solve(counts: dict[int, int], capacity: int, groups: int, small: int) -> tuple[list[Run], int]:
-    bins, taken = _Bins(capacity), dict.fromkeys(counts, 0)
-    large = [[length, counts[length]] for length in sorted(counts, reverse=True) if length > small]
-    total = sum(n for _, n in large)
-    if total:
-        bounds, seen, items = np.linspace(0, total, min(groups, total) + 1).round().astype(int), 0, []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):  # each group's [length, number] in descending order
-            group, want = [], hi - lo
-            while want:
-                length, n = large[seen]
-                k = min(n, want)
-                group.append([length, k])
-                large[seen][1] -= k
-                want -= k
-                seen += large[seen][1] == 0
-            if items and items[-1][0][0] == group[0][0]:
-                items[-1] += group
-            else:
-                items.append(group)
-        sizes = np.asarray([g[0][0] for g in items])
-        demand = np.asarray([sum(n for _, n in g) for g in items], float)
-        for column, often in configurations(sizes, demand, capacity):
-            often = int(often + 1e-6)
-            often = min([often, *(int(sum(n for _, n in items[i])) // column[i] for i in np.flatnonzero(column))])
-            if not often:
-                continue
-            parts = [(bins.n, often, 0)]
-            bins.n += often
-            for i in [i for i in np.flatnonzero(column) for _ in range(column[i])]:
-                after = []
+def _grouped(counts: dict[int, int], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and demands of groups of equal cardinality, in descending order of length: a group's size is its longest. Groups of one size are one."""
+    lengths = np.asarray(sorted(counts, reverse=True))
+    total = np.cumsum([counts[int(x)] for x in lengths])
+    bounds = np.linspace(0, total[-1], min(groups, int(total[-1])) + 1).round().astype(int)
+    sizes, demand = lengths[np.searchsorted(total, bounds[:-1], side="right")], np.diff(bounds)
+    kept = np.unique(sizes)[::-1]
+    return kept, np.asarray([demand[sizes == x].sum() for x in kept], float)
+
+
+def _solve(counts: dict[int, int], capacity: int, groups: int, small: int, share: float = 0.5) -> tuple[list[Run], int]:
+    bins, taken, left = _Bins(capacity), dict.fromkeys(counts, 0), {k: n for k, n in counts.items() if k > small}
+    stock = sorted(left)  # lengths of large pieces that are left
+    while stock:
+        sizes, demand = _grouped(left, groups)
+        last, opened = demand.sum() < 20 * len(sizes), bins.n
+        for column, often in sorted(((c, int((n if last else n * share) + 1e-6)) for c, n in configurations(sizes, demand, capacity)), key=lambda x: tuple(x[0]), reverse=True):
+            slots = [int(sizes[i]) for i in np.flatnonzero(column) for _ in range(column[i])]
+            parts = [(bins.n, often, 0)] if stock else []
+            bins.n += often if stock else 0
+            for at in range(len(slots)):
+                after, later = [], sum(slots[at + 1 :])
                 for first, n, fill in parts:
                     while n:
-                        length, have = items[i][0]
-                        k = min(n, have)
-                        bins.runs.append(Run(length, taken[length], k, first, 1, fill))
-                        after.append((first, k, fill + length))
-                        taken[length] += k
-                        items[i][0][1] -= k
-                        if not items[i][0][1]:
-                            items[i].pop(0)
-                        first, n = first + k, n - k
+                        k = bisect.bisect_right(stock, capacity - fill - later) - 1  # the longest piece that leaves room for the configuration's other ones
+                        if k < 0:
+                            after.append((first, n, fill))
+                            break
+                        length = stock[k]
+                        use = min(n, left[length])
+                        bins.runs.append(Run(length, taken[length], use, first, 1, fill))
+                        after.append((first, use, fill + length))
+                        taken[length] += use
+                        left[length] -= use
+                        if not left[length]:
+                            del stock[k], left[length]
+                        first, n = first + use, n - use
                 parts = after
             for first, n, fill in parts:
-                bins.put(capacity - fill, first, n)
+                if fill:
+                    bins.put(capacity - fill, first, n)
+                else:  # no piece was left for these, which are the last
+                    bins.n = min(bins.n, first)
+        if last or bins.n == opened:
+            break
     for length in sorted(counts, reverse=True):
         if counts[length] > taken[length]:
             bins.best_fit(length, taken[length], counts[length] - taken[length])
     return bins.runs, bins.n
 
 
-def solve(counts: dict[int, int], capacity: int, groups: tuple[int, ...] = (8, 16, 32, 64), small_share: float = 0.125) -> tuple[list[Run], int]:
+#: Shares of the capacity from which on a length is large, and numbers of groups for each: the fewer large pieces a sequence can hold, the more groups pay.
+SCHEMES = ((1 / 8, 16), (1 / 8, 48), (1 / 4, 64), (1 / 4, 128), (1 / 3, 128), (1 / 3, 256), (1 / 2, 64))
+
+
+def solve(counts: dict[int, int], capacity: int, schemes: tuple[tuple[float, int], ...] = SCHEMES) -> tuple[list[Run], int]:
     """Runs for all pieces and the number of bins.
 
-    Lengths over capacity * small_share are large: in descending order they are cut in groups of equal cardinality, each rounded up to its longest; the
+    Lengths over a share of the capacity are large: in descending order they are cut in groups of equal cardinality, each rounded up to its longest; the
     configuration program for these few sizes is solved and rounded down; real pieces take the places of rounded ones. What the rounding left over and
-    all small pieces go by best fit, longest first. The scheme runs for each number of groups given, and the one with the fewest bins counts.
+    all small pieces go by best fit, longest first. The scheme runs for each share and number of groups given, until one needs no more bins than the sum of
+    lengths does; the one with the fewest bins counts. With a share of 1/2 every configuration is one piece, so the result is never worse than best fit
+    for all, longest first.
     """
-    return min((_solve(counts, capacity, g, int(capacity * small_share)) for g in groups), key=lambda x: x[1])
+    least, best = -(-sum(length * n for length, n in counts.items()) // capacity), None
+    for share, groups in schemes:
+        found = _solve(counts, capacity, groups, int(capacity * share))
+        best = found if best is None or found[1] < best[1] else best
+        if best[1] <= least:
+            break
+    return best
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
