@@ -30,13 +30,14 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49
     """One flat file of little-endian ids of `width` bytes for each input partition, an end id after each document; the manifest that is returned names
     each file's documents in order. A task writes beside and renames at its end, so that a repeated task replaces its file as a whole.
 
-    Null and empty texts are the end id alone; an empty table gives no rows (and empty files).
+    Special tokens' own texts are encoded letter by letter: as ids they would be ends that no document has. Null and empty texts are the end id alone; an
+    empty table gives no rows (and empty files).
     """
     top = {2: 1 << 16, 4: 1 << 32}[width]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
-        name, encode, end, first = f"ids-{TaskContext.get().partitionId():06d}.bin", encoder(tokenizer), np.asarray([end_id], "<u4"), 0
+        name, encode, end, first = f"ids-{TaskContext.get().partitionId():06d}.bin", encoder(tokenizer, literal=True), np.asarray([end_id], "<u4"), 0
         store.create_dir(root, recursive=True)
         beside = f"{root}/_{uuid.uuid4().hex}"
         with store.open_output_stream(beside) as out:

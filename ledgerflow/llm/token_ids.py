@@ -22,7 +22,9 @@ MOST_PARTS = 400_000
 #: reaches over such a place, and what stands before it has no say in how the rest is split.
 _PARTS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[ \n.,;:!?*&%#$|]|\Z)|[ \n]*[^ \n]+|[ \n]+").findall
 #: Other white space than blanks and line ends, whose place in words differs between tokenizers.
-_OTHER_SPACE = re.compile(r"[^\S \n]").search
+_OTHER_SPACE = r"[^\S \n]"
+#: What an added token begins with, before letters that a tokenizer might fold.
+_MARK = re.compile(r"[^\w\s]*")
 #: A number stands between parts that go through the library together: letters and plain punctuation never join with it.
 _BETWEEN, _TOGETHER = " 0", 400
 _PLAIN = re.compile(r"[ \n]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-/:-@\[-`{-~]+").fullmatch
@@ -41,15 +43,18 @@ class Encoder:
     """Ids as the tokenizers library gives them for whole texts, as bytes (little-endian unsigned 32-bit integers).
 
     Texts are made of the same words again and again: each part of a text goes through the library once and is remembered. Texts with other white space
-    than blanks and line ends go through it whole.
+    than blanks and line ends go through it whole, and so do texts that may hold an added token's own text (`<|endoftext|>`): the library gives that token's
+    id for it. literal: it gives the ids of the letters instead, so that no text can hold a special id.
     """
 
-    def __init__(self, name: str, most_parts: int = MOST_PARTS) -> None:
+    def __init__(self, name: str, most_parts: int = MOST_PARTS, literal: bool = False) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        marks = {_MARK.match(t.content)[0] or t.content for t in self.tokenizer.get_added_tokens_decoder().values()} - {""}
+        self.may_be_whole = re.compile("|".join([_OTHER_SPACE, *map(re.escape, sorted(marks))]), re.IGNORECASE).search
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
         self.most_parts = most_parts
@@ -78,7 +83,7 @@ class Encoder:
                 self.known.update(zip(some, encode(some), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _OTHER_SPACE(t) else _PARTS(t) for t in texts]
+        split = [None if self.may_be_whole(t) else _PARTS(t) for t in texts]
         wanted = set().union(*(x for x in split if x is not None))
         new = wanted.difference(self.known)
         if len(self.known) + len(new) > self.most_parts:
@@ -92,14 +97,14 @@ class Encoder:
         return [b"".join(map(find, x)) if x is not None else self.whole([t])[0] for t, x in zip(texts, split, strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, literal: bool = False) -> Encoder:
     """One per worker: workers serve many tasks."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    if (name, literal) not in _encoders:
+        _encoders[name, literal] = Encoder(name, literal=literal)
+    return _encoders[name, literal]
 
 
 # A segment: whole documents' ids, cut in blocks of a fixed number of ids. A block: its planes, plane by plane, each compressed for itself.
@@ -167,11 +172,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
     ids and sizes, planes of each block, bytes of each plane. The files are Parquet with the payload uncompressed, written by Spark's committer: a lost
     executor's task is written again as a whole, and any file system that Spark writes to will do.
 
-    Null texts count as empty (the end id alone); documents with a null id come first; equal ids stay beside each other in any order; an empty table
-    gives files without rows.
+    Null texts count as empty (the end id alone); documents with a null id come first; equal ids stay beside each other in any order, and a range may end
+    among them, so that an id that most rows have is no task of its own; an empty table gives files without rows.
     """
     n = shards or partitions(docs.sparkSession)
-    ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id")
+    ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).repartitionByRange(n, F.col("id"), F.xxhash64("text")).sortWithinPartitions("id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, end = encoder(tokenizer), TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes()

@@ -1,29 +1,46 @@
 from __future__ import annotations
 
+import bisect
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from helpers import ODD, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from ledgerflow.llm import packing, token_counts, token_ids
 from ledgerflow.llm.shared import new_folder
 
 
+def plain(name: str, literal: bool = False):
+    """The library as it is, on whole texts."""
+    library = Tokenizer.from_file(token_ids.tokenizer_file(name))
+    library.encode_special_tokens = literal
+    return lambda texts: [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+LETTERS = "ab é\n '’sS.,!\u0301ſΣσ12\t -_中\r0<|>"
+PARTS = st.lists(st.one_of(st.text(LETTERS, max_size=12), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " <|endoftext|> ", "<|endof", "the end", " of text"])), max_size=6).map("".join)
+
+
+@pytest.mark.parametrize("literal", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_parts_give_the_ids_of_whole_texts(name):
-    encode = token_ids.Encoder(name, most_parts=500)
+def test_parts_give_the_ids_of_whole_texts(name, literal):
+    encode, whole = token_ids.Encoder(name, most_parts=500, literal=literal), plain(name, literal)
 
     @settings(max_examples=300, deadline=None)
-    @given(st.lists(st.text("ab é\n '’sS.,!́ſΣσ12\t -_中\r0", max_size=40), max_size=5))
+    @given(st.lists(PARTS, max_size=5))
     def check(texts):
-        assert encode(texts) == encode.whole(texts)
+        assert encode(texts) == whole(texts)
 
     check()
-    odd = [t for _, t in ODD if t] + ["a 0 b 0", "0", " 0 0", "<|endoftext|> x"]
-    assert encode(odd) == encode.whole(odd)
+    odd = [t for _, t in ODD if t] + ["a 0 b 0", "0", " 0 0", "<|endoftext|> x", "hello <|endoftext|> x"]
+    assert encode(odd) == whole(odd)
+    assert (len(encode(["<|endoftext|>"])[0]) == 4) != literal
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
@@ -34,14 +51,14 @@ def test_planes_round_trip(planes, n):
     assert (token_ids.unpack_segment(payload, n, 100, planes, counts, sizes) == ids).all()
 
 
-def expected_ids(rows, name, end):
-    whole = token_ids.Encoder(name).whole([t or "" for _, t in rows])
+def expected_ids(rows, name, end, literal=False):
+    whole = plain(name, literal)([t or "" for _, t in rows])
     return [(d, np.frombuffer(w + np.asarray([end], "<u4").tobytes(), "<u4")) for (d, _), w in zip(rows, whole, strict=True)]
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_token_files_hold_every_document_in_order(spark, planes):
-    rows = [r for r in ODD if r[0] is not None][:7] + [(100 + i, f"doc {i} " * i) for i in range(60)] + [(8, "long " * 9000)]
+    rows = [r for r in ODD if r[0] is not None][:7] + [(90, "a <|endoftext|> b"), (91, "<|startoftext|>")] + [(100 + i, f"doc {i} " * i) for i in range(60)] + [(8, "long " * 9000)]
     folder = new_folder(spark, "test")
     token_ids.write_token_files(table(spark, rows), folder, planes=planes, segment_ids=200, block_ids=64, shards=4)
     got = sorted(map(tuple, token_ids.read_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
@@ -60,13 +77,13 @@ def test_token_files_of_odd_and_empty_tables(spark):
 
 
 def test_separator_scan_matches_the_documents(spark):
-    rows = ODD + [(100 + i, f"doc {i} " * i) for i in range(80)]
+    rows = ODD + [(90, "a <|endoftext|> b"), (91, "<|endoftext|>")] + [(100 + i, f"doc {i} " * i) for i in range(80)]
     folder = new_folder(spark, "test")
     manifest = token_counts.write_flat_files(table(spark, rows), folder)
     counts = token_counts.document_counts(token_counts.scan_blocks(spark, folder, 49_407, block_ids=37)).toPandas()
     names = {(r["file"], r["first"] + i): d for r in manifest.collect() for i, d in enumerate(r["doc_ids"])}
     got = sorted((names[f, n] if names[f, n] is not None else -1, k) for f, n, k in zip(counts["file"], counts["nth"], counts["n_tokens"], strict=True))
-    assert got == sorted((-1 if d is None else d, len(ids)) for d, ids in expected_ids(rows, "word_bpe_49k.json", 49_407))
+    assert got == sorted((-1 if d is None else d, len(ids)) for d, ids in expected_ids(rows, "word_bpe_49k.json", 49_407, literal=True))
     assert counts["ended"].all()
     for _, own in counts.sort_values("nth").groupby("file"):
         assert own["start"].tolist() == [0, *own["n_tokens"].cumsum().tolist()[:-1]]
@@ -90,7 +107,7 @@ def test_separator_scan_of_an_unended_file_and_of_none(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_runs_are_a_packing(counts):
-    runs, n = packing.solve(counts, 64, groups=(4, 8))
+    runs, n = packing.solve(counts, 64, schemes=((1 / 8, 4), (1 / 4, 8), (1 / 2, 8)))
     content: dict[int, list] = {}
     ranks: dict[int, list] = {}
     for r in runs:
@@ -103,7 +120,57 @@ def test_runs_are_a_packing(counts):
         assert [o for o, _ in own] == [sum(x for _, x in own[:i]) for i in range(len(own))]
         assert sum(x for _, x in own) <= 64
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(v)) for k, v in counts.items()}
-    assert n >= -(-sum(k * v for k, v in counts.items()) // 64)
+    assert -(-sum(k * v for k, v in counts.items()) // 64) <= n <= best_fit_decreasing(counts, 64)
+
+
+def best_fit_decreasing(counts, capacity):
+    """Bins of best fit, one piece after the other, longest first."""
+    rooms: list[int] = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect.bisect_left(rooms, length)
+            left = (rooms.pop(at) if at < len(rooms) else capacity) - length
+            bisect.insort(rooms, left)
+    return len(rooms)
+
+
+LENGTHS = {
+    "uniform": lambda r: r.integers(1, 4097, 200_000),
+    "two heaps": lambda r: np.concatenate([r.normal(1400, 100, 150_000), r.normal(2700, 100, 50_000)]),
+    "lognormal": lambda r: np.exp(r.normal(5.5, 1.2, 200_000)),
+    "one length": lambda r: np.full(200_000, 1300),
+    "about a third": lambda r: r.integers(1250, 1450, 200_000),
+    "about a quarter": lambda r: r.integers(900, 1300, 200_000),
+}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+def test_no_more_sequences_than_best_fit(kind):
+    lengths = LENGTHS[kind](np.random.default_rng(0)).clip(1, 4096).astype(int)
+    counts = dict(Counter(lengths.tolist()))
+    began = time.process_time()
+    _, n = packing.solve(counts, 4096)
+    assert time.process_time() - began < 20
+    area = -(-int(lengths.sum()) // 4096)
+    assert area <= n <= best_fit_decreasing(counts, 4096)
+    assert n <= {"uniform": 1.005 * area, "lognormal": area, "about a third": 66_667, "about a quarter": 56_600}.get(kind, n)
+
+
+def test_few_pieces_are_packed_as_well_as_can_be():
+    """Against all ways to pack them."""
+
+    def fewest(lengths, rooms=()):
+        if not lengths:
+            return len(rooms)
+        ways = [fewest(lengths[1:], (*rooms[:i], r - lengths[0], *rooms[i + 1 :])) for i, r in enumerate(rooms) if r >= lengths[0] and r not in rooms[:i]]
+        return min([*ways, fewest(lengths[1:], (*rooms, 20 - lengths[0]))])
+
+    rng = np.random.default_rng(1)
+    more = 0
+    for _ in range(60):
+        lengths = sorted(rng.integers(1, 21, 7).tolist(), reverse=True)
+        more += packing.solve(dict(Counter(lengths)), 20)[1] - fewest(tuple(lengths))
+    assert more <= 1
 
 
 def test_packing_places_every_piece(spark):
