@@ -158,17 +158,18 @@ def _solve(counts: dict[int, int], capacity: int, groups: int, small: int, share
 
 
 #: Shares of the capacity from which on a length is large, and numbers of groups for each: the fewer large pieces a sequence can hold, the more groups pay.
-SCHEMES = ((1 / 8, 16), (1 / 8, 48), (1 / 4, 64), (1 / 4, 128), (1 / 3, 128), (1 / 3, 256), (1 / 2, 64))
+SCHEMES = ((1 / 3, 64), (1 / 8, 16), (1 / 4, 32), (1 / 8, 32), (1 / 4, 64), (1 / 2, 64))
 
 
 def solve(counts: dict[int, int], capacity: int, schemes: tuple[tuple[float, int], ...] = SCHEMES) -> tuple[list[Run], int]:
     """Runs for all pieces and the number of bins.
 
     Lengths over a share of the capacity are large: in descending order they are cut in groups of equal cardinality, each rounded up to its longest; the
-    configuration program for these few sizes is solved and rounded down; real pieces take the places of rounded ones. What the rounding left over and
-    all small pieces go by best fit, longest first. The scheme runs for each share and number of groups given, until one needs no more bins than the sum of
-    lengths does; the one with the fewest bins counts. With a share of 1/2 every configuration is one piece, so the result is never worse than best fit
-    for all, longest first.
+    configuration program for these few sizes is solved and a share of it is laid out; real pieces take the places of rounded ones, the longest that still
+    leaves room for the configuration's other ones; the large pieces that are left are grouped anew, until few are. They and all small pieces go by best
+    fit, longest first. The scheme runs for each share and number of groups given, until one needs no more bins than the sum of lengths does; the one
+    with the fewest bins counts. With a share of 1/2 every configuration is one piece, so with the last scheme the result is never worse than best fit for
+    all, longest first.
     """
     least, best = -(-sum(length * n for length, n in counts.items()) // capacity), None
     for share, groups in schemes:
