@@ -7,14 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import staged
 
-#: Rows that one window group holds on average.
-GROUP_ROWS = 1000
-#: Window groups at most; beyond, groups grow (Spark's windows spill).
-MOST_GROUPS = 1 << 18
-
-
-def _groups(rows: int) -> int:
-    return min(MOST_GROUPS, max(1, -(-rows // GROUP_ROWS)))
+#: Rows that one window group holds on average, and window groups at most (their first ranks are broadcast); beyond, groups grow.
+GROUP_ROWS, MOST_GROUPS = 1000, 1 << 22
 
 
 def seeded(seed: int, *columns: Column) -> Column:
@@ -23,7 +17,7 @@ def seeded(seed: int, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def interleave(docs: DataFrame, shards: int, seed: int = 7, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
+def interleave(docs: DataFrame, shards: int, seed: int = 7, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", group_rows: int = GROUP_ROWS, most_groups: int = MOST_GROUPS) -> DataFrame:
     """Deal rows to shards so that each shard has the sources' mixture.
 
     Within each source, rows are ranked in a seeded shuffle; rank / size of the source is a row's place between 0 and 1; all rows are ordered by that
@@ -31,26 +25,30 @@ def interleave(docs: DataFrame, shards: int, seed: int = 7, id_column: str = "do
     (from 0, gapless in each shard).
 
     Both ranks are split: rows fall in even groups by their shuffle key (or place), a group's first rank is the number of rows in earlier groups, and only
-    the rest is a window. So a source with a third of all rows is no larger a task than others, and only narrow rows are shuffled.
+    the rest is a window. So a source with a third of all rows is no larger a task than others, and only narrow rows are shuffled. Rows that are equal in id,
+    source, size and CRC are one counted row until they are ranked, so that repeats don't fill a group, and then take as many ranks in a row.
 
-    Null texts count no bytes and have the CRC of an empty text; null sources are a source of their own; null and repeated ids are ranked like others, ties
+    Null texts count no bytes and have the CRC of an empty text; null sources are a source of their own; null and repeated ids are ranked like others, apart
     by CRC and size (rows that are equal in all three are interchangeable). Empty input gives no rows; other columns aren't read.
     """
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    narrow = staged(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")), "narrow")
-    rows = narrow.count()
-    groups = _groups(rows)
+    narrow = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    alike = staged(narrow.groupBy("id", "source", "size", "text_crc32").agg(F.count("*").alias("n")), "narrow")
+    rows = alike.agg(F.sum("n")).first()[0] or 0
+    groups = min(most_groups, max(1, -(-rows // group_rows)))
     step = ((1 << 60) // groups) + 1
-    keyed = narrow.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))).withColumn("key", seeded(seed, F.col("source_key"), F.col("id"))).withColumn("group", F.floor(F.col("key") / step).cast("int"))
+    order = [F.col(c) for c in ("key", "id", "text_crc32", "size")]
+    keyed = alike.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))).withColumn("key", seeded(seed, *[F.col(c) for c in ("source_key", "id", "text_crc32", "size")])).withColumn("group", F.floor(F.col("key") / step).cast("int"))
 
-    counts = keyed.groupBy("source_key", "group").agg(F.count("*").alias("n"))
+    counts = keyed.groupBy("source_key", "group").agg(F.sum("n").alias("in_group"))
     by_source = Window.partitionBy("source_key")
-    before = counts.select("source_key", "group", (F.sum("n").over(by_source.orderBy("group")) - F.col("n")).alias("before"), F.sum("n").over(by_source).alias("of"))
-    order = [F.col("key"), F.col("id"), F.col("text_crc32"), F.col("size")]
+    before = counts.select("source_key", "group", (F.sum("in_group").over(by_source.orderBy("group")) - F.col("in_group")).alias("before"), F.sum("in_group").over(by_source).alias("of"))
+    within = F.sum("n").over(Window.partitionBy("source_key", "group").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     ranked = (
-        keyed.withColumn("within", F.row_number().over(Window.partitionBy("source_key", "group").orderBy(*order)))
+        keyed.withColumn("within", within)
         .join(before, ["source_key", "group"])
-        .withColumn("place", (F.col("before") + F.col("within") - 0.5) / F.col("of"))
+        .withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .withColumn("place", (F.col("before") + F.col("within") + F.col("nth") + 0.5) / F.col("of"))
         .withColumn("run", F.least(F.lit(groups - 1), F.floor(F.col("place") * groups)).cast("int"))
     )
     ranked = staged(ranked.select("id", "source", "size", "text_crc32", "source_key", "key", "place", "run"), "ranked")
@@ -58,7 +56,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 7, id_column: str = "do
     runs = ranked.groupBy("run").agg(F.count("*").alias("n"))
     first = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("first"))
     whole = Window.partitionBy("run").orderBy("place", "source_key", *order)
-    placed = ranked.withColumn("at", F.row_number().over(whole)).join(F.broadcast(first), "run").withColumn("at", F.col("first") + F.col("at") - 1)  # at most MOST_GROUPS rows
+    placed = ranked.withColumn("at", F.row_number().over(whole)).join(F.broadcast(first), "run").withColumn("at", F.col("first") + F.col("at") - 1)  # at most most_groups rows
     shard = F.expr(f"int((at * {shards}L) div {max(rows, 1)}L)")
     return placed.withColumn("shard", shard).select("id", "source", "size", "text_crc32", "shard", F.expr(f"at - (shard * {max(rows, 1)}L + {shards - 1}L) div {shards}L").alias("slot"))
 
@@ -87,7 +85,7 @@ WITH bytes AS (
       lambda a, b: xor(a >> 8, list_extract({_crc_table()}, (xor(a, b) & 255) + 1))), 4294967295::BIGINT) AS text_crc32
   FROM bytes
 ), keyed AS (
-  SELECT *, coalesce('=' || source, '-') AS source_key, ('0x' || md5('7:' || coalesce('=' || source, '-') || ':' || coalesce(doc_id::VARCHAR, '-'))[1:15])::BIGINT AS key FROM crc
+  SELECT *, coalesce('=' || source, '-') AS source_key, ('0x' || md5('7:' || coalesce('=' || source, '-') || ':' || coalesce(doc_id::VARCHAR, '-') || ':' || text_crc32::VARCHAR || ':' || size::VARCHAR)[1:15])::BIGINT AS key FROM crc
 ), ranked AS (
   SELECT *, (row_number() OVER (PARTITION BY source_key ORDER BY key, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source_key) AS place FROM keyed
 ), placed AS (
