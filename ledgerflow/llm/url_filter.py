@@ -81,18 +81,26 @@ def best_split(name: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """name, words. Each name's own substrings are joined with the counts, so no word list is sent about; what a name meets there is bounded by its length."""
+    """name, words. Each name's own substrings are joined with the counts, so no word list is sent about. Rows of substrings carry a 128-bit key of the name, so
+    a name of n letters takes 20 n short rows at most, and n steps of 20 to split."""
     total = max(2, counts.agg(F.sum("n")).first()[0] or 0)
-    spans = names.select("name", F.explode(F.expr(f"transform(sequence(1, greatest(1, length(name))), i -> transform(sequence(1, {MOST_LETTERS}), k -> substring(name, i, k)))")).alias("subs")).select("name", F.explode("subs").alias("word")).distinct()
-    spans = staged(spans, "spans")
-    known = spread(spans, counts, "word", "name").groupBy("name").agg(F.collect_list("word").alias("parts"), F.collect_list("n").alias("n"))
+    keyed = names.select("name", F.unhex(F.md5("name")).alias("name_key"))
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "name", 1 << 18):
+            found = [list({name[i : i + k] for i in range(len(name)) for k in range(1, min(MOST_LETTERS, len(name) - i) + 1)}) for name in batch.column("name").to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column("name_key").take(pa.array(row)), pa.array([w for x in found for w in x], pa.string())], names=["name_key", "word"])
+
+    spans = staged(keyed.mapInArrow(substrings, "name_key binary, word string"), "spans")
+    known = spread(spans, counts, "word", "name_key").groupBy("name_key").agg(F.collect_list("word").alias("parts"), F.collect_list("n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [best_split(name, dict(zip(parts or [], n or [], strict=True)), total) for name, parts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=["name", "words"])
 
-    return names.join(known, "name", "left").select("name", "parts", "n").mapInArrow(run, "name string, words array<string>")
+    return keyed.join(known, "name_key", "left").select("name", "parts", "n").mapInArrow(run, "name string, words array<string>")
 
 
 def judged(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
