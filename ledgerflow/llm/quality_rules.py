@@ -16,10 +16,21 @@ SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 #: A line may end so.
 ENDINGS = tuple(".!?:;\"')]}…”’»。！？")
-#: Phrases of pages' furniture, in lines of up to BOILERPLATE_WORDS words.
-PHRASES = r"\b(?:cookies?|privacy policy|terms of (?:use|service)|all rights reserved|sign (?:in|up)|log ?in|subscribe|newsletter|click here|read more|javascript|lorem ipsum|powered by|share (?:on|this)|skip to|copyright)\b"
-BOILERPLATE = re.compile(PHRASES, re.IGNORECASE | re.ASCII)
+#: Phrases of pages' furniture by language, letters beyond ASCII as a dot; all are looked for in every line, whatever its language.
+PHRASES = {
+    "en": "cookies?|privacy policy|terms of (?:use|service)|all rights reserved|sign (?:in|up)|log ?in|subscribe|newsletter|click here|read more|javascript|lorem ipsum|powered by|share (?:on|this)|skip to|copyright",
+    "de": "datenschutz(?:erkl.rung)?|impressum|nutzungsbedingungen|alle rechte vorbehalten|anmelden|abonnieren|hier klicken|weiterlesen|mehr lesen|zum inhalt springen",
+    "es": "pol.tica de privacidad|aviso legal|t.rminos de uso|todos los derechos reservados|iniciar sesi.n|suscr.bete|haga clic|leer m.s",
+    "fr": "politique de confidentialit|mentions l.gales|conditions d.utilisation|tous droits r.serv.s|se connecter|abonnez-vous|cliquez ici|lire la suite",
+    "it": "informativa sulla privacy|note legali|tutti i diritti riservati|clicca qui|leggi tutto",
+    "pt": "pol.tica de privacidade|termos de uso|todos os direitos reservados|clique aqui|leia mais",
+}
+FURNITURE = rf"\b(?:{'|'.join(PHRASES.values())})\b|©"
+BOILERPLATE = re.compile(FURNITURE, re.IGNORECASE | re.ASCII)
 BOILERPLATE_WORDS = 25
+#: Addresses; a line is navigation if half its words are such.
+LINKS = r"[hH][tT][tT][pP][sS]?://|[wW][wW][wW][.]"
+LINK = re.compile(LINKS)
 #: Lines with fewer words need an ending; longer ones may lack it.
 SHORT_WORDS = 10
 
@@ -29,7 +40,7 @@ def line_fails(line: str) -> str | None:
     data = line.encode("utf-8", "surrogatepass")
     n = len(data.split())
     bars = line.count("|") + line.count(">") + line.count("»") + line.count("•")
-    if bars >= 2 and 3 * bars >= n:
+    if bars >= 2 and 3 * bars >= n or ("://" in line or "." in line) and 2 * len(LINK.findall(line)) >= max(n, 1):
         return "navigation"
     if n >= 3 and (3 * count_of(data, SYMBOLS) >= n or 3 * line.count("!") >= 2 * n):
         return "punctuation"
@@ -96,12 +107,12 @@ twice AS (SELECT doc_id, run FROM windows GROUP BY doc_id, run HAVING count(*) >
 covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT v.doc_id, unnest(range(v.i, v.i + 8)) AS place FROM windows v JOIN twice t ON v.doc_id = t.doc_id AND v.run = t.run) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
 counted AS (
-  SELECT doc_id, line, len(regexp_extract_all(line, '{_WORD}')) AS n, length(line) - length(regexp_replace(line, '[|>»•]', '', 'g')) AS bars,
+  SELECT doc_id, line, len(regexp_extract_all(line, '{_WORD}')) AS n, len(regexp_extract_all(line, '{LINKS}')) AS links, length(line) - length(regexp_replace(line, '[|>»•]', '', 'g')) AS bars,
     length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols, length(line) - length(replace(line, '!', '')) AS marks,
-    regexp_matches(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '(?:{"|".join(re.escape(c) for c in ENDINGS).replace("'", "''")})$') AS ended, regexp_matches(line, '(?i){PHRASES}') AS phrase
+    regexp_matches(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '(?:{"|".join(re.escape(c) for c in ENDINGS).replace("'", "''")})$') AS ended, regexp_matches(line, '(?i){FURNITURE}') AS phrase
   FROM lines
 ), judged AS (
-  SELECT *, n > 0 AND (bars >= 2 AND 3 * bars >= n OR n >= 3 AND (3 * symbols >= n OR 3 * marks >= 2 * n) OR n < {SHORT_WORDS} AND NOT ended OR n <= {BOILERPLATE_WORDS} AND phrase) AS fails FROM counted
+  SELECT *, n > 0 AND (bars >= 2 AND 3 * bars >= n OR 2 * links >= n OR n >= 3 AND (3 * symbols >= n OR 3 * marks >= 2 * n) OR n < {SHORT_WORDS} AND NOT ended OR n <= {BOILERPLATE_WORDS} AND phrase) AS fails FROM counted
 ), by_doc AS (
   SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) FILTER (fails) AS n_lines_removed, coalesce(sum(n) FILTER (fails), 0) AS n_words_removed FROM judged GROUP BY doc_id
 ), base AS (
