@@ -167,8 +167,9 @@ def sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def train(measured: DataFrame, learn: DataFrame) -> Additive:
-    """A model from the features of sample()'s documents, which is small enough to be broadcast."""
-    rows = measured.join(F.broadcast(learn), "id").dropDuplicates(["id"]).orderBy("id").select("y", *FEATURES).toPandas().to_numpy(float).reshape(-1, len(FEATURES) + 1)
+    """A model from the features of sample()'s documents, which is small enough to be broadcast. Of rows that share an id, the one with the least features counts."""
+    own = measured.join(F.broadcast(learn), "id").groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(*FEATURES)).alias("x"))
+    rows = own.orderBy("id").select("y", *[f"x.{f}" for f in FEATURES]).toPandas().to_numpy(float).reshape(-1, len(FEATURES) + 1)
     return fit(rows[:, 1:], (rows[:, 0] > 0.5).astype(float))
 
 
@@ -204,7 +205,10 @@ def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """The rows of docs that the model doesn't reject, in one pass without a join: features are measured again and scored where the text is.
 
     For training, only the labelled rows' features are needed: documents meet the list of labelled ids, which is the hashed side, and the rest of a
-    document goes no further. Nulls, repeats and empty tables: see quality_scores; rejected are scores under 0.5.
+    document goes no further.
+
+    Rejected are scores under 0.5. Null and empty texts are scored with all features 0; null ids are judged and never learnt from; repeated rows are judged
+    alike; without labels all rows stay; an empty table gives no rows; all columns stay, whatever their names.
     """
     learn = staged(sample(labels, sample_rows), "sample")
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
