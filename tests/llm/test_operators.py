@@ -5,6 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from helpers import ODD, by_sql, rows_of, table, written
 
 from ledgerflow.llm import decontamination, line_dedup, near_dup, quality_classifier, quality_rules, shared, sharding, url_filter, words
@@ -35,6 +39,16 @@ def test_shards_match_the_sql(spark, tmp_path, rows):
         assert mix.max() - mix.min() <= 6  # a cut may move by half a row for each of the six sources
 
 
+def test_rows_that_are_repeated_very_often_are_no_group(spark, tmp_path):
+    rows = [(None, "t", "en", "hot", 1)] * 4000 + [(None, f"t{i}", "en", "hot", 1) for i in range(3000)] + [(7, f"u{i}", "en", "s", 1) for i in range(3000)]
+    got = sharding.interleave(table(spark, rows), 8, group_rows=100).toPandas()
+    assert (got.groupby("shard").size() == 1250).all()
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(1250)) and abs((own["source"] == "hot").sum() - 875) <= 2
+    keys = table(spark, rows).select(sharding.seeded(7, F.lit("=hot"), F.col("doc_id"), F.crc32(F.col("text").cast("binary")))).distinct().count()
+    assert keys == 6001
+
+
 # Line dedup
 
 
@@ -98,6 +112,9 @@ def test_rules_match_the_sql(spark, sf):
 def test_line_rules():
     good = "A sentence of some length that ends as it should."
     assert [quality_rules.line_fails(x) for x in (good, "Home | About | Contact", "Short heading", "buy### now*** cheap$$$ pills&&&", "We use cookies to improve this site.", "one long line without any mark at its end that goes on for more than ten words")] == [None, "navigation", "punctuation", "punctuation", "boilerplate", None]
+    foreign = ("Datenschutzerklärung und Impressum finden Sie hier.", "Mentions légales et politique de confidentialité.", "Todos los derechos reservados por el autor.", "© 1999 by whoever wrote it.", "https://a.b/c www.d.e")
+    assert [quality_rules.line_fails(x) for x in foreign] == ["boilerplate"] * 4 + ["navigation"]
+    assert quality_rules.line_fails("The page at www.example.com tells more about all of it.") is None
     text = "\n".join(["Home | About | Contact", good, "Another one, quite unlike the first, says something else.", "The third adds a few words so that there are enough of them."])
     *_, kept, removed, lost, cleaned = quality_rules.judge(text)
     assert kept and removed == 1 and lost == 5 and "Home" not in cleaned
@@ -134,48 +151,141 @@ def test_model_finds_pairs():
     assert (1, 0) in model.pairs
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.85
     assert quality_classifier.fit(x[:0], y[:0]).score(x).tolist() == [0.5] * 4000
+    for row, got in zip(x[:200], model.score(x[:200]), strict=True):  # by a loop over the tables
+        odds = model.base + sum(t[sum(e <= v for e in edges)] for t, edges, v in zip(model.tables, model.edges, row, strict=True))
+        odds += sum(t[sum(e <= row[i] for e in model.coarse[i]), sum(e <= row[j] for e in model.coarse[j])] for t, (i, j) in zip(model.pair_tables, model.pairs, strict=True))
+        assert got == pytest.approx(1 / (1 + np.exp(-odds)))
+
+
+def test_the_first_split_by_brute_force():
+    """One round of one feature: the cut of two leaves and their values, against all cuts."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        g, h = rng.normal(size=8), rng.uniform(0.1, 1, 8)
+        value = lambda a, b: g[a:b].sum() / (h[a:b].sum() + 1)
+        gains = [sum(value(a, b) ** 2 * (h[a:b].sum() + 1) for a, b in ((0, k), (k, 8))) for k in range(1, 8)]
+        k = int(np.argmax(gains)) + 1
+        assert quality_classifier._tree(g, h, 1.0, leaves=2) == pytest.approx([value(0, k)] * k + [value(k, 8)] * (8 - k))
+
+
+def test_repeated_ids_train_alike(spark):
+    docs = [(i, f"some words of text {i} " * (1 + i % 5)) for i in range(60)] + [(i, "other text under the same id! " * 3) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    a, b = (quality_classifier.quality_scores(table(spark, rows).repartition(n), labels).toPandas().sort_values(["id", "score"])["score"].tolist() for rows, n in ((docs, 2), (docs[::-1], 5)))
+    assert a == b
 
 
 # Decontamination
 
 
-def brute_leaks(docs, items):
-    """Overlaps over all shifts, without seeds."""
-    found = set()
+def brute_leaks(docs, items, least=decontamination.LEAST_ITEM):
+    """Overlaps over all shifts, without seeds, in plain Python: (doc, item, place, place in the item, words, equal words)."""
+
+    def stretches(equal, need):
+        best = (0, 0, 0)
+        for b in range(1, len(equal) + 1):
+            for a in range(b - 1, -1, -1):
+                score = sum(1 if e else -decontamination.DIFFERENCE for e in equal[a:b])
+                if score > best[0]:
+                    best = (score, a, b)
+        _, a, b = best
+        if not best[0]:
+            return []
+        here = [(a, b, sum(equal[a:b]))] if sum(equal[a:b]) >= need else []
+        return here + stretches(equal[:a], need) + [(x + b, y + b, n) for x, y, n in stretches(equal[b:], need)]
+
+    import regex
+
+    plain = lambda t: regex.findall(r"[^\s\p{P}\p{S}]+", (t or "").lower())
+    out = []
     for d, t in docs:
-        w = np.asarray(decontamination.plain_words(t or ""), object)
+        w = plain(t)
         for i, u in items:
-            v = np.asarray(decontamination.plain_words(u or ""), object)
-            for shift in range(-len(v) + 1, len(w)) if len(v) >= decontamination.LEAST_ITEM else ():
-                equal = w[max(0, shift) : shift + len(v)] == v[max(0, -shift) : max(0, -shift) + len(w[max(0, shift) : shift + len(v)])]
-                runs = np.concatenate([[0], np.cumsum(np.where(equal, 1, -decontamination.DIFFERENCE))])
-                gains = runs[None, :] - runs[:, None]
-                a, b = np.unravel_index(np.argmax(np.triu(gains)), gains.shape)
-                if equal[a:b].sum() >= min(decontamination.LEAST_EQUAL, len(v)):
-                    found.add((d, i))
-    return found
-
-
-def test_leaks(spark):
+            v, found = plain(u), []
+            if len(v) < least:
+                continue
+            need = min(decontamination.LEAST_EQUAL, len(v))
+            for shift in range(-len(v) + 1, len(w)):
+                equal = [0 <= shift + k < len(w) and w[shift + k] == v[k] for k in range(len(v))]
+                if sum(equal) >= need:
+                    found += [(-n, shift + a, a, b - a) for a, b, n in stretches(equal, need)]
+            taken = set()
+            for n, at, own, size in sorted(found):
+                if not taken & set(range(at, at + size)):
+                    taken |= set(range(at, at + size))
+                    out.append((d, i, at, own, size, -n))
+    return sorted(out, key=str)
+
+
+def leaks_of(spark, docs, items, **how):
+    return sorted((tuple(r) for r in decontamination.leaks(clash(table(spark, docs)), spark.createDataFrame(items, "item_id long, text string"), **how).collect()), key=str)
+
+
+SENT = pytest.mark.parametrize("how", [{}, {"sent_words": 0}], ids=["sent", "joined"])
+
+
+@SENT
+def test_leaks(spark, how):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(3000)]
     speak = lambda n: list(rng.choice(vocabulary, n))
-    items = [(i, " ".join(speak(n))) for i, n in enumerate([30, 30, 30, 9, 8, 7, 13, 40])] + [(8, None), (9, ""), (0, "again the same id with other words " * 3)]
-    docs = [(i, " ".join(speak(200))) for i in range(20)]
+    items = [(i, " ".join(speak(n))) for i, n in enumerate([30, 30, 30, 9, 8, 7, 13, 40])] + [(8, None), (9, ""), (0, "again the same id with other words " * 3), (10, "one two three four five six seven eight")]
+    docs = [(i, " ".join(speak(60))) for i in range(12)]
     for k in (0, 3, 4, 5, 6):
-        docs.append((100 + k, " ".join(speak(50)) + f" {items[k][1].upper()}, " + " ".join(speak(50))))
+        docs.append((100 + k, " ".join(speak(50)) + f" {items[k][1].upper()}, " + " ".join(speak(20))))
     changed = items[1][1].split()
     for at in (6, 13, 20, 27):
         changed[at] = "OTHER"
-    docs += [(200, " ".join(speak(30) + changed)), (201, " ".join(items[2][1].split()[:14])), (202, " ".join(items[2][1].split()[:9])), *ODD]
-    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(clash(table(spark, docs)), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(got) == {(100, 0), (103, 3), (104, 4), (106, 6), (200, 1), (201, 2)} == brute_leaks(docs[:28], items[:8])
-    assert (got[100, 0]["doc_start"], got[100, 0]["n_equal"], got[200, 1]["n_words"], got[200, 1]["n_equal"]) == (50, 30, 27, 24)
-    small = decontamination.leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_words=40)
-    assert {(r["doc_id"], r["item_id"]) for r in small.collect()} == set(got)
-    left = decontamination.without_leaks(clash(table(spark, docs)), spark.createDataFrame(items, "item_id long, text string"))
-    assert Counter(r["doc_id"] for r in left.collect()) == Counter(d for d, _ in docs if d not in {x for x, _ in got})
-    assert decontamination.leaks(table(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    docs += [(200, " ".join(speak(30) + changed)), (201, " ".join(items[2][1].split()[:14])), (202, " ".join(items[2][1].split()[:9])), *ODD[:-1]]
+    got = leaks_of(spark, docs, items, **how)
+    assert got == brute_leaks(docs, items)
+    assert {(d, i) for d, i, *_ in got} == {(100, 0), (103, 3), (104, 4), (106, 6), (200, 1), (201, 2), (4, 10), (5, 10)}
+    assert leaks_of(spark, docs, items, least_item=1, **how) == brute_leaks(docs, items, 1)
+    assert {r["id"]: r["n_words"] for r in decontamination.skipped_items(spark.createDataFrame(items, "item_id long, text string")).collect()} == {5: 7, 8: 0, 9: 0}
+    left = decontamination.without_leaks(clash(table(spark, docs)), spark.createDataFrame(items, "item_id long, text string"), **how)
+    assert left.columns == clash(table(spark, [])).columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter((d, t) for d, t in docs if not brute_leaks([(d, t)], items))
+    assert leaks_of(spark, [], [], **how) == leaks_of(spark, docs, [], **how) == leaks_of(spark, [], items, **how) == []
+
+
+@SENT
+def test_leaks_that_come_again_and_tie(spark, how):
+    rng = np.random.default_rng(4)
+    speak = lambda n, size=3: list(rng.choice([f"v{i}" for i in range(size)], n))
+    item = [f"u{i}" for i in range(40)]
+    docs = [(1, " ".join(item[2:17] + speak(40, 900) + item[20:36] + speak(5, 900) + item[20:36])), (2, " ".join(item[:15] + speak(8, 900) + item[23:40])), (3, " ".join("one two " * 40)), (3, " ".join(speak(60)))]
+    docs += [(10 + k, " ".join(speak(50))) for k in range(6)] + [(30, "She said: “quick” brown fox’s tail — it jumps «over» the lazy dog; again…")]
+    items = [(0, " ".join(item)), (1, "one two " * 10), (2, " ".join(speak(30))), (3, " ".join(speak(20))), (4, "she said \"quick\" brown fox's tail: it jumps over the lazy dog again"), (5, "one two one two one two three")]
+    got = leaks_of(spark, docs, items, **how)
+    assert got == brute_leaks(docs, items)
+    assert [x[2:] for x in got if x[:2] == (1, 0)] == [(0, 2, 15, 15), (55, 20, 16, 16), (76, 20, 16, 16)] and [x[1] for x in got if x[0] == 30] == [4]
+
+
+def test_leaks_of_changed_words():
+    """Each passage of an item with some words changed is found, against a search along all shifts."""
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, 30))) for i in range(40)]
+    block, found, all_ = decontamination.TestItems(items), 0, 0
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for i, t in items:
+            words = [w if rng.random() > share else "other" for w in t.split()]
+            want = brute_leaks([(0, " ".join(words))], [(i, t)])
+            got = [x for x in block.overlaps(words_of_text(" ".join(words))) if x[0] == i]
+            all_, found = all_ + len(want), found + len({x[1:] for x in got} & {x[2:] for x in want})
+    assert all_ > 100 and found >= 0.99 * all_
+
+
+def words_of_text(text):
+    return words.hashes.of(decontamination.plain_words(text))
+
+
+def test_a_text_of_one_word():
+    import time
+
+    block, began = decontamination.TestItems([(i, "again " * 100) for i in range(5)]), time.process_time()
+    got = block.overlaps(words_of_text("again " * 60_000))
+    assert len(got) == 5 * 600 and all(x[3:] == (100, 100) for x in got)
+    assert time.process_time() - began < 60
 
 
 # URL filter
@@ -199,6 +309,54 @@ def test_urls_by_brute_force(spark):
     assert url_filter.judged(frame.limit(0)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc", min_size=1, max_size=9), st.dictionaries(st.text("abc", min_size=1, max_size=4), st.integers(1, 50), max_size=12))
+def test_splits_by_brute_force(name, counts):
+    import math
+
+    total = sum(counts.values()) + 2
+    cost = lambda words: sum(math.log(total / counts[w]) if w in counts else math.log(total) + 2.5 * len(w) + 1 for w in words)
+
+    def ways(rest):
+        return [[]] if not rest else [[rest[:k], *more] for k in range(1, len(rest) + 1) for more in ways(rest[k:])]
+
+    got = url_filter.best_split(name, counts, total)
+    assert "".join(got) == name and cost(got) == pytest.approx(min(map(cost, ways(name))))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Naive Bayes over the words that the operator reports, counted in plain Python."""
+    import math
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    urls = {r["page_id"]: r["url"] for r in pages.select("page_id", "url").collect()}
+    rows = url_filter.judged(pages).collect()
+    tokens = lambda r: ["h:" + w for w in r["host_words"]] + ["p:" + w for w in re.findall(r"[^\W\d_]+|0", re.sub("[0-9]+", "/0/", r["path"].lower()))]
+    seen, priors = {v: Counter() for v in ("allow", "block")}, Counter()
+    for r in rows:
+        if r["rule"] is not None:
+            priors[r["verdict"]] += 1
+            seen[r["verdict"]].update(tokens(r))
+    words = set(seen["allow"]) | set(seen["block"])
+    chance = lambda w, v: math.log((seen[v][w] + 1) / (seen[v].total() + len(words)))
+    rest = [r for r in rows if r["rule"] is None]
+    assert len(rest) > 50 and priors["allow"] and priors["block"] and len(urls) == len(rows)
+    for r in rest:
+        odds = math.log((priors["allow"] + 1) / (priors["block"] + 1)) + sum(chance(w, "allow") - chance(w, "block") for w in tokens(r) if w in words)
+        assert r["log_odds"] == pytest.approx(odds) and r["verdict"] == ("allow" if odds >= 0 else "block")
+
+
+def test_a_very_long_host(spark):
+    import time
+
+    rows = [(1, "http://" + "cheappills" * 10_000 + ".example/x", "cheap pills"), (2, "http://cheappills.io/", "cheap pills pills"), (3, "http://" + "x" * 100_000, "")]
+    began = time.time()
+    got = {r["id"]: r["host_words"] for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ["cheap", "pills"] * 10_000 and got[2] == ["cheap", "pills"] and got[3] == []
+    assert time.time() - began < 120
+
+
 # Near duplicates
 
 
