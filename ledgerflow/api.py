@@ -70,7 +70,7 @@ def extract_pages(captured: DataFrame, pages: str = "auto", policy: str = "revie
     frame = snapshots.pages(captured)
     lines = text.page_lines(frame)
     if pages == "auto":
-        found = plans.automatic_plan(frame.withColumn("unreadable", (F.trim(F.coalesce("text", F.lit(""))) == "") & (F.coalesce("n_images", F.lit(0)) > 0)))
+        found = plans.automatic_plan(frame.withColumn("unreadable", (F.trim(F.coalesce("text", F.lit(""))) == "") & ((F.coalesce("n_images", F.lit(0)) > 0) | (F.coalesce("n_curves", F.lit(0)) > 10))))
         plan = found.withColumn("suggested", F.col("selected"))
     else:
         spec = text.page_counts(frame).withColumn("spec", F.lit(pages))

@@ -15,7 +15,7 @@ from ledgerflow.functions import lines as L
 from ledgerflow.functions.text import normalize
 from ledgerflow.functions.tokens import parse
 from ledgerflow.operators.sections import best_runs, heading_type
-from ledgerflow.plans.pages import BOUNDARY
+from ledgerflow.functions.fixed_values import PAGE_PATTERNS
 
 SUFFIXES = (".html", ".htm", ".xhtml")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -163,7 +163,7 @@ def read(content: bytes | str) -> dict:
         for n in [n for n in earlier if n.name != "table"][: -MOST_BACK - 1 : -1]:
             text = "" if id(n) in with_table else n.text()
             if text and len(text) <= MOST_CAPTION:
-                if re.search(BOUNDARY, text):
+                if re.search(PAGE_PATTERNS["boundary"], text):
                     kind, heading = "__supporting__", text
                     break
                 if own := L.heading_type(text):
@@ -235,7 +235,7 @@ def classify(tables: DataFrame) -> DataFrame:
     own = F.get(F.filter(F.transform(F.slice("lines", 1, 25), lambda x: F.struct(heading_type(x).alias("kind"), x.alias("title"))), lambda x: x["kind"].isNotNull() & (F.length(x["title"]) <= MOST_CAPTION)), F.lit(0))
     has = lambda *w: F.lit(True) if not w else low.contains(w[0]) & has(*w[1:])
     schedule = ~head.contains("valuation techniques") & ~head.contains("unobservable inputs") & (head.contains("fair value") | (head.contains("cost") & head.contains("value"))) & head.rlike("investment|portfolio|security|cash equivalents") & head.rlike("percentage of net assets|% of net assets|cost")
-    supporting = (kind == "__supporting__") | F.exists(F.slice("lines", 1, 3), lambda x: normalize(x).rlike(BOUNDARY))
+    supporting = (kind == "__supporting__") | F.exists(F.slice("lines", 1, 3), lambda x: normalize(x).rlike(PAGE_PATTERNS["boundary"]))
     cascade = (
         F.when(own.isNotNull(), F.struct(own["kind"].alias("kind"), own["title"].alias("title")))
         .when(has("total assets", "total liabilities"), F.struct(F.lit("BalanceSheet").alias("kind"), F.lit("Consolidated Statements of Assets and Liabilities").alias("title")))
