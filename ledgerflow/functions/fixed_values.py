@@ -260,3 +260,49 @@ PAGE_EVIDENCE = {
     "none": "No statement evidence",
     "outside": "; outside the best-supported statement section",
 }
+
+# Lines of titles, column heads and page furniture, in lower case.
+_DAY = r"(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+(?:19|20)\d{2}"
+FURNITURE_LINES = (
+    r"years? ended|months ended|quarters? ended|period ended",
+    r"^as of |^https?://|sec\.gov/",
+    r"^(?:19|20)\d{2}(?:\s+(?:19|20)\d{2}){0,4}$",
+    rf"^{_DAY}$",
+    r"^(?:\(\s*note\s+\d+\s*\)\s*)+$",
+    r"^(?=\D*$)(?=.*fair value)(?=.*(?:cost|net assets))",
+    r"\bclass\s+[a-z0-9]+(?:-[a-z0-9]+)*\b.*\bclass\s+[a-z0-9]+",
+    r"\bunits\b.*\bunits\b.*total$",
+    r"in thousands|in millions|in billions|except per share|unaudited",
+)
+
+# Captions beside those of SECTION_HINTS, in capitals.
+CAPTION_LINES = (
+    r"^PER (?:COMMON )?SHARE DATA$",
+    r"^CASH FLOWS FROM (?:OPERATING|INVESTING|FINANCING) ACTIVITIES",
+    r"^CASH FLOWS .*ACTIVITIES$",
+    r"^LIABILITIES AND (?:STOCKHOLDERS|SHAREHOLDERS|PARTNERS)",
+    r"^CHANGES IN OPERATING ASSETS AND LIABILITIES",
+    r"^COMMITMENTS AND CONTINGENCIES",
+    r"^ADJUSTMENTS TO RECONCILE.*OPERATING ACTIVITIES",
+    r"^NET INCOME(?=.*PER COMMON SHARE).*SHAREHOLDER",
+    r"^TOTAL WEIGHTED AVERAGE COMMON SHARES.*OUTSTANDING",
+)
+
+# Lines at the top of a statement that are no company's name, in lower case.
+NO_COMPANY_LINES = (
+    r"^$|^table of contents$|sec\.gov/|^https?://",
+    r"^part\s+[ivx]+\.?\s+financial information$|^item\s+\d+[a-z]?\.?\s+financial statements$",
+    r"^\d{1,2}/\d{1,2}/\d{2,4}(?:,?\s+\d{1,2}:\d{2}\s+[ap]m)?\s+form\s+10-[kq]$",
+    r"in (?:millions|thousands|billions)",
+)
+
+# What a row of amounts alone totals, by context: the group it closes, its labels in turn, whether the last label comes again, the context after it.
+UNLABELLED_TOTALS = {
+    "CURRENT_ASSET": ("current assets", ("Total current assets",), True, "ASSET"),
+    "CURRENT_LIABILITY": ("current liabilities", ("Total current liabilities",), True, "LIABILITY"),
+    "ASSET": ("assets", ("Total assets",), False, "ASSET"),
+    "NONCURRENT_ASSET": ("assets", ("Total assets",), False, "ASSET"),
+    "LIABILITY": ("liabilities", ("Total liabilities",), False, "LIABILITY"),
+    "NONCURRENT_LIABILITY": ("liabilities", ("Total liabilities",), False, "LIABILITY"),
+    "EQUITY": ("equity", ("Total stockholders' equity", "Total liabilities and stockholders' equity"), False, "EQUITY"),
+}

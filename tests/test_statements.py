@@ -95,3 +95,16 @@ def test_row_splits():
     assert L.split_row("Total ($5)", 1) is None  # a line of text takes $ (5) only; a cell takes both
     assert L.split_values_first("100 90 Net income", 2) == ("Net income", ["100", "90"])
     assert L.amounts_left_in("Net income 5") and not L.amounts_left_in("Debt (Note 5)") and not L.amounts_left_in("Change since 2024")
+
+
+def test_units_of_lines():
+    from ledgerflow.operators.statements import Row, condensed
+
+    texts = ["Balance Sheets", "Current assets:", "Cash 5 4", "5 4", "7 6", "Liabilities and", "shareholders' equity:", "Loans due", "within a year 3 2", "some text", "ASSETS", "Goodwill", "1 2", "8 9"]
+    got = [(r.text, r.line, r.inferred) for r in condensed([Row(t, 1, k) for k, t in enumerate(texts)], 2, "BalanceSheet")]
+    assert got == [
+        ("Balance Sheets", 0, False), ("Current assets:", 1, False), ("Cash 5 4", 1, False), ("Total current assets 5 4", 3, True), ("Total assets 7 6", 4, True),
+        ("Liabilities and shareholders' equity:", 5, False), ("Loans due within a year 3 2", 5, False), ("some text", 9, False), ("ASSETS", 10, False), ("Goodwill 1 2", 11, False),
+    ]
+    many = [Row(t, 1, k) for k, t in enumerate(["Current assets:", "Cash 1 1", "1 1"] * 150)]
+    assert sum(r.text == "Total current assets 1 1" for r in condensed(many, 2, "BalanceSheet")) == 150
