@@ -141,21 +141,22 @@ _EQUITY = r"(?:(?:share|stock)holders[’']? )?equity"
 def section_sums(cells: DataFrame, sections: list[tuple[str, str, str]]) -> DataFrame:
     """name, heading and total label of each section: the sum between its heading row and its total row, in each column.
 
-    Both rows must be unique, at least one row stand between them, and every row there be data, no total, and numeric; else the sum is null.
+    Both rows must be unique, at least one row stand between them, and every row there be data, no total, and numeric; else the sum is null. A column's cells
+    come together once, whatever the number of sections; one grid bounds them.
     """
     by = ["doc_id", "table_id", "period_ord", "period"]
-    marked = cells
-    whole = Window.partitionBy(*by)
-    out = None
-    for name, heading, total in sections:
-        start, end = (F.col("kind") == "section") & F.col("key").rlike(f"^(?:{heading}):?$"), (F.col("kind") == "data") & F.col("key").rlike(f"^(?:{total})$")
-        one = lambda c: F.when(F.count_if(c).over(whole) == 1, F.max(F.when(c, F.col("row_index"))).over(whole))
-        own = marked.withColumn("_from", one(start)).withColumn("_to", one(end))
-        inside = (F.col("row_index") > F.col("_from")) & (F.col("row_index") < F.col("_to"))
-        bad = inside & ((F.col("kind") != "data") | F.col("key").startswith("total ") | F.col("value").isNull())
-        summed = own.groupBy(*by).agg(F.when((F.count_if(inside) > 0) & (F.count_if(bad) == 0), F.sum(F.when(inside, F.col("value")))).alias("expected"), unique_value(end, F.col("value")).alias("actual")).select(*by, F.lit(name).alias("name"), "actual", "expected")
-        out = summed if out is None else out.unionByName(summed)
-    return out
+    columns = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("row_index", "kind", "key", "value"))).alias("rows"))
+
+    def summed(name: str, heading: str, total: str) -> Column:
+        starts = F.filter("rows", lambda x: (x["kind"] == "section") & x["key"].rlike(f"^(?:{heading}):?$"))
+        ends = F.filter("rows", lambda x: (x["kind"] == "data") & x["key"].rlike(f"^(?:{total})$"))
+        start, end = (F.when(F.size(c) == 1, F.get(c, F.lit(0))) for c in (starts, ends))
+        inside = F.filter("rows", lambda x: (x["row_index"] > start["row_index"]) & (x["row_index"] < end["row_index"]))
+        bad = F.exists(inside, lambda x: (x["kind"] != "data") | x["key"].startswith("total ") | x["value"].isNull())
+        expected = F.when((F.size(inside) > 0) & ~bad, F.aggregate(inside, F.lit(0.0), lambda a, x: a + x["value"]))
+        return F.struct(F.lit(name).alias("name"), finite(end["value"]).alias("actual"), expected.alias("expected"))
+
+    return columns.select(*by, F.explode(F.array(*[summed(*s) for s in sections])).alias("x")).select(*by, "x.*")
 
 
 def corporate_balance_checks(grids: DataFrame) -> DataFrame:

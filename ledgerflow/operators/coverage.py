@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.text import numbers_in
-from ledgerflow.functions.tokens import parse, with_token
+from ledgerflow.functions.text import normalize, numbers_in
+from ledgerflow.functions.tokens import decimal_amount, parse, with_token
 
 
 def counted(rows: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
@@ -85,3 +85,9 @@ def normalized_cells(cells: DataFrame) -> DataFrame:
 def body_tokens(text: Column) -> Column:
     """Every sign and word of a body, for completeness: currency signs stand alone."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([$€£¥]|[^\s$€£¥]+)"), 1)
+
+
+def numeric_cells(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
+    """keys, n_numeric, n_text: the cells that are one number, and the others that aren't empty."""
+    number = decimal_amount(F.col(cell)).isNotNull()
+    return cells.groupBy(*keys).agg(F.count_if(number).alias("n_numeric"), F.count_if(~number & (normalize(F.col(cell)) != "")).alias("n_text"))

@@ -114,3 +114,10 @@ def latest_attempts(attempts: DataFrame) -> DataFrame:
 def uncovered_inputs(inputs: DataFrame, jobs: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Inputs that neither a job nor an exception covers."""
     return inputs.join(jobs.select("input"), "input", "left_anti").join(exceptions.select("input"), "input", "left_anti")
+
+
+def selected_runs(entries: DataFrame, scopes: list[str], limit: int | None = None) -> DataFrame:
+    """entries(run_id, scope, elapsed) of these scopes in the order to run them: by scope as listed, the longest first, then by name. limit: a batch of so many."""
+    rank = F.array_position(F.array(*map(F.lit, scopes)), F.col("scope"))
+    chosen = entries.filter(F.col("scope").isin(*scopes)).orderBy(rank, F.desc_nulls_last("elapsed"), "run_id")
+    return chosen if limit is None else chosen.limit(limit)

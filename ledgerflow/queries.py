@@ -371,9 +371,13 @@ def concept_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.map_concepts(rows, "raw").select("raw", "standard_item", "confidence")
 
 
-@query()
+@query("""
+SELECT p_partkey, left(label, k) || 'q' || substring(label, k + 2, 40) AS raw_item, 'Property, Plant and Equipment, Net' AS standard_item, CAST(CASE WHEN k = 20 THEN 1 WHEN k BETWEEN 9 AND 13 THEN 0.9 ELSE 0.79 END AS DOUBLE) AS confidence,
+  CASE WHEN k = 20 THEN 'exact_alias' WHEN k BETWEEN 9 AND 13 THEN 'token_subset_context' ELSE 'fuzzy' END AS rule
+FROM (SELECT p_partkey, p_partkey % 30 AS k, 'property plant and equipment net' AS label FROM part)
+""")
 def concept_map_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelt labels: no SQL computes this ratio. tests/test_mapping.py holds it against the single-label mapper."""
+    """Labels with one letter wrong: fuzzy, unless that letter is in `plant`, which another alias lacks, or is right. tests/test_mapping.py holds other ratios against the single-label mapper."""
     k = F.col("p_partkey").cast("int")
     label = F.lit("property plant and equipment net")
     raw = F.concat(F.substring(label, F.lit(1), k % 30), F.lit("q"), F.substring(label, k % 30 + 2, F.lit(40)))
@@ -545,14 +549,30 @@ def verified_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 # HTML
 
 
-@query()
+@query("""
+SELECT page_id AS doc_id, CAST(len(regexp_extract_all(coalesce(html, ''), '(?i)<table[ >]')) AS BIGINT) AS "tables", CAST(len(regexp_extract_all(coalesce(html, ''), '(?i)<ix:')) AS INTEGER) AS facts, CAST(NULL AS VARCHAR) AS error FROM pages
+""")
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page through the HTML reader: leaf tables and facts (the driver's pages hold none). tests/test_html.py has filings with tables."""
+    """Every page through the HTML reader: leaf tables and facts. tests/test_html.py has filings with nested tables and facts."""
     tables = html.parsed(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content")))
     return tables.groupBy("doc_id").agg(F.count_if(F.col("table_index") > 0).alias("tables"), F.max(F.size("facts")).alias("facts"), F.max("error").alias("error"))
 
 
-@query()
+@query("""
+WITH v AS (
+  SELECT c_nationkey AS doc, coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)) FILTER (year(o_orderdate) = 1998), 0) AS a, coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)) FILTER (year(o_orderdate) = 1997), 0) AS b
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey
+), r AS (
+  SELECT doc, unnest([
+    {'i': 4, 'raw': 'Net income', 'item': 'Net Income (Loss)', 'x': a, 'y': b},
+    {'i': 5, 'raw': 'Net increase in cash and cash equivalents', 'item': 'Net Increase (Decrease) in Cash and Cash Equivalents', 'x': a, 'y': b},
+    {'i': 6, 'raw': 'Cash and cash equivalents at beginning of period', 'item': 'Cash and Cash Equivalents at Beginning of Period', 'x': b, 'y': a},
+    {'i': 7, 'raw': 'Cash and cash equivalents at end of period', 'item': 'Cash and Cash Equivalents at End of Period', 'x': a + b, 'y': a + b}]) AS r FROM v
+)
+SELECT CAST(doc AS VARCHAR) AS doc_id, 'CashFlowStatement' AS statement_type, CAST(r.i AS INTEGER) AS row_index, r.raw AS raw_item, r.item AS standard_item, 'exact_alias' AS mapping_rule,
+  period, CAST(CASE period WHEN '1998' THEN r.x ELSE r.y END AS DOUBLE) AS parsed_value, 'NUMERIC' AS parse_status
+FROM r CROSS JOIN (VALUES ('1998'), ('1997')) p(period)
+""")
 def statement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings made of nations and years, as text, through sections, condenser, row split, tokens and mapping. tests/test_statements.py has the fixtures' results."""
     facts = _facts(spark, sf_dir)
@@ -615,20 +635,120 @@ def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.lines_of_words(words).select("page", "line", "text")
 
 
-@query()
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CAST(page AS INTEGER) AS page, CASE WHEN c_custkey % 3 = 1 AND page = 3 THEN 'blank' ELSE role END AS role,
+  CASE WHEN c_custkey % 3 = 1 AND page = 3 THEN 'CashFlowStatement' ELSE kind END AS statement_type, kind <> '' AND NOT (c_custkey % 3 = 1 AND page = 3) AS selected, false AS review_required
+FROM customer CROSS JOIN (VALUES (1, 'excluded', ''), (2, 'data', 'BalanceSheet'), (3, 'data', 'IncomeStatement'), (4, 'data', 'CashFlowStatement'), (5, 'supporting', '')) p(page, role, kind)
+""")
 def automatic_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings of five pages for each nation through the planner's state machine. tests/test_pages.py has cases with their results."""
-    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), "n_name")
-    texts = F.array(F.col("n_name"), F.concat(F.lit("Balance Sheets\nTotal assets 10 9\nTotal liabilities 4 "), F.col("doc_id")), F.lit("Statements of Operations\nRevenue 10 9\nNet income 5 4"), F.lit("Statements of Cash Flows\nNet income 5 4\nCash at end 3 2"), F.lit("Notes to Financial Statements\nNote 1. Organization"))
+    """A filing of five pages for each customer, every third with an empty page among its statements. tests/test_pages.py has further cases with their results."""
+    n = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_name").alias("n_name"), (F.col("c_custkey") % 3 == 1).alias("gap"))
+    texts = F.array(F.col("n_name"), F.concat(F.lit("Balance Sheets\nTotal assets 10 9\nTotal liabilities 4 "), F.col("doc_id")), F.when(F.col("gap"), "").otherwise("Statements of Operations\nRevenue 10 9\nNet income 5 4"), F.lit("Statements of Cash Flows\nNet income 5 4\nCash at end 3 2"), F.lit("Notes to Financial Statements\nNote 1. Organization"))
     pages = n.select("doc_id", F.posexplode(texts).alias("_p", "text")).select("doc_id", (F.col("_p") + 1).alias("page"), "text")
     return plans.automatic_plan(pages).select("doc_id", "page", "role", "statement_type", "selected", "review_required")
 
 
-@query()
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CAST(7 AS INTEGER) AS n_rows, CAST(2 AS INTEGER) AS n_tables, CAST(NULL AS VARCHAR) AS conflict FROM supplier
+""")
 def schedule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two candidates for each region that repeat rows at one place. tests/test_grids.py has cases with their results."""
-    r = _read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("doc_id"), F.lit(1).alias("source_page"), F.lit("stream").alias("flavor"), F.explode(F.array(F.lit(0), F.lit(1))).alias("source_order"), "r_name")
+    """Two candidates for each supplier that repeat three of five rows at one place. tests/test_grids.py has cases with their results."""
+    r = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.col("s_name").alias("r_name"), F.lit(1).alias("source_page"), F.lit("stream").alias("flavor"), F.explode(F.array(F.lit(0), F.lit(1))).alias("source_order"))
     rows = F.transform(F.sequence(F.col("source_order") * 2, F.col("source_order") * 2 + 4), lambda i: F.array(F.concat("r_name", i.cast("string")), i.cast("string")))
     bounds = F.transform(F.sequence(F.col("source_order") * 2, F.col("source_order") * 2 + 4), lambda i: F.array((F.lit(500) - i * 12).cast("double"), (F.lit(490) - i * 12).cast("double")))
     columns = F.array(F.array(F.lit(0.0), F.lit(50.0)), F.array(F.lit(50.0), F.lit(90.0)))
     return grids.merged_schedules(r.select("doc_id", "source_page", "flavor", F.concat(F.lit("t"), F.col("source_order").cast("string")).alias("table_id"), "source_order", rows.alias("rows"), bounds.alias("row_bounds"), columns.alias("column_bounds"))).select("doc_id", F.size("rows").alias("n_rows"), F.size("table_ids").alias("n_tables"), "conflict")
+
+
+# Runs
+
+
+@query("""
+SELECT o_custkey AS run_id, max(o_orderkey) AS attempt FROM orders GROUP BY o_custkey HAVING max(o_orderkey) % 3 <> 0
+""")
+def latest_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is an attempt of its customer's run; every third has no receipt and masks those before it."""
+    k = F.col("o_orderkey")
+    return diff.latest_attempts(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), k.alias("attempt"), F.when(k % 3 != 0, "receipt").alias("receipt"))).select("run_id", "attempt")
+
+
+@query("""
+SELECT o_orderkey AS input FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND o_orderstatus <> 'P'
+""")
+def uncovered_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that neither a returned line (job) nor a status P (exception) covers."""
+    orders, key = _read(spark, sf_dir, "orders"), F.col("o_orderkey").alias("input")
+    return diff.uncovered_inputs(orders.select(key), _read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("input")), orders.filter("o_orderstatus = 'P'").select(key))
+
+
+@query("""
+SELECT user_id AS run_id, CAST(coalesce(max(CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END END), 0) AS INTEGER) AS exit_code FROM events GROUP BY user_id
+""")
+def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return diff.exit_code(_read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.when(e % 3 == 0, "ACCEPTED").otherwise("OPEN").alias("state"), F.when(e % 7 == 0, 3).otherwise(2).alias("severity")))
+
+
+@query("""
+SELECT c_custkey AS run_id, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 2 END, c_acctbal DESC, c_custkey) AS place FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+ORDER BY place LIMIT 100
+""")
+def selected_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of 100 runs (the batch is the feature): two segments, the highest balances first."""
+    runs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("scope"), F.col("c_acctbal").alias("elapsed"))
+    batch = diff.selected_runs(runs, ["BUILDING", "MACHINERY"], 100)
+    place = F.row_number().over(Window.orderBy(F.when(F.col("scope") == "BUILDING", 1).otherwise(2), F.desc("elapsed"), "run_id"))  # a batch is small
+    return batch.select("run_id", place.cast("long").alias("place"))
+
+
+# More audits
+
+
+@query("""
+SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderpriority = '1-URGENT') = 0 THEN CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) END AS total FROM orders GROUP BY o_custkey
+""")
+def null_strict_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("o_orderpriority") != "1-URGENT", F.floor("o_totalprice").cast("long"))
+    return _read(spark, sf_dir, "orders").withColumn("v", v).groupBy("o_custkey").agg(audits.strict_sum(F.col("v")).alias("total"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, CAST(floor(abs(c_acctbal)) AS BIGINT) + 10 AS v FROM customer)
+SELECT CAST(k AS VARCHAR) AS doc_id, 'Assets = liabilities + net assets' AS "Check", CASE k % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' ELSE 'NOT_TESTED' END AS "Status" FROM c
+UNION ALL SELECT CAST(k AS VARCHAR), 'Assets = reported liabilities and net assets', 'PASS' FROM c
+""")
+def fund_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fund for each customer: net assets fit, are off by 5, or stand there twice."""
+    k, v = F.col("c_custkey"), F.floor(F.abs("c_acctbal")).cast("long") + 10
+    show = lambda c: c.cast("string")
+    net = F.array(F.lit("Total net assets"), show(v - 4 + F.when(k % 3 == 1, 5).otherwise(0)))
+    rows = F.array(F.array(F.lit("Total assets"), show(v)), F.array(F.lit("Total liabilities"), F.lit("4")), net, F.when(k % 3 == 2, net).otherwise(F.array(F.lit("Other"), F.lit("1"))), F.array(F.lit("Total liabilities and net assets"), show(v)))
+    grid = _read(spark, sf_dir, "customer").select(show(k).alias("doc_id"), F.lit("t").alias("table_id"), rows.alias("rows"), F.transform(rows, lambda r: F.lit("data")).alias("row_kinds"), F.array(F.lit("2026")).alias("period_labels"))
+    return audits.fund_balance_checks(grid).select("doc_id", "Check", "Status")
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, 'Cash beginning + change + FX = ending' AS "Check", CASE WHEN s_suppkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS "Status" FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'Cash reconciliation components', 'PASS' FROM supplier
+""")
+def cash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year's cash and its parts at a date for each supplier; every second ending is off by 5."""
+    k, v = F.col("s_suppkey"), F.floor(F.abs("s_acctbal")).cast("long")
+    show = lambda c: c.cast("string")
+    year = F.array(F.array(F.lit("Cash at beginning of year"), F.lit("100")), F.array(F.lit("Net increase in cash"), show(v)), F.array(F.lit("Effect of exchange rates on cash"), F.lit("—")), F.array(F.lit("Cash at end of year"), show(v + 100 + k % 2 * 5)))
+    date = F.array(F.array(F.lit("Cash and cash equivalents"), show(v)), F.array(F.lit("Restricted cash"), F.lit("7")), F.array(F.lit("Total cash and restricted cash"), show(v + 7)))
+    grid = lambda name, rows, period: _read(spark, sf_dir, "supplier").select(show(k).alias("doc_id"), F.lit(name).alias("table_id"), rows.alias("rows"), F.transform(rows, lambda r: F.lit("data")).alias("row_kinds"), F.array(F.lit(period)).alias("period_labels"))
+    return audits.cash_grid_checks(grid("a", year, "Year Ended December 31, 2026").unionByName(grid("b", date, "December 31, 2026"))).select("doc_id", "Check", "Status")
+
+
+@query("""
+SELECT l_orderkey, count(*) FILTER (l_linenumber % 4 <> 3) AS n_numeric, count(*) FILTER (l_linenumber % 4 = 3) AS n_text,
+  CAST(sum(CASE l_linenumber % 4 WHEN 0 THEN -l_extendedprice WHEN 1 THEN l_extendedprice WHEN 2 THEN l_extendedprice END) * 100 AS BIGINT) AS cents FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18, 2)) AS l_extendedprice FROM lineitem) GROUP BY l_orderkey
+""")
+def decimal_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as cells in four renderings: exact amounts, and the cells that are one number."""
+    price, k = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_linenumber") % 4
+    cell = F.when(k == 0, F.concat(F.lit("$ ("), price, F.lit(")"))).when(k == 1, F.concat(F.lit("$"), price)).when(k == 2, price).otherwise(F.concat(F.lit("about "), price))
+    cells = _read(spark, sf_dir, "lineitem").select("l_orderkey", cell.alias("cell"))
+    sums = cells.groupBy("l_orderkey").agg((F.sum(tokens.decimal_amount(F.col("cell"))) * 100).cast("long").alias("cents"))
+    return coverage.numeric_cells(cells, ["l_orderkey"]).join(sums, "l_orderkey")
