@@ -29,7 +29,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         sinks.parquet(result.values, f"{target}/values", "statement_type")
         sinks.parquet(result.checks, f"{target}/checks")
         if given.workbooks:
-            sinks.parquet(sinks.workbooks(result.values, result.checks), f"{target}/workbooks")
+            sinks.parquet(sinks.workbooks(result.values, result.checks, result.grids), f"{target}/workbooks")
     except ValueError as bad:
         print(f"error: {bad}", file=sys.stderr)
         return 2

@@ -92,3 +92,29 @@ def test_streaming(spark, tmp_path):
     stream = watch_html(spark, str(source), str(tmp_path / "out"), str(tmp_path / "check"))
     stream.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out" / "values")).count() == 4
+
+
+def test_workbooks_read_back(spark):
+    values = spark.createDataFrame(
+        [("d", "BalanceSheet", 1, "Cash", "Cash", p, v, n, k, False) for p, v, n, k in (("2026", "5.25", 5.25, 2), ("2025", "4", 4.0, 0))] + [("d", "BalanceSheet", 2, "Total assets", "Total Assets", "2026", "=9", 9.0, 0, False), ("d", "BalanceSheet", 3, "Rate", "Rate", "2026", "7%", 7.0, 0, True), ("d", "BalanceSheet", 4, "Other", "Other", "2025", "—", None, None, False)],
+        "doc_id string, statement_type string, row_index int, raw_item string, standard_item string, period string, raw_value string, parsed_value double, precision int, is_percent boolean",
+    )
+    checks = spark.createDataFrame([("d", 2, "c", "s", "WARN", None), ("e", 1, "c", "s", "FAIL", "no rows")], "doc_id string, severity int, Check string, Scope string, Status string, Detail string")
+    grids = spark.createDataFrame([("d", "StockholdersEquityStatement", "T2", [["Opening", "1"], ["Closing", "2"]], ["Common"], None, [(0, 2, "Year 2026")]), ("d", "BalanceSheet", "T1", [["Head", "", ""], ["a", "b", "c"]], None, [(0, 0, 1, 3), (0, 1, 1, 2)], None)], f"doc_id string, statement_type string, table_id string, rows array<array<string>>, labels array<string>, spans {sinks._GRID}, sections array<struct<start: int, end: int, caption: string>>")
+    made = sinks.workbooks(values, checks, grids)
+    book = made.collect()
+    assert [r["doc_id"] for r in book] == ["d"]
+    sheets = sinks.read_workbook(bytes(book[0]["content"]))
+    assert list(sheets) == ["BalanceSheet", "T1 BalanceSheet", "T2 StockholdersEquityStatement", "Review"]
+    assert sheets["BalanceSheet"] == [["Item", "Standard item", "2026", "2025"], ["Cash", "Cash", 5.25, 4.0], ["Total assets", "Total Assets", 9.0], ["Rate", "Rate", 7.0], ["Other", "Other", None, "—"]]
+    assert sheets["T2 StockholdersEquityStatement"][:4] == [["Year 2026"], ["", "Common"], ["Opening", "1"], ["Closing", "2"]]
+    with zipfile.ZipFile(io.BytesIO(bytes(book[0]["content"]))) as z:
+        assert z.read("xl/worksheets/sheet2.xml").decode().count("<mergeCell ") == 1
+        assert f's="{sinks.Number(1, 2).style}"' in z.read("xl/worksheets/sheet1.xml").decode() and f's="{sinks.Number(1, 0, False, True).style}"' in z.read("xl/worksheets/sheet1.xml").decode()
+    files = made.unionByName(spark.createDataFrame([("bad", bytearray(b"x")), ("none", None)], "doc_id string, content binary"))
+    cells = sinks.workbook_cells(files)
+    assert {r["doc_id"] for r in cells.filter("error IS NOT NULL").collect()} == {"bad", "none"}
+    got = sorted((r["raw_item"], r["period"], r["number"], r["text"]) for r in sinks.workbook_rows(cells).collect())
+    assert got == sorted([("Cash", "2026", 5.25, None), ("Cash", "2025", 4.0, None), ("Total assets", "2026", 9.0, None), ("Rate", "2026", 7.0, None), ("Other", "2025", None, "—")])
+    assert sinks.free_name(["A.xlsx", "a (2).xlsx"], "a.xlsx") == "a (3).xlsx" and sinks.free_name([], "a") == "a"
+    assert sinks.markdown(checks.filter("doc_id = 'e'"), 5).splitlines()[2:] == ["| e | 1 | c | s | FAIL | no rows |", "", "1 of 1 rows."]
