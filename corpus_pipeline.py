@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of documents that are still there, doesn't reject."""
+    """Documents that the classifier, trained on the labels of documents that are still there, doesn't reject. Null and empty texts, null ids and repeated rows are judged like others; without labels all stay."""
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
@@ -34,12 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item. Null and empty texts stay; each row is judged by its own text."""
     return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces in sequences of 4096."""
+    """The documents' token pieces in sequences of 4096. Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows."""
     return pack(docs)
 
 
