@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import heavy_keys, partitions, staged
+from ledgerflow.llm.shared import heavy_keys, partitions, spread, staged
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: The id that stands for a null one inside the operator: null ids are one document, after all others.
@@ -51,14 +51,16 @@ def repeated_lines(docs: DataFrame, least_chars: int = 10, id_column: str = "doc
 
 
 def keep_lines(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped. Texts aren't sorted: the bitmaps, which are small, are the hashed side of the join."""
+    """docs with kept_text, n_lines and n_dropped. Texts aren't sorted: the bitmaps, which are small, are the hashed side of the join. A row that is repeated
+    very often (null ids and texts, above all) is dealt over salts; rows are counted by id and hash of the text before texts are shuffled."""
     others = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text_column).alias("text"), F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_column).alias("text_hash"))
-    joined = own.join(bitmaps.hint("shuffle_hash"), ["id", "text_hash"], "left")
+    row = F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_column).alias("text_hash"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc"), F.col(text_column).alias("text"), row.alias("row"), F.monotonically_increasing_id().alias("at"))
+    joined = spread(own, bitmaps.select(F.struct("id", "text_hash").alias("row"), "n_dropped", "dropped"), "row", "at", "left", hashed=True)
     lines = text_lines(F.col("text"))
     kept = F.filter(lines, lambda line, i: F.coalesce(F.getbit(F.try_element_at(F.col("dropped"), F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))), F.lit(0)) == 0)
     text = F.when(F.col("n_dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return joined.select("row.*", text.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select("doc.*", text.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, least_chars: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

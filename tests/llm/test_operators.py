@@ -83,6 +83,15 @@ def test_odd_lines(spark, monkeypatch):
 # Quality rules
 
 
+def test_lines_of_a_row_that_is_repeated_very_often(spark):
+    rows = [(1, "a line of its own\nshared by many"), (9, "shared by many\nfirst seen in nine"), *[(2, "shared by many\nb")] * 3000, *[(None, None)] * 2500, *[(None, "first seen in nine\nc")] * 1200]
+    frame = table(spark, rows).repartition(8)
+    got = line_dedup.drop_repeated_lines(frame)
+    assert "_salt" in got._jdf.queryExecution().analyzed().toString()
+    counted = {(r["doc_id"], r["kept_text"], r["n_lines"], r["n_dropped"]): r["count"] for r in got.groupBy("doc_id", "kept_text", "n_lines", "n_dropped").count().collect()}
+    assert counted == {(1, rows[0][1], 2, 0): 1, (9, "first seen in nine", 2, 1): 1, (2, "b", 2, 1): 3000, (None, "", 1, 0): 2500, (None, "c", 2, 1): 1200}
+
+
 def test_base_rules_by_brute_force(spark):
     rows = [*[(i, t) for i, (_, t) in enumerate(ODD)], (50, "a b c d e f g h " * 6), (51, "q w e r t y u i o p a s d f g h j k l z x. " * 2), (52, "line one is here\nline one is here\n \n \nother")]
     got = {r["id"]: r for r in quality_rules.clean_lines(clash(table(spark, rows)).drop("id")).collect()}
