@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import new_folder, slices, staged, texts_of
+from ledgerflow.llm.shared import drop_at_end, new_folder, slices, staged, texts_of
 from ledgerflow.llm.token_ids import encoder
 
 
@@ -28,7 +28,8 @@ MANIFEST = "file string, first int, doc_ids array<long>"
 
 def write_flat_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 49_407, width: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One flat file of little-endian ids of `width` bytes for each input partition, an end id after each document; the manifest that is returned names
-    each file's documents in order. A task writes beside and renames at its end, so that a repeated task replaces its file as a whole.
+    each file's documents in order. A task writes beside and renames at its end, so that a repeated task replaces its file as a whole; a task that fails
+    takes its unfinished file away.
 
     Special tokens' own texts are encoded letter by letter: as ids they would be ends that no document has. Null and empty texts are the end id alone; an
     empty table gives no rows (and empty files).
@@ -40,15 +41,19 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49
         name, encode, end, first = f"ids-{TaskContext.get().partitionId():06d}.bin", encoder(tokenizer, literal=True), np.asarray([end_id], "<u4"), 0
         store.create_dir(root, recursive=True)
         beside = f"{root}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(beside) as out:
-            for batch in slices(batches, text_column):
-                for ids in encode(texts_of(batch, text_column)):
-                    ids = np.concatenate([np.frombuffer(ids, "<u4"), end])
-                    if ids.max() >= top:
-                        raise ValueError(f"an id needs more than {width} bytes")
-                    out.write(ids.astype(f"<u{width}").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int32()), pa.array([batch.column(id_column).to_pylist()], pa.list_(pa.int64()))], names=["file", "first", "doc_ids"])
-                first += batch.num_rows
+        try:
+            with store.open_output_stream(beside) as out:
+                for batch in slices(batches, text_column):
+                    for ids in encode(texts_of(batch, text_column)):
+                        ids = np.concatenate([np.frombuffer(ids, "<u4"), end])
+                        if ids.max() >= top:
+                            raise ValueError(f"an id needs more than {width} bytes")
+                        out.write(ids.astype(f"<u{width}").tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int32()), pa.array([batch.column(id_column).to_pylist()], pa.list_(pa.int64()))], names=["file", "first", "doc_ids"])
+                    first += batch.num_rows
+        except BaseException:  # a generator that is closed early, too
+            store.delete_file(beside)
+            raise
         store.move(beside, f"{root}/{name}")
 
     return staged(docs.select(id_column, text_column).mapInArrow(write, MANIFEST), "manifest")
@@ -97,6 +102,7 @@ def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as flat files of 16-bit ids, counted by a scan of those files; the manifest gives the scan's documents their ids back."""
     folder = new_folder(spark, "flat-ids")
     manifest = write_flat_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    drop_at_end(spark, folder)
     counted = document_counts(scan_blocks(spark, folder, 49_407))
     named = manifest.select("file", F.posexplode("doc_ids").alias("pos", "doc_id"), "first").select("file", (F.col("first") + F.col("pos")).cast("long").alias("nth"), "doc_id")
     return counted.join(named, ["file", "nth"], "left").select("doc_id", "file", "nth", "start", "n_tokens", "ended")

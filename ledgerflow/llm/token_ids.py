@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import new_folder, partitions, slices, texts_of
+from ledgerflow.llm.shared import drop_at_end, new_folder, partitions, slices, texts_of
 
 #: Parts of texts that an encoder remembers lately, and as many from before that it falls back to.
 MOST_PARTS = 400_000
@@ -239,4 +239,5 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def op2_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    drop_at_end(spark, folder)
     return read_documents(spark, folder)
