@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ledgerflow.llm import byte_bpe, decontamination, line_dedup, near_dup, packing, quality_classifier, quality_rules, sharding, token_counts, token_ids, url_filter
+from ledgerflow.llm import byte_bpe, clusters, decontamination, line_dedup, merkle, near_dup, packing, quality_classifier, quality_rules, sharding, token_counts, token_ids, url_filter
 
-MODULES = (sharding, token_ids, near_dup, packing, url_filter, token_counts, quality_rules, quality_classifier, line_dedup, decontamination, byte_bpe)
+MODULES = (sharding, token_ids, near_dup, packing, url_filter, token_counts, quality_rules, quality_classifier, line_dedup, decontamination, clusters, merkle, byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
