@@ -124,35 +124,24 @@ def _lists(values: np.ndarray, sizes: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
 
 
-def encode(docs: DataFrame, ranks: str = RANKS, offsets: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Of every whole text its id column and `ids`, as a rank encoder without special tokens gives them; offsets: also `starts` and `ends`, the places of
-    each id in the text's characters (code points), see places().
+Batches = Iterator[pa.RecordBatch]
 
-    Null and empty texts have no ids. Rows are encoded one by one, so repeated rows, ties and null ids are like others; an empty table gives no rows; other
-    columns, whatever their names, aren't read. Batches are cut by bytes of text; a very long text is one batch of its own, and words that a worker has met
-    are remembered up to a bound.
-    """
-    of_id = docs.schema[id_column].dataType.simpleString()
-    arrays = ["ids", *(("starts", "ends") if offsets else ())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = once(ranks, RankEncoder), once(ranks, ByteTable)
-        for batch in slices(batches, "text"):
-            texts = texts_of(batch, "text")
-            ids = [np.frombuffer(x, "<u4") for x in encoder(texts)]
-            sizes = [len(x) for x in ids]
-            columns = [_lists(np.concatenate(ids), sizes)]
-            if offsets:
-                found = [places(t, table.sizes[x]) for t, x in zip(texts, ids, strict=True)]
-                columns += [_lists(np.concatenate([f[i] for f in found]), sizes) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *arrays])
-
-    own = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    schema = ", ".join([f"id {of_id}", *(f"{c} array<int>" for c in arrays)])
-    return own.mapInArrow(run, schema).withColumnRenamed("id", id_column)
-
-
-def _in_turn(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+
+def _encoded(batches: Batches, ranks: str, offsets: bool) -> Batches:
+    """From (id, text): id, ids and, if wanted, starts and ends."""
+    encoder, table = once(ranks, RankEncoder), once(ranks, ByteTable)
+    for batch in slices(batches, "text"):
+        texts = texts_of(batch, "text")
+        ids = [np.frombuffer(x, "<u4") for x in encoder(texts)]
+        sizes = [len(x) for x in ids]
+        columns = {"id": batch.column("id"), "ids": _lists(np.concatenate(ids), sizes)}
+        if offsets:
+            found = [places(t, table.sizes[x]) for t, x in zip(texts, ids, strict=True)]
+            columns |= {c: _lists(np.concatenate([f[i] for f in found]), sizes) for i, c in enumerate(("starts", "ends"))}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _in_turn(batches: Batches, column: str) -> Batches:
     """The batches again, cut so that their lists have about IDS_TOGETHER values together."""
     for batch in batches:
         ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0)))
@@ -163,6 +152,41 @@ def _in_turn(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Reco
             at = to
 
 
+def _decoded(batches: Batches, ranks: str, pieces: bool, ids_column: str) -> Batches:
+    """All columns, decoded and, if wanted, pieces."""
+    table = once(ranks, ByteTable)
+    for batch in _in_turn(batches, ids_column):
+        lists = batch.column(ids_column)
+        counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+        ids = np.asarray(pa.compute.fill_null(lists.flatten(), -1))
+        data, ends = table.bytes_of(table.known(ids))
+        ends = ends[np.concatenate([[0], np.cumsum(counts)])]
+        kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        columns["decoded"] = pa.Array.from_buffers(kind, batch.num_rows, [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(data)])
+        if pieces:
+            stops = np.cumsum(counts)
+            columns["pieces"] = pa.array([table.pieces(ids[b - n : b]) for b, n in zip(stops, counts, strict=True)], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _own(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str]:
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), f"id {docs.schema[id_column].dataType.simpleString()}, ids array<int>"
+
+
+def encode(docs: DataFrame, ranks: str = RANKS, offsets: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Of every whole text its id column and `ids`, as a rank encoder without special tokens gives them; offsets: also `starts` and `ends`, the places of
+    each id in the text's characters (code points), see places().
+
+    Null and empty texts have no ids. Rows are encoded one by one, so repeated rows, ties and null ids are like others; an empty table gives no rows; other
+    columns, whatever their names, aren't read. Batches are cut by bytes of text; a very long text is one batch of its own, and words that a worker has met
+    are remembered up to a bound.
+    """
+    own, schema = _own(docs, id_column, text_column)
+    schema += ", starts array<int>, ends array<int>" if offsets else ""
+    return own.mapInArrow(lambda batches: _encoded(batches, ranks, offsets), schema).withColumnRenamed("id", id_column)
+
+
 def decode(tokens: DataFrame, ranks: str = RANKS, pieces: bool = False, ids_column: str = "ids") -> DataFrame:
     """tokens with `decoded`, the bytes of each row's ids; pieces: also `pieces`, the text that each id completes, so that a character which two ids share
     comes once, with the later one, and the pieces of a row make up its text.
@@ -173,28 +197,18 @@ def decode(tokens: DataFrame, ranks: str = RANKS, pieces: bool = False, ids_colu
     schema = StructType([tokens.schema[c] for c in kept]).add("decoded", BinaryType())
     if pieces:
         schema = schema.add("pieces", ArrayType(StringType()))
-    at = kept.index(ids_column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = once(ranks, ByteTable)
-        for batch in _in_turn(batches, ids_column):
-            lists = batch.column(at)
-            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
-            ids = np.asarray(pa.compute.fill_null(lists.flatten(), -1))
-            data, ends = table.bytes_of(table.known(ids))
-            ends = ends[np.concatenate([[0], np.cumsum(counts)])]
-            kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
-            columns = [*batch.columns, pa.Array.from_buffers(kind, batch.num_rows, [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(data)])]
-            if pieces:
-                stops = np.cumsum(counts)
-                columns.append(pa.array([table.pieces(ids[b - n : b]) for b, n in zip(stops, counts, strict=True)], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return tokens.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    return tokens.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(lambda batches: _decoded(batches, ranks, pieces, ids_column), schema)
+
+
+def round_trip(docs: DataFrame, ranks: str = RANKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass over the batches: one worker where two would stand behind each other."""
+    own, schema = _own(docs, id_column, text_column)
+    run = lambda batches: _decoded(_encoded(batches, ranks, False), ranks, False, "ids")
+    return own.mapInArrow(run, f"{schema}, decoded binary").withColumnRenamed("id", id_column)
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded and decoded again: counts and digests of both directions."""
-    tokens = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    tokens = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spaced = F.array_join(F.col("ids").cast("array<string>"), " ")
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spaced.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
