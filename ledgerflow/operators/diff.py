@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,25 +76,6 @@ def matched_rows(expected: DataFrame, actual: DataFrame, keys: list[str], label:
     return exact.unionByName(rest)
 
 
-def aligned(before: DataFrame, after: DataFrame, keys: list[str], order: str = "row", label: str = "label") -> DataFrame:
-    """keys, op (equal, replace, delete, insert), before_from, before_to, after_from, after_to: the edit script of two label sequences.
-
-    Sequences that are equal, by a hash of their labels, never reach Python; the rest are aligned one sequence pair at a time.
-    """
-    seq = lambda frame, name: frame.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(label, F.lit("")).alias(label)))), lambda x: x[label]).alias(name))
-    pairs = seq(before, "b").join(seq(after, "a"), keys, "full_outer").withColumns({"b": F.coalesce("b", F.array().cast("array<string>")), "a": F.coalesce("a", F.array().cast("array<string>"))})
-    out = "op string, before_from int, before_to int, after_from int, after_to int"
-
-    def script(b: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([[tuple(x) for x in SequenceMatcher(None, list(p), list(q), autojunk=False).get_opcodes()] for p, q in zip(b, a, strict=True)])
-
-    same = F.col("b") == F.col("a")
-    whole = F.array(F.struct(F.lit("equal").alias("op"), F.lit(0).alias("before_from"), F.size("b").alias("before_to"), F.lit(0).alias("after_from"), F.size("a").alias("after_to")))
-    equal = pairs.filter(same & (F.size("b") > 0)).select(*keys, F.explode(whole).alias("x"))
-    other = pairs.filter(~same).select(*keys, F.explode(F.pandas_udf(script, f"array<struct<{out.replace(' ', ':').replace(',:', ',')}>>")("b", "a")).alias("x"))
-    return equal.unionByName(other).select(*keys, "x.*")
-
-
 def verified_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """path, state: OK, CHANGED, MISSING or EXTRA of files(path, content) against manifest(path, sha256)."""
     own = files.select("path", F.sha2("content", 256).alias("found"))

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return keep
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,7 +46,7 @@ def token_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("l_quantity").cast("long").cast("string")
     k = F.col("l_linenumber") % 7
     raw = F.when(k == 1, F.concat(F.lit("($"), v, F.lit(".25)"))).when(k == 2, F.concat(v, F.lit("%"))).when(k == 3, "—").when(k == 4, "N/A").when(k == 5, F.concat(v, F.lit(" x"))).when(k == 6, " ").otherwise(F.concat(F.lit("$ "), v, F.lit(",000")))
-    t = tokens.with_token(_read(spark, sf_dir, "lineitem").select(raw.alias("raw")), "raw", "t").select("t.*")
+    t = tokens.with_token(read(spark, sf_dir, "lineitem").select(raw.alias("raw")), "raw", "t").select("t.*")
     return t.groupBy("status", "currency", "is_percent", "is_ratio", "precision").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
@@ -63,7 +63,7 @@ SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'millions' WHEN 1 THEN 'tho
 def unit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey") % 6
     note = F.when(k == 0, "(In millions, except number of shares, which are reflected in thousands)").when(k == 1, "$000").when(k == 2, "(in billions of USD)").when(k == 3, "(In millions or billions)").when(k == 4, "(€ in thousands)").otherwise(F.col("n_name"))
-    return _read(spark, sf_dir, "nation").select("n_nationkey", units.classify(note).alias("u")).select("n_nationkey", "u.unit_label", "u.scale_factor", "u.currency", "u.share_unit_label")
+    return read(spark, sf_dir, "nation").select("n_nationkey", units.classify(note).alias("u")).select("n_nationkey", "u.unit_label", "u.scale_factor", "u.currency", "u.share_unit_label")
 
 
 @query(r"""
@@ -71,12 +71,12 @@ SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS normalized, length
 """)
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = text.normalize(F.col("text"))
-    return _read(spark, sf_dir, "documents").select("doc_id", plain.alias("normalized"), F.length(plain).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", plain.alias("normalized"), F.length(plain).cast("long").alias("n"))
 
 
 @query(r"SELECT page_id, regexp_replace(translate(lower(url), '—,', '-'), '[^a-z0-9-]', '', 'g') AS mark FROM pages")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", text.fingerprint(F.col("url")).alias("mark"))
+    return read(spark, sf_dir, "pages").select("page_id", text.fingerprint(F.col("url")).alias("mark"))
 
 
 @query(r"""
@@ -85,7 +85,7 @@ SELECT p_partkey, lower(trim(regexp_replace(p_name || ' ' || p_brand, '\s+', ' '
 def label_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" ("), (F.col("p_partkey") % 1000).cast("string"), F.lit(")"))).otherwise("")
     label = F.concat("p_name", F.lit("  "), "p_brand", note)
-    return _read(spark, sf_dir, "part").select("p_partkey", text.label_key(label).alias("key"), text.split_note(label)["note"].alias("note"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.label_key(label).alias("key"), text.split_note(label)["note"].alias("note"))
 
 
 @query("""
@@ -93,14 +93,14 @@ SELECT c_custkey, 'FY' || right(CAST(2000 + c_custkey % 30 AS VARCHAR), 2) || CA
 """)
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
-    return _read(spark, sf_dir, "customer").select("c_custkey", names.output_name(F.col("c_name"), (c % 30 + 2000).cast("string"), F.concat(F.lit("q"), (c % 5).cast("string")), F.when(c % 2 == 1, "10-Q").otherwise("10-K")).alias("name"))
+    return read(spark, sf_dir, "customer").select("c_custkey", names.output_name(F.col("c_name"), (c % 30 + 2000).cast("string"), F.concat(F.lit("q"), (c % 5).cast("string")), F.when(c % 2 == 1, "10-Q").otherwise("10-K")).alias("name"))
 
 
 @query("""
 SELECT l_returnflag, length(rtrim(split_part(CAST(CAST(l_discount AS DECIMAL(10,6)) AS VARCHAR), '.', 2), '0')) AS digits, count(*) AS n FROM lineitem GROUP BY ALL
 """)
 def display_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", tokens.display_precision(F.col("l_discount")).cast("long").alias("digits")).agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", tokens.display_precision(F.col("l_discount")).cast("long").alias("digits")).agg(F.count("*").alias("n"))
 
 
 # Scans and ordered state
@@ -111,7 +111,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''),
 SELECT doc_id, line_no, md5(line) AS line_md5 FROM l
 """.replace("\\\\n", "\\n"))
 def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = text_source.pasted(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = text_source.pasted(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("raw_text").alias("line_md5"))
 
 
@@ -122,7 +122,7 @@ r AS (SELECT o_custkey, min(page) AS a, max(page) AS b FROM i GROUP BY o_custkey
 SELECT o_custkey, string_agg(CASE WHEN a = b THEN a || '' ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM r GROUP BY o_custkey
 """)
 def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 60).cast("int").alias("page"))
+    pages = read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 60).cast("int").alias("page"))
     return sections.page_ranges(pages, ["o_custkey"], "page")
 
 
@@ -134,7 +134,7 @@ SELECT o_custkey, min(a) AS "first", max(b) AS "last", max(b) - min(a) + 1 AS n_
 """)
 def requested_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return plans.merged_ranges(_read(spark, sf_dir, "orders").select("o_custkey", (k % 500).alias("first"), (k % 500 + k % 37).alias("last")), ["o_custkey"])
+    return plans.merged_ranges(read(spark, sf_dir, "orders").select("o_custkey", (k % 500).alias("first"), (k % 500 + k % 37).alias("last")), ["o_custkey"])
 
 
 @query("""
@@ -144,21 +144,21 @@ SELECT c_custkey, CAST(unnest(generate_series(greatest(a, 1), least(b, 18))) AS
 def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     spec = F.concat((k % 20).cast("string"), F.lit("-"), (k % 20 + k % 4).cast("string"), F.lit(", x, 9-3"))
-    return plans.requested_pages(_read(spark, sf_dir, "customer").select("c_custkey", spec.alias("spec"), F.lit(18).alias("page_count"))).select("c_custkey", "page")
+    return plans.requested_pages(read(spark, sf_dir, "customer").select("c_custkey", spec.alias("spec"), F.lit(18).alias("page_count"))).select("c_custkey", "page")
 
 
 @query("""
 SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations
 """)
 def sections_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", sections.carried(F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], ["turn"]).alias("section"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", sections.carried(F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], ["turn"]).alias("section"))
 
 
 @query("""
 SELECT event_id, user_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS heading FROM events
 """)
 def nearest_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").select("event_id", "user_id", sections.carried(F.when(F.col("event_type") == "error", F.col("event_id")), ["user_id"], ["ts", "event_id"]).alias("heading"))
+    return read(spark, sf_dir, "events").select("event_id", "user_id", sections.carried(F.when(F.col("event_type") == "error", F.col("event_id")), ["user_id"], ["ts", "event_id"]).alias("heading"))
 
 
 @query("""
@@ -169,7 +169,7 @@ SELECT doc, kind, "first", "last", weight FROM (SELECT *, row_number() OVER (PAR
 """)
 def html_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return sections.best_runs(_read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("doc"), F.col("o_orderpriority").alias("kind"), k.alias("idx"), (k % 9).alias("w")), ["doc", "kind"], "idx", "w")
+    return sections.best_runs(read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("doc"), F.col("o_orderpriority").alias("kind"), k.alias("idx"), (k % 9).alias("w")), ["doc", "kind"], "idx", "w")
 
 
 @query("""
@@ -177,7 +177,7 @@ SELECT o_custkey AS doc_id, CAST(o_orderkey AS BIGINT) AS page, o_orderstatus <>
   count(*) OVER (PARTITION BY o_custkey) <= 20 AS selected FROM orders
 """)
 def page_plan_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), (F.col("o_orderstatus") != "P").alias("suggested"), (F.count("*").over(Window.partitionBy("o_custkey")) > 20).alias("review_required"))
+    plan = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), (F.col("o_orderstatus") != "P").alias("suggested"), (F.count("*").over(Window.partitionBy("o_custkey")) > 20).alias("review_required"))
     return plans.resolve(plan, "review")
 
 
@@ -193,7 +193,7 @@ WITH f AS (
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy(F.col("c_nationkey").alias("doc"), F.year("o_orderdate").cast("string").alias("period"), F.col("o_orderstatus").alias("st")).agg(F.sum(F.floor("o_totalprice").cast("long")).alias("v"))
 
 
@@ -278,7 +278,7 @@ s AS (SELECT o_custkey, count(*) FILTER (s <> 'P') AS n, sum(v) FILTER (s <> 'P'
 SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CASE WHEN k <> 1 OR n < 2 THEN 'NOT_TESTED' WHEN abs(one - parts) <= greatest(1.0, 1e-6 * one, 1e-6 * parts) THEN 'PASS' ELSE 'FAIL' END AS "Status" FROM s WHERE k = 1
 """)
 def subtotal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _read(spark, sf_dir, "orders").withColumn("v", F.floor("o_totalprice").cast("double")).withColumn("total", F.col("o_orderstatus") == "P")
+    own = read(spark, sf_dir, "orders").withColumn("v", F.floor("o_totalprice").cast("double")).withColumn("total", F.col("o_orderstatus") == "P")
     base = own.select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit("BalanceSheet").alias("statement_type"), F.lit("2026").alias("period"), F.when(F.col("total"), "Total Current Assets").otherwise("Inventories").alias("standard_item"), F.when(F.col("total"), "ASSET").otherwise("CURRENT_ASSET").alias("context"), F.lit("exact_concept").alias("mapping_relationship"), F.col("v").alias("parsed_value"), "total")
     assets = base.filter("total").withColumn("standard_item", F.lit("Total Assets"))
     return audits.balance_checks(base.unionByName(assets).drop("total")).filter("Check = 'Current asset subtotal'").select("doc_id", "Status")
@@ -289,7 +289,7 @@ WITH p AS (SELECT p_type AS st, p_brand, count(*) AS n FROM part GROUP BY ALL HA
 SELECT st AS "Scope", p_brand AS item, n FROM p
 """)
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "part").select(F.lit("d").alias("doc_id"), F.col("p_type").alias("statement_type"), F.col("p_brand").alias("standard_item"), F.lit("exact_concept").alias("mapping_relationship"), F.lit("exact_alias").alias("mapping_rule"))
+    rows = read(spark, sf_dir, "part").select(F.lit("d").alias("doc_id"), F.col("p_type").alias("statement_type"), F.col("p_brand").alias("standard_item"), F.lit("exact_concept").alias("mapping_relationship"), F.lit("exact_alias").alias("mapping_rule"))
     return audits.duplicate_checks(rows).select("Scope", F.regexp_extract("Detail", "'(.*)' has", 1).alias("item"), "n")
 
 
@@ -301,7 +301,7 @@ SELECT CAST(c_nationkey AS VARCHAR) AS doc_id, CASE WHEN known = 0 OR (known = 1
 """)
 def unit_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, c = F.col("c_nationkey") % 4, F.col("c_custkey") % 2
-    own = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), F.when(n == 0, "reported units").when((n == 1) | (c == 0), "millions").otherwise("thousands").alias("unit_label"), F.when(n == 0, "").otherwise("USD").alias("currency"))
+    own = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), F.when(n == 0, "reported units").when((n == 1) | (c == 0), "millions").otherwise("thousands").alias("unit_label"), F.when(n == 0, "").otherwise("USD").alias("currency"))
     return audits.unit_checks(own).select("doc_id", "Status")
 
 
@@ -317,7 +317,7 @@ def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One grid for each customer: section row, its orders as rows, and a total row whose amount is one too large for odd customers."""
     amount = F.floor("o_totalprice").cast("long")
-    orders = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", amount.alias("v")))).alias("x"), F.sum(amount).alias("t"))
+    orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", amount.alias("v")))).alias("x"), F.sum(amount).alias("t"))
     cells = F.transform("x", lambda r: F.array(F.concat(F.lit("Order "), r["o_orderkey"].cast("string"), F.lit(" item")), r["v"].cast("string")))
     total = F.array(F.lit("Total current assets"), (F.col("t") + F.col("o_custkey") % 2 * 2).cast("string"))
     rows = F.concat(F.array(F.array(F.lit("Current assets:"), F.lit(""))), cells, F.array(total))
@@ -341,7 +341,7 @@ UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'Equity movement subtotal', 'PASS
 def equity_rollforward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opening 1,000, one movement for each customer of the nation and a dash, and a closing that is off by 5 in odd nations."""
     amount = F.floor("c_acctbal").cast("long")
-    x = _read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", amount.alias("v")))).alias("x"), F.sum(amount).alias("t"))
+    x = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", amount.alias("v")))).alias("x"), F.sum(amount).alias("t"))
     show = lambda v: F.when(v < 0, F.concat(F.lit("("), (-v).cast("string"), F.lit(")"))).otherwise(v.cast("string"))
     moves = F.transform("x", lambda r: F.array(F.concat(F.lit("Move "), r["c_custkey"].cast("string")), show(r["v"])))
     rows = F.concat(F.array(F.array(F.lit("Balance at January 1, 2026"), F.lit("1,000"))), moves, F.array(F.array(F.lit("Other"), F.lit("—")), F.array(F.lit("Total changes"), show(F.col("t"))), F.array(F.lit("Balance at December 31, 2026"), show(F.col("t") + 1000 + F.col("c_nationkey") % 2 * 5))))
@@ -367,7 +367,7 @@ def concept_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     base = F.when(k % 4 == 0, "Total assets").when(k % 4 == 1, "Goodwill").when(k % 4 == 2, "inventories").otherwise("deferred revenue")
     raw = F.concat(base, F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(" "), "p_name")).otherwise(F.col("p_type")))
-    rows = _read(spark, sf_dir, "part").select(raw.alias("raw")).distinct().select(F.lit("BalanceSheet").alias("statement_type"), "raw", F.lit("").alias("context"))
+    rows = read(spark, sf_dir, "part").select(raw.alias("raw")).distinct().select(F.lit("BalanceSheet").alias("statement_type"), "raw", F.lit("").alias("context"))
     return mapping.map_concepts(rows, "raw").select("raw", "standard_item", "confidence")
 
 
@@ -381,7 +381,7 @@ def concept_map_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("int")
     label = F.lit("property plant and equipment net")
     raw = F.concat(F.substring(label, F.lit(1), k % 30), F.lit("q"), F.substring(label, k % 30 + 2, F.lit(40)))
-    rows = _read(spark, sf_dir, "part").select("p_partkey", F.lit("BalanceSheet").alias("statement_type"), raw.alias("raw_item"), F.lit("").alias("context"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.lit("BalanceSheet").alias("statement_type"), raw.alias("raw_item"), F.lit("").alias("context"))
     return mapping.map_concepts(rows).select("p_partkey", "raw_item", "standard_item", "confidence", "rule")
 
 
@@ -396,7 +396,7 @@ j AS (SELECT coalesce(e.doc, a.doc) AS doc, coalesce(e.token, a.token) AS token,
 
 
 def _token_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("doc"), "l_linenumber", F.concat(F.lit("Item "), F.col("l_quantity").cast("long").cast("string")).alias("line"))
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("doc"), "l_linenumber", F.concat(F.lit("Item "), F.col("l_quantity").cast("long").cast("string")).alias("line"))
     found = rows.filter((F.col("l_linenumber") > 1) | (F.col("doc") % 3 == 0))
     return coverage.counted(rows, ["doc"], text.numbers_in(F.col("line"))), coverage.counted(found, ["doc"], text.numbers_in(F.col("line")))
 
@@ -429,7 +429,7 @@ b AS (SELECT t.doc, t.flavor, total, coalesce(kept, 0) AS kept, coalesce((SELECT
 SELECT doc, flavor AS best, CAST(old_total AS BIGINT) AS old_total, CAST(total AS BIGINT) AS best_total FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY total DESC, flavor) AS r FROM b WHERE kept = old_total AND total > old_total) WHERE r = 1
 """)
 def candidate_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc"), F.col("o_orderpriority").alias("flavor"), F.array((F.col("o_orderkey") % 5).cast("string")).alias("t"))
+    rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc"), F.col("o_orderpriority").alias("flavor"), F.array((F.col("o_orderkey") % 5).cast("string")).alias("t"))
     found = coverage.counted(rows, ["doc", "flavor"], F.col("t"))
     expected = found.select("doc", "token").distinct().withColumn("n", F.lit(4).cast("long"))
     current = rows.filter("flavor = '5-LOW'").select("doc", "flavor").distinct()
@@ -441,7 +441,7 @@ WITH m AS (SELECT user_id, event_type, sum(CAST(round(value * 100) AS BIGINT)) /
 SELECT user_id, event_type AS flavor, round(s, 6) AS mean_score, n AS n_tables FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_type) AS r FROM m) WHERE r = 1
 """)
 def best_flavor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("flavor"), F.round(F.col("value") * 100).cast("long").alias("score"))
+    scored = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("flavor"), F.round(F.col("value") * 100).cast("long").alias("score"))
     return coverage.best_flavors(scored, ["user_id"]).withColumn("mean_score", F.round("mean_score", 6)).select("user_id", "flavor", "mean_score", "n_tables")
 
 
@@ -449,7 +449,7 @@ def best_flavor(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_returnflag, count(DISTINCT l_orderkey) AS tables, count(DISTINCT l_orderkey * 10 + l_linenumber) AS "rows" FROM lineitem GROUP BY 1
 """)
 def metrics_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.table_metrics(_read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row_index")), ["l_returnflag"])
+    return coverage.table_metrics(read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row_index")), ["l_returnflag"])
 
 
 # Joins on intervals and snapshots
@@ -463,7 +463,7 @@ SELECT a.o_custkey, a.id AS id_a, b.id AS id_b FROM a JOIN b ON a.o_custkey = b.
 """)
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    side = lambda status, n, m: _read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == status).select("o_custkey", k.alias("id"), (k % n).cast("double").alias("lo"), (k % n + 2 + k % m).cast("double").alias("hi"))
+    side = lambda status, n, m: read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == status).select("o_custkey", k.alias("id"), (k % n).cast("double").alias("lo"), (k % n + 2 + k % m).cast("double").alias("hi"))
     return grids.overlapping(side("O", 97, 3), side("F", 89, 4), ["o_custkey"]).select("o_custkey", "id_a", "id_b")
 
 
@@ -471,7 +471,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_quantity, CAST(floor((l_quantity + 0.5) / 10) AS INTEGER) AS column_index, count(*) AS n FROM lineitem GROUP BY ALL
 """)
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 1).alias("x1"))
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 1).alias("x1"))
     bounds = spark.range(6).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("int").alias("column_index"), (F.col("id") * 10).cast("double").alias("lo"), (F.col("id") * 10 + 10).cast("double").alias("hi"))
     return grids.columns_of_words(items, bounds).groupBy("l_orderkey", "l_linenumber", "l_quantity", "column_index").agg(F.count("*").alias("n"))
 
@@ -486,7 +486,7 @@ e AS (SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_cust
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "customer")
+    c = read(spark, sf_dir, "customer")
     before = c.filter("c_custkey % 11 <> 0").select("c_custkey", F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nat"))
     after = c.filter("c_custkey % 13 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("seg"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("nat"))
     return diff.snapshot_diff(before, after, ["c_custkey"], ["seg", "nat"])
@@ -512,7 +512,7 @@ SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, coalesce(a.q, b.q) AS q,
 FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey AND a.q = b.q AND a.nth = b.nth
 """)
 def occurrence_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda flag: _read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag).select("l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_orderkey", "l_linenumber", "l_partkey")
+    side = lambda flag: read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag).select("l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_orderkey", "l_linenumber", "l_partkey")
     out = diff.paired(side("A"), side("R"), ["l_suppkey", "q"], ["l_orderkey", "l_linenumber", "l_partkey"])
     return out.select("l_suppkey", "q", F.col("nth").cast("long").alias("nth"), F.col("left_l_orderkey").alias("left_order"), F.col("right_l_orderkey").alias("right_order"))
 
@@ -524,7 +524,7 @@ r AS (SELECT doc, label, sum(least(e, a)) AS exact, sum(e - least(e, a)) AS le,
 SELECT doc, label, CAST(exact AS BIGINT) AS exact, CAST(least(le, la) AS BIGINT) AS same_label, CAST(le - least(le, la) AS BIGINT) AS missing, CAST(la - least(le, la) AS BIGINT) AS extra FROM r WHERE exact + le + la > 0
 """)
 def greedy_row_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda s: _read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("doc"), F.col("o_orderpriority").alias("label"), (F.col("o_orderkey") % 3).alias("v"), F.col("o_orderkey").alias("row"))
+    side = lambda s: read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("doc"), F.col("o_orderpriority").alias("label"), (F.col("o_orderkey") % 3).alias("v"), F.col("o_orderkey").alias("row"))
     out = diff.matched_rows(side("O"), side("F"), ["doc"], "label", "v", ["row"])
     e, a = F.col("e_row").isNotNull(), F.col("a_row").isNotNull()
     return out.groupBy("doc", "label").agg(F.count_if(F.col("exact")).alias("exact"), F.count_if(~F.col("exact") & e & a).alias("same_label"), F.count_if(e & ~a).alias("missing"), F.count_if(a & ~e).alias("extra"))
@@ -533,7 +533,7 @@ def greedy_row_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit scripts between the order priorities of two statuses: no SQL aligns sequences this way. tests/test_diff.py holds it against difflib."""
-    side = lambda s: _read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).select((F.col("o_custkey") % 200).alias("doc"), F.col("o_orderkey").alias("row"), F.col("o_orderpriority").alias("label"))
+    side = lambda s: read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).select((F.col("o_custkey") % 200).alias("doc"), F.col("o_orderkey").alias("row"), F.col("o_orderpriority").alias("label"))
     return diff.aligned(side("O"), side("F"), ["doc"])
 
 
@@ -541,7 +541,7 @@ def row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n_nationkey AS path, CASE WHEN n_nationkey % 4 = 0 THEN 'CHANGED' WHEN n_nationkey % 4 = 1 THEN 'MISSING' WHEN n_nationkey % 4 = 2 THEN 'EXTRA' ELSE 'OK' END AS state FROM nation
 """)
 def verified_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), F.col("n_name").cast("binary").alias("content"))
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), F.col("n_name").cast("binary").alias("content"))
     manifest = n.filter("path % 4 <> 2").select("path", F.when(F.col("path") % 4 == 0, F.lit("0")).otherwise(F.sha2("content", 256)).alias("sha256"))
     return diff.verified_files(n.filter("path % 4 <> 1"), manifest)
 
@@ -554,7 +554,7 @@ SELECT page_id AS doc_id, CAST(len(regexp_extract_all(coalesce(html, ''), '(?i)<
 """)
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through the HTML reader: leaf tables and facts. tests/test_html.py has filings with nested tables and facts."""
-    tables = html.parsed(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content")))
+    tables = html.parsed(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content")))
     return tables.groupBy("doc_id").agg(F.count_if(F.col("table_index") > 0).alias("tables"), F.max(F.size("facts")).alias("facts"), F.max("error").alias("error"))
 
 
@@ -593,7 +593,7 @@ SELECT doc_id, 'Page ' || page || CASE WHEN kind = '' THEN '' ELSE ' / ' || kind
 """)
 def selected_page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    plan = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("page"), F.when(k % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("statement_type"), (F.col("o_orderstatus") != "P").alias("selected"))
+    plan = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("page"), F.when(k % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("statement_type"), (F.col("o_orderstatus") != "P").alias("selected"))
     have = plan.filter("page % 3 <> 0").withColumnRenamed("page", "source_page")
     return completeness.page_coverage(plan, have).select("doc_id", "Scope", "Status")
 
@@ -604,7 +604,7 @@ SELECT doc_id, CASE k WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'NOT_TES
 """)
 def balance_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A body of seven lines for each customer: whole, with a token lost, without its end, without a grid, and with a section lost."""
-    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5).alias("k"), F.lit(1).alias("source_page"), F.col("c_name").alias("name"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5).alias("k"), F.lit(1).alias("source_page"), F.col("c_name").alias("name"))
     lines = F.array(F.lit("Assets"), F.concat(F.lit("Cash "), "name"), F.lit("Total assets 10"), F.lit("Total liabilities 4"), F.lit("Total equity 6"), F.when(F.col("k") == 2, "The end").otherwise("See accompanying notes"))
     text_lines = c.select("doc_id", "source_page", F.posexplode(lines).alias("line_no", "raw_text"))
     rows = F.array(F.array(F.lit("Assets"), F.lit("")), F.array(F.lit("Cash"), F.when(F.col("k") == 1, "").otherwise(F.col("name"))), F.array(F.lit("Total assets"), F.lit("10")), F.array(F.lit("Total liabilities"), F.lit("4")), F.array(F.when(F.col("k") == 4, "Rest").otherwise("Total equity"), F.lit("6")))
@@ -618,7 +618,7 @@ SELECT CAST(o_custkey AS VARCHAR) AS doc_id, count(*) AS expected, count(*) FILT
 """)
 def text_row_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as text rows against a grid where every seventh order has another amount."""
-    own = _read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("source_page"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" x")).alias("label"), F.floor("o_totalprice").cast("long").alias("v"), (F.col("o_orderkey") % 7).alias("k"))
+    own = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("source_page"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" x")).alias("label"), F.floor("o_totalprice").cast("long").alias("v"), (F.col("o_orderkey") % 7).alias("k"))
     source = own.select("doc_id", "source_page", "label", F.array(F.col("v").cast("double")).alias("values"))
     row = F.struct("label", F.when(F.col("k") == 0, F.col("v") + 1).otherwise(F.col("v")).cast("string").alias("v"))
     grid = own.groupBy("doc_id", "source_page").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: F.array(r["label"], r["v"])).alias("rows")).select("doc_id", "source_page", F.lit("t").alias("table_id"), "rows", F.transform("rows", lambda r: F.lit("data")).alias("row_kinds"), F.array(F.lit("2026")).alias("period_labels"))
@@ -626,13 +626,13 @@ def text_row_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id % 40 AS page, event_id, CAST(event_id % 31 AS DOUBLE) AS x, CAST(floor(event_id / 31) AS DOUBLE) * 10 AS top FROM events)
-SELECT CAST(page AS INTEGER) AS page, CAST(dense_rank() OVER (PARTITION BY page ORDER BY top) - 1 AS INTEGER) AS line, event_id || '' AS text FROM e
+WITH e AS (SELECT user_id, event_id % 3 AS page, event_id, CAST(floor(event_id / 31) AS DOUBLE) * 10 AS top FROM events)
+SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(page AS INTEGER) AS page, CAST(dense_rank() OVER (PARTITION BY user_id, page ORDER BY top) - 1 AS INTEGER) AS line, event_id || '' AS text FROM e
 """)
 def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    words = _read(spark, sf_dir, "events").select(F.lit("d").alias("doc_id"), (F.col("user_id") % 40).cast("int").alias("page"), k.cast("string").alias("text"), (k % 31).cast("double").alias("x0"), (k % 31 + 1).cast("double").alias("x1"), (F.floor(k / 31) * 10).cast("double").alias("top"), (F.floor(k / 31) * 10 + 8).cast("double").alias("bottom"))
-    return grids.lines_of_words(words).select("page", "line", "text")
+    words = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc_id"), (k % 3).cast("int").alias("page"), k.cast("string").alias("text"), (k % 31).cast("double").alias("x0"), (k % 31 + 1).cast("double").alias("x1"), (F.floor(k / 31) * 10).cast("double").alias("top"), (F.floor(k / 31) * 10 + 8).cast("double").alias("bottom"))
+    return grids.lines_of_words(words).select("doc_id", "page", "line", "text")
 
 
 @query("""
@@ -642,7 +642,7 @@ FROM customer CROSS JOIN (VALUES (1, 'excluded', ''), (2, 'data', 'BalanceSheet'
 """)
 def automatic_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filing of five pages for each customer, every third with an empty page among its statements. tests/test_pages.py has further cases with their results."""
-    n = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_name").alias("n_name"), (F.col("c_custkey") % 3 == 1).alias("gap"))
+    n = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_name").alias("n_name"), (F.col("c_custkey") % 3 == 1).alias("gap"))
     texts = F.array(F.col("n_name"), F.concat(F.lit("Balance Sheets\nTotal assets 10 9\nTotal liabilities 4 "), F.col("doc_id")), F.when(F.col("gap"), "").otherwise("Statements of Operations\nRevenue 10 9\nNet income 5 4"), F.lit("Statements of Cash Flows\nNet income 5 4\nCash at end 3 2"), F.lit("Notes to Financial Statements\nNote 1. Organization"))
     pages = n.select("doc_id", F.posexplode(texts).alias("_p", "text")).select("doc_id", (F.col("_p") + 1).alias("page"), "text")
     return plans.automatic_plan(pages).select("doc_id", "page", "role", "statement_type", "selected", "review_required")
@@ -653,7 +653,7 @@ SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CAST(7 AS INTEGER) AS n_rows, CAST(
 """)
 def schedule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two candidates for each supplier that repeat three of five rows at one place. tests/test_grids.py has cases with their results."""
-    r = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.col("s_name").alias("r_name"), F.lit(1).alias("source_page"), F.lit("stream").alias("flavor"), F.explode(F.array(F.lit(0), F.lit(1))).alias("source_order"))
+    r = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.col("s_name").alias("r_name"), F.lit(1).alias("source_page"), F.lit("stream").alias("flavor"), F.explode(F.array(F.lit(0), F.lit(1))).alias("source_order"))
     rows = F.transform(F.sequence(F.col("source_order") * 2, F.col("source_order") * 2 + 4), lambda i: F.array(F.concat("r_name", i.cast("string")), i.cast("string")))
     bounds = F.transform(F.sequence(F.col("source_order") * 2, F.col("source_order") * 2 + 4), lambda i: F.array((F.lit(500) - i * 12).cast("double"), (F.lit(490) - i * 12).cast("double")))
     columns = F.array(F.array(F.lit(0.0), F.lit(50.0)), F.array(F.lit(50.0), F.lit(90.0)))
@@ -669,7 +669,7 @@ SELECT o_custkey AS run_id, max(o_orderkey) AS attempt FROM orders GROUP BY o_cu
 def latest_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is an attempt of its customer's run; every third has no receipt and masks those before it."""
     k = F.col("o_orderkey")
-    return diff.latest_attempts(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), k.alias("attempt"), F.when(k % 3 != 0, "receipt").alias("receipt"))).select("run_id", "attempt")
+    return diff.latest_attempts(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), k.alias("attempt"), F.when(k % 3 != 0, "receipt").alias("receipt"))).select("run_id", "attempt")
 
 
 @query("""
@@ -677,8 +677,8 @@ SELECT o_orderkey AS input FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem
 """)
 def uncovered_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that neither a returned line (job) nor a status P (exception) covers."""
-    orders, key = _read(spark, sf_dir, "orders"), F.col("o_orderkey").alias("input")
-    return diff.uncovered_inputs(orders.select(key), _read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("input")), orders.filter("o_orderstatus = 'P'").select(key))
+    orders, key = read(spark, sf_dir, "orders"), F.col("o_orderkey").alias("input")
+    return diff.uncovered_inputs(orders.select(key), read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("input")), orders.filter("o_orderstatus = 'P'").select(key))
 
 
 @query("""
@@ -686,7 +686,7 @@ SELECT user_id AS run_id, CAST(coalesce(max(CASE WHEN event_id % 3 <> 0 THEN CAS
 """)
 def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return diff.exit_code(_read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.when(e % 3 == 0, "ACCEPTED").otherwise("OPEN").alias("state"), F.when(e % 7 == 0, 3).otherwise(2).alias("severity")))
+    return diff.exit_code(read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.when(e % 3 == 0, "ACCEPTED").otherwise("OPEN").alias("state"), F.when(e % 7 == 0, 3).otherwise(2).alias("severity")))
 
 
 @query("""
@@ -695,7 +695,7 @@ ORDER BY place LIMIT 100
 """)
 def selected_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of 100 runs (the batch is the feature): two segments, the highest balances first."""
-    runs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("scope"), F.col("c_acctbal").alias("elapsed"))
+    runs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("scope"), F.col("c_acctbal").alias("elapsed"))
     batch = diff.selected_runs(runs, ["BUILDING", "MACHINERY"], 100)
     place = F.row_number().over(Window.orderBy(F.when(F.col("scope") == "BUILDING", 1).otherwise(2), F.desc("elapsed"), "run_id"))  # a batch is small
     return batch.select("run_id", place.cast("long").alias("place"))
@@ -709,7 +709,7 @@ SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderpriority = '1-URGENT') = 0 T
 """)
 def null_strict_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("o_orderpriority") != "1-URGENT", F.floor("o_totalprice").cast("long"))
-    return _read(spark, sf_dir, "orders").withColumn("v", v).groupBy("o_custkey").agg(audits.strict_sum(F.col("v")).alias("total"))
+    return read(spark, sf_dir, "orders").withColumn("v", v).groupBy("o_custkey").agg(audits.strict_sum(F.col("v")).alias("total"))
 
 
 @query("""
@@ -723,7 +723,7 @@ def fund_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     show = lambda c: c.cast("string")
     net = F.array(F.lit("Total net assets"), show(v - 4 + F.when(k % 3 == 1, 5).otherwise(0)))
     rows = F.array(F.array(F.lit("Total assets"), show(v)), F.array(F.lit("Total liabilities"), F.lit("4")), net, F.when(k % 3 == 2, net).otherwise(F.array(F.lit("Other"), F.lit("1"))), F.array(F.lit("Total liabilities and net assets"), show(v)))
-    grid = _read(spark, sf_dir, "customer").select(show(k).alias("doc_id"), F.lit("t").alias("table_id"), rows.alias("rows"), F.transform(rows, lambda r: F.lit("data")).alias("row_kinds"), F.array(F.lit("2026")).alias("period_labels"))
+    grid = read(spark, sf_dir, "customer").select(show(k).alias("doc_id"), F.lit("t").alias("table_id"), rows.alias("rows"), F.transform(rows, lambda r: F.lit("data")).alias("row_kinds"), F.array(F.lit("2026")).alias("period_labels"))
     return audits.fund_balance_checks(grid).select("doc_id", "Check", "Status")
 
 
@@ -737,7 +737,7 @@ def cash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     show = lambda c: c.cast("string")
     year = F.array(F.array(F.lit("Cash at beginning of year"), F.lit("100")), F.array(F.lit("Net increase in cash"), show(v)), F.array(F.lit("Effect of exchange rates on cash"), F.lit("—")), F.array(F.lit("Cash at end of year"), show(v + 100 + k % 2 * 5)))
     date = F.array(F.array(F.lit("Cash and cash equivalents"), show(v)), F.array(F.lit("Restricted cash"), F.lit("7")), F.array(F.lit("Total cash and restricted cash"), show(v + 7)))
-    grid = lambda name, rows, period: _read(spark, sf_dir, "supplier").select(show(k).alias("doc_id"), F.lit(name).alias("table_id"), rows.alias("rows"), F.transform(rows, lambda r: F.lit("data")).alias("row_kinds"), F.array(F.lit(period)).alias("period_labels"))
+    grid = lambda name, rows, period: read(spark, sf_dir, "supplier").select(show(k).alias("doc_id"), F.lit(name).alias("table_id"), rows.alias("rows"), F.transform(rows, lambda r: F.lit("data")).alias("row_kinds"), F.array(F.lit(period)).alias("period_labels"))
     return audits.cash_grid_checks(grid("a", year, "Year Ended December 31, 2026").unionByName(grid("b", date, "December 31, 2026"))).select("doc_id", "Check", "Status")
 
 
@@ -749,6 +749,6 @@ def decimal_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices as cells in four renderings: exact amounts, and the cells that are one number."""
     price, k = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_linenumber") % 4
     cell = F.when(k == 0, F.concat(F.lit("$ ("), price, F.lit(")"))).when(k == 1, F.concat(F.lit("$"), price)).when(k == 2, price).otherwise(F.concat(F.lit("about "), price))
-    cells = _read(spark, sf_dir, "lineitem").select("l_orderkey", cell.alias("cell"))
+    cells = read(spark, sf_dir, "lineitem").select("l_orderkey", cell.alias("cell"))
     sums = cells.groupBy("l_orderkey").agg((F.sum(tokens.decimal_amount(F.col("cell"))) * 100).cast("long").alias("cents"))
     return coverage.numeric_cells(cells, ["l_orderkey"]).join(sums, "l_orderkey")

@@ -1,9 +1,7 @@
 from __future__ import annotations
 
 import io
-import random
 import zipfile
-from difflib import SequenceMatcher
 
 import pytest
 
@@ -33,19 +31,6 @@ def test_pairs_and_matches(spark):
     assert D.paired(a, b, ["doc", "label"], ["row"]).count() == 5
 
 
-def test_alignment_is_difflibs(spark):
-    random.seed(2)
-    left, right, want = [], [], []
-    for k in range(30):
-        x = [random.choice("abcd") for _ in range(random.randint(0, 12))]
-        y = list(x) if k % 3 == 0 else [random.choice("abcd") for _ in range(random.randint(0, 12))]
-        left += [(k, i, v) for i, v in enumerate(x)]
-        right += [(k, i, v) for i, v in enumerate(y)]
-        want += [(k, *op) for op in SequenceMatcher(None, x, y, autojunk=False).get_opcodes()]
-    frame = lambda rows: spark.createDataFrame(rows, "k int, row int, label string")
-    assert sorted(map(tuple, D.aligned(frame(left), frame(right), ["k"]).collect())) == sorted(want)
-
-
 def test_attempts_and_inputs(spark):
     attempts = spark.createDataFrame([("a", 1, "r"), ("a", 2, None), ("b", 1, "r")], "run_id string, attempt int, receipt string")
     assert [r["run_id"] for r in D.latest_attempts(attempts).collect()] == ["b"]

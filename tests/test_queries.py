@@ -1,9 +1,16 @@
 from __future__ import annotations
 
+import importlib
+
 import duckdb
 import pytest
 
-from ledgerflow.queries import ORACLE_SQL, QUERIES
+import __spark_entry__ as entry
+
+QUERIES, ORACLE_SQL = {}, {}
+for module in map(importlib.import_module, entry.MODULES):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
