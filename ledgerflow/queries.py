@@ -530,13 +530,6 @@ def greedy_row_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("doc", "label").agg(F.count_if(F.col("exact")).alias("exact"), F.count_if(~F.col("exact") & e & a).alias("same_label"), F.count_if(e & ~a).alias("missing"), F.count_if(a & ~e).alias("extra"))
 
 
-@query()
-def row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit scripts between the order priorities of two statuses: no SQL aligns sequences this way. tests/test_diff.py holds it against difflib."""
-    side = lambda s: read(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).select((F.col("o_custkey") % 200).alias("doc"), F.col("o_orderkey").alias("row"), F.col("o_orderpriority").alias("label"))
-    return diff.aligned(side("O"), side("F"), ["doc"])
-
-
 @query("""
 SELECT n_nationkey AS path, CASE WHEN n_nationkey % 4 = 0 THEN 'CHANGED' WHEN n_nationkey % 4 = 1 THEN 'MISSING' WHEN n_nationkey % 4 = 2 THEN 'EXTRA' ELSE 'OK' END AS state FROM nation
 """)
