@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import staged
+from ledgerflow.llm.shared import partitions, staged
 
 #: Rows that one window group holds on average, and window groups at most (their first ranks are broadcast); beyond, groups grow.
 GROUP_ROWS, MOST_GROUPS = 1000, 1 << 22
@@ -26,7 +26,8 @@ def interleave(docs: DataFrame, shards: int, seed: int = 7, id_column: str = "do
 
     Both ranks are split: rows fall in even groups by their shuffle key (or place), a group's first rank is the number of rows in earlier groups, and only
     the rest is a window. So a source with a third of all rows is no larger a task than others, and only narrow rows are shuffled. Rows that are equal in id,
-    source, size and CRC are one counted row until they are ranked, so that repeats don't fill a group, and then take as many ranks in a row.
+    source, size and CRC are one counted row until they are ranked, so that repeats don't fill a group, and then take as many ranks in a row; they become
+    rows again in pieces of group_rows at most, each in some task.
 
     Null texts count no bytes and have the CRC of an empty text; null sources are a source of their own; null and repeated ids are ranked like others, apart
     by CRC and size (rows that are equal in all three are interchangeable). Empty input gives no rows; other columns aren't read.
@@ -47,7 +48,9 @@ def interleave(docs: DataFrame, shards: int, seed: int = 7, id_column: str = "do
     ranked = (
         keyed.withColumn("within", within)
         .join(before, ["source_key", "group"])
-        .withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {group_rows}L)")))
+        .repartition(partitions(docs.sparkSession), "key", "id", "text_crc32", "piece")
+        .withColumn("nth", F.explode(F.expr(f"sequence(piece * {group_rows}L, least(n, (piece + 1) * {group_rows}L) - 1)")))
         .withColumn("place", (F.col("before") + F.col("within") + F.col("nth") + 0.5) / F.col("of"))
         .withColumn("run", F.least(F.lit(groups - 1), F.floor(F.col("place") * groups)).cast("int"))
     )
