@@ -112,12 +112,12 @@ def judged(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_column
 
     Null and odd urls have no host, no path and no tokens: the prior decides, and without examples the verdict is allow. Null ids and repeated rows are
     judged like others; an empty table gives no rows; only the three columns named are read. A host that most pages have is split once, and joined back
-    salted.
+    salted by the place of its rows, so that null and repeated ids are dealt out too.
     """
     host, path = host_and_path(F.col(url_column))
     seen = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    seen = staged(seen.withColumn("rule", rule).withColumn("ruled", verdict), "urls")
+    seen = staged(seen.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("at", F.monotonically_increasing_id()), "urls")
     hosts = seen.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.expr("flatten(transform(slice(split(host, '[.]'), 1, greatest(0, size(split(host, '[.]')) - 1)), l -> split(l, '[^\\\\p{L}]+')))")).alias("pos", "name")).filter("name != ''")
     labels = staged(labels, "labels")
@@ -126,7 +126,7 @@ def judged(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_column
     by_host = hosts.join(words, "host", "left").select("host", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"))
     path_words = F.expr("filter(split(regexp_replace(lower(path), '[0-9]+', '/0/'), '[^\\\\p{L}0]+'), w -> w != '')")
     tokens = F.concat(F.transform("host_words", lambda w: F.concat(F.lit("h:"), w)), F.transform(path_words, lambda w: F.concat(F.lit("p:"), w)))
-    full = spread(seen, by_host, "host", "id").withColumn("tokens", F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    full = spread(seen, by_host, "host", "at").drop("at").withColumn("tokens", F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
     full = staged(full, "tokens")
 
     ruled = full.filter(F.col("ruled").isNotNull())
