@@ -59,6 +59,8 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49
     return staged(docs.select(id_column, text_column).mapInArrow(write, MANIFEST), "manifest")
 
 
+#: Ids of a chunk of blocks, in which running sums begin anew.
+CHUNK_IDS = 1 << 30
 BLOCKS = "path string, offset long, n_ids long, ends array<int>"
 
 
@@ -80,18 +82,25 @@ def scan_blocks(spark: SparkSession, folder: str, end_id: int, width: int = 2, b
     return cut.mapInArrow(scan, BLOCKS)
 
 
-def document_counts(blocks: DataFrame) -> DataFrame:
+def document_counts(blocks: DataFrame, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     """For each document of the files: file, nth (from 0), start (ids of the file before it), n_tokens (with the end id), ended.
 
-    A block's first document starts after the last end id in any block before: a running maximum; its number is the running sum of end ids. Ids after a
-    file's last end id are one more document, with ended = false.
+    A block's first document starts after the last end id in any block before, a running maximum; its number is the running sum of end ids. Both are scans in
+    two levels: over the chunks (of chunk_ids ids) of a file and over the blocks of a chunk, on two numbers for each block, so a file of any size is no task
+    of its own. Ids after a file's last end id are one more document, with ended = false.
     """
-    blocks = blocks.select("path", "offset", "n_ids", F.transform("ends", lambda e: e + F.col("offset")).alias("ends"))
-    before = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.expr("CASE WHEN size(ends) > 0 THEN ends[size(ends) - 1] END"))
-    whole = Window.partitionBy("path")
-    stitched = blocks.withColumn("open", F.coalesce(last.over(before), F.lit(-1)) + 1).withColumn("first", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    rest = stitched.withColumn("n_all", F.max(F.col("offset") + F.col("n_ids")).over(whole)).filter("offset + n_ids = n_all").withColumn("from", F.expr("CASE WHEN size(ends) > 0 THEN ends[size(ends) - 1] + 1 ELSE open END")).filter("from < n_all")
+    blocks = staged(blocks.select("path", "offset", "n_ids", F.transform("ends", lambda e: e + F.col("offset")).alias("ends")), "blocks")
+    last_of = F.expr("CASE WHEN size(ends) > 0 THEN ends[size(ends) - 1] END")
+    facts = blocks.select("path", "offset", F.expr(f"offset div {chunk_ids}").alias("chunk"), (F.col("offset") + F.col("n_ids")).alias("to"), last_of.alias("last"), F.size("ends").cast("long").alias("n"))
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = facts.groupBy("path", "chunk").agg(F.max("last").alias("last"), F.sum("n").alias("n"), F.max("to").alias("to"))
+    by_chunk = before("path").orderBy("chunk")
+    chunks = chunks.select("path", "chunk", F.max("last").over(by_chunk).alias("last_before"), F.coalesce(F.sum("n").over(by_chunk), F.lit(0)).alias("n_before"), F.max("to").over(Window.partitionBy("path")).alias("n_all"))
+    by_block = before("path", "chunk").orderBy("offset")
+    within = facts.select("path", "offset", "chunk", F.max("last").over(by_block).alias("last_within"), F.coalesce(F.sum("n").over(by_block), F.lit(0)).alias("n_within"))
+    opened = within.join(chunks, ["path", "chunk"]).select("path", "offset", (F.coalesce("last_within", "last_before", F.lit(-1)) + 1).alias("open"), (F.col("n_before") + F.col("n_within")).alias("first"), "n_all")
+    stitched = blocks.join(opened, ["path", "offset"])
+    rest = stitched.filter("offset + n_ids = n_all").withColumn("from", F.expr("CASE WHEN size(ends) > 0 THEN ends[size(ends) - 1] + 1 ELSE open END")).filter("from < n_all")
     file = F.element_at(F.split("path", "/"), -1).alias("file")
     starts = F.expr("slice(concat(array(open), transform(ends, e -> e + 1)), 1, size(ends))")
     inner = stitched.select(file, "first", F.posexplode(F.arrays_zip(starts.alias("start"), F.col("ends").alias("end")))).select("file", (F.col("first") + F.col("pos")).cast("long").alias("nth"), F.col("col.start").alias("start"), (F.col("col.end") - F.col("col.start") + 1).alias("n_tokens"), F.lit(True).alias("ended"))

@@ -80,7 +80,7 @@ def test_separator_scan_matches_the_documents(spark):
     rows = ODD + [(90, "a <|endoftext|> b"), (91, "<|endoftext|>")] + [(100 + i, f"doc {i} " * i) for i in range(80)]
     folder = new_folder(spark, "test")
     manifest = token_counts.write_flat_files(table(spark, rows), folder)
-    counts = token_counts.document_counts(token_counts.scan_blocks(spark, folder, 49_407, block_ids=37)).toPandas()
+    counts = token_counts.document_counts(token_counts.scan_blocks(spark, folder, 49_407, block_ids=37), chunk_ids=111).toPandas()
     names = {(r["file"], r["first"] + i): d for r in manifest.collect() for i, d in enumerate(r["doc_ids"])}
     got = sorted((names[f, n] if names[f, n] is not None else -1, k) for f, n, k in zip(counts["file"], counts["nth"], counts["n_tokens"], strict=True))
     assert got == sorted((-1 if d is None else d, len(ids)) for d, ids in expected_ids(rows, "word_bpe_49k.json", 49_407, literal=True))
@@ -96,8 +96,8 @@ def test_separator_scan_of_an_unended_file_and_of_none(spark):
     store.create_dir(root)
     with store.open_output_stream(f"{root}/a.bin") as out:
         out.write(ids.tobytes())
-    for size in (1, 2, 3, 100):
-        got = sorted(map(tuple, token_counts.document_counts(token_counts.scan_blocks(spark, folder, 9, block_ids=size)).select("nth", "start", "n_tokens", "ended").collect()))
+    for size, chunk in ((1, 1), (1, 3), (2, 2), (2, 4), (3, 6), (100, 100)):  # blocks alone and together in a chunk, chunks without an end
+        got = sorted(map(tuple, token_counts.document_counts(token_counts.scan_blocks(spark, folder, 9, block_ids=size), chunk).select("nth", "start", "n_tokens", "ended").collect()))
         assert got == [(0, 0, 2, True), (1, 2, 1, True), (2, 3, 4, True), (3, 7, 1, False)]
     none = new_folder(spark, "test")
     token_counts.write_flat_files(table(spark, []), none)
