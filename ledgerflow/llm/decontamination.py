@@ -23,6 +23,8 @@ LEAST_EQUAL, LEAST_ITEM = 13, 8
 DIFFERENCE = 3
 #: Words of a test set that is sent to all tasks; a larger one is joined by its seeds.
 SENT_WORDS = 2_000_000
+#: And its bytes: a text without blanks is one word.
+SENT_BYTES = 32 << 20
 #: Bits for each seed in the filter that documents' seeds pass before that join, and bits at most.
 FILTER_BITS, MOST_BITS = 16, 1 << 28
 #: Words that are compared at once.
@@ -202,9 +204,9 @@ def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _sent(items: DataFrame, most_words: int, least_item: int) -> TestItems | None:
-    """The test set for all tasks, or None where it has more words."""
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    return TestItems(sorted((tuple(r) for r in items.collect()), key=str), least_item) if words <= most_words else None
+    """The test set for all tasks, or None where it has more words, or more than SENT_BYTES."""
+    words, size = (n or 0 for n in items.agg(F.sum(F.size(F.split("text", r"\s+"))), F.sum(F.octet_length("text") + 16)).first())
+    return TestItems(sorted((tuple(r) for r in items.collect()), key=str), least_item) if words <= most_words and size <= SENT_BYTES else None
 
 
 def skipped_items(benchmark: DataFrame, least_item: int = LEAST_ITEM, id_column: str = "item_id", text_column: str = "text") -> DataFrame:

@@ -42,6 +42,12 @@ def drop_at_end(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
+def drop_now(spark: SparkSession, at: str) -> None:
+    """A folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors cost no recomputation of it."""
     spark, at = df.sparkSession, new_folder(df.sparkSession, what)

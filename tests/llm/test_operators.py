@@ -270,6 +270,15 @@ def test_leaks_that_come_again_and_tie(spark, how):
     assert [x[2:] for x in got if x[:2] == (1, 0)] == [(0, 2, 15, 15), (55, 20, 16, 16), (76, 20, 16, 16)] and [x[1] for x in got if x[0] == 30] == [4]
 
 
+def test_a_test_set_of_many_bytes_and_few_words_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SENT_BYTES", 200)
+    words = " ".join(f"word{i}" for i in range(30))
+    items = spark.createDataFrame([(1, words), (2, "x" * 300)], "item_id long, text string")
+    assert decontamination._sent(decontamination._items(items, "item_id", "text"), 10**6, 8) is None
+    got = [tuple(r) for r in decontamination.leaks(table(spark, [(7, f"some {words} more"), (8, "clean text")]), items).collect()]
+    assert got == [(7, 1, 1, 0, 30, 30)]
+
+
 def test_leaks_of_changed_words():
     """Each passage of an item with some words changed is found, against a search along all shifts."""
     rng = np.random.default_rng(6)
