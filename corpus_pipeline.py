@@ -13,7 +13,7 @@ from ledgerflow.llm.line_dedup import drop_repeated_lines
 from ledgerflow.llm.near_dup import first_of_each
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.quality_classifier import accepted
-from ledgerflow.llm.shared import new_folder
+from ledgerflow.llm.shared import drop_at_end, drop_now, new_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,10 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's result is written to the shared folder and read again as the next one's input. A stage's folder goes when the
+    next one is written, the last one's at the end of the application."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         folder = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        drop_at_end(spark, folder)
+        if before:
+            drop_now(spark, before)
+        before = folder
     return docs
