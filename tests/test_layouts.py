@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from ledgerflow import api
 from ledgerflow.operators import completeness as K
+from ledgerflow.operators import geometry
 from ledgerflow.operators import layouts as Y
 from ledgerflow.sources import snapshots
 
@@ -40,40 +43,61 @@ def balance_page(change=None):
     return {"width": 400.0, "text": "\n".join(text), "words": words, "edges": [], "tables": [{"bbox": [0, 95, 380, 200], "rows": rows, "extracted": extracted}]}
 
 
-def test_rows_that_are_one_cell():
-    page = balance_page()
+def capture(pages):
+    """(kind, page) as rows of a snapshot table, and a plan that selects them."""
+    plain = lambda x: [plain(v) for v in x] if isinstance(x, list) else None if x is None else float(x)
+    rows = [("d", n, p["width"], 500.0, p["text"], 0, 0, p["words"], [{"bbox": plain(t["bbox"]), "cells": [], "rows": plain(t["rows"]), "extracted": t["extracted"]} for t in p["tables"]], None, p.get("edges") or None) for n, (_, p) in enumerate(pages, 1)]
+    return rows, [("d", n, kind, True) for n, (kind, _) in enumerate(pages, 1)]
+
+
+PLAN = "doc_id string, page int, statement_type string, selected boolean"
+
+
+def grids_of(spark, pages):
+    rows, plan = capture(pages)
+    found = Y.recovered(spark.createDataFrame(rows, snapshots.PAGE), spark.createDataFrame(plan, PLAN)).collect()
+    return [r for _, r in sorted((r["source_page"], r) for r in found)]
+
+
+def in_one_cell(page, edges=()):
+    """Each row of amounts as one cell across all dates."""
     table = page["tables"][0]
     for i, (values, cells) in enumerate(zip(table["extracted"], table["rows"], strict=True)):
         if i and any(v for v in values[1:]):
             table["rows"][i], table["extracted"][i] = [[0, cells[0][1], 380, cells[0][3]]], [" ".join(v for v in values if v)]
-    with pytest.raises(Y.Unclear):
-        Y.balance_grid(page)
-    page["edges"] = [{"x0": x, "x1": x + 80.0, "top": 95.0, "bottom": 95.5} for x in (200.0, 300.0)]
-    got = Y.balance_grid(page)
-    assert got["labels"] == ["June 30, 2026", "June 30, 2025"] and got["rows"][1] == ["Cash", "$ 10", "$ 9"] and got["row_kinds"].count("data") == 3
-    page["words"].append(word("77", 278, 112))
-    with pytest.raises(Y.Unclear):
-        Y.balance_grid(page)
-
-
-def test_balance_geometry():
-    got = Y.balance_grid(balance_page())
-    assert got["labels"] == ["June 30, 2026", "June 30, 2025"]
-    assert got["rows"][1] == ["Cash", "$ 10", "$ 9"] and got["row_kinds"] == ["section", "data", "data", "section", "data"]
-
-
-@pytest.mark.parametrize("fault", ["hidden row", "one amount", "two numbers", "no notes", "no dates"])
-def test_unclear_balance_sheets(fault):
-    changes = {"one amount": lambda b: [b[0], ("Cash", "10", None), *b[2:]], "two numbers": lambda b: [b[0], ("Cash", "10 5", "9"), *b[2:]]}
-    page = balance_page(changes.get(fault))
-    if fault == "hidden row":
-        page["text"] = page["text"].replace("See accompanying", "Hidden 5 6\nSee accompanying")
-    if fault == "no notes":
-        page["text"] = page["text"].replace("See accompanying notes", "")
-    if fault == "no dates":
-        page["words"] = page["words"][6:]
-    with pytest.raises(Y.Unclear):
-        Y.balance_grid(page)
+    return page | {"edges": [{"x0": x, "x1": x + 80.0, "top": 95.0, "bottom": 95.5} for x in edges]}
+
+
+def test_balance_geometry(spark):
+    def with_words(page, *more):
+        return page | {"words": [*page["words"], *more]}
+
+    changed = {"one amount": lambda b: [b[0], ("Cash", "10", None), *b[2:]], "two numbers": lambda b: [b[0], ("Cash", "10 5", "9"), *b[2:]]}
+    noted = balance_page()
+    noted["tables"][0]["rows"].insert(1, [[0, 88, 180, 94], [200, 88, 280, 94], [300, 88, 380, 94]])
+    noted["tables"][0]["extracted"].insert(1, ["", "(unaudited)", ""])
+    hidden, unnoted, undated, loose, stray = (balance_page() for _ in range(5))
+    hidden["text"] = hidden["text"].replace("See accompanying", "Hidden 5 6\nSee accompanying")
+    unnoted["text"] = unnoted["text"].replace("See accompanying notes", "")
+    undated["words"] = undated["words"][6:]
+    loose["tables"][0]["extracted"][2][2] = "11"
+    stray["tables"][0]["rows"][2][1] = [150, 111, 208, 122]
+    cases = {
+        "whole": balance_page(), "noted": with_words(noted, word("(unaudited)", 210, 89, 40)), "ruled": in_one_cell(balance_page(), (200.0, 300.0)), "no rules": in_one_cell(balance_page()), "rules that overlap": in_one_cell(balance_page(), (200.0, 260.0)),
+        "a word between": with_words(in_one_cell(balance_page(), (200.0, 300.0)), word("77", 278, 112)), "hidden row": hidden, "no notes": unnoted, "no dates": undated, "other text": loose, "a cell across": stray,
+        **{k: balance_page(c) for k, c in changed.items()}, "no table": balance_page() | {"tables": []}, "two tables": balance_page() | {"tables": balance_page()["tables"] * 2},
+    }
+    got = dict(zip(cases, grids_of(spark, [("BalanceSheet", p) for p in cases.values()]), strict=True))
+    for name in ("whole", "noted", "ruled"):
+        r = got[name]
+        assert r["error"] is None and r["labels"] == ["June 30, 2026", "June 30, 2025"] and r["source_note"] == "See accompanying notes"
+        assert r["rows"] == [["Assets", "", ""], ["Cash", "$ 10", "$ 9"], ["Total assets", "$ 10", "$ 9"], ["Liabilities and equity", "", ""], ["Stock, par value", "$ 10", "$ 9"]]
+        assert r["row_kinds"] == ["section", "data", "data", "section", "data"] and r["table_id"].endswith("BALANCE_GEOMETRY_01")
+    assert got["whole"]["notes"] == ["", ""] and got["noted"]["notes"] == ["(unaudited)", ""]
+    why = {k: r["error"] for k, r in got.items() if r["error"]}
+    say = geometry.BALANCE_UNCLEAR
+    assert why == {"no rules": say["columns"], "rules that overlap": say["columns"], "a word between": say["cells"], "hidden row": say["body"], "no notes": say["bounds"], "no dates": say["dates"], "other text": say["cells"], "a cell across": say["cells"], "one amount": say["rows"], "two numbers": say["rows"], "no table": say["table"], "two tables": say["table"]}
+    assert all(r["rows"] is None for r in got.values() if r["error"])
 
 
 def equity_page():
@@ -90,26 +114,66 @@ def equity_page():
     return {"width": 400.0, "text": "\n".join(text), "words": words, "tables": [{"bbox": [0, 95, 350, 110], "rows": [row], "extracted": [[""] * 4]}]}
 
 
-def test_equity_geometry():
-    got = Y.equity_grid(equity_page())
-    assert got["rows"][:2] == [["", "Common Stock", "", ""], ["", "Shares", "Amount", "Total"]]
-    assert got["labels"] == ["Shares", "Amount", "Total"] and got["sections"] == [(2, 7, "year ended December 31, 2026")]
-    assert [r for r in got["rows"] if r[0] == "Issuance of stock"] == [["Issuance of stock", "1", "10", "11"]] * 2
+def test_equity_geometry(spark):
+    heads = equity_page()["words"][:5]
+    hidden, headless, twins, uneven = (equity_page() for _ in range(4))
+    hidden["text"] = hidden["text"].replace("Balance at December", "Extra row 1 2 3\nBalance at December")
+    headless["words"] = [w for w in headless["words"] if w["text"] != "Total" or w["top"] > 80]
+    twins["words"] = [w | {"text": "Amount"} if w["text"] == "Shares" else w for w in twins["words"]]
+    uneven["tables"] = [*uneven["tables"], {"bbox": [0, 120, 350, 130], "rows": [[[0, 120, 200, 130], [200, 120, 255, 130], [255, 120, 300, 130], [300, 120, 350, 130]]], "extracted": [[""] * 4]}]
+    parts = equity_page()
+    down = [w | {"top": w["top"] + 100, "bottom": w["bottom"] + 100} for w in parts["words"]]
+    numbered = lambda year, top: [word("Twelve", 0, top, 8), *[word(t, 10 + 24 * i, top, 20) for i, t in enumerate(["months", "ended", "June", "30,", year])]]
+    parts["words"] = [*numbered("2026", 88), *parts["words"], *numbered("2025", 155), *down]
+    parts["text"] = "\n".join([parts["text"], "Twelve months ended June 30, 2025", *parts["text"].split("\n")[1:]])
+    other = parts | {"words": [w | {"text": "Units"} if w["text"] == "Shares" and w["top"] > 150 else w for w in parts["words"]]}
+    cases = {"whole": equity_page(), "parts": parts, "hidden row": hidden, "no head": headless, "equal heads": twins, "other columns": uneven, "other heads below": other, "no table": equity_page() | {"tables": []}, "no rows": equity_page() | {"words": heads}}
+    got = dict(zip(cases, grids_of(spark, [("StockholdersEquityStatement", p) for p in cases.values()]), strict=True))
+    r = got["whole"]
+    assert r["error"] is None and r["rows"][:2] == [["", "Common Stock", "", ""], ["", "Shares", "Amount", "Total"]] and r["row_kinds"] == ["parent_header", "header", *["data"] * 5]
+    assert r["labels"] == ["Shares", "Amount", "Total"] and [tuple(x) for x in r["sections"]] == [(2, 7, "year ended December 31, 2026")]
+    assert [x for x in r["rows"] if x[0] == "Issuance of stock"] == [["Issuance of stock", "1", "10", "11"]] * 2
+    assert got["parts"]["error"] is None and [tuple(x) for x in got["parts"]["sections"]] == [(2, 7, "Twelve months ended June 30, 2026"), (7, 12, "Twelve months ended June 30, 2025")]
+    say = geometry.EQUITY_UNCLEAR
+    assert {k: r["error"] for k, r in got.items() if r["error"]} == {"hidden row": say["text"], "no head": say["heads"], "equal heads": say["heads"], "other columns": say["disagree"], "other heads below": say["heads"], "no table": say["columns"], "no rows": say["data"]}
+
+
+def test_columns_of_rules_by_brute_force(spark):
+    rng = random.Random(6)
+    edges, want = [], {}
+    for page in range(12):
+        places = sorted(rng.sample(range(0, 400, 25), 6))
+        for _ in range(4):
+            for a, b in zip(places, places[1:], strict=False):
+                if rng.random() < 0.7:
+                    edges.append(("d", page, a + rng.uniform(-0.9, 0.9), b + rng.uniform(-0.9, 0.9)))
+        edges.append(("d", page, float(places[0]), float(places[-1])))
+        edges.append(("d", page, 3.0, 9.0))
+    for page in range(12):
+        own = [(x0, x1) for _, p, x0, x1 in edges if p == page and x1 - x0 >= 15]
+        ends, islands = sorted(x for e in own for x in e), []
+        for x in ends:
+            if not islands or x - islands[-1][-1] > 2:
+                islands.append([])
+            islands[-1].append(x)
+        at = lambda x: next(i for i, c in enumerate(islands) if x in c)  # noqa: B023, E731
+        mean = lambda i: round(sum(islands[i]) / len(islands[i]), 6)  # noqa: B023, E731
+        want[page] = sorted({(mean(at(a)), mean(at(b))) for a, b in own if at(b) == at(a) + 1})
+    got = {r.page: [(round(c["lo"], 6), round(c["hi"], 6)) for c in r.columns] for r in geometry.columns_of_rules(spark.createDataFrame(edges, "doc_id string, page int, x0 double, x1 double")).collect()}
+    assert got == want
+
+
+def test_raw_component_grids_without_checks(spark):
     page = equity_page()
-    page["text"] = page["text"].replace("Balance at December", "Extra row 1 2 3\nBalance at December")
-    with pytest.raises(Y.Unclear):
-        Y.equity_grid(page)
-
-
-def floats(x):
-    return [floats(v) for v in x] if isinstance(x, list) else float(x)
+    edges = spark.createDataFrame([("d", 1, float(a), float(b)) for a, b in ((0, 200), (200, 250), (250.5, 299.5), (300, 350))], "doc_id string, page int, x0 double, x1 double")
+    words = spark.createDataFrame([("d", 1, w["text"], w["x0"], w["x1"], w["top"], w["bottom"]) for w in page["words"]], "doc_id string, page int, text string, x0 double, x1 double, top double, bottom double")
+    rows = geometry.raw_component_grids(geometry.lines_of_words(words), edges).first()["rows"]
+    assert rows[0] == ["", "Common", "Stock", ""] and rows[1] == ["", "Shares", "Amount", "Total"] and rows[2] == ["Balance at January 1, 2026", "5", "50", "55"] and len(rows) == 7
 
 
 def test_recovery_over_pages(spark):
-    captured = spark.createDataFrame(
-        [("d", n, p["width"], 500.0, p["text"], 0, 0, p["words"], [{"bbox": floats(t["bbox"]), "cells": [], "rows": floats(t["rows"]), "extracted": t["extracted"]} for t in p["tables"]], None, None) for n, p in ((1, balance_page()), (2, equity_page()), (3, {**balance_page(), "tables": []}))], snapshots.PAGE
-    )
-    plan = spark.createDataFrame([("d", 1, "BalanceSheet", True), ("d", 2, "StockholdersEquityStatement", True), ("d", 3, "BalanceSheet", True), ("d", 4, "BalanceSheet", True)], "doc_id string, page int, statement_type string, selected boolean")
+    rows, plan = capture([("BalanceSheet", balance_page()), ("StockholdersEquityStatement", equity_page()), ("BalanceSheet", {**balance_page(), "tables": []})])
+    captured, plan = spark.createDataFrame(rows, snapshots.PAGE), spark.createDataFrame([*plan, ("d", 4, "BalanceSheet", True)], PLAN)
     got = {r["source_page"]: r for r in Y.recovered(captured, plan).collect()}
     assert got[1]["error"] is None and got[2]["labels"] == ["Shares", "Amount", "Total"] and got[3]["error"]
     found = Y.recovered(captured, plan)
