@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 from functools import lru_cache
 from typing import NamedTuple
@@ -62,55 +63,88 @@ def aliases() -> list[Alias]:
     ]
 
 
-_ALIASES: dict[str, list[Alias]] = {}
-for _a in aliases():
-    _ALIASES.setdefault(_a.statement_type, []).append(_a)
 _FUND_RESULT = re.compile(FUND_RESULT_PATTERN)
 ALIAS_SCHEMA = "statement_type string, rule_ord int, alias_ord int, alias string, standard_item string, category string, subcategory string, contexts array<string>, exact_only boolean, internal_id string, analytical_family string"
-
-
-def _similarity(key: str, alias: str) -> tuple[float, str]:
-    if key == alias:
-        return EXACT, "exact_alias"
-    if set(alias.split()) <= set(key.split()):
-        return SUBSET, "token_subset_context"
-    if alias in key:
-        return SUBSTRING, "substring_context"
-    return 0.0, "unmapped"
-
-
-def fuzzy(key: str, alias: str) -> float:
-    """The score of an almost equal label; lengths that can't reach the ratio aren't compared."""
-    n, m = len(key), len(alias)
-    if 2 * min(n, m) < FUZZY_RATIO * (n + m):
-        return 0.0
-    ratio = SequenceMatcher(None, key, alias).ratio()
-    return min(FUZZY_TOP, ratio * FUZZY_SCALE) if ratio >= FUZZY_RATIO else 0.0
-
-
-@lru_cache(200_000)
+#: Letters of a place in an alias by which labels that contain it are found, and of the grams by which almost equal ones are.
+ANCHOR, GRAM = 3, 2
+
+
+def grams(text: str, n: int = GRAM) -> Counter:
+    return Counter(text[i : i + n] for i in range(len(text) - n + 1))
+
+
+def ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+class LabelIndex:
+    """Aliases by what a label must share with them: all of it, its rarest word, its first letters, or enough of its grams. A label meets those aliases alone."""
+
+    def __init__(self, rules: list[Alias]) -> None:
+        self.rules = [r for r in rules if r.alias]
+        loose = [(i, r.alias) for i, r in enumerate(self.rules) if not r.exact_only]
+        use = Counter(w for _, alias in loose for w in set(alias.split()))
+        self.exact, self.by_word, self.by_anchor, self.by_gram = (defaultdict(list) for _ in range(4))
+        for i, r in enumerate(self.rules):
+            self.exact[r.alias].append(i)
+        for i, alias in loose:
+            self.by_word[min(alias.split(), key=lambda w: (use[w], w))].append(i)
+            self.by_anchor[alias[:ANCHOR]].append(i)
+            for gram, n in grams(alias).items():
+                self.by_gram[gram].append((i, n))
+
+    def contained(self, key: str) -> dict[int, tuple[float, str]]:
+        """Aliases that are the label, that have no other words, or that stand in it: place, score, rule."""
+        words = set(key.split())
+        pieces = {key[i : i + n] for n in range(1, ANCHOR + 1) for i in range(len(key) - n + 1)}
+        found = {i: (SUBSTRING, "substring_context") for p in pieces & self.by_anchor.keys() for i in self.by_anchor[p] if self.rules[i].alias in key}
+        found |= {i: (SUBSET, "token_subset_context") for w in words & self.by_word.keys() for i in self.by_word[w] if words.issuperset(self.rules[i].alias.split())}
+        return found | {i: (EXACT, "exact_alias") for i in self.exact.get(key, ())}
+
+    def alike(self, key: str) -> dict[int, tuple[float, str]]:
+        """Aliases of almost the same letters. With a ratio r over s letters together, r * s / 2 letters are matched, and each of the others parts the matched
+        ones once at most: so many grams are shared at least. Lengths tell the rest."""
+        shared: Counter = Counter()
+        for gram, n in grams(key).items():
+            for i, m in self.by_gram.get(gram, ()):
+                shared[i] += min(n, m)
+        found = {}
+        for i, n in shared.items():
+            alias = self.rules[i].alias
+            size = len(key) + len(alias)
+            matched = FUZZY_RATIO * size / 2
+            if min(len(key), len(alias)) >= matched and n >= matched - (size - 2 * matched) - 1 and (r := ratio(key, alias)) >= FUZZY_RATIO:
+                found[i] = (min(FUZZY_TOP, r * FUZZY_SCALE), "fuzzy")
+        return found
+
+    def best(self, key: str, context: str) -> tuple[Alias, float, str] | None:
+        """The alias of the highest score, the first of equals; what is contained in a label scores more than what is like it."""
+        where = context.upper().strip()
+        for candidates in (self.contained, self.alike):
+            fits = [(min(1.0, score + CONTEXT_BONUS) if self.rules[i].contexts else score, -i, how) for i, (score, how) in candidates(key).items() if not self.rules[i].contexts or any(c in where for c in self.rules[i].contexts)]
+            if fits:
+                score, at, how = max(fits)
+                return (self.rules[-at], score, how) if score >= LEAST else None
+        return None
+
+
+@lru_cache(None)
+def _index(statement_type: str) -> LabelIndex:
+    return LabelIndex([a for a in aliases() if a.statement_type == statement_type])
+
+
+@lru_cache(50_000)
 def map_label(statement_type: str, label: str, context: str = "") -> Mapping:
-    """One label: the rule and alias with the highest score, the first of equals; exact ones alone are the same concept."""
+    """One label's concept, for rows whose context an earlier row's concept decides; map_concepts() is for all others."""
     key = label_key(label)
     if key and statement_type in FUND_RESULT_STATEMENTS and _FUND_RESULT.fullmatch(key):
         name, category, sub, own, family = FUND_RESULT
         return Mapping(name, category, sub, 1.0, "exact_alias", own, family, "exact_concept")
-    best, top, how, where = None, 0.0, "unmapped", context.upper().strip()
-    for a in _ALIASES.get(statement_type, ()) if key else ():
-        if a.contexts and not any(c in where for c in a.contexts):
-            continue
-        value, rule = _similarity(key, a.alias)
-        if a.exact_only and rule != "exact_alias":
-            continue
-        if not value and (value := fuzzy(key, a.alias)):
-            rule = "fuzzy"
-        if value and a.contexts:
-            value = min(1.0, value + CONTEXT_BONUS)
-        if value > top:
-            best, top, how = a, value, rule
-    if best is None or top < LEAST:
+    best = _index(statement_type).best(key, context) if key else None
+    if best is None:
         return Mapping(label, "", "", 0.0, "unmapped", "", "", "unmapped")
-    return Mapping(best.standard_item, best.category, best.subcategory, round(top, 3), how, best.internal_id, best.analytical_family, "exact_concept" if how == "exact_alias" else "related")
+    a, score, how = best
+    return Mapping(a.standard_item, a.category, a.subcategory, round(score, 3), how, a.internal_id, a.analytical_family, "exact_concept" if how == "exact_alias" else "related")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
