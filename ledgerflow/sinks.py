@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.sheets import MARGIN_WIDTH, displayed, raw_sheets
+
 
 def parquet(frame: DataFrame, path: str, by: str | None = None, overwrite: bool = False) -> None:
     writer = frame.write.mode("overwrite" if overwrite else "errorifexists")
@@ -74,11 +76,14 @@ def _styles() -> str:
     return f'<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts count="14">{formats}</numFmts><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="29">{xfs}</cellXfs></styleSheet>'
 
 
-def workbook(sheets: dict[str, list[list]], merged: dict[str, list[tuple[int, int, int, int]]] | None = None) -> bytes:
+def workbook(sheets: dict[str, list[list]], merged: dict[str, list[tuple[int, int, int, int]]] | None = None, margins: tuple[int, int] = (0, 0)) -> bytes:
     """An XLSX file. Strings are literal, also those that look like formulas or links; None is an empty cell; numbers are numbers, a Number as it says.
 
-    merged: by sheet, row, column, rows and columns (from 0) of cells that are one; such a span is left out where it meets one before it.
+    merged: by sheet, row, column, rows and columns (from 0) of cells that are one; such a span is left out where it meets one before it. margins: empty rows
+    above and narrow columns left of what is written.
     """
+    down, right = margins
+    edge = f'<cols><col min="1" max="{right}" width="{MARGIN_WIDTH}" customWidth="1"/></cols>' if right else ""
     if not sheets or not any(rows for rows in sheets.values()):
         raise ValueError("a workbook without rows isn't written")
     names = []
@@ -100,9 +105,9 @@ def workbook(sheets: dict[str, list[list]], merged: dict[str, list[tuple[int, in
         z.writestr("xl/styles.xml", head + _styles())
         for i, (own, rows) in enumerate(sheets.items(), 1):
             body = []
-            for r, row in enumerate(rows, 1):
+            for r, row in enumerate(rows, 1 + down):
                 made = []
-                for c, v in enumerate(row):
+                for c, v in enumerate(row, right):
                     at, style = f"{_column(c)}{r}", ""
                     if isinstance(v, Number):
                         v, style = v.value, f' s="{v.style}"'
@@ -113,7 +118,7 @@ def workbook(sheets: dict[str, list[list]], merged: dict[str, list[tuple[int, in
                     else:
                         made.append(f'<c r="{at}"{style}><v>{v!r}</v></c>')
                 body.append(f'<row r="{r}">{"".join(made)}</row>')
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{"".join(body)}</sheetData>{_merges((merged or {}).get(own, []))}</worksheet>')
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{edge}<sheetData>{"".join(body)}</sheetData>{_merges([(x + down, y + right, h, w) for x, y, h, w in (merged or {}).get(own, [])])}</worksheet>')
     return out.getvalue()
 
 
@@ -170,9 +175,9 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(run, "doc_id string, sheet string, row int, column int, text string, number double, error string")
 
 
-def workbook_rows(cells: DataFrame) -> DataFrame:
+def workbook_rows(cells: DataFrame, margins: tuple[int, int] = (0, 0)) -> DataFrame:
     """Canonical rows of period sheets as workbooks() writes them: doc_id, statement_type, row, raw_item, standard_item, period, number, text."""
-    own = cells.filter(F.col("sheet").isin(*SHEETS))
+    own = cells.filter(F.col("sheet").isin(*SHEETS)).withColumns({"row": F.col("row") - margins[0], "column": F.col("column") - margins[1]})
     heads = own.filter("row = 0 AND column >= 2").select("doc_id", "sheet", "column", F.col("text").alias("period"))
     names = own.filter("row > 0 AND column < 2").groupBy("doc_id", "sheet", "row").agg(F.max(F.when(F.col("column") == 0, F.col("text"))).alias("raw_item"), F.max(F.when(F.col("column") == 1, F.col("text"))).alias("standard_item"))
     return own.filter("row > 0").join(heads, ["doc_id", "sheet", "column"]).join(names, ["doc_id", "sheet", "row"], "left").select("doc_id", F.col("sheet").alias("statement_type"), "row", "raw_item", "standard_item", "period", "number", "text")
@@ -208,11 +213,12 @@ def _grid_sheet(grid) -> tuple[list[list], list[tuple[int, int, int, int]]]:
 _GRID = "array<struct<r: int, c: int, rs: int, cs: int>>"
 
 
-def workbooks(values: DataFrame, checks: DataFrame, grids: DataFrame | None = None) -> DataFrame:
+def workbooks(values: DataFrame, checks: DataFrame, grids: DataFrame | None = None, raw_cells: DataFrame | None = None, margins: tuple[int, int] = (0, 0)) -> DataFrame:
     """doc_id, content: one workbook for each filing, with a sheet for each statement (a column for each period), the grids of its source, and the checks, most severe first. A filing without rows has none.
 
     grids(doc_id, rows; table_id, statement_type, source_page, labels or period_labels or component_labels, spans, sections or period_sections where there are
-    such): one sheet for each table, literal, with its merged cells; tables with sections (rollforwards, several periods) in one block for each.
+    such): one sheet for each table, literal, with its merged cells (see sheets.display); tables with sections (rollforwards, several periods) in one block
+    for each. raw_cells: candidate cells, one sheet for each method that found some (see sheets.raw_cells_by_method). margins: see workbook().
     """
     text = F.array(F.coalesce("raw_item", F.lit("")), F.coalesce("standard_item", F.lit("")), F.coalesce("period", F.lit("")), F.coalesce("raw_value", F.lit("")))
     rows = values.select("doc_id", F.col("statement_type").alias("sheet"), F.col("row_index").alias("at"), text.alias("text"), F.col("parsed_value").alias("number"), F.col("precision").cast("int").alias("precision"), F.col("is_percent").alias("percent"))
@@ -226,7 +232,11 @@ def workbooks(values: DataFrame, checks: DataFrame, grids: DataFrame | None = No
         pick = lambda kind, *names: next((F.col(n).cast(kind) for n in names if n in grids.columns), F.lit(None).cast(kind))
         page = F.concat(F.lit("p"), pick("string", "source_page", "page"))
         sections = pick("array<struct<start: int, end: int, caption: string>>", "sections", "period_sections")
-        tables = grids.filter("rows IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat_ws(" ", pick("string", "table_id"), pick("string", "statement_type"), page).alias("name"), "rows", pick("array<string>", "component_labels", "period_labels", "labels").alias("labels"), pick(_GRID, "spans").alias("spans"), sections.alias("sections"))
+        literal = grids.filter("rows IS NOT NULL").withColumn("spans", pick(_GRID, "spans"))
+        sectioned = F.coalesce(F.size(sections), F.lit(0)) > 0  # sections count rows, so these stay as they are
+        tables = literal.filter(sectioned).unionByName(displayed(literal.filter(~sectioned))).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat_ws(" ", pick("string", "table_id"), pick("string", "statement_type"), page).alias("name"), "rows", pick("array<string>", "component_labels", "period_labels", "labels").alias("labels"), F.col("spans").cast(_GRID).alias("spans"), sections.alias("sections"))
+    if raw_cells is not None:
+        tables = tables.unionByName(raw_sheets(raw_cells), allowMissingColumns=True)
 
     def run(key: tuple, frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         sheets: dict[str, list[list]] = {n: _period_sheet(frame[frame["sheet"] == n].sort_values("at", kind="stable")) for n in SHEETS if (frame["sheet"] == n).any()}
@@ -238,6 +248,6 @@ def workbooks(values: DataFrame, checks: DataFrame, grids: DataFrame | None = No
         if (frame["sheet"] == "Review").any():
             part = frame[frame["sheet"] == "Review"].sort_values("at", kind="stable")
             sheets["Review"] = [["Status", "Check", "Scope", "Detail"], *[[t[2], t[0], t[1], t[3]] for t in part["text"]]]
-        return pd.DataFrame([[key[0], workbook(sheets, merged)]], columns=["doc_id", "content"])
+        return pd.DataFrame([[key[0], workbook(sheets, merged, margins)]], columns=["doc_id", "content"])
 
     return own.groupBy("doc_id").cogroup(tables.groupBy("doc_id")).applyInPandas(run, "doc_id string, content binary")
