@@ -141,22 +141,25 @@ _EQUITY = r"(?:(?:share|stock)holders[’']? )?equity"
 def section_sums(cells: DataFrame, sections: list[tuple[str, str, str]]) -> DataFrame:
     """name, heading and total label of each section: the sum between its heading row and its total row, in each column.
 
-    Both rows must be unique, at least one row stand between them, and every row there be data, no total, and numeric; else the sum is null. A column's cells
-    come together once, whatever the number of sections; one grid bounds them.
+    Both rows must be unique, at least one row stand between them, and every row there be data, no total, and numeric; else the sum is null. Rows that are
+    not so part a column into stretches; each has one sum, and a section is the stretch between its heading and its total, whatever the number of sections.
     """
     by = ["doc_id", "table_id", "period_ord", "period"]
-    columns = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("row_index", "kind", "key", "value"))).alias("rows"))
-
-    def summed(name: str, heading: str, total: str) -> Column:
-        starts = F.filter("rows", lambda x: (x["kind"] == "section") & x["key"].rlike(f"^(?:{heading}):?$"))
-        ends = F.filter("rows", lambda x: (x["kind"] == "data") & x["key"].rlike(f"^(?:{total})$"))
-        start, end = (F.when(F.size(c) == 1, F.get(c, F.lit(0))) for c in (starts, ends))
-        inside = F.filter("rows", lambda x: (x["row_index"] > start["row_index"]) & (x["row_index"] < end["row_index"]))
-        bad = F.exists(inside, lambda x: (x["kind"] != "data") | x["key"].startswith("total ") | x["value"].isNull())
-        expected = F.when((F.size(inside) > 0) & ~bad, F.aggregate(inside, F.lit(0.0), lambda a, x: a + x["value"]))
-        return F.struct(F.lit(name).alias("name"), finite(end["value"]).alias("actual"), expected.alias("expected"))
-
-    return columns.select(*by, F.explode(F.array(*[summed(*s) for s in sections])).alias("x")).select(*by, "x.*")
+    parts = (F.col("kind") != "data") | F.col("key").startswith("total ") | F.col("value").isNull()
+    marked = cells.select(*by, "row_index", "kind", "key", "value", F.coalesce(parts, F.lit(True)).alias("_parts"))
+    column = Window.partitionBy(*by).orderBy("row_index")
+    stretch = F.count_if("_parts").over(column.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stretches = marked.withColumn("_n", stretch).groupBy(*by, "_n").agg(*[F.max(F.when(F.col("_parts"), F.col(c))).alias(c) for c in ("kind", "key", "value")], F.sum(F.when(~F.col("_parts"), F.col("value"))).alias("_sum"))
+    ends = lambda c: F.lead(c).over(Window.partitionBy(*by).orderBy("_n"))
+    stretches = stretches.withColumns({"_until_kind": ends("kind"), "_until": ends("key")})
+    is_total = lambda kind, key, total: F.coalesce((F.col(kind) == "data") & F.col(key).rlike(f"^(?:{total})$"), F.lit(False))
+    facts, made = [], []
+    for i, (name, heading, total) in enumerate(sections):
+        starts = F.coalesce((F.col("kind") == "section") & F.col("key").rlike(f"^(?:{heading}):?$"), F.lit(False))
+        facts += [F.count_if(starts).alias(f"_s{i}"), F.count_if(is_total("kind", "key", total)).alias(f"_t{i}"), F.max(F.when(is_total("kind", "key", total), F.col("value"))).alias(f"_a{i}"), F.max(F.when(starts & is_total("_until_kind", "_until", total), F.col("_sum"))).alias(f"_e{i}")]
+        actual = F.when(F.col(f"_t{i}") == 1, finite(F.col(f"_a{i}")))
+        made.append(F.struct(F.lit(name).alias("name"), actual.alias("actual"), F.when((F.col(f"_s{i}") == 1) & (F.col(f"_t{i}") == 1), F.col(f"_e{i}")).alias("expected")))
+    return stretches.groupBy(*by).agg(*facts).select(*by, F.explode(F.array(*made)).alias("x")).select(*by, "x.*")
 
 
 def corporate_balance_checks(grids: DataFrame) -> DataFrame:

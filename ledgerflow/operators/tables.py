@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,7 +85,38 @@ def bounded_cells(corners: DataFrame) -> DataFrame:
     return first.join(last, [*PAGE, "x", "y", "row", "column"]).select(*PAGE, "x0", F.col("x").alias("x1"), "top", F.col("y").alias("bottom"))
 
 
-_PLACED = "doc_id string, source_page int, table_index int, row_index int, column_index int, rowspan int, colspan int, x0 double, x1 double, top double, bottom double"
+_CELL = ("x0", "x1", "top", "bottom")
+_PLACE = ("table_index", "row_index", "column_index", "rowspan", "colspan")
+
+
+def tables_of(cells: list[tuple[float, float, float, float]], least: int = 2) -> list[tuple]:
+    """Cells (x0, x1, top, bottom) of one page with their table, row, column and spans in front: see placed_cells()."""
+    cells = sorted(cells, key=lambda c: (c[2], c[0], c[3], c[1]))
+    parent = list(range(len(cells)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    seen: dict[tuple, int] = {}
+    for i, (x0, x1, top, bottom) in enumerate(cells):
+        for corner in ((x0, top), (x1, top), (x0, bottom), (x1, bottom)):
+            a, b = root(seen.setdefault(corner, i)), root(i)
+            parent[max(a, b)] = min(a, b)
+    tables: dict[int, list] = {}
+    for i, c in enumerate(cells):
+        tables.setdefault(root(i), []).append(c)
+    out, n = [], 0
+    for _, own in sorted(tables.items()):
+        if len(own) < least:
+            continue
+        n += 1
+        rows, columns = ({v: k for k, v in enumerate(sorted({c[side] for c in own}))} for side in (2, 0))
+        tops, lefts = list(rows), list(columns)
+        for c in own:
+            out.append((n, rows[c[2]], columns[c[0]], bisect_left(tops, c[3]) - rows[c[2]], bisect_left(lefts, c[1]) - columns[c[0]], *c))
+    return out
 
 
 def placed_cells(cells: DataFrame, least: int = 2) -> DataFrame:
@@ -92,33 +125,14 @@ def placed_cells(cells: DataFrame, least: int = 2) -> DataFrame:
     Cells that share a corner are of one table; tables of fewer than `least` cells aren't any. Rows and columns are the distinct upper and left sides of a
     table's cells. State: the cells of one page.
     """
+    fields = ", ".join([*(f"{c} int" for c in _PLACE), *(f"{c} double" for c in _CELL)])
+
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([tables_of([tuple(c[k] for k in _CELL) for c in page], least) for page in pages])
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["top", "x0", "bottom", "x1"], kind="stable").reset_index(drop=True)
-        parent = list(range(len(frame)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        seen: dict[tuple, int] = {}
-        for i, c in enumerate(frame.itertuples()):
-            for corner in ((c.x0, c.top), (c.x1, c.top), (c.x0, c.bottom), (c.x1, c.bottom)):
-                a, b = root(seen.setdefault(corner, i)), root(i)
-                parent[max(a, b)] = min(a, b)
-        tables = frame.groupby([root(i) for i in range(len(frame))], sort=True)
-        out = []
-        for own in (t for _, t in tables if len(t) >= least):
-            tops, lefts = sorted(set(own["top"])), sorted(set(own["x0"]))
-            inside = lambda marks, lo, hi: pd.Series([sum(a <= m < b for m in marks) for a, b in zip(lo, hi, strict=True)], own.index)
-            place = {"row_index": own["top"].map(tops.index), "column_index": own["x0"].map(lefts.index), "rowspan": inside(tops, own["top"], own["bottom"]), "colspan": inside(lefts, own["x0"], own["x1"])}
-            out.append(own.assign(table_index=len(out) + 1, **place))
-        columns = [c.split()[0] for c in _PLACED.split(", ")]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
-
-    own = cells.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source_page").cast("int").alias("source_page"), "x0", "x1", "top", "bottom")
-    return own.groupBy(*PAGE).applyInPandas(run, _PLACED)
+    own = cells.groupBy(F.col("doc_id").cast("string").alias("doc_id"), F.col("source_page").cast("int").alias("source_page")).agg(F.collect_list(F.struct(*_CELL)).alias("_cells"))
+    placed = F.pandas_udf(run, f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
+    return own.select(*PAGE, F.explode(placed("_cells")).alias("c")).select(*PAGE, "c.*")
 
 
 def text_of(words: Column) -> Column:

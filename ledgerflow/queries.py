@@ -204,10 +204,14 @@ def _values(facts: DataFrame, kind: str, items: dict[str, tuple[str, str]]) -> D
     return own.select(F.col("doc").cast("string").alias("doc_id"), F.lit(kind).alias("statement_type"), "period", "x.standard_item", "x.context", F.lit("exact_concept").alias("mapping_relationship"), F.col("v").cast("double").alias("parsed_value"))
 
 
-@query(_STATEMENT + "SELECT doc, st, sum(v) FILTER (period = '1996')::BIGINT AS y1996, sum(v) FILTER (period = '1997')::BIGINT AS y1997, sum(v) FILTER (period = '1998')::BIGINT AS y1998 FROM f GROUP BY doc, st".replace("sum(v) FILTER (period = '1996')::BIGINT", "CAST(sum(v) FILTER (period = '1996') AS BIGINT)").replace("sum(v) FILTER (period = '1997')::BIGINT", "CAST(sum(v) FILTER (period = '1997') AS BIGINT)").replace("sum(v) FILTER (period = '1998')::BIGINT", "CAST(sum(v) FILTER (period = '1998') AS BIGINT)"))
+#: The years of the orders.
+_YEARS = tuple(str(y) for y in range(1992, 2002))
+
+
+@query(_STATEMENT + f"""SELECT doc, st, {", ".join(f"CAST(sum(v) FILTER (period = '{y}') AS BIGINT) AS y{y}" for y in _YEARS)}, CAST(sum(v) FILTER (period NOT IN {_YEARS}) AS BIGINT) AS other FROM f GROUP BY doc, st""")
 def statement_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _facts(spark, sf_dir).groupBy("doc", "st").pivot("period", ["1996", "1997", "1998"]).agg(F.sum("v"))
-    return wide.withColumnsRenamed({y: f"y{y}" for y in ("1996", "1997", "1998")})
+    named = _facts(spark, sf_dir).withColumn("period", F.when(F.col("period").isin(*_YEARS), F.concat(F.lit("y"), "period")).otherwise("other"))
+    return named.groupBy("doc", "st").pivot("period", [*(f"y{y}" for y in _YEARS), "other"]).agg(F.sum("v"))
 
 
 @query(_STATEMENT + "SELECT CAST(doc AS VARCHAR) AS doc_id, st, period, v FROM f")
@@ -285,12 +289,12 @@ def subtotal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT p_type AS st, p_brand, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1)
-SELECT st AS "Scope", p_brand AS item, n FROM p
+WITH p AS (SELECT p_size AS doc_id, p_type AS st, p_brand, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1)
+SELECT doc_id, st AS "Scope", p_brand AS item, n FROM p
 """)
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").select(F.lit("d").alias("doc_id"), F.col("p_type").alias("statement_type"), F.col("p_brand").alias("standard_item"), F.lit("exact_concept").alias("mapping_relationship"), F.lit("exact_alias").alias("mapping_rule"))
-    return audits.duplicate_checks(rows).select("Scope", F.regexp_extract("Detail", "'(.*)' has", 1).alias("item"), "n")
+    rows = read(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), F.col("p_type").alias("statement_type"), F.col("p_brand").alias("standard_item"), F.lit("exact_concept").alias("mapping_relationship"), F.lit("exact_alias").alias("mapping_rule"))
+    return audits.duplicate_checks(rows).select("doc_id", "Scope", F.regexp_extract("Detail", "'(.*)' has", 1).alias("item"), "n")
 
 
 @query("""
@@ -471,8 +475,10 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_quantity, CAST(floor((l_quantity + 0.5) / 10) AS INTEGER) AS column_index, count(*) AS n FROM lineitem GROUP BY ALL
 """)
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 1).alias("x1"))
-    bounds = spark.range(6).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("int").alias("column_index"), (F.col("id") * 10).cast("double").alias("lo"), (F.col("id") * 10 + 10).cast("double").alias("hi"))
+    """Each order is a page with six columns, and its quantities are the words on it."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 1).alias("x1"))
+    ten = F.col("column_index") * 10.0
+    bounds = items.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("column_index")).select("*", ten.alias("lo"), (ten + 10).alias("hi"))
     return grids.columns_of_words(items, bounds).groupBy("l_orderkey", "l_linenumber", "l_quantity", "column_index").agg(F.count("*").alias("n"))
 
 
@@ -552,28 +558,30 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (
-  SELECT c_nationkey AS doc, coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)) FILTER (year(o_orderdate) = 1998), 0) AS a, coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)) FILTER (year(o_orderdate) = 1997), 0) AS b
-  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey
+WITH f AS (
+  SELECT c_nationkey AS nation, year(o_orderdate) AS y, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL
+), v AS (
+  SELECT f.nation || '-' || f.y AS doc, CAST(f.y AS VARCHAR) AS y, CAST(f.y - 1 AS VARCHAR) AS before, f.a, coalesce(g.a, 0) AS b FROM f LEFT JOIN f g ON g.nation = f.nation AND g.y = f.y - 1
 ), r AS (
-  SELECT doc, unnest([
-    {'i': 4, 'raw': 'Net income', 'item': 'Net Income (Loss)', 'x': a, 'y': b},
-    {'i': 5, 'raw': 'Net increase in cash and cash equivalents', 'item': 'Net Increase (Decrease) in Cash and Cash Equivalents', 'x': a, 'y': b},
-    {'i': 6, 'raw': 'Cash and cash equivalents at beginning of period', 'item': 'Cash and Cash Equivalents at Beginning of Period', 'x': b, 'y': a},
-    {'i': 7, 'raw': 'Cash and cash equivalents at end of period', 'item': 'Cash and Cash Equivalents at End of Period', 'x': a + b, 'y': a + b}]) AS r FROM v
+  SELECT doc, y, before, unnest([
+    {'i': 4, 'raw': 'Net income', 'item': 'Net Income (Loss)', 'at_end': a, 'at_start': b},
+    {'i': 5, 'raw': 'Net increase in cash and cash equivalents', 'item': 'Net Increase (Decrease) in Cash and Cash Equivalents', 'at_end': a, 'at_start': b},
+    {'i': 6, 'raw': 'Cash and cash equivalents at beginning of period', 'item': 'Cash and Cash Equivalents at Beginning of Period', 'at_end': b, 'at_start': a},
+    {'i': 7, 'raw': 'Cash and cash equivalents at end of period', 'item': 'Cash and Cash Equivalents at End of Period', 'at_end': a + b, 'at_start': a + b}]) AS r FROM v
 )
-SELECT CAST(doc AS VARCHAR) AS doc_id, 'CashFlowStatement' AS statement_type, CAST(r.i AS INTEGER) AS row_index, r.raw AS raw_item, r.item AS standard_item, 'exact_alias' AS mapping_rule,
-  period, CAST(CASE period WHEN '1998' THEN r.x ELSE r.y END AS DOUBLE) AS parsed_value, 'NUMERIC' AS parse_status
-FROM r CROSS JOIN (VALUES ('1998'), ('1997')) p(period)
+SELECT doc AS doc_id, 'CashFlowStatement' AS statement_type, CAST(r.i AS INTEGER) AS row_index, r.raw AS raw_item, r.item AS standard_item, 'exact_alias' AS mapping_rule, y AS period, CAST(r.at_end AS DOUBLE) AS parsed_value, 'NUMERIC' AS parse_status FROM r
+UNION ALL SELECT doc, 'CashFlowStatement', CAST(r.i AS INTEGER), r.raw, r.item, 'exact_alias', before, CAST(r.at_start AS DOUBLE), 'NUMERIC' FROM r
 """)
 def statement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings made of nations and years, as text, through sections, condenser, row split, tokens and mapping. tests/test_statements.py has the fixtures' results."""
-    facts = _facts(spark, sf_dir)
-    wide = facts.groupBy("doc").pivot("period", ["1997", "1998"]).agg(F.sum("v"))
+    """A filing for each nation and year, beside the year before, as text, through sections, condenser, row split, tokens and mapping. tests/test_statements.py has the fixtures' results."""
+    own = _facts(spark, sf_dir).groupBy("doc", F.col("period").cast("int").alias("y")).agg(F.sum("v").alias("v"))
+    before = own.select("doc", (F.col("y") + 1).alias("y"), F.col("v").alias("w"))
     line = lambda label, a, b: F.concat_ws(" ", F.lit(label), F.format_number(a, 0), F.format_number(b, 0))
-    a, b = F.coalesce("1998", F.lit(0)), F.coalesce("1997", F.lit(0))
-    body = F.concat_ws("\n", F.concat(F.lit("Nation "), F.col("doc").cast("string")), F.lit("Statements of Cash Flows"), F.lit("Years Ended December 31, 1998 1997"), F.lit("Operating Activities"), line("Net income", a, b), line("Net increase in cash and cash equivalents", a, b), line("Cash and cash equivalents at beginning of period", b, a), line("Cash and cash equivalents at end of period", a + b, a + b))
-    lines = text_source.pasted(spark, wide.select(F.col("doc").cast("string").alias("doc_id"), body.alias("text")))
+    a, b, year = F.col("v"), F.coalesce("w", F.lit(0)), lambda n: (F.col("y") - n).cast("string")
+    heads = F.concat_ws("\n", F.concat(F.lit("Nation "), F.col("doc").cast("string")), F.lit("Statements of Cash Flows"), F.concat_ws(" ", F.lit("Years Ended December 31,"), year(0), year(1)), F.lit("Operating Activities"))
+    body = F.concat_ws("\n", heads, line("Net income", a, b), line("Net increase in cash and cash equivalents", a, b), line("Cash and cash equivalents at beginning of period", b, a), line("Cash and cash equivalents at end of period", a + b, a + b))
+    doc = F.concat_ws("-", F.col("doc").cast("string"), year(0))
+    lines = text_source.pasted(spark, own.join(before, ["doc", "y"], "left").select(doc.alias("doc_id"), body.alias("text")))
     return statements.parsed_values(statements.statement_rows(lines), statements.unit_notes(lines)).select("doc_id", "statement_type", "row_index", "raw_item", "standard_item", "mapping_rule", "period", "parsed_value", "parse_status")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -135,6 +136,12 @@ def line_of(values: list[str]) -> str:
     return re.sub(r"(?<=\d)\s+[xX]\b", "x", re.sub(r"(?<=\d)\s+%", "%", text))
 
 
+def _back(found: list[Node], orders: list[int], at: int) -> list[Node]:
+    """The last MOST_BACK of the elements before a place, nearest first."""
+    to = bisect_left(orders, at)
+    return found[max(0, to - MOST_BACK) : to][::-1]
+
+
 def read(content: bytes | str) -> dict:
     """tables: rows, spans, lines, nearby heading and captions of each table that holds no other; facts: name, text, hidden in document order."""
     tree = Tree()
@@ -154,13 +161,14 @@ def read(content: bytes | str) -> dict:
     for n in shown:
         if n.name == "tr" and (t := _inside(n, "table")):
             rows.setdefault(id(t), []).append(n)
-    before = [n for n in shown if n.name in _BLOCKS or n.name == "table"]
+    blocks = [n for n in shown if n.name in _BLOCKS]
+    near = [n for n in shown if n.name in ("table", "p", "div", "h1", "h2", "h3")]
+    block_orders, near_orders = [n.order for n in blocks], [n.order for n in near]
     tables = []
     for t in (n for n in shown if n.name == "table" and id(n) not in holders):
         cells, spans = grid(t, rows.get(id(t), []))
-        earlier = [n for n in before if n.order < t.order]
         kind = heading = ""
-        for n in [n for n in earlier if n.name != "table"][: -MOST_BACK - 1 : -1]:
+        for n in _back(blocks, block_orders, t.order):
             text = "" if id(n) in with_table else n.text()
             if text and len(text) <= MOST_CAPTION:
                 if re.search(PAGE_PATTERNS["boundary"], text):
@@ -170,7 +178,7 @@ def read(content: bytes | str) -> dict:
                     kind, heading = own, text
                     break
         captions = []
-        for n in [n for n in earlier if n.name in ("table", "p", "div", "h1", "h2", "h3")][: -MOST_BACK - 1 : -1]:
+        for n in _back(near, near_orders, t.order):
             if n.name == "table":
                 break
             text = "" if id(n) in with_table else n.text()
