@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import audits, completeness, coverage, grids, layouts, statements
+from ledgerflow.operators import audits, completeness, coverage, grids, layouts, statements, tables
 from ledgerflow.paths import checked
 from ledgerflow.plans import pages as plans
 from ledgerflow.sources import html, snapshots, text
@@ -95,6 +96,30 @@ def extract_pages(captured: DataFrame, pages: str = "auto", policy: str = "revie
     return replace(result, checks=audits.review_report(result.checks, covered, unclear, unread, _grid_checks(found.filter("error IS NULL"))))
 
 
+def is_page_result(result: Result) -> bool:
+    """Whether a result is that of captured pages: these alone have a page plan."""
+    return result.plan is not None
+
+
+class PageTables(NamedTuple):
+    """cells of both ways to find tables on pages, their recall of the numbers in the text by page and method, and a check for each page and method."""
+
+    cells: DataFrame
+    metrics: DataFrame
+    checks: DataFrame
+
+
+def page_tables(captured: DataFrame) -> PageTables:
+    """The tables of captured pages within their rules and by the white between words, for comparison: nothing else takes values from them."""
+    words = snapshots.words(captured).withColumnRenamed("page", "source_page")
+    ruled = tables.ruled_cells(snapshots.edges(captured), words)
+    spaced = tables.spaced_cells(words)
+    pages = captured.select("doc_id", F.col("number").alias("source_page"))
+    cells = ruled.unionByName(spaced)
+    lines = text.page_lines(snapshots.pages(captured))
+    return PageTables(cells, tables.method_metrics(lines, cells, pages), tables.audit(pages, ruled, "Ruled").unionByName(tables.audit(pages, spaced, "Spaced")))
+
+
 def _grid_checks(found: DataFrame) -> DataFrame:
     """Equation checks of recovered grids, by the kind of statement."""
     named = found.withColumn("period_labels", F.col("labels"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Python's and Unicode's white space together.
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+# Names of months, dates and years.
 MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan\.?|Feb\.?|Mar\.?|Apr\.?|Jun\.?|Jul\.?|Aug\.?|Sep\.?|Sept\.?|Oct\.?|Nov\.?|Dec\.?)"
 DATE = rf"(?i)\b{MONTH}\s+\d{{1,2}},?\s+(?:19|20)\d{{2}}\b"
 YEAR = r"\b(?:19|20)\d{2}\b"
@@ -67,9 +68,13 @@ def years_in(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({YEAR})"), 1)
 
 
+# How labels of totals begin.
+TOTAL_LABELS = r"^(?:total |net cash |net income|operating income|income before |net increase |net decrease )"
+
+
 def is_total_label(label: Column) -> Column:
     """Rows that sheets set apart as totals."""
-    return F.lower(F.trim(label)).rlike(r"^(?:total |net cash |net income|operating income|income before |net increase |net decrease )")
+    return F.lower(F.trim(label)).rlike(TOTAL_LABELS)
 
 
 def is_grand_total_label(label: Column) -> Column:

@@ -25,6 +25,11 @@ def words(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("doc_id", F.col("number").alias("page"), F.posexplode("words").alias("word", "w")).select("doc_id", "page", "word", "w.*")
 
 
+def edges(snapshots: DataFrame) -> DataFrame:
+    """Rules and boxes as they were captured: doc_id, source_page, x0, x1, top, bottom."""
+    return snapshots.select("doc_id", F.col("number").alias("source_page"), F.explode("edges").alias("e")).select("doc_id", "source_page", "e.*")
+
+
 def ruled_cells(snapshots: DataFrame) -> DataFrame:
     """Cells of the tables that rules on the page bound."""
     tables = snapshots.select("doc_id", F.col("number").alias("source_page"), F.posexplode("tables").alias("_t", "t"))

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from ledgerflow import api
 from ledgerflow.operators import tables as T
+from ledgerflow.sources import snapshots
 
 EDGE, WORD = "doc_id string, source_page int, x0 double, x1 double, top double, bottom double", "doc_id string, source_page int, text string, x0 double, x1 double, top double, bottom double"
 
@@ -88,6 +90,21 @@ def test_ruled_texts_with_spans(spark):
     assert checks == {7: ("PASS", "Detected 2 table(s)."), 8: ("NO_TABLE_FOUND", "No table structure detected.")}
 
 
+def test_tables_of_captured_pages(spark):
+    box = lambda x0, x1, top, bottom: {"x0": float(x0), "x1": float(x1), "top": float(top), "bottom": float(bottom)}
+    edges = [box(0, 200, y, y) for y in (0, 20, 40)] + [box(x, x, 0, 40) for x in (0, 100, 200)]
+    words = [{"text": t} | box(x, x + 20, y, y + 8) for t, x, y in (("Cash", 10, 6), ("5", 110, 6), ("Debt", 10, 26), ("7", 110, 26))]
+    rows = [("d", 1, 300.0, 100.0, "Cash 5\nDebt 7", 0, 0, words, None, None, edges), ("d", 2, 300.0, 100.0, "", 0, 0, None, None, None, None)]
+    found = api.page_tables(spark.createDataFrame(rows, snapshots.PAGE))
+    texts = {(c.flavor, c.row_index, c.column_index): c.raw_text for c in found.cells.collect()}
+    assert texts == {(f, r, c): t for f in ("ruled", "spaced") for (r, c), t in {(0, 0): "Cash", (0, 1): "5", (1, 0): "Debt", (1, 1): "7"}.items()}
+    assert {(m.source_page, m.flavor): m.recall for m in found.metrics.collect()} == {(1, "ruled"): 1.0, (1, "spaced"): 1.0, (2, "ruled"): None, (2, "spaced"): None}
+    assert {(c.source_page, c.Check, c.Status) for c in found.checks.collect()} == {(p, f"{f} table extraction", s) for f in ("Ruled", "Spaced") for p, s in ((1, "PASS"), (2, "NO_TABLE_FOUND"))}
+    lines = spark.createDataFrame([], "doc_id string")
+    result = api.Result(lines, lines, lines, lines, lines, lines)
+    assert not api.is_page_result(result) and api.is_page_result(api.replace(result, plan=lines))
+
+
 def test_rivers_by_brute_force(spark):
     rng = random.Random(5)
     rows = []
