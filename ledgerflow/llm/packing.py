@@ -214,7 +214,7 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.j
     length that most pieces have is no task of its own. To the driver come at most `capacity` counts; the runs that go to the executors are bounded by
     the capacity and the number of groups, not by the number of documents.
 
-    Null and empty texts are the end id alone; repeated ids are packed as often as they come; an empty table gives no rows; other columns aren't read.
+    Null and empty texts are the end id alone; repeated and null ids are packed as often as they come; a very long text is cut into pieces of its own; an empty table gives no rows; other columns aren't read.
     """
     cut = staged(pieces(docs, capacity, tokenizer, end_id, id_column, text_column), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))

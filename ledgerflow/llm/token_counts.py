@@ -32,7 +32,8 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49
     takes its unfinished file away.
 
     Special tokens' own texts are encoded letter by letter: as ids they would be ends that no document has. Null and empty texts are the end id alone; an
-    empty table gives no rows (and empty files).
+    empty table gives no rows (and empty files). Rows with null or repeated ids are documents like others; other columns aren't read; a very
+    long text is encoded in a batch of its own.
     """
     top = {2: 1 << 16, 4: 1 << 32}[width]
 

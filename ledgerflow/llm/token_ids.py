@@ -173,7 +173,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
     executor's task is written again as a whole, and any file system that Spark writes to will do.
 
     Null texts count as empty (the end id alone); documents with a null id come first; equal ids stay beside each other in any order, and a range may end
-    among them, so that an id that most rows have is no task of its own; an empty table gives files without rows.
+    among them, so that an id that most rows have is no task of its own, unless their texts are equal too; an empty table gives files without rows; other
+    columns aren't read; a very long text is a segment of its own.
     """
     n = shards or partitions(docs.sparkSession)
     ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).repartitionByRange(n, F.col("id"), F.xxhash64("text")).sortWithinPartitions("id")
