@@ -187,7 +187,7 @@ def balance_grids(pages: DataFrame) -> DataFrame:
     actual = word.join(of_page("columns"), K).groupBy(*K, "r", part.alias("part")).agg(F.array_sort(F.flatten(F.collect_list(_tokens(F.col("text"))))).alias("actual"))
     agree = expected.join(actual, [*K, "r", "part"], "full_outer").groupBy(*K).agg(F.max(~F.col("expected").eqNullSafe(F.col("actual"))).alias("disagrees"))
 
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x))  # F.trim alone would take an index as what to trim
     where = lambda test: F.filter(F.transform("_lines", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
     source = pages.withColumn("_lines", lines).withColumns({"_starts": where(lambda x: F.lower(F.regexp_replace(x, ":+$", "")) == "assets"), "_ends": where(lambda x: x.rlike(NOTES))})
     bounded = (F.size("_starts") == 1) & (F.size("_ends") == 1) & (F.get("_starts", F.lit(0)) < F.get("_ends", F.lit(0)))

@@ -100,6 +100,12 @@ def test_balance_geometry(spark):
     assert all(r["rows"] is None for r in got.values() if r["error"])
 
 
+def test_amounts_that_end_like_their_line(spark):
+    page = balance_page(lambda b: [b[0], ("Cash", "10", "93"), ("Total assets", "14", "4"), *b[3:]])
+    found = grids_of(spark, [("BalanceSheet", page)])[0]
+    assert found["error"] is None and found["rows"][1:3] == [["Cash", "$ 10", "$ 93"], ["Total assets", "$ 14", "$ 4"]]
+
+
 def equity_page():
     heads = [word("Common", 205, 60), word("Stock", 233, 60, 60), word("Shares", 205, 72), word("Amount", 255, 72), word("Total", 305, 72)]
     body = [("Balance at January 1, 2026", "5", "50", "55"), ("Issuance of stock", "1", "10", "11"), ("Issuance of stock", "1", "10", "11"), ("Total changes for the year ended December 31, 2026", "2", "20", "22"), ("Balance at December 31, 2026", "7", "70", "77")]
