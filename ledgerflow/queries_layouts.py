@@ -278,7 +278,7 @@ WITH p AS (
 ), m AS (
   SELECT *, CASE f WHEN 0 THEN 'BalanceSheet' WHEN 1 THEN 'IncomeStatement' WHEN 2 THEN '' END AS mark FROM r
 )
-SELECT CAST(c AS VARCHAR) AS doc_id, CAST(page AS BIGINT) AS page, role, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY c, island ORDER BY page ROWS UNBOUNDED PRECEDING), '') AS statement_type, role <> 'blank' AS suggested, pages > 20 AS review_required FROM m
+SELECT CAST(c AS VARCHAR) AS doc_id, CAST(page AS BIGINT) AS page, role, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY c, island ORDER BY page ROWS UNBOUNDED PRECEDING), '') AS statement_type, role <> 'blank' AS suggested, pages > 50 AS review_required FROM m
 """)
 def manual_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that were asked for, an order each and every ninth left out: statements with amounts, titles, notes, page numbers, other text, and pictures."""
