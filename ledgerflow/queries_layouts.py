@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.names import form_type
-from ledgerflow.operators import audits, completeness, geometry, grids
+from ledgerflow.operators import audits, completeness, geometry, grids, layouts
 from ledgerflow.plans import pages as plans
 from ledgerflow.queries import ORACLE_SQL, QUERIES, query, read
+from ledgerflow.sources import html, text
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -83,8 +84,8 @@ def balance_page_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.array(F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in ((0, 95, 180, 99), (200, 95, 280, 99), (300, 95, 380, 99))]))
     table = F.struct(F.array(F.lit(0.0), F.lit(95.0), F.lit(380.0), top(F.size("body"))).alias("bbox"), F.concat(first, boxes).alias("rows"), F.concat(F.array(F.array(*[F.lit("")] * 3)), values).alias("extracted"))
     edge = lambda x: F.struct(F.lit(x).alias("x0"), F.lit(x + 80).alias("x1"), F.lit(95.0).alias("top"), F.lit(95.5).alias("bottom"))
-    text = F.concat(F.array(F.lit("Balance Sheets"), F.lit("June 30, 2026 June 30, 2025")), F.transform("body", line), F.array_compact(F.array(F.when(c % 6 == 4, "Hidden 5 6"), F.when(c % 6 != 1, "See accompanying notes"))))
-    pages = own.select(_show(c).alias("doc_id"), F.lit(1).alias("page"), F.lit("BalanceSheet").alias("statement_type"), F.lit(400.0).alias("width"), F.array_join(text, "\n").alias("text"), words.alias("words"), F.when(c % 6 == 5, F.array(edge(200.0), edge(300.0))).alias("edges"), F.array(table).alias("tables"))
+    shown = F.concat(F.array(F.lit("Balance Sheets"), F.lit("June 30, 2026 June 30, 2025")), F.transform("body", line), F.array_compact(F.array(F.when(c % 6 == 4, "Hidden 5 6"), F.when(c % 6 != 1, "See accompanying notes"))))
+    pages = own.select(_show(c).alias("doc_id"), F.lit(1).alias("page"), F.lit("BalanceSheet").alias("statement_type"), F.lit(400.0).alias("width"), F.array_join(shown, "\n").alias("text"), words.alias("words"), F.when(c % 6 == 5, F.array(edge(200.0), edge(300.0))).alias("edges"), F.array(table).alias("tables"))
     return _grid_rows(geometry.balance_grids(pages))
 
 
@@ -120,10 +121,10 @@ def equity_page_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = lambda i: i * 12.0 + 100.0
     words = F.flatten(F.transform("body", lambda r, i: F.array(_word(r["label"], 0.0, 180.0, top(i)), _word(r["a"], 205.0, 240.0, top(i)), _word(r["b"], 255.0, 290.0, top(i)), _word(r["t"], 305.0, 340.0, top(i)))))
     heads = F.array_compact(F.array(_word("Common", 205.0, 229.0, 60.0), _word("Stock", 233.0, 293.0, 60.0), _word("Shares", 205.0, 229.0, 72.0), _word("Amount", 255.0, 279.0, 72.0), F.when(c % 4 != 2, _word("Total", 305.0, 325.0, 72.0))))
-    text = F.concat(F.array(F.lit("Statements of Equity")), F.transform("body", lambda r: F.concat_ws(" ", r["label"], r["a"], r["b"], r["t"])), F.array_compact(F.array(F.when(c % 4 == 3, "Extra row 1 2 3"))))
+    shown = F.concat(F.array(F.lit("Statements of Equity")), F.transform("body", lambda r: F.concat_ws(" ", r["label"], r["a"], r["b"], r["t"])), F.array_compact(F.array(F.when(c % 4 == 3, "Extra row 1 2 3"))))
     wide = F.array(F.array(*[F.array(*[F.lit(float(v)) for v in (x0, 95, x1, 110)]) for x0, x1 in ((0, 200), (200, 250), (250, 300), (300, 350))]))
     table = F.struct(F.array(F.lit(0.0), F.lit(95.0), F.lit(350.0), F.lit(110.0)).alias("bbox"), wide.alias("rows"), F.array(F.array(*[F.lit("")] * 4)).alias("extracted"))
-    pages = own.select(_show(c).alias("doc_id"), F.lit(1).alias("page"), F.lit("StockholdersEquityStatement").alias("statement_type"), F.lit(400.0).alias("width"), F.array_join(text, "\n").alias("text"), F.concat(heads, words).alias("words"), F.array(table).alias("tables"))
+    pages = own.select(_show(c).alias("doc_id"), F.lit(1).alias("page"), F.lit("StockholdersEquityStatement").alias("statement_type"), F.lit(400.0).alias("width"), F.array_join(shown, "\n").alias("text"), F.concat(heads, words).alias("words"), F.array(table).alias("tables"))
     found = geometry.equity_grids(pages)
     part = F.get("sections", F.lit(0))
     return _grid_rows(found).join(found.select("doc_id", part["start"].alias("section_start"), part["end"].alias("section_end"), part["caption"].alias("caption")), "doc_id")
@@ -286,9 +287,9 @@ def manual_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     own = read(spark, sf_dir, "orders").select(_show(F.col("o_custkey")).alias("doc_id"), (n + F.floor(n / 9)).cast("long").alias("page"), f.alias("f"))
     f = F.col("f")
-    text = F.when(f == 0, F.array(F.lit("Consolidated Balance Sheets"), F.lit("Cash 10 9"), F.lit("Total assets 10 9"))).when(f == 1, F.array(F.lit("Consolidated Statements of Operations"))).when(f == 2, F.array(F.lit("Notes to Consolidated Financial Statements"), F.lit("Cash is cash.")))
-    text = text.when(f == 3, F.array(F.lit(""), _show(F.col("page")))).when(f == 4, F.array(F.lit("Some text"), F.lit("and more"))).otherwise(F.array(F.lit("")))
-    lines = own.select("doc_id", F.col("page").alias("source_page"), F.when(f == 5, "OCR_REQUIRED").otherwise("TEXT").alias("page_status"), F.posexplode(text).alias("line_no", "raw_text"))
+    shown = F.when(f == 0, F.array(F.lit("Consolidated Balance Sheets"), F.lit("Cash 10 9"), F.lit("Total assets 10 9"))).when(f == 1, F.array(F.lit("Consolidated Statements of Operations"))).when(f == 2, F.array(F.lit("Notes to Consolidated Financial Statements"), F.lit("Cash is cash.")))
+    shown = shown.when(f == 3, F.array(F.lit(""), _show(F.col("page")))).when(f == 4, F.array(F.lit("Some text"), F.lit("and more"))).otherwise(F.array(F.lit("")))
+    lines = own.select("doc_id", F.col("page").alias("source_page"), F.when(f == 5, "OCR_REQUIRED").otherwise("TEXT").alias("page_status"), F.posexplode(shown).alias("line_no", "raw_text"))
     return plans.manual_plan(lines, own.select("doc_id", "page")).select("doc_id", "page", "role", "statement_type", "suggested", "review_required")
 
 
@@ -322,3 +323,114 @@ def form_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = F.col("o_orderkey") % 6, _show(F.col("o_orderkey"))
     named = F.when(n == 0, "form 10-k of order ").when(n == 1, "Form 10-K/A, amending Form 10-K, of order ").when(n == 2, "10Q for ").when(n == 3, "FORM 10-Q/A ").when(n == 4, "10-Q and 10K/A ").otherwise("Form 10-KSB or X10-Q ")
     return read(spark, sf_dir, "orders").select("o_orderkey", form_type(F.concat(named, k)).alias("form"))
+
+
+@query("""
+WITH o AS (
+  SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 10 AS f, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, CASE WHEN o_orderkey % 7 = 0 THEN '__supporting__' WHEN o_orderkey % 4 = 0 THEN 'IncomeStatement' END AS kind FROM orders
+), t AS (
+  SELECT *, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY c ORDER BY n ROWS UNBOUNDED PRECEDING), '') AS near FROM o
+)
+SELECT CAST(c AS VARCHAR) AS doc_id, CAST(n AS INTEGER) AS table_index, CAST(CASE f WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 8 THEN 1 ELSE 2 END AS INTEGER) AS data_lines,
+  CASE WHEN f IN (0, 1) THEN 'BalanceSheet' WHEN f = 2 THEN 'CashFlowStatement' WHEN f IN (3, 6) THEN 'PartnersCapital' WHEN f = 7 THEN 'ScheduleOfInvestments' ELSE 'IncomeStatement' END AS statement_type,
+  CASE f WHEN 0 THEN 'Consolidated Balance Sheets' WHEN 1 THEN 'Consolidated Statements of Assets and Liabilities' WHEN 2 THEN 'Consolidated Statements of Cash Flows' WHEN 3 THEN 'Statements of Changes in Net Assets' WHEN 4 THEN 'Consolidated Statement of Operations'
+    WHEN 5 THEN 'income statement' WHEN 6 THEN 'statement of changes in partners'' capital' WHEN 7 THEN 'Schedule of Investments' ELSE 'Statements of Operations' END AS heading
+FROM t WHERE near <> '__supporting__' AND f <> 9 AND (f <> 8 OR near <> '')
+""")
+def html_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filing for each customer with a table for each order: one for each of the nine rules, and notes. Headings above some carry over to the next ones."""
+    k = F.col("o_orderkey")
+    shown = {
+        0: ["Consolidated Balance Sheets", "Cash 10 9", "Debt 5 4"], 1: ["Total assets 10 9", "Total liabilities 5 4"], 2: ["Net cash used in operating activities 1 2", "Net cash from financing activities 3 4"],
+        3: ["Net assets at beginning 1 2", "Capital unit transactions 3 4", "Contributions for units issued 5 6"], 4: ["Investment income 1 2", "Expenses 3 4", "Net investment income 5 6"], 5: ["Revenue 1 2", "Net income 3 4"],
+        6: ["Partners' capital 1 2", "Distributions 3 4"], 7: ["Investments at cost and fair value, percentage of net assets", "Loan A 10 9", "Loan B 8 7"], 8: ["Other 1 2"], 9: ["Notes to Consolidated Financial Statements", "Cash 1 2", "Debt 3 4"],
+    }
+    lines = F.coalesce(*[F.when(k % 10 == f, F.array(*map(F.lit, own))) for f, own in shown.items()])
+    near = F.when(k % 7 == 0, "__supporting__").when(k % 4 == 0, "IncomeStatement").otherwise("")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    tables = read(spark, sf_dir, "orders").select(_show(F.col("o_custkey")).alias("doc_id"), n.alias("table_index"), near.alias("nearby_type"), F.when(near == "IncomeStatement", "Statements of Operations").when(near != "", "Notes").otherwise("").alias("nearby_heading"), lines.alias("lines"))
+    return html.classify(tables).select("doc_id", "table_index", "data_lines", "statement_type", "heading")
+
+
+@query(
+    _ORDERS_SQL
+    + """
+, rows AS (
+  SELECT c, 0 AS row_index, 'section' AS kind, 'Operating activities:||' AS cells FROM t
+  UNION ALL SELECT c, i, 'data', CASE WHEN k % 3 = 0 THEN 'Changes in goods payable|' ELSE 'Sale of goods|' END || k || '|' || CASE WHEN k % 2 = 0 THEN '(' || p || ')' ELSE p || '' END FROM o
+)
+SELECT CAST(c AS VARCHAR) AS doc_id, '2026|2025' AS labels, CAST(row_index AS INTEGER) AS row_index, kind, cells, CAST(NULL AS VARCHAR) AS error FROM rows WHERE c % 5 <> 4
+UNION ALL SELECT CAST(c AS VARCHAR), NULL, NULL, NULL, NULL, 'A line has more or fewer amounts than columns.' FROM t WHERE c % 5 = 4
+"""
+)
+def cash_flow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cash-flow statement's page for each customer, orders as its rows, some with labels over two lines; a fifth has a row of three amounts for two years."""
+    c = F.col("c")
+    amounts = lambda x: F.concat_ws(" ", _show(x["k"]), F.when(x["k"] % 2 == 0, F.concat(F.lit("("), _show(x["p"]), F.lit(")"))).otherwise(_show(x["p"])))
+    rows = F.transform("items", lambda x: F.concat(F.when(x["k"] % 3 == 0, "Changes in\ngoods payable ").otherwise("Sale of goods "), amounts(x)))
+    shown = F.concat(F.array(F.lit("Statements of Cash Flows"), F.lit("Years Ended December 31, 2026 2025"), F.lit("Operating activities:")), rows, F.array_compact(F.array(F.when(c % 5 == 4, "Purchase of goods 1 2 3"), F.lit("See accompanying notes"))))
+    pages = _customers(spark, sf_dir).select(_show(c).alias("doc_id"), F.lit(1).alias("page"), F.lit("CashFlowStatement").alias("statement_type"), F.array_join(shown, "\n").alias("text"))
+    return _grid_rows(layouts.cash_flow_grids(pages))
+
+
+@query("""
+WITH l AS (
+  SELECT l_orderkey, l_linenumber, max(l_partkey) AS part, max(l_suppkey) AS supp, max(l_returnflag) = 'R' AS wide FROM lineitem GROUP BY ALL
+)
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(l_linenumber AS INTEGER) AS line, CAST(0 AS INTEGER) AS phrase, CASE WHEN wide THEN 'Part ' || part ELSE 'Part ' || part || ' of ' || supp END AS text, 0.0::DOUBLE AS x0, CASE WHEN wide THEN 50.0 ELSE 100.0 END::DOUBLE AS x1 FROM l
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS INTEGER), 1, 'of ' || supp, 60.0, 110.0 FROM l WHERE wide
+""")
+def word_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a line for each part of an order; where more than four points stand between two of them, a new phrase begins."""
+    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(_show(F.max("l_partkey")).alias("part"), _show(F.max("l_suppkey")).alias("supp"), F.when(F.max("l_returnflag") == "R", 10.0).otherwise(0.0).alias("off"))
+    word = lambda shown, x0, x1, off: F.struct(shown.alias("text"), (off + x0).alias("x0"), (off + x1).alias("x1"))
+    none, off = F.lit(0.0), F.col("off")
+    words = F.array(word(F.col("supp"), 64.0, 100.0, off), word(F.lit("Part"), 0.0, 20.0, none), word(F.lit("of"), 50.0, 60.0, off), word(F.col("part"), 24.0, 50.0, none))
+    own = line.select(_show(F.col("l_orderkey")).alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").cast("int").alias("line"), F.explode(words).alias("w")).select("doc_id", "page", "line", "w.*")
+    return grids.phrases(own).select("doc_id", "line", "phrase", "text", "x0", "x1")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT CAST(c AS VARCHAR) AS doc_id, CAST(n AS INTEGER) AS row_index, CASE k % 4 WHEN 0 THEN k || '|5.0% cash/ 2.0% PIK|05/2027' WHEN 1 THEN k || '|5.0%|PIK 05/2027' WHEN 2 THEN k || '|5.0% cash/ 2.0%|05/2027' ELSE k || '|5.0% cash/ 2.0%|PIK 13/2027' END AS cells FROM o
+UNION ALL SELECT DISTINCT CAST(c AS VARCHAR), 0, 'Name|Interest|Maturity' FROM o
+""")
+def schedule_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule for each customer: a PIK sign goes from a maturity to the cash rate on its left, but not to plain rates or from what is no month."""
+    k = F.col("o_orderkey")
+    rate = F.when(k % 4 == 1, "5.0%").otherwise("5.0% cash/ 2.0%")
+    ends = F.when(k % 4 == 2, "05/2027").when(k % 4 == 3, "PIK 13/2027").otherwise("PIK 05/2027")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.array(_show(k), rate, ends).alias("row")))), lambda x: x["row"])
+    own = read(spark, sf_dir, "orders").groupBy(_show(F.col("o_custkey")).alias("doc_id")).agg(F.concat(F.array(F.array(F.lit("Name"), F.lit("Interest"), F.lit("Maturity"))), rows).alias("rows"))
+    return own.select("doc_id", F.posexplode(grids.schedule_display(F.col("rows"))).alias("row_index", "row")).select("doc_id", "row_index", F.array_join("row", "|").alias("cells"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS c, o_orderkey % 5 AS f, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+l AS (
+  SELECT c, n, 1 AS line_no, CASE f WHEN 0 THEN 'Order ' || k WHEN 4 THEN '  ' ELSE '' END AS raw_text, CASE f WHEN 0 THEN 'TEXT_EXTRACTED' WHEN 1 THEN 'OCR_REQUIRED' WHEN 2 THEN 'OCR_REQUIRED' ELSE 'BLANK' END AS page_status FROM o
+  UNION ALL SELECT c, n, 2, k || '', 'TEXT_EXTRACTED' FROM o WHERE f = 0
+)
+SELECT CAST(c AS VARCHAR) AS doc_id, CAST(n AS INTEGER) AS source_page, CAST(line_no AS INTEGER) AS line_no, raw_text, page_status = 'TEXT_EXTRACTED' AS machine_readable, page_status, CAST(max(n) OVER (PARTITION BY c) AS INTEGER) AS page_count FROM l
+""")
+def page_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each order: lines of text; pictures or more than ten curves without text, to be read from an image; ten curves or blanks alone."""
+    k = F.col("o_orderkey")
+    f = k % 5
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    shown = F.when(f == 0, F.concat(F.lit("Order "), _show(k), F.lit("\r\n"), _show(k), F.lit("\n"))).when(f == 4, "  ").when(f != 3, "")
+    pages = read(spark, sf_dir, "orders").select(_show(F.col("o_custkey")).alias("doc_id"), n.alias("page"), shown.alias("text"), (f == 1).cast("int").alias("n_images"), F.when(f == 2, 11).otherwise(10).alias("n_curves"))
+    return text.page_lines(pages).join(text.page_counts(pages), "doc_id").select("doc_id", "source_page", "line_no", "raw_text", "machine_readable", "page_status", "page_count")
+
+
+@query("""
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_custkey AS VARCHAR) || '-t' AS "Scope", 'Table organization' AS "Check", 'WARN' AS "Status" FROM orders GROUP BY o_custkey HAVING bool_or(o_orderkey % 9 = 0)
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), CAST(o_custkey AS VARCHAR) || '-t', 'Source character decoding', 'WARN' FROM orders GROUP BY o_custkey HAVING bool_or(o_orderkey % 11 = 0)
+""")
+def grid_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid for each customer; some cells hold two numbers, some a character that couldn't be decoded."""
+    k = F.col("o_orderkey")
+    row = F.array(F.when(k % 11 == 0, "Ord\ufffdr").otherwise("Order"), F.when(k % 9 == 0, F.concat(_show(k), F.lit(" 7"))).otherwise(_show(k)))
+    doc = _show(F.col("o_custkey"))
+    own = read(spark, sf_dir, "orders").groupBy(doc.alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    return grids.warnings(own.withColumn("table_id", F.concat("doc_id", F.lit("-t")))).select("doc_id", "Scope", "Check", "Status")
