@@ -104,13 +104,14 @@ def _statement_events(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("run_id", F.explode(F.array_compact(events)).alias("e")).select("run_id", "e.*")
 
 
-def _row_events(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows of statements that both sides have and that differ, aligned by their keys: never by their values."""
+def _row_events(before: DataFrame, after: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows of the shared statements(run_id, kind) that differ, aligned by their keys: never by their values. One side of a statement may have no rows."""
     place = F.row_number().over(Window.partitionBy("run_id", "kind").orderBy("row")) - 1
     number = lambda frame: frame.withColumns({"pos": place, "_row": F.struct("label", "cells")})
     b, a = number(before), number(after)
     of = lambda frame, name: frame.groupBy("run_id", "kind").agg(F.bit_xor(F.xxhash64("pos", "key", "label", "cells", "critical")).alias(f"{name}h"), F.bit_xor(F.xxhash64(F.lit(1), "pos", "key", "label", "cells", "critical")).alias(f"{name}g"), F.count("*").alias(f"{name}n"))
-    differ = of(b, "b").join(of(a, "a"), ["run_id", "kind"]).filter("bh <> ah OR bg <> ag OR bn <> an").select("run_id", "kind")
+    both = of(b, "b").join(of(a, "a"), ["run_id", "kind"], "full_outer").join(shared, ["run_id", "kind"], "left_semi")
+    differ = both.filter("NOT (bh <=> ah AND bg <=> ag AND bn <=> an)").select("run_id", "kind")
     b, a = (frame.join(differ, ["run_id", "kind"], "left_semi") for frame in (b, a))
     script = aligned(b, a, ["run_id", "kind"], "row", "key")
     at = ["run_id", "kind"]
@@ -141,7 +142,9 @@ def compared(before: Runs, after: Runs) -> tuple[DataFrame, DataFrame]:
     completed = runs.filter("verdict = 'compared'").select("run_id")
     own = lambda frame: frame.join(completed, "run_id", "left_semi")
     outer = runs.select("run_id", F.explode("events").alias("e")).select("run_id", "e.*")
-    events = outer.unionByName(_statement_events(own(before.statements), own(after.statements))).unionByName(_row_events(own(before.rows), own(after.rows)))
+    old, new = own(before.statements), own(after.statements)
+    shared = old.select("run_id", "kind").join(new.select("run_id", "kind"), ["run_id", "kind"], "left_semi").distinct()
+    events = outer.unionByName(_statement_events(old, new)).unionByName(_row_events(own(before.rows), own(after.rows), shared))
     return runs.select("run_id", "verdict"), events.withColumn("issue_id", content_hash(*map(F.col, ("run_id", "code", "location", "before", "after"))))
 
 

@@ -135,3 +135,18 @@ def test_statements_and_rows(spark):
     assert (json.loads(old)["source_pages"], json.loads(new)["source_pages"]) == ([2], [3])
     assert {e.run_id: e.level for e in R.first_level(events).collect()} == {"r": "statement", "both": "statement"}
     assert events.select("issue_id").distinct().count() == len(got)
+
+
+def test_statements_that_lose_or_gain_every_row(spark):
+    row = lambda r, i, label, kind="BalanceSheet": (r, kind, i, label.lower(), label, ["1"], True)
+    runs = [run("emptied"), run("filled"), run("none"), run("parted")]
+    own = [(r, "BalanceSheet", "Sheet", "thousands") for r in ("emptied", "filled", "none")]
+    before = sides(spark, runs, [*own, ("parted", "BalanceSheet", "Sheet", "thousands")], [row("emptied", 1, "Cash"), row("emptied", 2, "Debt"), row("parted", 1, "Cash")])
+    after = sides(spark, runs, [*own, ("parted", "IncomeStatement", "Sheet", "thousands")], [row("filled", 1, "Cash"), row("parted", 1, "Sales", "IncomeStatement")])
+    got = {(e.run_id, e.code, e.location): (e.before, e.after) for e in R.compared(before, after)[1].collect()}
+    labels = lambda text: [r["label"] for r in json.loads(text)]
+    assert {k: tuple(map(labels, v)) for k, v in got.items() if k[0] != "parted"} == {
+        ("emptied", "ROWS_REMOVED_ADDED_OR_REORDERED", "BalanceSheet:rows:0:2"): (["Cash", "Debt"], []),
+        ("filled", "ROWS_REMOVED_ADDED_OR_REORDERED", "BalanceSheet:rows:0:0"): ([], ["Cash"]),
+    }
+    assert {k[1] for k in got if k[0] == "parted"} == {"STATEMENT_SET_CHANGED"}
