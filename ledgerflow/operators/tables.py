@@ -43,8 +43,9 @@ def rules(edges: DataFrame, thick: float = THICK, shortest: float = SHORTEST, sn
     sides = F.when(flat & (x1 - x0 >= bottom - top), F.array(across)).when(upright, F.array(down)).otherwise(box)
     clean = ~F.isnan(x0 + x1 + top + bottom) & (x0 <= x1) & (top <= bottom)
     found = edges.filter(clean).select(*PAGE, F.explode(sides).alias("s")).select(*PAGE, "s.*").filter(F.col("hi") - F.col("lo") >= shortest)
-    near = Window.partitionBy(*PAGE, "level").orderBy("at", "lo", "hi")
-    lines = found.withColumn("_line", F.sum(F.coalesce((F.col("at") - F.lag("at").over(near) > snap).cast("int"), F.lit(0))).over(near))
+    near = Window.partitionBy(*PAGE).orderBy("level", "at", "lo", "hi")  # by page alone: what follows is dealt like this, and nothing is shuffled again
+    apart = (F.lag("level").over(near) != F.col("level")) | (F.col("at") - F.lag("at").over(near) > snap)
+    lines = found.withColumn("_line", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(near))
     line = Window.partitionBy(*PAGE, "level", "_line").orderBy("lo", "hi")
     reached = F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
     runs = lines.withColumn("_run", F.coalesce((F.col("lo") > reached + snap).cast("int"), F.lit(0))).withColumn("_run", F.sum("_run").over(line))
@@ -54,22 +55,26 @@ def rules(edges: DataFrame, thick: float = THICK, shortest: float = SHORTEST, sn
 
 def corners(rules: DataFrame, reach: float = REACH) -> DataFrame:
     """Where a level rule and an upright one meet: x, y, the rules (by `row` and `column`, where each begins), and whether they go on to the left, right, up
-    and down of it. Rules meet in squares of the page: a level one is in all squares along it, an upright one too, so each corner is found in one."""
-    level = rules.filter("level").select(*PAGE, F.col("at").alias("y"), F.col("lo").alias("row"), F.col("hi").alias("row_end"))
-    level = level.withColumns({"_by": _bin(F.col("y"))}).select("*", _bins(F.col("row") - reach, F.col("row_end") + reach).alias("_bx"))
-    upright = rules.filter("NOT level").select(*PAGE, F.col("at").alias("x"), F.col("lo").alias("column"), F.col("hi").alias("column_end"))
-    upright = upright.withColumns({"_bx": _bin(F.col("x"))}).select("*", _bins(F.col("column") - reach, F.col("column_end") + reach).alias("_by"))
+    and down of it. Rules meet in squares of the page: a level one is in all squares along it, an upright one too, so each corner is found in one. Rows are
+    grouped by page and square, not joined, so pages that are dealt stay where they are. State: the rules of one square."""
+    along = F.explode(F.sequence(_bin(F.col("lo") - reach), _bin(F.col("hi") + reach))).alias("_along")
+    own = _bin(F.col("at"))
+    spread = rules.select(*PAGE, "level", F.struct("at", "lo", "hi").alias("rule"), own.alias("_own"), along)
+    bins = {"_bx": F.when(F.col("level"), F.col("_along")).otherwise(F.col("_own")), "_by": F.when(F.col("level"), F.col("_own")).otherwise(F.col("_along"))}
+    squares = spread.withColumns(bins).groupBy(*PAGE, "_bx", "_by").agg(F.collect_list(F.when(F.col("level"), F.col("rule"))).alias("_level"), F.collect_list(F.when(~F.col("level"), F.col("rule"))).alias("_upright"))
+    pairs = squares.filter("size(_level) > 0 AND size(_upright) > 0").select(*PAGE, "_upright", F.explode("_level").alias("l")).select(*PAGE, "l", F.explode("_upright").alias("u"))
+    pairs = pairs.select(*PAGE, F.col("u.at").alias("x"), F.col("l.at").alias("y"), F.col("l.lo").alias("row"), F.col("u.lo").alias("column"), F.col("l.hi").alias("row_end"), F.col("u.hi").alias("column_end"))
     x, y = F.col("x"), F.col("y")
     meet = x.between(F.col("row") - reach, F.col("row_end") + reach) & y.between(F.col("column") - reach, F.col("column_end") + reach)
     arms = {"left": F.col("row") < x - reach, "right": F.col("row_end") > x + reach, "up": F.col("column") < y - reach, "down": F.col("column_end") > y + reach}
-    return level.join(upright, [*PAGE, "_bx", "_by"]).filter(meet).select(*PAGE, "x", "y", "row", "column", *[c.alias(n) for n, c in arms.items()])
+    return pairs.filter(meet).select(*PAGE, "x", "y", "row", "column", *[c.alias(n) for n, c in arms.items()])
 
 
 def bounded_cells(corners: DataFrame) -> DataFrame:
     """x0, x1, top, bottom of each cell: a rectangle with rules along all four sides and none that begins at its upper or left side and goes into it.
 
     From a corner that goes right and down, the cell ends at the next corner along the upper rule that goes down, and at the next along the left rule that
-    goes right; it is one if the rules through these meet in a corner as well. Windows along rules, and one equi-join: no pairs of corners are tried.
+    goes right; it is one if the rules through these meet in a corner as well. Windows along rules and at that corner: no pairs of corners are tried.
     """
     place = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("begin"))
     before = lambda keys, order: Window.partitionBy(*PAGE, *keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
@@ -79,10 +84,14 @@ def bounded_cells(corners: DataFrame) -> DataFrame:
             "_low": F.last(F.when(F.col("right"), place("y", "row")), ignorenulls=True).over(before(("x", "column"), ("y", "row"))),
         }
     )
-    open_ = ends.filter(F.col("right") & F.col("down") & F.col("_right").isNotNull() & F.col("_low").isNotNull())
-    first = open_.select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("top"), F.col("_right.at").alias("x"), F.col("_right.begin").alias("column"), F.col("_low.at").alias("y"), F.col("_low.begin").alias("row"))
-    last = corners.filter(F.col("left") & F.col("up")).select(*PAGE, "x", "y", "row", "column")
-    return first.join(last, [*PAGE, "x", "y", "row", "column"]).select(*PAGE, "x0", F.col("x").alias("x1"), "top", F.col("y").alias("bottom"))
+    none = F.lit(None).cast("double")
+    at = lambda x, column, y, row, x0, top: F.struct(x.alias("x"), column.alias("column"), y.alias("y"), row.alias("row"), x0.alias("x0"), top.alias("top"))
+    x, y = F.col("x"), F.col("y")
+    opens = F.when(F.col("right") & F.col("down") & F.col("_right").isNotNull() & F.col("_low").isNotNull(), at(F.col("_right.at"), F.col("_right.begin"), F.col("_low.at"), F.col("_low.begin"), x, y))
+    closes = F.when(F.col("left") & F.col("up"), at(x, F.col("column"), y, F.col("row"), none, none))
+    marks = ends.select(*PAGE, F.explode(F.array_compact(F.array(opens, closes))).alias("c")).select(*PAGE, "c.*")
+    closed = marks.withColumn("_closed", F.max(F.col("x0").isNull()).over(Window.partitionBy(*PAGE, "x", "column", "y", "row")))
+    return closed.filter("_closed AND x0 IS NOT NULL").select(*PAGE, "x0", F.col("x").alias("x1"), "top", F.col("y").alias("bottom"))
 
 
 _CELL = ("x0", "x1", "top", "bottom")
@@ -146,21 +155,27 @@ def _words(words: DataFrame) -> DataFrame:
     return lines_of_words(words.withColumnRenamed("source_page", "page")).withColumnRenamed("page", "source_page")
 
 
-def ruled_cells(edges: DataFrame, words: DataFrame) -> DataFrame:
+def ruled_cells(edges: DataFrame, words: DataFrame, partitions: int | None = None) -> DataFrame:
     """The ruled tables of pages with their texts: doc_id, source_page, table_id, flavor, order, row_index, column_index, rowspan, colspan, raw_text, x0, x1,
     top, bottom.
 
     edges(doc_id, source_page, x0, x1, top, bottom), words(doc_id, source_page, text, x0, x1, top, bottom). A word is in the cell that holds its middle;
-    cells without words have an empty text. Pages without words or edges have no row. Cells and words meet in squares of the page.
+    cells without words have an empty text. Pages without words or edges have no row. Cells and words meet in squares of the page, whose words are in one row;
+    `partitions`: how many the pages are dealt over for this, else the session's number.
     """
     cells = placed_cells(bounded_cells(corners(rules(edges))))
-    spread = cells.select("*", _bins(F.col("x0"), F.col("x1")).alias("_bx")).select("*", _bins(F.col("top"), F.col("bottom")).alias("_by"))
-    middle = {"_x": (F.col("x0") + F.col("x1")) / 2, "_y": (F.col("top") + F.col("bottom")) / 2}
-    own = _words(words).withColumns(middle).select(*PAGE, "_x", "_y", F.struct("line", F.col("x0").alias("x0"), "text").alias("word"), _bin(F.col("_x")).alias("_bx"), _bin(F.col("_y")).alias("_by"))
-    key = [*PAGE, "table_index", "row_index", "column_index"]
-    within = (F.col("_x") >= F.col("x0")) & (F.col("_x") < F.col("x1")) & (F.col("_y") >= F.col("top")) & (F.col("_y") < F.col("bottom"))
-    texts = spread.join(own, [*PAGE, "_bx", "_by"]).filter(within).groupBy(*key).agg(text_of(F.array_sort(F.collect_list("word"))).alias("_text"))
-    return _named(cells.join(texts, key, "left").withColumn("raw_text", F.coalesce("_text", F.lit(""))), "ruled")
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    own = _words(words).select(*PAGE, F.struct("line", F.col("x0").alias("x0"), "text", x.alias("x"), y.alias("y")).alias("word"))
+    both = cells.select(*PAGE, F.struct(*_PLACE, *_CELL).alias("cell")).unionByName(own, allowMissingColumns=True)
+    both = both.repartition(partitions, *PAGE) if partitions else both.repartition(*PAGE)
+    side = lambda lo, hi, at: F.explode(F.when(F.col("word").isNull(), F.sequence(_bin(F.col(lo)), _bin(F.col(hi)))).otherwise(F.array(_bin(F.col(at)))))
+    spread = both.select("*", side("cell.x0", "cell.x1", "word.x").alias("_bx")).select("*", side("cell.top", "cell.bottom", "word.y").alias("_by"))
+    squares = spread.groupBy(*PAGE, "_bx", "_by").agg(F.collect_list("cell").alias("cells"), F.collect_list("word").alias("words"))
+    c = F.col("cell")
+    within = F.filter("words", lambda w: (w["x"] >= c["x0"]) & (w["x"] < c["x1"]) & (w["y"] >= c["top"]) & (w["y"] < c["bottom"]))
+    parts = squares.select(*PAGE, "words", F.explode("cells").alias("cell")).select(*PAGE, "cell", F.transform(within, lambda w: F.struct(w["line"].alias("line"), w["x0"].alias("x0"), w["text"].alias("text"))).alias("words"))
+    texts = parts.groupBy(*PAGE, "cell").agg(text_of(F.array_sort(F.flatten(F.collect_list("words")))).alias("raw_text"))
+    return _named(texts.select(*PAGE, "cell.*", "raw_text"), "ruled")
 
 
 def _named(cells: DataFrame, flavor: str) -> DataFrame:
@@ -186,10 +201,10 @@ def rivers(words: DataFrame, least: float = RIVER, share: float = 0.0) -> DataFr
     """doc_id, source_page, table_index, x (the middle), lo, hi of each river of a block: stretches at least so wide where at most `share` of its lines have a
     word. A sweep over the words' sides: as words of a line don't overlap, the words that are open at a place are the lines with a word there."""
     key = [*PAGE, "table_index"]
-    sides = words.select(*key, F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("n")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("n")))).alias("s")).groupBy(*key, F.col("s.x").alias("x")).agg(F.sum("s.n").alias("n"))
-    lines = words.groupBy(*key).agg((F.max("row_index") + 1).alias("_lines"))
+    sized = words.withColumn("_lines", F.max("row_index").over(Window.partitionBy(*key)) + 1)
+    sides = sized.select(*key, "_lines", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("n")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("n")))).alias("s")).groupBy(*key, F.col("s.x").alias("x")).agg(F.sum("s.n").alias("n"), F.max("_lines").alias("_lines"))
     sweep = Window.partitionBy(*key).orderBy("x")
-    open_ = sides.join(lines, key).withColumn("_low", F.sum("n").over(sweep) <= F.col("_lines") * share).withColumn("_next", F.lead("x").over(sweep)).filter("_next IS NOT NULL")
+    open_ = sides.withColumn("_low", F.sum("n").over(sweep) <= F.col("_lines") * share).withColumn("_next", F.lead("x").over(sweep)).filter("_next IS NOT NULL")
     start = F.coalesce(F.lag("_low").over(sweep) != F.col("_low"), F.lit(True)).cast("int")
     runs = open_.withColumn("_start", start).withColumn("_run", F.sum("_start").over(sweep)).filter("_low")
     found = runs.groupBy(*key, "_run").agg(F.min("x").alias("lo"), F.max("_next").alias("hi")).filter(F.col("hi") - F.col("lo") >= least)

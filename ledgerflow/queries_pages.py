@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import tables
 from ledgerflow.queries import ORACLE_SQL, QUERIES, query, read
+from ledgerflow.staging import parts
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -19,11 +20,14 @@ WITH lines AS (
 """
 
 
-def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A page for each order with a row for each line number: edges and words. The last two columns are one cell where the line is open."""
-    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_quantity").cast("long").alias("quantity"), (F.max("l_linestatus") == "O").alias("joined"))
-    nth = F.row_number().over(tables.Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    line = line.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("source_page"), (nth * 20.0).alias("y"), *line.columns[1:])
+def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """A page for each order with a row for each line number: edges, words, and over how many partitions they are dealt. The last two columns are one cell where the line is open."""
+    items = read(spark, sf_dir, "lineitem")
+    n = parts(items)
+    own = items.select(F.col("l_orderkey").cast("string").alias("doc_id"), "l_linenumber", "l_partkey", "l_quantity", "l_linestatus").repartition(n, "doc_id")
+    line = own.groupBy("doc_id", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_quantity").cast("long").alias("quantity"), (F.max("l_linestatus") == "O").alias("joined"))
+    nth = F.row_number().over(tables.Window.partitionBy("doc_id").orderBy("l_linenumber"))
+    line = line.select("doc_id", F.lit(1).alias("source_page"), (nth * 20.0).alias("y"), *line.columns[1:])
     y = F.col("y")
 
     def box(x0: float, x1: float, top: Column, bottom: Column, when: Column | None = None) -> Column:
@@ -34,7 +38,7 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     word = lambda text, x: F.struct(text.alias("text"), F.lit(x).alias("x0"), F.lit(x + 30).alias("x1"), (y + 6).alias("top"), (y + 14).alias("bottom"))
     words = F.array(word(F.concat(F.lit("#"), F.col("l_linenumber").cast("string")), 10.0), word(F.col("quantity").cast("string"), 110.0), word(F.col("part").cast("string"), 210.0))
     each = lambda found: line.select("doc_id", "source_page", F.explode(F.array_compact(found)).alias("e")).select("doc_id", "source_page", "e.*")
-    return each(edges), each(words)
+    return each(edges), each(words), n
 
 
 @query(
@@ -47,8 +51,8 @@ UNION ALL SELECT CAST(l_orderkey AS VARCHAR), row_index, 2, 1, part || '' FROM p
 )
 def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells that rules bound, with what stands in them. tests/test_tables.py has random rectangles and rules off their places."""
-    edges, words = _order_pages(spark, sf_dir)
-    return tables.ruled_cells(edges, words).select("doc_id", "row_index", "column_index", "colspan", "raw_text")
+    edges, words, n = _order_pages(spark, sf_dir)
+    return tables.ruled_cells(edges, words, n).select("doc_id", "row_index", "column_index", "colspan", "raw_text")
 
 
 @query(
@@ -61,8 +65,8 @@ FROM placed, (VALUES ('ruled'), ('spaced')) f(flavor) GROUP BY l_orderkey, flavo
 )
 def table_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ways to find tables on the same pages, and how many of their texts' numbers each has; one line alone is no block."""
-    edges, words = _order_pages(spark, sf_dir)
-    found = tables.ruled_cells(edges, words).unionByName(tables.spaced_cells(words))
+    edges, words, n = _order_pages(spark, sf_dir)
+    found = tables.ruled_cells(edges, words, n).unionByName(tables.spaced_cells(words))
     metrics = tables.method_metrics(words.withColumnRenamed("text", "raw_text"), found, words)
     return metrics.select("doc_id", "flavor", "tables", "rows", "reference_tokens", "matched_tokens", "recall")
 
@@ -77,11 +81,12 @@ UNION ALL SELECT CAST(o_custkey AS VARCHAR), row_index, 1 + middle, CAST(floor(o
 """)
 def spaced_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each customer with a line for each order: columns by the white between words, where a customer may have no middle one."""
-    own = read(spark, sf_dir, "orders")
-    y = F.row_number().over(tables.Window.partitionBy("o_custkey").orderBy("o_orderkey")) * 12.0
+    orders = read(spark, sf_dir, "orders")
+    own = orders.select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderkey", "o_orderstatus", "o_totalprice").repartition(parts(orders), "doc_id")
+    y = F.row_number().over(tables.Window.partitionBy("doc_id").orderBy("o_orderkey")) * 12.0
     own = own.withColumns({"y": y, "shift": (F.col("o_orderkey") % 3).cast("double")})
     word = lambda text, x0, x1: F.struct(text.alias("text"), x0.alias("x0"), x1.alias("x1"), F.col("y").alias("top"), (F.col("y") + 8).alias("bottom"))
     status = F.when(F.col("o_orderstatus") != "O", word(F.col("o_orderstatus"), F.col("shift") + 90, F.col("shift") + 110))
     words = F.array(word(F.lit("Order"), F.lit(10.0), F.lit(40.0)), word(F.col("o_orderkey").cast("string"), F.lit(43.0), F.lit(70.0)), status, word(F.floor("o_totalprice").cast("string"), F.lit(130.0), F.lit(180.0)))
-    page = own.select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("source_page"), F.explode(F.array_compact(words)).alias("w")).select("doc_id", "source_page", "w.*")
+    page = own.select("doc_id", F.lit(1).alias("source_page"), F.explode(F.array_compact(words)).alias("w")).select("doc_id", "source_page", "w.*")
     return tables.spaced_cells(page).select("doc_id", "row_index", "column_index", "raw_text", "x0", "x1")

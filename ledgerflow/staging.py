@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 
@@ -18,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='ledgerflow-')}")
     return df.checkpoint()
+
+
+def parts(table: DataFrame, each: int = 250_000) -> int:
+    """Partitions of about `each` rows of a table, but no fewer than the session has: what a task holds doesn't grow with the table. The rows are counted; of
+    files that is reading footers."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(table.count() / each))

@@ -156,3 +156,11 @@ def test_spaced_tables_and_recall_by_method(spark):
 def test_pages_of_nothing(spark):
     edges, words = spark.createDataFrame([], EDGE), spark.createDataFrame([], WORD)
     assert T.ruled_cells(edges, words).count() == 0 and T.spaced_cells(words).count() == 0
+
+
+def test_pages_are_dealt_once_and_not_joined(spark):
+    edges, words = spark.createDataFrame([("d", 1, 0.0, 9.0, 0.0, 0.0)], EDGE), spark.createDataFrame([("d", 1, "w", 0.0, 9.0, 0.0, 8.0)], WORD)
+    plan = lambda found: found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    ruled, spaced = plan(T.ruled_cells(edges, words)), plan(T.spaced_cells(words))
+    assert "Join" not in ruled + spaced
+    assert ruled.count("Exchange hashpartitioning") <= 4 and spaced.count("Exchange hashpartitioning") <= 4
