@@ -22,8 +22,8 @@ COORDINATES, BANDS, ROWS = 128, 25, 5
 LEAST_AGREE = math.ceil(COORDINATES * (SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)))
 #: Members of a bucket that one task compares with as many others, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
-#: Buckets of more blocks than this are dealt anew by their members' other bands, so many times at most: see crossing().
-SPLIT_BLOCKS, SPLITS = 24, 2
+#: Not read any more: buckets of every size are compared in the same way, see crossing(). Tests still set it.
+SPLIT_BLOCKS = 24
 #: What a shingle that stands n times in a text weighs.
 WEIGHTS = {"count": lambda n: n, "log": lambda n: 1 + np.log(n), "set": np.ones_like}
 
@@ -227,24 +227,13 @@ def crossing(members: DataFrame, contents: DataFrame, labels: DataFrame, sets: D
     holds two blocks. Within two blocks, pairs whose sketches agree in LEAST_AGREE coordinates are compared on whole sets, the most alike first, unless
     links found there have joined their components already: those links are all that leaves the task.
 
-    A bucket of n members in blocks sends each member out once for each block. From SPLIT_BLOCKS blocks on it is cheaper to look closer: its members are
-    dealt anew by the bucket and another band (ten coordinates instead of five, at most BANDS - 1 rows a member), in which pairs of similarity 0.8 meet with
-    probability 0.9999, while texts that only share a template mostly part; then once more. Blocks deal with whatever stays together after SPLITS times.
+    A bucket of n members in blocks sends each member out once for each block, whatever its size: no pair is left out because a bucket is large. The work of
+    a bucket whose members stay apart is quadratic, in tasks of two blocks.
     """
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = labelled.filter("node = leader").select("bucket", F.col("label").alias("main"))
     inside = staged(opened(spread(labelled.filter("node != leader").select("bucket", "node", "label", "size"), main, "bucket", "node")), "inside")
-    ready = inside.filter(F.col("blocks") <= SPLIT_BLOCKS)
-    for _ in range(SPLITS):
-        large = inside.filter(F.col("blocks") > SPLIT_BLOCKS)
-        if not large.limit(1).count():
-            break
-        keyed = large.join(contents.select("node", "keys"), "node").select("bucket", "node", "label", "main", "size", F.explode("keys").alias("key")).filter("key != bucket")
-        inside = staged(opened(keyed.withColumn("bucket", F.xxhash64("bucket", "key")).drop("key").distinct()), "inside")
-        ready = ready.unionByName(inside.filter(F.col("blocks") <= SPLIT_BLOCKS))
-    else:
-        ready = ready.unionByName(inside.filter(F.col("blocks") > SPLIT_BLOCKS))
-    blocked = ready.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocked = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rest = blocked.filter("label != main").withColumn("other", every).select("bucket", "node", "label", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("first"))
     all_ = blocked.withColumn("other", every).select("bucket", "node", "label", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("first"))
@@ -331,9 +320,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     come last as a class's least id; repeated rows are copies; rows that share an id but not a text are documents of their own; leaders of equal score: the
     larger hash; an empty table gives no rows; other columns aren't read. A very long text is read whole, in a batch of its own.
 
-    Three steps are probable and not exact: a pair of similarity 0.8 shares a band in 99.995 of 100 cases; within blocks, pairs whose sketches agree in fewer
-    than LEAST_AGREE coordinates (four standard deviations below) aren't compared; and in a bucket of more than SPLIT_BLOCKS blocks a pair is only met if it
-    shares another band too, up to SPLITS times, each of which loses one such pair in 10,000 at most. With SPLITS = 0 such buckets are compared whole.
+    Two steps are probable and not exact: a pair of similarity 0.8 shares a band in 99.995 of 100 cases; and within blocks, pairs whose sketches agree in fewer
+    than LEAST_AGREE coordinates (four standard deviations below) aren't compared.
     """
     return classified(docs, id_column, text_column, weights).rows.drop("text_hash", "label")
 

@@ -452,6 +452,19 @@ def test_classes_by_brute_force(spark, monkeypatch, blocks):
     assert sorted(r["doc_id"] for r in left) == sorted(set(classes.values()))
 
 
+def test_a_pair_of_a_large_bucket_that_shares_no_other_band(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SPLIT_BLOCKS", 0)  # every bucket was a large one then
+    cells = lambda k: bytearray(near_dup.packed_set(np.arange(k, k + 10, dtype=np.uint64), np.ones(10)))
+    a, b, leader = (bytearray([k] * 16) for k in (1, 2, 3))
+    members = spark.createDataFrame([(7, n, leader, 120) for n in (a, b, leader)], "bucket long, node binary, leader binary, size int")
+    sketch = bytearray(2 * near_dup.COORDINATES)
+    contents = spark.createDataFrame([(a, [7, 1], sketch), (b, [7, 2], sketch), (leader, [7, 3], sketch)], "node binary, keys array<long>, sketch binary")
+    sets = spark.createDataFrame([(a, cells(0)), (b, cells(0)), (leader, cells(50))], "node binary, cells binary")
+    labels = spark.createDataFrame([], "node binary, label binary")
+    found = near_dup.crossing(members, contents, labels, sets).collect()
+    assert {(bytes(r["a"]), bytes(r["b"]), r["similarity"]) for r in found} == {(bytes(a), bytes(b), 1.0)}
+
+
 def test_texts_with_a_shared_id_stay(spark):
     speak = lambda k: " ".join(f"{k}{i}" for i in range(40))
     t, u, v = speak("t"), speak("u"), speak("v")
