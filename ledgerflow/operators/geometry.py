@@ -95,12 +95,10 @@ def columns_of_rules(edges: DataFrame, off: float = EDGES_OFF, wide: float = WID
     ends = rules.select(*K, "rule", F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("x0").alias("x")), F.struct(F.lit("hi").alias("side"), F.col("x1").alias("x")))).alias("e")).select(*K, "rule", "e.*")
     order = Window.partitionBy(*K).orderBy("x", "rule", "side")
     islands = ends.withColumn("_new", F.coalesce((F.col("x") - F.lag("x").over(order) > off).cast("int"), F.lit(0))).withColumn("island", F.sum("_new").over(order))
-    places = islands.groupBy(*K, "island").agg(F.avg("x").alias("at"))
-    sides = islands.groupBy(*K, "rule").agg(*[F.max(F.when(F.col("side") == s, F.col("island"))).alias(s) for s in ("lo", "hi")])
-    spans = sides.filter("hi = lo + 1").select(*K, "lo", "hi").distinct()
-    left, right = (places.select(*K, F.col("island").alias(s), F.col("at").alias(f"_{s}")) for s in ("lo", "hi"))
-    bounds = spans.join(left, [*K, "lo"]).join(right, [*K, "hi"])
-    return bounds.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))).alias("columns"))
+    placed = islands.withColumn("at", F.avg("x").over(Window.partitionBy(*K, "island")))
+    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    sides = placed.groupBy(*K, "rule").agg(of("lo", "island").alias("lo"), of("hi", "island").alias("hi"), F.struct(of("lo", "at").alias("lo"), of("hi", "at").alias("hi")).alias("span"))
+    return sides.filter("hi = lo + 1").groupBy(*K).agg(F.array_sort(F.collect_set("span")).alias("columns"))
 
 
 def _tokens(text: Column) -> Column:
@@ -223,8 +221,10 @@ def component_columns(pages: DataFrame) -> DataFrame:
 
 
 def component_rows(words: DataFrame, columns: DataFrame) -> DataFrame:
-    """Lines of words cut at columns(doc_id, page, edges): doc_id, page, line, top, text, cells (a text for each column, by the words' centres)."""
-    own = words.join(columns.select(*K, "edges"), K).withColumn("_k", _column_of((F.col("x0") + F.col("x1")) / 2))
+    """Lines of words cut at columns(doc_id, page, edges): doc_id, page, line, top, text, cells (a text for each column, by the words' centres). Words
+    meet their page's edges in a window: pages that are dealt stay where they are."""
+    both = words.unionByName(columns.select(*K, "edges"), allowMissingColumns=True)
+    own = both.withColumn("edges", F.max("edges").over(Window.partitionBy(*K))).filter("edges IS NOT NULL AND line IS NOT NULL").withColumn("_k", _column_of((F.col("x0") + F.col("x1")) / 2))
     parts = own.groupBy(*K, "line", "edges", "_k").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("_words"), F.min("top").alias("top"))
     rows = parts.groupBy(*K, "line", "edges").agg(F.map_from_entries(F.collect_list(F.struct("_k", F.array_join(F.transform("_words", lambda w: w["text"]), " ")))).alias("by"), F.min("top").alias("top"), F.array_sort(F.flatten(F.collect_list("_words"))).alias("_all"))
     cells = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda k: F.coalesce(F.try_element_at(F.col("by"), k), F.lit("")))

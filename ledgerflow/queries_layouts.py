@@ -10,6 +10,7 @@ from ledgerflow.operators import audits, completeness, geometry, grids, layouts
 from ledgerflow.plans import pages as plans
 from ledgerflow.queries import ORACLE_SQL, QUERIES, query, read
 from ledgerflow.sources import html, text
+from ledgerflow.staging import dealt
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -143,8 +144,8 @@ WITH l AS (
 
 def _ruled_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Wide rules and words of a page for each order: two or three rules for each line, a little off, some across two columns, and short ones."""
-    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_linestatus") == "O").alias("third"), (F.max("l_returnflag") == "R").alias("long"), _show(F.max("l_partkey")).alias("part"))
-    line = line.select(_show(F.col("l_orderkey")).alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("i"), (F.col("l_linenumber") % 3 * 0.5).alias("j"), "third", "long", "part")
+    line = dealt(read(spark, sf_dir, "lineitem").withColumn("doc_id", _show(F.col("l_orderkey"))), "doc_id").groupBy("doc_id", "l_linenumber").agg((F.max("l_linestatus") == "O").alias("third"), (F.max("l_returnflag") == "R").alias("long"), _show(F.max("l_partkey")).alias("part"))
+    line = line.select("doc_id", F.lit(1).alias("page"), F.col("l_linenumber").alias("i"), (F.col("l_linenumber") % 3 * 0.5).alias("j"), "third", "long", "part")
     j, top = F.col("j"), F.col("i") * 20.0
     rule = lambda x0, x1: F.struct((j + x0).alias("x0"), (F.lit(float(x1)) - j).alias("x1"))
     rules = F.array_compact(F.array(rule(0, 100), rule(100, 200), F.when(F.col("third"), rule(200, 300)), F.when(F.col("long"), rule(0, 200)), rule(150, 160)))
