@@ -257,12 +257,13 @@ FROM r LEFT JOIN l ON l.k = r.k AND l.i = r.row_index WHERE notes IS NULL OR r.r
 """)
 def assembled_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table for each order from its cells, a full rectangle up to the row that opens the notes; rows and cells that aren't there are empty."""
-    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(_show(F.max("l_partkey")).alias("part"), _show(F.max("l_suppkey")).alias("supp"), (F.max("l_returnflag") == "R").alias("wide"))
+    items = dealt(read(spark, sf_dir, "lineitem").withColumn("doc_id", _show(F.col("l_orderkey"))), "doc_id")
+    line = items.groupBy("doc_id", "l_orderkey", "l_linenumber").agg(_show(F.max("l_partkey")).alias("part"), _show(F.max("l_suppkey")).alias("supp"), (F.max("l_returnflag") == "R").alias("wide"))
     opens = (F.col("l_orderkey") + F.col("l_linenumber")) % 11 == 0
     cell = lambda column, text, span: F.struct(F.lit(column).alias("column_index"), text.alias("raw_text"), F.lit(1).alias("rowspan"), span.alias("colspan"))
     label = F.when(opens, "Notes to Financial Statements").otherwise(F.concat(F.lit("Part "), F.col("part")))
     own = F.array_compact(F.array(cell(0, label, F.when(F.col("wide"), 3).otherwise(1)), F.when(~F.col("wide"), cell(2, F.when(~opens, F.col("supp")), F.lit(1))), cell(2, F.lit(None).cast("string"), F.lit(1))))
-    cells = line.select(_show(F.col("l_orderkey")).alias("doc_id"), F.lit("t").alias("table_id"), F.lit(1).alias("source_page"), F.col("l_linenumber").alias("row_index"), F.posexplode(own).alias("n", "x"))
+    cells = line.select("doc_id", F.lit("t").alias("table_id"), F.lit(1).alias("source_page"), F.col("l_linenumber").alias("row_index"), F.posexplode(own).alias("n", "x"))
     last = F.row_number().over(Window.partitionBy("doc_id", "row_index", "x.column_index").orderBy("n"))
     cells = cells.withColumn("selected", last == 1).select("doc_id", "table_id", "source_page", "row_index", "selected", "x.*")
     found = grids.trimmed(grids.assembled(cells)).select("doc_id", "spans", F.posexplode("rows").alias("row_index", "row"))
