@@ -229,7 +229,8 @@ def split_parentheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = _show(F.floor("o_totalprice").cast("long"))
     loss = F.col("o_orderstatus") == "F"
     row = F.array(F.concat(F.lit("Order "), _show(key)), F.when(loss, F.concat(F.lit("("), price)).otherwise(price), F.when(loss, ")").otherwise(""), F.when(key % 5 == 0, "%").otherwise(_show(key)))
-    made = read(spark, sf_dir, "orders").groupBy(_show(F.col("o_custkey")).alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    own = dealt(read(spark, sf_dir, "orders").withColumn("doc_id", _show(F.col("o_custkey"))), "doc_id")
+    made = own.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), row.alias("row")))), lambda x: x["row"]).alias("rows"))
     return grids.split_parentheses(made, ["doc_id"])
 
 
