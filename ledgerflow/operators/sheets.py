@@ -26,22 +26,24 @@ def _blank(v: Column) -> Column:
     return F.coalesce(v, F.lit("")) == ""
 
 
-def display(rows: Column, spans: Column) -> tuple[Column, Column]:
-    """A literal grid's rows and spans as they are written.
+def displayed(grids: DataFrame) -> DataFrame:
+    """grids(rows, spans) with rows and spans as they are written. A null grid stays null.
 
     Rows without a text go, unless a span with one reaches over them; spans follow the rows that are left, and those that are one cell or leave the grid go.
     Cells under a span are empty but for its first. A percent sign in a cell of its own joins the number on its left, and its cell is empty.
+    What stays and where spans go are columns of their own: within the expression for a cell they would be worked out again for each cell.
     """
+    rows, spans, kept, moved = (F.col(c) for c in ("rows", "_spans", "_kept", "_moved"))
     n = F.size(rows)
-    spans = F.coalesce(spans, F.array().cast(SPAN))
+    own = grids.withColumn("_spans", F.coalesce(F.col("spans").cast(SPAN), F.array().cast(SPAN)) if "spans" in grids.columns else F.array().cast(SPAN))
     text = lambda r, c: F.coalesce(F.get(F.get(rows, r), c), F.lit(""))
     over = lambda r: F.exists(spans, lambda s: (s["r"] <= r) & (r < s["r"] + s["rs"]) & (text(s["r"], s["c"]) != ""))
-    kept = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda r: F.exists(F.get(rows, r), lambda v: ~_blank(v)) | over(r))).otherwise(F.array().cast("array<int>"))
+    own = own.withColumn("_kept", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda r: F.exists(F.get(rows, r), lambda v: ~_blank(v)) | over(r))).otherwise(F.array().cast("array<int>")))
     inside = F.filter(spans, lambda s: F.array_contains(kept, s["r"]) & (s["r"] + s["rs"] <= n) & (s["c"] + s["cs"] <= F.size(F.get(rows, s["r"]))))
     place = lambda r: (F.array_position(kept, r) - 1).cast("int")
     high = lambda s: F.size(F.filter(kept, lambda r: (r >= s["r"]) & (r < s["r"] + s["rs"])))
-    moved = F.transform(inside, lambda s: F.struct(place(s["r"]).alias("r"), s["c"].alias("c"), high(s).alias("rs"), s["cs"].alias("cs")))
-    moved = F.filter(moved, lambda s: (s["rs"] != 1) | (s["cs"] != 1))
+    placed = F.transform(inside, lambda s: F.struct(place(s["r"]).alias("r"), s["c"].alias("c"), high(s).alias("rs"), s["cs"].alias("cs")))
+    own = own.withColumn("_moved", F.filter(placed, lambda s: (s["rs"] != 1) | (s["cs"] != 1)))
     covered = lambda i, c: F.exists(moved, lambda s: (s["r"] <= i) & (i < s["r"] + s["rs"]) & (s["c"] <= c) & (c < s["c"] + s["cs"]) & ((s["r"] != i) | (s["c"] != c)))
     number = lambda v: parse(v)["status"] == "NUMERIC"
     sign = lambda v: F.coalesce(F.trim(v) == "%", F.lit(False))
@@ -53,15 +55,8 @@ def display(rows: Column, spans: Column) -> tuple[Column, Column]:
 
     shown = F.transform(kept, lambda r: F.get(rows, r))
     shown = F.transform(shown, lambda row, i: F.transform(row, lambda v, c: cell(row, v, i, c)))
-    return shown, moved
-
-
-def displayed(grids: DataFrame) -> DataFrame:
-    """grids(rows, spans) with rows and spans as display() makes them. A null grid stays null."""
-    spans = F.col("spans").cast(SPAN) if "spans" in grids.columns else F.lit(None).cast(SPAN)
-    rows, moved = display(F.col("rows"), F.col("_spans"))
-    made = grids.withColumn("_spans", spans).withColumns({"_rows": rows, "_moved": moved})
-    return made.withColumn("rows", F.when(F.col("rows").isNotNull(), F.col("_rows"))).withColumn("spans", F.col("_moved")).drop("_spans", "_rows", "_moved")
+    made = own.withColumn("_rows", shown)
+    return made.withColumn("rows", F.when(F.col("rows").isNotNull(), F.col("_rows"))).withColumn("spans", F.col("_moved")).drop("_spans", "_kept", "_moved", "_rows")
 
 
 def raw_cells_by_method(cells: DataFrame) -> DataFrame:

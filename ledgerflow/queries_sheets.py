@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import sheets
 from ledgerflow.queries import ORACLE_SQL, QUERIES, query, read
+from ledgerflow.staging import dealt
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -24,7 +25,7 @@ def literal_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, show = key % 4, key.cast("string")
     rate = (key % 50).cast("string")
     row = F.when(k == 0, F.array(show, rate, F.lit("%"), F.lit(""))).when(k == 1, F.array(show, rate, F.lit(""), F.lit(""))).when(k == 2, F.array(show, F.lit("under"), F.lit("it"), F.lit(""))).otherwise(F.array(*[F.lit("")] * 4))
-    own = read(spark, sf_dir, "orders").withColumn("n", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("int"))
+    own = dealt(read(spark, sf_dir, "orders"), "o_custkey").withColumn("n", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("int"))
     span = F.when(k == 2, F.struct(F.col("n").alias("r"), F.lit(0).alias("c"), F.lit(1).alias("rs"), F.lit(3).alias("cs")))
     grids = own.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", row.alias("row")))), lambda x: x["row"]).alias("rows"), F.collect_list(span).alias("spans"))
     shown = sheets.displayed(grids).select("doc_id", "spans", F.posexplode("rows").alias("row_index", "row"))
