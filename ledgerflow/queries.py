@@ -10,6 +10,7 @@ from ledgerflow.operators import audits, completeness, coverage, diff, grids, ma
 from ledgerflow.plans import pages as plans
 from ledgerflow.sources import html
 from ledgerflow.sources import text as text_source
+from ledgerflow.staging import dealt
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -643,7 +644,7 @@ FROM customer CROSS JOIN (VALUES (1, 'excluded', ''), (2, 'data', 'BalanceSheet'
 """)
 def automatic_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filing of five pages for each customer, every third with an empty page among its statements. tests/test_pages.py has further cases with their results."""
-    n = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_name").alias("n_name"), (F.col("c_custkey") % 3 == 1).alias("gap"))
+    n = dealt(read(spark, sf_dir, "customer").withColumn("doc_id", F.col("c_custkey").cast("string")), "doc_id", each=10_000).select("doc_id", F.col("c_name").alias("n_name"), (F.col("c_custkey") % 3 == 1).alias("gap"))
     texts = F.array(F.col("n_name"), F.concat(F.lit("Balance Sheets\nTotal assets 10 9\nTotal liabilities 4 "), F.col("doc_id")), F.when(F.col("gap"), "").otherwise("Statements of Operations\nRevenue 10 9\nNet income 5 4"), F.lit("Statements of Cash Flows\nNet income 5 4\nCash at end 3 2"), F.lit("Notes to Financial Statements\nNote 1. Organization"))
     pages = n.select("doc_id", F.posexplode(texts).alias("_p", "text")).select("doc_id", (F.col("_p") + 1).alias("page"), "text")
     return plans.automatic_plan(pages).select("doc_id", "page", "role", "statement_type", "selected", "review_required")
