@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.text import label_key
@@ -31,19 +34,25 @@ def balance_completeness(lines: DataFrame, grids: DataFrame, pages: DataFrame) -
     FAIL: no grid, a section is missing, or a token of the body is; NOT_TESTED: the body can't be bounded, or lacks a section itself.
     """
     keys = ["doc_id", "source_page"]
-    own = lines.join(pages.select(*keys), keys, "left_semi")
     start, end = F.trim("raw_text").rlike(r"(?i)^assets\s*:?$"), F.col("raw_text").rlike(r"(?i)^\s*See (?:accompanying )?Notes\b")
-    bounds = own.groupBy(*keys).agg(F.count_if(start).alias("_s"), F.count_if(end).alias("_e"), F.min(F.when(start, F.col("line_no"))).alias("_from"), F.min(F.when(end, F.col("line_no"))).alias("_to"))
+    page = Window.partitionBy(*keys)
+    own = lines.withColumns({"_s": F.count_if(start).over(page), "_e": F.count_if(end).over(page), "_from": F.min(F.when(start, F.col("line_no"))).over(page), "_to": F.min(F.when(end, F.col("line_no"))).over(page)})
     bounded = F.coalesce((F.col("_s") == 1) & (F.col("_e") == 1) & (F.col("_from") < F.col("_to")), F.lit(False))
-    body = own.join(bounds.filter(bounded), keys).filter("line_no >= _from AND line_no < _to")
-    has = lambda text: [F.max(_section(text, p)).alias(n) for n, p in SECTIONS.items()]
-    every = lambda: F.coalesce(F.col("assets") & F.col("liabilities") & F.col("`equity/net assets`"), F.lit(False))
-    in_body = body.groupBy(*keys).agg(*has(F.col("raw_text"))).select(*keys, every().alias("_body_ok"))
-    cells = grids.select(*keys, F.explode("rows").alias("row"))
-    in_grid = cells.groupBy(*keys).agg(*has(F.coalesce(F.get("row", F.lit(0)), F.lit("")))).select(*keys, every().alias("_grid_ok"))
-    missing = compared(counted(body, keys, body_tokens(F.col("raw_text"))), counted(cells, keys, body_tokens(F.array_join("row", " "))), keys).groupBy(*keys).agg(F.sum("missing").alias("missing"), F.sum("expected").alias("expected"), F.slice(F.array_sort(F.collect_list(F.when(F.col("missing") > 0, F.col("token")))), 1, 20).alias("examples"))
-    out = pages.select(*keys).join(bounds.select(*keys, bounded.alias("_bounded")), keys, "left").join(in_body, keys, "left").join(in_grid, keys, "left").join(missing, keys, "left")
-    status = F.when(F.col("_grid_ok").isNull(), "FAIL").when(~F.coalesce("_bounded", F.lit(False)) | ~F.coalesce("_body_ok", F.lit(False)), "NOT_TESTED").when(~F.col("_grid_ok") | (F.col("missing") > 0), "FAIL").otherwise("PASS")
+    own = own.withColumn("_bounded", bounded).withColumn("_body", F.col("_bounded") & F.col("line_no").between(F.col("_from"), F.col("_to") - 1))
+    has = lambda side, text: [_section(text, p).alias(f"_{side}_{n}") for n, p in SECTIONS.items()]
+    body = own.select(*keys, "_bounded", *has("body", F.when(F.col("_body"), F.col("raw_text"))), F.lit(1).alias("_expected"), F.explode_outer(F.when(F.col("_body"), body_tokens(F.col("raw_text")))).alias("token"))
+    cells = grids.select(*keys, F.explode("rows").alias("row")).select(*keys, F.lit(True).alias("_grid"), *has("grid", F.coalesce(F.get("row", F.lit(0)), F.lit(""))), F.lit(1).alias("_actual"), F.explode_outer(body_tokens(F.array_join("row", " "))).alias("token"))
+    # Pages, lines and cells are counted together, not joined: pages that are dealt stay where they are.
+    every = pages.select(*keys, F.lit(True).alias("_page")).unionByName(body, allowMissingColumns=True).unionByName(cells, allowMissingColumns=True)
+    flags = ["_page", "_bounded", "_grid", *[f"_{side}_{n}" for side in ("body", "grid") for n in SECTIONS]]
+    most = lambda: [F.max(f"`{c}`").alias(c) for c in flags]
+    number = lambda c: F.coalesce(F.sum(F.when(F.col("token").isNotNull(), F.col(c))), F.lit(0))
+    tokens = every.groupBy(*keys, "token").agg(*most(), number("_expected").alias("expected"), number("_actual").alias("actual"))
+    missing = F.greatest(F.col("expected") - F.col("actual"), F.lit(0))
+    some = lambda c: F.when(F.count("token") > 0, c)
+    out = tokens.groupBy(*keys).agg(*most(), some(F.sum(missing)).alias("missing"), some(F.slice(F.array_sort(F.collect_list(F.when(missing > 0, F.col("token")))), 1, 20)).alias("examples")).filter("_page")
+    whole = lambda side: F.coalesce(reduce(and_, [F.col(f"`_{side}_{n}`") for n in SECTIONS]), F.lit(False))
+    status = F.when(F.col("_grid").isNull(), "FAIL").when(~F.coalesce("_bounded", F.lit(False)) | ~whole("body"), "NOT_TESTED").when(~whole("grid") | (F.col("missing") > 0), "FAIL").otherwise("PASS")
     return out.select(*keys, F.lit("Balance sheet completeness").alias("Check"), status.alias("Status"), "missing", "examples")
 
 

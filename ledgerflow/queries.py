@@ -606,7 +606,7 @@ SELECT doc_id, CASE k WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'NOT_TES
 """)
 def balance_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A body of seven lines for each customer: whole, with a token lost, without its end, without a grid, and with a section lost."""
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5).alias("k"), F.lit(1).alias("source_page"), F.col("c_name").alias("name"))
+    c = dealt(read(spark, sf_dir, "customer"), "c_custkey", each=10_000).select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5).alias("k"), F.lit(1).alias("source_page"), F.col("c_name").alias("name"))
     lines = F.array(F.lit("Assets"), F.concat(F.lit("Cash "), "name"), F.lit("Total assets 10"), F.lit("Total liabilities 4"), F.lit("Total equity 6"), F.when(F.col("k") == 2, "The end").otherwise("See accompanying notes"))
     text_lines = c.select("doc_id", "source_page", F.posexplode(lines).alias("line_no", "raw_text"))
     rows = F.array(F.array(F.lit("Assets"), F.lit("")), F.array(F.lit("Cash"), F.when(F.col("k") == 1, "").otherwise(F.col("name"))), F.array(F.lit("Total assets"), F.lit("10")), F.array(F.lit("Total liabilities"), F.lit("4")), F.array(F.when(F.col("k") == 4, "Rest").otherwise("Total equity"), F.lit("6")))
