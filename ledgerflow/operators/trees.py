@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.sources.runs import inside
-from ledgerflow.staging import cut
+from ledgerflow.staging import cut, kept
 
 #: Hex digits of a name's digest by which a folder's entries are dealt before they meet: a folder of any number of files is no group of its own.
 DEALT = 2
@@ -22,23 +22,23 @@ def tree(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, path, depth, folder (whether it is one), digest, n_files: the files(keys, path, sha256) and all folders over them; a root's path is empty.
 
     A folder's digest is made of its entries' names, kinds and digests, in the order of their names' digests. Files of one path twice count twice. Null
-    digests are empty ones. Folders are made level by level, deepest first.
+    digests are empty ones. Folders are made level by level, deepest first, and kept; files are read again for each level, not copied.
     """
     own = files.filter(F.col("path").isNotNull()).select(*keys, "path", F.size(F.split("path", "/")).alias("depth"), F.lit(False).alias("folder"), F.coalesce("sha256", F.lit("")).alias("digest"), F.lit(1).cast("long").alias("n_files"))
-    own = cut(own)
     deepest = own.agg(F.max("depth")).first()[0] or 0
     found, levels = [own], None
     for depth in range(deepest, 0, -1):
         level = own.filter(F.col("depth") == depth)
         entries = level if levels is None else level.unionByName(levels)
         name = F.sha2(F.element_at(F.split("path", "/"), -1), 256)
-        entry = F.struct(name.alias("name"), "folder", "digest")
+        entry = F.struct(F.element_at(F.split("path", "/"), -1).alias("name"), "folder", "digest")  # names are shorter than their digests, which are made where entries meet
+        named = lambda e: F.struct(F.sha2(e["name"], 256).alias("name"), e["folder"].alias("folder"), e["digest"].alias("digest"))
         line = lambda e: F.concat_ws(":", e["name"], e["folder"].cast("string"), e["digest"])
-        digest = lambda entries: F.sha2(F.array_join(F.transform(F.array_sort(entries), line), "\n"), 256)
+        digest = lambda entries: F.sha2(F.array_join(F.transform(F.array_sort(F.transform(entries, named)), line), "\n"), 256)
         part = entries.groupBy(*keys, _parent(F.col("path")).alias("path"), F.substring(name, 1, DEALT).alias("_part")).agg(digest(F.collect_list(entry)).alias("_digest"), F.sum("n_files").alias("n_files"))
         parts = F.transform(F.array_sort(F.collect_list(F.struct("_part", "_digest"))), lambda p: F.concat(p["_part"], F.lit(":"), p["_digest"]))
         made = part.groupBy(*keys, "path").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("digest"), F.sum("n_files").alias("n_files"))
-        levels = cut(made.select(*keys, "path", F.lit(depth - 1).alias("depth"), F.lit(True).alias("folder"), "digest", "n_files"))
+        levels = kept(made.select(*keys, "path", F.lit(depth - 1).alias("depth"), F.lit(True).alias("folder"), "digest", "n_files"))
         found.append(levels)
     return reduce(DataFrame.unionByName, found)
 
@@ -60,8 +60,11 @@ def differences(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
         b, a = side(level(before), "b"), side(level(after), "a")
         if open_ is not None:
             within = open_.filter("folder").select(*keys, F.col("path").alias("_in"))
-            b, a = (frame.withColumn("_in", _parent(F.col("path"))).join(within, [*keys, "_in"], "left_semi").drop("_in") for frame in (b, a))
-        both = b.join(a, [*keys, "path", "depth", "folder"], "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+            b, a = (frame.withColumn("_in", _parent(F.col("path"))).join(within, [*keys, "_in"], "left_semi") for frame in (b, a))
+        # Grouped, not joined: both sides already lie by the folder that they stand in. A path that is there twice meets each of the other side's, as in a join.
+        near = [*keys, *(["_in"] if open_ is not None else []), "path", "depth", "folder"]
+        met = b.unionByName(a, allowMissingColumns=True).groupBy(*near).agg(F.collect_list("b").alias("b"), F.collect_list("a").alias("a"))
+        both = met.withColumn("b", F.explode_outer("b")).withColumn("a", F.explode_outer("a")).filter(~F.col("a").eqNullSafe(F.col("b")))
         code = F.when(F.col("b").isNull(), "ADDED").when(F.col("a").isNull(), "REMOVED").otherwise("CHANGED")
         open_ = cut(both.select(*keys, "path", "depth", "folder", code.alias("code"), "b", "a"))
         found.append(open_)
