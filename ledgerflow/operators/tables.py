@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.text import numbers_in
-from ledgerflow.operators.coverage import counted, recall, table_metrics
 from ledgerflow.operators.grids import lines_of_words
 
 PAGE = ("doc_id", "source_page")
@@ -161,13 +160,13 @@ def ruled_cells(edges: DataFrame, words: DataFrame, partitions: int | None = Non
 
     edges(doc_id, source_page, x0, x1, top, bottom), words(doc_id, source_page, text, x0, x1, top, bottom). A word is in the cell that holds its middle;
     cells without words have an empty text. Pages without words or edges have no row. Cells and words meet in squares of the page, whose words are in one row;
-    `partitions`: how many the pages are dealt over for this, else the session's number.
+    `partitions`: over how many the caller has dealt both tables by doc_id. What Python has placed is then dealt alike, and nothing else is.
     """
     cells = placed_cells(bounded_cells(corners(rules(edges))))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
     own = _words(words).select(*PAGE, F.struct("line", F.col("x0").alias("x0"), "text", x.alias("x"), y.alias("y")).alias("word"))
     both = cells.select(*PAGE, F.struct(*_PLACE, *_CELL).alias("cell")).unionByName(own, allowMissingColumns=True)
-    both = both.repartition(partitions, *PAGE) if partitions else both.repartition(*PAGE)
+    both = both.repartition(partitions, "doc_id") if partitions else both.repartition(*PAGE)
     side = lambda lo, hi, at: F.explode(F.when(F.col("word").isNull(), F.sequence(_bin(F.col(lo)), _bin(F.col(hi)))).otherwise(F.array(_bin(F.col(at)))))
     spread = both.select("*", side("cell.x0", "cell.x1", "word.x").alias("_bx")).select("*", side("cell.top", "cell.bottom", "word.y").alias("_by"))
     squares = spread.groupBy(*PAGE, "_bx", "_by").agg(F.collect_list("cell").alias("cells"), F.collect_list("word").alias("words"))
@@ -241,13 +240,22 @@ def audit(pages: DataFrame, cells: DataFrame, flavor: str) -> DataFrame:
 def method_metrics(lines: DataFrame, cells: DataFrame, pages: DataFrame, methods: tuple[str, ...] = ("ruled", "spaced")) -> DataFrame:
     """For each page and method (a cell's flavor; found there or not) tables, rows, and the recall of the numbers in the page's text.
 
-    lines(doc_id, source_page, raw_text). Signs, labels and columns aren't compared; recall is null where the text has no number.
+    lines(doc_id, source_page, raw_text). Signs, labels and columns aren't compared; recall is null where the text has no number. Pages, lines and cells are
+    counted together, not joined: pages that are dealt stay where they are.
     """
     key = [*PAGE, "flavor"]
     each = F.explode(F.array(*map(F.lit, methods))).alias("flavor")
-    wanted = pages.select(*PAGE).distinct().select(*PAGE, each)
-    source = counted(lines, list(PAGE), numbers_in(F.col("raw_text"))).select("*", each)
-    own = cells.filter(F.col("flavor").isin(*methods))
-    found = counted(own, key, numbers_in(F.col("raw_text")))
-    numbers = wanted.join(recall(source, found, key), key, "left").join(table_metrics(own, key), key, "left")
-    return numbers.na.fill(0, ["tables", "rows", "reference_tokens", "matched_tokens"])
+    page = [F.col("doc_id").cast("string").alias("doc_id"), F.col("source_page").cast("int").alias("source_page")]
+    wanted = pages.select(*page, each, F.lit(True).alias("_wanted"))
+    source = lines.select(*page, F.explode(numbers_in(F.col("raw_text"))).alias("token")).select("*", each, F.lit(1).alias("_source"))
+    own = cells.filter(F.col("flavor").isin(*methods)).select(*page, "flavor", F.struct("table_id", "row_index").alias("_row"), F.explode_outer(numbers_in(F.col("raw_text"))).alias("token"))
+    own = own.withColumn("_found", F.col("token").isNotNull().cast("int"))
+    both = wanted.unionByName(source, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
+    tokens = both.groupBy(*key, "token").agg(F.max("_wanted").alias("_wanted"), F.coalesce(F.sum("_source"), F.lit(0)).alias("expected"), F.coalesce(F.sum("_found"), F.lit(0)).alias("actual"), F.collect_set("_row").alias("_rows"))
+    e, a = F.col("expected"), F.col("actual")
+    gaps = lambda n: F.when(F.count("token") > 0, F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull() & (n > 0), F.struct("token", n.alias("n")))))))
+    rows = F.array_distinct(F.flatten(F.collect_list("_rows")))
+    found = tokens.groupBy(*key).agg(F.max("_wanted").alias("_wanted"), F.sum("expected").alias("reference_tokens"), F.sum(F.least(e, a)).alias("matched_tokens"), gaps(e - a).alias("missing_tokens"), gaps(a - e).alias("extra_tokens"), rows.alias("_rows"))
+    tables = F.size(F.array_distinct(F.transform("_rows", lambda r: r["table_id"]))).cast("long")
+    numbers = F.try_divide("matched_tokens", F.nullif("reference_tokens", F.lit(0))).alias("recall")
+    return found.filter("_wanted").select(*key, "reference_tokens", "matched_tokens", "missing_tokens", "extra_tokens", numbers, tables.alias("tables"), F.size("_rows").cast("long").alias("rows"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import tables
 from ledgerflow.queries import ORACLE_SQL, QUERIES, query, read
-from ledgerflow.staging import parts
+from ledgerflow.staging import DEALT_ROWS, dealt, parts
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -23,8 +23,8 @@ WITH lines AS (
 def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     """A page for each order with a row for each line number: edges, words, and over how many partitions they are dealt. The last two columns are one cell where the line is open."""
     items = read(spark, sf_dir, "lineitem")
-    n = parts(items)
-    own = items.select(F.col("l_orderkey").cast("string").alias("doc_id"), "l_linenumber", "l_partkey", "l_quantity", "l_linestatus").repartition(n, "doc_id")
+    n = parts(items, DEALT_ROWS)
+    own = dealt(items.select(F.col("l_orderkey").cast("string").alias("doc_id"), "l_linenumber", "l_partkey", "l_quantity", "l_linestatus"), "doc_id")
     line = own.groupBy("doc_id", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_quantity").cast("long").alias("quantity"), (F.max("l_linestatus") == "O").alias("joined"))
     nth = F.row_number().over(tables.Window.partitionBy("doc_id").orderBy("l_linenumber"))
     line = line.select("doc_id", F.lit(1).alias("source_page"), (nth * 20.0).alias("y"), *line.columns[1:])
@@ -82,7 +82,7 @@ UNION ALL SELECT CAST(o_custkey AS VARCHAR), row_index, 1 + middle, CAST(floor(o
 def spaced_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each customer with a line for each order: columns by the white between words, where a customer may have no middle one."""
     orders = read(spark, sf_dir, "orders")
-    own = orders.select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderkey", "o_orderstatus", "o_totalprice").repartition(parts(orders), "doc_id")
+    own = dealt(orders.select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderkey", "o_orderstatus", "o_totalprice"), "doc_id")
     y = F.row_number().over(tables.Window.partitionBy("doc_id").orderBy("o_orderkey")) * 12.0
     own = own.withColumns({"y": y, "shift": (F.col("o_orderkey") % 3).cast("double")})
     word = lambda text, x0, x1: F.struct(text.alias("text"), x0.alias("x0"), x1.alias("x1"), F.col("y").alias("top"), (F.col("y") + 8).alias("bottom"))

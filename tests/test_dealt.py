@@ -18,7 +18,7 @@ def exchanges(found) -> tuple[int, int]:
 
 
 @pytest.mark.parametrize("name", [
-    "rule_grids", "balance_completeness", "automatic_page_plan", "literal_grids", "split_parentheses", "assembled_grids",
+    "rule_grids", "table_methods", "spaced_tables", "balance_completeness", "automatic_page_plan", "literal_grids", "split_parentheses", "assembled_grids",
 ])
 def test_rows_are_dealt_once(spark, name):
     dealt, others = exchanges(queries()[name](spark, SMALL))
