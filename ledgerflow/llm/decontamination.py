@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import slices, spread, staged, texts_of
-from ledgerflow.llm.words import hashes, mixed, windows
+from ledgerflow.llm.words import forget, hashes, mixed, windows
 
 #: 1: the word counts; 0: any word. Seven words in a span of eleven: a changed word leaves most seeds around it.
 MASKS = ("11101001011", "11010110011", "11100110101")
@@ -333,6 +333,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
             yield batch.filter(pa.array([not sent.value.overlaps(hashes.of(plain_words(t))) for t in texts_of(batch, text_column)], pa.bool_()))
+        forget()
 
     return docs.mapInArrow(run, docs.schema)
 

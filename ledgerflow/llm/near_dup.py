@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import HEAVY_LEAST, heavy_keys, slices, spread, staged, texts_of
-from ledgerflow.llm.words import hashes, mixed, multiplier, windows
+from ledgerflow.llm.words import forget, hashes, mixed, multiplier, windows
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 coordinates: a pair of similarity 0.8 shares a band in 99.995 of 100 cases.
@@ -113,6 +113,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, weights: str =
                 keys.append(band_keys(signature))
                 sketches.append(signature.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "text_hash", "node", "keys", "sketch"])
+        forget()
 
     return _narrow(docs, id_column, text_column).mapInArrow(run, "id long, text_hash long, node binary, keys array<long>, sketch binary")
 
@@ -136,6 +137,7 @@ def cell_sets(docs: DataFrame, nodes: DataFrame, counts: DataFrame, id_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([packed_set(*weighted_shingles(words_of(t), weights)) for t in texts_of(batch, "text")], pa.binary())], names=["node", "cells"])
+        forget()
 
     texts = _narrow(docs, id_column, text_column).select(F.struct("id", "text_hash").alias("row"), "text", F.monotonically_increasing_id().alias("at"))
     return spread(texts, nodes, "row", "at", counts=counts, hashed=True).select("node", "text").mapInArrow(run, "node binary, cells binary")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import slices, staged, texts_of
 from ledgerflow.llm.token_ids import encoder
+from ledgerflow.llm.words import forget
 
 
 class Run(NamedTuple):
@@ -188,6 +189,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_colum
     """Every text's ids and the end id; what is longer than the capacity is cut. nth: its rank among the pieces of its length in its partition."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         encode, part, end, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes(), {}
         for batch in slices(batches, text_column):
             rows = []
@@ -200,6 +202,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_colum
                     seen[length] = nth + 1
                     rows.append((name, piece, at // 4, length, zlib.crc32(own), part, nth))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES_ARROW, strict=True)], schema=_PIECES_ARROW)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(id_column, text_column).mapInArrow(cut, PIECES)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import slices, staged, texts_of
-from ledgerflow.llm.words import count_of, hashes, repeated_words, windows
+from ledgerflow.llm.words import count_of, forget, hashes, repeated_words, windows
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -219,5 +219,6 @@ def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         for batch in slices(batches, text_column):
             s = sent.value.score(np.asarray([measure(t) for t in texts_of(batch, text_column)], float))
             yield batch.filter(pa.array(s >= 0.5))
+        forget()
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,6 +45,11 @@ class WordHashes(dict):
 hashes = WordHashes()
 
 
+def forget() -> None:
+    """At a task's end: a worker serves other tasks and stages, and what it remembers would stay beside theirs."""
+    hashes.clear()
+
+
 def windows(ids: np.ndarray, offsets: range | list[int]) -> np.ndarray:
     """Hash of the words at these offsets from each place; fewer places than words by the last offset."""
     n = len(ids) - offsets[-1]
