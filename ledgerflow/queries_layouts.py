@@ -30,7 +30,7 @@ def _show(value: Column) -> Column:
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """c, items array<struct<k, p>>: each customer's orders by key, with whole prices."""
     item = F.struct(F.col("o_orderkey").cast("long").alias("k"), F.floor("o_totalprice").cast("long").alias("p"))
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return dealt(read(spark, sf_dir, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("c")).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def _word(text: Column | str, x0: float, x1: float, top: Column | float) -> Column:
