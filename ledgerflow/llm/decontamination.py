@@ -331,6 +331,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, text_column):
             yield batch.filter(pa.array([not sent.value.overlaps(hashes.of(plain_words(t))) for t in texts_of(batch, text_column)], pa.bool_()))
         forget()

@@ -104,6 +104,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, weights: str =
     """id, text_hash, node (128-bit hash of the words: equal texts are one node), keys of bands, sketch (16 bits of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, "text"):
             nodes, keys, sketches = [], [], []
             for t in texts_of(batch, "text"):
@@ -162,7 +163,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
         for batch in batches:
             found = np.asarray([similarity(*(unpacked_set(c.as_buffer()) for c in pair), least) for pair in zip(batch.column("cells_a"), batch.column("cells_b"), strict=True)], float)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"]).filter(pa.array(found >= least - 1e-9))
-        pa.default_memory_pool().release_unused()
+        forget()
 
     left = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("cells", "cells_a"), "a")
     return spread(left, sets.withColumnRenamed("node", "b").withColumnRenamed("cells", "cells_b"), "b", "a").select("a", "b", "cells_a", "cells_b").mapInArrow(run, "a binary, b binary, similarity double")
@@ -266,7 +267,7 @@ def crossing(members: DataFrame, contents: DataFrame, labels: DataFrame, sets: D
                         joined[max(p, q)] = min(p, q)
                         found.append((*sorted((node[a], node[k])), s, label[a], label[k]))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary()))], names=["a", "b", "similarity", "la", "lb"])
-        pa.default_memory_pool().release_unused()
+        forget()
 
     return dealt.mapInArrow(run, "a binary, b binary, similarity double, la binary, lb binary")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import slices, staged, texts_of
 from ledgerflow.llm.token_ids import encoder
-from ledgerflow.llm.words import forget
+from ledgerflow.llm.words import hashes
 
 
 class Run(NamedTuple):
@@ -189,7 +189,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_colum
     """Every text's ids and the end id; what is longer than the capacity is cut. nth: its rank among the pieces of its length in its partition."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        hashes.clear()
         encode, part, end, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes(), {}
         for batch in slices(batches, text_column):
             rows = []

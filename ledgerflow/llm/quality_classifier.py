@@ -216,6 +216,7 @@ def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     sent = docs.sparkSession.sparkContext.broadcast(train(staged(features(known), "features"), learn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, text_column):
             s = sent.value.score(np.asarray([measure(t) for t in texts_of(batch, text_column)], float))
             yield batch.filter(pa.array(s >= 0.5))

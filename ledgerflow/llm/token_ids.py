@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import drop_at_end, new_folder, partitions, slices, texts_of
+from ledgerflow.llm.words import remembered
 
 #: Parts of texts that an encoder remembers lately, and as many from before that it falls back to.
 MOST_PARTS = 400_000
@@ -98,6 +99,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+remembered.append(_encoders)
 
 
 def encoder(name: str, literal: bool = False) -> Encoder:

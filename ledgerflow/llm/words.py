@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd multipliers by place, for hashes of several words: a rule, not a table.
@@ -43,11 +44,15 @@ class WordHashes(dict):
 
 
 hashes = WordHashes()
+#: What a worker remembers for longer than a task; modules add theirs.
+remembered: list[dict] = [hashes]
 
 
 def forget() -> None:
-    """At a task's end: a worker serves other tasks and stages, and what it remembers would stay beside theirs."""
-    hashes.clear()
+    """At a task's start and end: a worker serves other tasks and stages, and what it remembers for one kind, or holds without use, would stay beside theirs."""
+    for x in remembered:
+        x.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def windows(ids: np.ndarray, offsets: range | list[int]) -> np.ndarray:

@@ -5,7 +5,7 @@ from helpers import table, written
 from test_operators import brute_classes
 
 import corpus_pipeline
-from ledgerflow.llm import decontamination, line_dedup, packing, quality_classifier, token_ids
+from ledgerflow.llm import decontamination, line_dedup, packing, quality_classifier, token_ids, words
 
 
 def corpus(spark, tmp_path):
@@ -83,3 +83,10 @@ def test_columns(spark, tmp_path):
     frame = table(spark, docs[:20]).selectExpr("*", "1 AS id", "2 AS kept_text")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, sf).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_a_worker_drops_what_it_remembers(spark):
+    token_ids.encoder("word_bpe_49k.json")(["some words of a text"])
+    words.hashes.of([b"some", b"words"])
+    words.forget()
+    assert not token_ids._encoders and not words.hashes
