@@ -159,10 +159,15 @@ def sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """id, y of at most sample_rows labelled documents that aren't held out: those with the smallest hashes of their ids. Labels that differ for one id: the higher.
 
     A hash bound that about a quarter more than sample_rows stay under comes first, so that tasks together hand on no more than that, however many there are.
+    It is doubled while fewer stay under it, so that the rows don't depend on the bound.
     """
     learn = labels.filter(~held_out("doc_id") & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("double").alias("y")).filter("id IS NOT NULL")
+    learn = learn.withColumn("order", F.xxhash64("id"))
+    under = lambda share: learn.filter(F.col("order") <= min(2**63 - 1, int(share * 2**64) - 2**63))
     share = min(1.0, 1.25 * sample_rows / max(1, learn.count()))
-    near = learn.withColumn("order", F.xxhash64("id")).filter(F.col("order") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+    while share < 1 and under(share).count() < sample_rows:
+        share = min(1.0, 2 * share)
+    near = under(share)
     return near.orderBy("order", "id").limit(sample_rows).select("id", "y")
 
 

@@ -452,6 +452,13 @@ def test_classes_by_brute_force(spark, monkeypatch, blocks):
     assert sorted(r["doc_id"] for r in left) == sorted(set(classes.values()))
 
 
+def test_a_sample_has_all_its_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    order = [r["doc_id"] for r in labels.filter(~quality_classifier.held_out("doc_id")).orderBy(F.xxhash64("doc_id")).collect()]
+    for n in (1, 3, 10, len(order), 600):  # of the first three, fewer are under the first bound
+        assert sorted(r["id"] for r in quality_classifier.sample(labels, n).collect()) == sorted(order[:n])
+
+
 def test_a_pair_of_a_large_bucket_that_shares_no_other_band(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SPLIT_BLOCKS", 0)  # every bucket was a large one then
     cells = lambda k: bytearray(near_dup.packed_set(np.arange(k, k + 10, dtype=np.uint64), np.ones(10)))
