@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.text import numbers_in
-from ledgerflow.operators.grids import lines_of_words
+from ledgerflow.operators import page_arrays as A
 
 PAGE = ("doc_id", "source_page")
 #: Points: thickness of a rule at most, length at least; how far apart rules can be and count as one; how far a rule may end before another one and meet it.
 THICK, SHORTEST, SNAP, REACH = 2.0, 3.0, 3.0, 3.0
-#: Side of the squares in which rules, cells and words meet.
-BIN = 72.0
-#: Points of white between words that part two phrases; width of a river at least; lines of a block at least.
-GAP, RIVER, LINES = 4.0, 4.0, 2
+#: Points of white between words that part two phrases; width of a river at least; lines of a block at least; height at which a word opens the next line.
+GAP, RIVER, LINES, LINE = 4.0, 4.0, 2, 3.0
 
 _page = list(PAGE)
-_bin = lambda c: F.floor(c / BIN)
+_TYPES = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+_EDGE, _WORD = ("x0", "x1", "top", "bottom"), ("text", "x0", "x1", "top", "bottom")
+_RULE, _CORNER = "level boolean, at double, lo double, hi double", "x double, y double, row double, column double, left boolean, right boolean, up boolean, down boolean"
+_BOX, _PLACE = "x0 double, x1 double, top double, bottom double", "table_index int, row_index int, column_index int, rowspan int, colspan int"
+_BLOCK, _RIVERS = f"line int, text string, {_BOX}, table_index int, row_index int", "table_index int, x double, lo double, hi double"
 
 
-def _bins(lo: Column, hi: Column) -> Column:
-    return F.explode(F.sequence(_bin(lo), _bin(hi)))
+def _over_pages(fields: str, step: Callable[[pa.DataType, pa.Array, pa.Array], pa.Array]) -> Callable[[str, str], Column]:
+    """step as an expression over two columns that hold a page's rows as lists, with a list of `fields` as its result."""
+    type = pa.list_(pa.struct([(name, _TYPES[of]) for name, of in (f.split() for f in fields.split(", "))]))
+
+    def run(first: pa.Array, second: pa.Array) -> pa.Array:
+        return step(type, first, second)
+
+    return F.arrow_udf(run, f"array<struct<{fields.replace(', ', ',').replace(' ', ':')}>>")
+
+
+def _plain(step: Callable[[A.Rows], A.Rows]) -> Callable[[pa.DataType, pa.Array, pa.Array], pa.Array]:
+    return lambda type, rows, _: A.pages_of(step(A.rows_of(rows)), len(rows), type)
+
+
+def pages_of(**parts: DataFrame) -> DataFrame:
+    """One row for each page with its rows of each part as a list: `edges` and `words` have numbers and texts, other parts what they have. Pages that are dealt
+    stay where they are."""
+    key = [F.col("doc_id").cast("string").alias("doc_id"), F.col("source_page").cast("int").alias("source_page")]
+    of = {"edges": _EDGE, "words": _WORD}
+    field = lambda name, c: F.col(c).cast("double" if name in of and c != "text" else "string" if name in of else parts[name].schema[c].dataType).alias(c)
+    rows = [df.select(*key, F.struct(*[field(name, c) for c in of.get(name, [c for c in df.columns if c not in PAGE])]).alias(name)) for name, df in parts.items()]
+    both = rows[0]
+    for other in rows[1:]:
+        both = both.unionByName(other, allowMissingColumns=True)
+    return both.groupBy(*PAGE).agg(*[F.collect_list(name).alias(name) for name in parts])
+
+
+def _each(pages: DataFrame, rows: Column) -> DataFrame:
+    """A row for each of a list that Python makes. A plain explode would have Spark ask for lists with a row first, and make each list twice."""
+    return pages.select(*PAGE, rows.alias("_rows")).select(*PAGE, F.explode_outer("_rows").alias("_r")).filter("_r IS NOT NULL").select(*PAGE, "_r.*")
+
+
+def _by_page(rows: DataFrame, fields: str, step: Callable[[A.Rows], A.Rows], name: str = "rows") -> DataFrame:
+    return _each(pages_of(**{name: rows}), _over_pages(fields, _plain(step))(name, name))
 
 
 def rules(edges: DataFrame, thick: float = THICK, shortest: float = SHORTEST, snap: float = SNAP) -> DataFrame:
@@ -34,97 +69,22 @@ def rules(edges: DataFrame, thick: float = THICK, shortest: float = SHORTEST, sn
     direction that are at most `snap` apart, one by one, go to the mean of their places, and those that then touch or overlap on one line become one.
     Edges with a null or NaN are no rules; sides shorter than `shortest` neither.
     """
-    x0, x1, top, bottom = (F.col(c).cast("double") for c in ("x0", "x1", "top", "bottom"))
-    side = lambda level, at, lo, hi: F.struct(F.lit(level).alias("level"), at.alias("at"), lo.alias("lo"), hi.alias("hi"))
-    flat, upright = bottom - top <= thick, x1 - x0 <= thick
-    across, down = side(True, (top + bottom) / 2, x0, x1), side(False, (x0 + x1) / 2, top, bottom)
-    box = F.array(side(True, top, x0, x1), side(True, bottom, x0, x1), side(False, x0, top, bottom), side(False, x1, top, bottom))
-    sides = F.when(flat & (x1 - x0 >= bottom - top), F.array(across)).when(upright, F.array(down)).otherwise(box)
-    clean = ~F.isnan(x0 + x1 + top + bottom) & (x0 <= x1) & (top <= bottom)
-    found = edges.filter(clean).select(*PAGE, F.explode(sides).alias("s")).select(*PAGE, "s.*").filter(F.col("hi") - F.col("lo") >= shortest)
-    near = Window.partitionBy(*PAGE).orderBy("level", "at", "lo", "hi")  # by page alone: what follows is dealt like this, and nothing is shuffled again
-    apart = (F.lag("level").over(near) != F.col("level")) | (F.col("at") - F.lag("at").over(near) > snap)
-    lines = found.withColumn("_line", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(near))
-    line = Window.partitionBy(*PAGE, "level", "_line").orderBy("lo", "hi")
-    reached = F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    runs = lines.withColumn("_run", F.coalesce((F.col("lo") > reached + snap).cast("int"), F.lit(0))).withColumn("_run", F.sum("_run").over(line))
-    runs = runs.withColumn("at", F.avg("at").over(Window.partitionBy(*PAGE, "level", "_line")))
-    return runs.groupBy(*PAGE, "level", "_line", "_run").agg(F.first("at").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_line", "_run")
+    return _by_page(edges, _RULE, lambda own: A.rules(own, thick, shortest, snap), "edges")
 
 
 def corners(rules: DataFrame, reach: float = REACH) -> DataFrame:
     """Where a level rule and an upright one meet: x, y, the rules (by `row` and `column`, where each begins), and whether they go on to the left, right, up
-    and down of it. Rules meet in squares of the page: a level one is in all squares along it, an upright one too, so each corner is found in one. Rows are
-    grouped by page and square, not joined, so pages that are dealt stay where they are. State: the rules of one square."""
-    along = F.explode(F.sequence(_bin(F.col("lo") - reach), _bin(F.col("hi") + reach))).alias("_along")
-    own = _bin(F.col("at"))
-    spread = rules.select(*PAGE, "level", F.struct("at", "lo", "hi").alias("rule"), own.alias("_own"), along)
-    bins = {"_bx": F.when(F.col("level"), F.col("_along")).otherwise(F.col("_own")), "_by": F.when(F.col("level"), F.col("_own")).otherwise(F.col("_along"))}
-    squares = spread.withColumns(bins).groupBy(*PAGE, "_bx", "_by").agg(F.collect_list(F.when(F.col("level"), F.col("rule"))).alias("_level"), F.collect_list(F.when(~F.col("level"), F.col("rule"))).alias("_upright"))
-    pairs = squares.filter("size(_level) > 0 AND size(_upright) > 0").select(*PAGE, "_upright", F.explode("_level").alias("l")).select(*PAGE, "l", F.explode("_upright").alias("u"))
-    pairs = pairs.select(*PAGE, F.col("u.at").alias("x"), F.col("l.at").alias("y"), F.col("l.lo").alias("row"), F.col("u.lo").alias("column"), F.col("l.hi").alias("row_end"), F.col("u.hi").alias("column_end"))
-    x, y = F.col("x"), F.col("y")
-    meet = x.between(F.col("row") - reach, F.col("row_end") + reach) & y.between(F.col("column") - reach, F.col("column_end") + reach)
-    arms = {"left": F.col("row") < x - reach, "right": F.col("row_end") > x + reach, "up": F.col("column") < y - reach, "down": F.col("column_end") > y + reach}
-    return pairs.filter(meet).select(*PAGE, "x", "y", "row", "column", *[c.alias(n) for n, c in arms.items()])
+    and down of it. A level rule is tried with the upright ones whose places are along it."""
+    return _by_page(rules, _CORNER, lambda own: A.corners(own, reach))
 
 
 def bounded_cells(corners: DataFrame) -> DataFrame:
     """x0, x1, top, bottom of each cell: a rectangle with rules along all four sides and none that begins at its upper or left side and goes into it.
 
     From a corner that goes right and down, the cell ends at the next corner along the upper rule that goes down, and at the next along the left rule that
-    goes right; it is one if the rules through these meet in a corner as well. Windows along rules and at that corner: no pairs of corners are tried.
+    goes right; it is one if the rules through these meet in a corner as well. Corners are sorted along their rules: no pairs of them are tried.
     """
-    place = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("begin"))
-    before = lambda keys, order: Window.partitionBy(*PAGE, *keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    ends = corners.withColumns(
-        {
-            "_right": F.last(F.when(F.col("down"), place("x", "column")), ignorenulls=True).over(before(("y", "row"), ("x", "column"))),
-            "_low": F.last(F.when(F.col("right"), place("y", "row")), ignorenulls=True).over(before(("x", "column"), ("y", "row"))),
-        }
-    )
-    none = F.lit(None).cast("double")
-    at = lambda x, column, y, row, x0, top: F.struct(x.alias("x"), column.alias("column"), y.alias("y"), row.alias("row"), x0.alias("x0"), top.alias("top"))
-    x, y = F.col("x"), F.col("y")
-    opens = F.when(F.col("right") & F.col("down") & F.col("_right").isNotNull() & F.col("_low").isNotNull(), at(F.col("_right.at"), F.col("_right.begin"), F.col("_low.at"), F.col("_low.begin"), x, y))
-    closes = F.when(F.col("left") & F.col("up"), at(x, F.col("column"), y, F.col("row"), none, none))
-    marks = ends.select(*PAGE, F.explode(F.array_compact(F.array(opens, closes))).alias("c")).select(*PAGE, "c.*")
-    closed = marks.withColumn("_closed", F.max(F.col("x0").isNull()).over(Window.partitionBy(*PAGE, "x", "column", "y", "row")))
-    return closed.filter("_closed AND x0 IS NOT NULL").select(*PAGE, "x0", F.col("x").alias("x1"), "top", F.col("y").alias("bottom"))
-
-
-_CELL = ("x0", "x1", "top", "bottom")
-_PLACE = ("table_index", "row_index", "column_index", "rowspan", "colspan")
-
-
-def tables_of(cells: list[tuple[float, float, float, float]], least: int = 2) -> list[tuple]:
-    """Cells (x0, x1, top, bottom) of one page with their table, row, column and spans in front: see placed_cells()."""
-    cells = sorted(cells, key=lambda c: (c[2], c[0], c[3], c[1]))
-    parent = list(range(len(cells)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    seen: dict[tuple, int] = {}
-    for i, (x0, x1, top, bottom) in enumerate(cells):
-        for corner in ((x0, top), (x1, top), (x0, bottom), (x1, bottom)):
-            a, b = root(seen.setdefault(corner, i)), root(i)
-            parent[max(a, b)] = min(a, b)
-    tables: dict[int, list] = {}
-    for i, c in enumerate(cells):
-        tables.setdefault(root(i), []).append(c)
-    out, n = [], 0
-    for _, own in sorted(tables.items()):
-        if len(own) < least:
-            continue
-        n += 1
-        rows, columns = ({v: k for k, v in enumerate(sorted({c[side] for c in own}))} for side in (2, 0))
-        tops, lefts = list(rows), list(columns)
-        for c in own:
-            out.append((n, rows[c[2]], columns[c[0]], bisect_left(tops, c[3]) - rows[c[2]], bisect_left(lefts, c[1]) - columns[c[0]], *c))
-    return out
+    return _by_page(corners, _BOX, A.bounded_cells)
 
 
 def placed_cells(cells: DataFrame, least: int = 2) -> DataFrame:
@@ -133,81 +93,64 @@ def placed_cells(cells: DataFrame, least: int = 2) -> DataFrame:
     Cells that share a corner are of one table; tables of fewer than `least` cells aren't any. Rows and columns are the distinct upper and left sides of a
     table's cells. State: the cells of one page.
     """
-    fields = ", ".join([*(f"{c} int" for c in _PLACE), *(f"{c} double" for c in _CELL)])
+    return _by_page(cells, f"{_PLACE}, {_BOX}", lambda own: A.placed_cells(own, least))
+
+
+def ruled(edges: str = "edges", words: str = "words") -> Column:
+    """The cells that rules bound, with their texts, as a list for each page of pages_of()."""
 
-    def run(pages: pd.Series) -> pd.Series:
-        return pd.Series([tables_of([tuple(c[k] for k in _CELL) for c in page], least) for page in pages])
+    def step(type: pa.DataType, edges: pa.Array, words: pa.Array) -> pa.Array:
+        cells = A.placed_cells(A.bounded_cells(A.corners(A.rules(A.rows_of(edges), THICK, SHORTEST, SNAP), REACH)), 2)
+        texts = A.texts_of(cells, A.lines(A.rows_of(words), LINE), pc.struct_field(words.flatten(), "text"))
+        return A.pages_of(cells, len(edges), type, raw_text=texts)
 
-    own = cells.groupBy(F.col("doc_id").cast("string").alias("doc_id"), F.col("source_page").cast("int").alias("source_page")).agg(F.collect_list(F.struct(*_CELL)).alias("_cells"))
-    placed = F.pandas_udf(run, f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
-    return own.select(*PAGE, F.explode(placed("_cells")).alias("c")).select(*PAGE, "c.*")
+    return _over_pages(f"{_PLACE}, {_BOX}, raw_text string", step)(edges, words)
 
 
-def text_of(words: Column) -> Column:
-    """Words(line, x0, text) as one text: lines from top to bottom, words from left to right."""
-    lines = F.array_distinct(F.transform(words, lambda w: w["line"]))
-    own = lambda n: F.transform(F.filter(words, lambda w: w["line"] == n), lambda w: w["text"])
-    return F.array_join(F.transform(lines, lambda n: F.array_join(own(n), " ")), "\n")
+def spaced(words: str = "words", gap: float = GAP, river: float = RIVER, share: float = 0.0, least: int = LINES) -> Column:
+    """The cells of lines that stand in columns, with their texts, as a list for each page of pages_of()."""
 
+    def step(type: pa.DataType, words: pa.Array, _: pa.Array) -> pa.Array:
+        own = A.blocks(A.lines(A.rows_of(words), LINE), gap, least)
+        cells, texts = A.spaced_cells(own, A.rivers(own, river, share), pc.struct_field(words.flatten(), "text"))
+        return A.pages_of(cells, len(words), type, raw_text=texts)
 
-def _words(words: DataFrame) -> DataFrame:
-    return lines_of_words(words.withColumnRenamed("source_page", "page")).withColumnRenamed("page", "source_page")
+    return _over_pages(f"{_PLACE}, {_BOX}, raw_text string", step)(words, words)
 
 
-def ruled_cells(edges: DataFrame, words: DataFrame, partitions: int | None = None) -> DataFrame:
+def ruled_cells(edges: DataFrame, words: DataFrame) -> DataFrame:
     """The ruled tables of pages with their texts: doc_id, source_page, table_id, flavor, order, row_index, column_index, rowspan, colspan, raw_text, x0, x1,
     top, bottom.
 
     edges(doc_id, source_page, x0, x1, top, bottom), words(doc_id, source_page, text, x0, x1, top, bottom). A word is in the cell that holds its middle;
-    cells without words have an empty text. Pages without words or edges have no row. Cells and words meet in squares of the page, whose words are in one row;
-    `partitions`: over how many the caller has dealt both tables by doc_id. What Python has placed is then dealt alike, and nothing else is.
+    cells without words have an empty text. Pages without words or edges have no row. Both are grouped by page once; rules(), corners(), bounded_cells() and
+    placed_cells() are then steps over the lists of many pages.
     """
-    cells = placed_cells(bounded_cells(corners(rules(edges))))
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    own = _words(words).select(*PAGE, F.struct("line", F.col("x0").alias("x0"), "text", x.alias("x"), y.alias("y")).alias("word"))
-    both = cells.select(*PAGE, F.struct(*_PLACE, *_CELL).alias("cell")).unionByName(own, allowMissingColumns=True)
-    both = both.repartition(partitions, "doc_id") if partitions else both.repartition(*PAGE)
-    side = lambda lo, hi, at: F.explode(F.when(F.col("word").isNull(), F.sequence(_bin(F.col(lo)), _bin(F.col(hi)))).otherwise(F.array(_bin(F.col(at)))))
-    spread = both.select("*", side("cell.x0", "cell.x1", "word.x").alias("_bx")).select("*", side("cell.top", "cell.bottom", "word.y").alias("_by"))
-    squares = spread.groupBy(*PAGE, "_bx", "_by").agg(F.collect_list("cell").alias("cells"), F.collect_list("word").alias("words"))
-    c = F.col("cell")
-    within = F.filter("words", lambda w: (w["x"] >= c["x0"]) & (w["x"] < c["x1"]) & (w["y"] >= c["top"]) & (w["y"] < c["bottom"]))
-    parts = squares.select(*PAGE, "words", F.explode("cells").alias("cell")).select(*PAGE, "cell", F.transform(within, lambda w: F.struct(w["line"].alias("line"), w["x0"].alias("x0"), w["text"].alias("text"))).alias("words"))
-    texts = parts.groupBy(*PAGE, "cell").agg(text_of(F.array_sort(F.flatten(F.collect_list("words")))).alias("raw_text"))
-    return _named(texts.select(*PAGE, "cell.*", "raw_text"), "ruled")
-
-
-def _named(cells: DataFrame, flavor: str) -> DataFrame:
+    return named(pages_of(edges=edges, words=words), ruled(), "ruled")
+
+
+def named(pages: DataFrame, cells: Column, flavor: str) -> DataFrame:
+    """A row for each cell of a list, with its table's name."""
     name = F.format_string(f"P%04d_{flavor.upper()}_%02d", "source_page", "table_index")
     columns = ["row_index", "column_index", "rowspan", "colspan", "raw_text", "x0", "x1", "top", "bottom"]
-    return cells.select(*PAGE, name.alias("table_id"), F.lit(flavor).alias("flavor"), F.col("table_index").alias("order"), *columns)
+    return _each(pages, cells).select(*PAGE, name.alias("table_id"), F.lit(flavor).alias("flavor"), F.col("table_index").alias("order"), *columns)
 
 
 def blocks(words: DataFrame, gap: float = GAP, least: int = LINES) -> DataFrame:
     """Words of lines that stand in columns: with table_index (from 1) and row_index. A line counts that has white of more than `gap` between two of its
     words; such lines that follow each other on a page are a block, if there are `least` of them or more."""
-    line = Window.partitionBy(*PAGE, "line").orderBy("x0", "x1")
-    wide = F.coalesce(F.col("x0") - F.lag("x1").over(line) > gap, F.lit(False))
-    marked = _words(words).withColumn("_wide", wide).withColumn("_wide", F.max("_wide").over(Window.partitionBy(*PAGE, "line"))).filter("_wide")
-    page = Window.partitionBy(*PAGE).orderBy("line")
-    islands = marked.withColumn("_island", F.col("line") - F.dense_rank().over(page))
-    rows = islands.withColumn("row_index", F.dense_rank().over(Window.partitionBy(*PAGE, "_island").orderBy("line")) - 1)
-    tall = rows.withColumn("_rows", F.max("row_index").over(Window.partitionBy(*PAGE, "_island"))).filter(F.col("_rows") >= least - 1)
-    return tall.withColumn("table_index", F.dense_rank().over(page.orderBy("_island"))).drop("_wide", "_island", "_rows")
+
+    def step(type: pa.DataType, words: pa.Array, _: pa.Array) -> pa.Array:
+        own = A.blocks(A.lines(A.rows_of(words), LINE), gap, least)
+        return A.pages_of(own, len(words), type, text=pc.struct_field(words.flatten(), "text").take(pa.array(own["text"])))
+
+    return _each(pages_of(words=words), _over_pages(_BLOCK, step)("words", "words"))
 
 
 def rivers(words: DataFrame, least: float = RIVER, share: float = 0.0) -> DataFrame:
     """doc_id, source_page, table_index, x (the middle), lo, hi of each river of a block: stretches at least so wide where at most `share` of its lines have a
     word. A sweep over the words' sides: as words of a line don't overlap, the words that are open at a place are the lines with a word there."""
-    key = [*PAGE, "table_index"]
-    sized = words.withColumn("_lines", F.max("row_index").over(Window.partitionBy(*key)) + 1)
-    sides = sized.select(*key, "_lines", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("n")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("n")))).alias("s")).groupBy(*key, F.col("s.x").alias("x")).agg(F.sum("s.n").alias("n"), F.max("_lines").alias("_lines"))
-    sweep = Window.partitionBy(*key).orderBy("x")
-    open_ = sides.withColumn("_low", F.sum("n").over(sweep) <= F.col("_lines") * share).withColumn("_next", F.lead("x").over(sweep)).filter("_next IS NOT NULL")
-    start = F.coalesce(F.lag("_low").over(sweep) != F.col("_low"), F.lit(True)).cast("int")
-    runs = open_.withColumn("_start", start).withColumn("_run", F.sum("_start").over(sweep)).filter("_low")
-    found = runs.groupBy(*key, "_run").agg(F.min("x").alias("lo"), F.max("_next").alias("hi")).filter(F.col("hi") - F.col("lo") >= least)
-    return found.select(*key, ((F.col("lo") + F.col("hi")) / 2).alias("x"), "lo", "hi")
+    return _by_page(words.drop("text"), _RIVERS, lambda own: A.rivers(own, least, share))
 
 
 def spaced_cells(words: DataFrame, gap: float = GAP, river: float = RIVER, share: float = 0.0, least: int = LINES) -> DataFrame:
@@ -216,16 +159,7 @@ def spaced_cells(words: DataFrame, gap: float = GAP, river: float = RIVER, share
 
     A word's column is the number of rivers whose middle is left of its own: rivers and words are merged by place, and a running count goes over both.
     """
-    own = blocks(words, gap, least)
-    key = [*PAGE, "table_index"]
-    marks = rivers(own, river, share).select(*key, F.col("x").alias("_x"), F.lit(1).alias("_river"))
-    both = own.withColumn("_x", (F.col("x0") + F.col("x1")) / 2).withColumn("_river", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    passed = F.sum("_river").over(Window.partitionBy(*key).orderBy("_x", "_river").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    columned = both.withColumn("column_index", passed.cast("int")).filter("_river = 0")
-    box = {"x0": F.min("x0"), "x1": F.max("x1"), "top": F.min("top"), "bottom": F.max("bottom")}
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    cells = columned.groupBy(*key, "row_index", "column_index").agg(texts.alias("raw_text"), *[c.alias(n) for n, c in box.items()])
-    return _named(cells.withColumns({"rowspan": F.lit(1), "colspan": F.lit(1)}), "spaced")
+    return named(pages_of(words=words), spaced("words", gap, river, share, least), "spaced")
 
 
 def audit(pages: DataFrame, cells: DataFrame, flavor: str) -> DataFrame:
@@ -241,21 +175,35 @@ def method_metrics(lines: DataFrame, cells: DataFrame, pages: DataFrame, methods
     """For each page and method (a cell's flavor; found there or not) tables, rows, and the recall of the numbers in the page's text.
 
     lines(doc_id, source_page, raw_text). Signs, labels and columns aren't compared; recall is null where the text has no number. Pages, lines and cells are
-    counted together, not joined: pages that are dealt stay where they are.
+    grouped together, not joined: pages that are dealt stay where they are.
     """
-    key = [*PAGE, "flavor"]
-    each = F.explode(F.array(*map(F.lit, methods))).alias("flavor")
-    page = [F.col("doc_id").cast("string").alias("doc_id"), F.col("source_page").cast("int").alias("source_page")]
-    wanted = pages.select(*page, each, F.lit(True).alias("_wanted"))
-    source = lines.select(*page, F.explode(numbers_in(F.col("raw_text"))).alias("token")).select("*", each, F.lit(1).alias("_source"))
-    own = cells.filter(F.col("flavor").isin(*methods)).select(*page, "flavor", F.struct("table_id", "row_index").alias("_row"), F.explode_outer(numbers_in(F.col("raw_text"))).alias("token"))
-    own = own.withColumn("_found", F.col("token").isNotNull().cast("int"))
-    both = wanted.unionByName(source, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
-    tokens = both.groupBy(*key, "token").agg(F.max("_wanted").alias("_wanted"), F.coalesce(F.sum("_source"), F.lit(0)).alias("expected"), F.coalesce(F.sum("_found"), F.lit(0)).alias("actual"), F.collect_set("_row").alias("_rows"))
-    e, a = F.col("expected"), F.col("actual")
-    gaps = lambda n: F.when(F.count("token") > 0, F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull() & (n > 0), F.struct("token", n.alias("n")))))))
-    rows = F.array_distinct(F.flatten(F.collect_list("_rows")))
-    found = tokens.groupBy(*key).agg(F.max("_wanted").alias("_wanted"), F.sum("expected").alias("reference_tokens"), F.sum(F.least(e, a)).alias("matched_tokens"), gaps(e - a).alias("missing_tokens"), gaps(a - e).alias("extra_tokens"), rows.alias("_rows"))
-    tables = F.size(F.array_distinct(F.transform("_rows", lambda r: r["table_id"]))).cast("long")
-    numbers = F.try_divide("matched_tokens", F.nullif("reference_tokens", F.lit(0))).alias("recall")
-    return found.filter("_wanted").select(*key, "reference_tokens", "matched_tokens", "missing_tokens", "extra_tokens", numbers, tables.alias("tables"), F.size("_rows").cast("long").alias("rows"))
+    own = cells.select(*PAGE, "flavor", F.col("table_id").alias("table"), "row_index", "raw_text")
+    every = pages_of(lines=lines.select(*PAGE, "raw_text"), cells=own, wanted=pages.select(*PAGE, F.lit(True).alias("wanted")))
+    of = lambda m: F.filter("cells", lambda c: c["flavor"] == m).alias(m)
+    return page_metrics(every.filter("size(wanted) > 0").select(*PAGE, F.transform("lines", lambda x: x["raw_text"]).alias("texts"), *map(of, methods)), methods)
+
+
+def _counts(source: str, found: str) -> Column:
+    """How many numbers are in the source and in both, and which are missing or too many, with how often; by page."""
+
+    def run(source: pa.Array, found: pa.Array) -> pa.Array:
+        return A.counts(source, found)
+
+    gaps = "array<struct<token:string,n:bigint>>"
+    return F.arrow_udf(run, f"struct<reference_tokens:bigint,matched_tokens:bigint,missing_tokens:{gaps},extra_tokens:{gaps}>")(source, found)
+
+
+def page_metrics(pages: DataFrame, methods: tuple[str, ...] = ("ruled", "spaced")) -> DataFrame:
+    """method_metrics() of pages(doc_id, source_page, texts, and for each method a list of cells with table, row_index and raw_text). A page stays one row."""
+    numbers = lambda texts: F.flatten(F.transform(texts, numbers_in))
+    distinct = lambda m, key: F.size(F.array_distinct(F.transform(m, key))).cast("long")
+    row = lambda c: F.concat_ws(" ", c["row_index"].cast("string"), c["table"].cast("string"))
+    sizes = [F.struct(distinct(m, lambda c: c["table"]).alias("tables"), distinct(m, row).alias("rows")).alias(f"{m}_sizes") for m in methods]
+    tokens = pages.select(*PAGE, numbers("texts").alias("source"), *sizes, *[numbers(F.transform(m, lambda c: c["raw_text"])).alias(m) for m in methods])
+    own = tokens.select(*PAGE, *[f"{m}_sizes" for m in methods], *[(F.size("source") + F.size(m) > 0).alias(f"{m}_any") for m in methods], *[_counts("source", m).alias(m) for m in methods])
+    own = own.select("*", F.explode(F.array(*map(F.lit, methods))).alias("flavor"))
+    of = lambda suffix, field: F.coalesce(*[F.when(F.col("flavor") == m, F.col(m + suffix)[field]) for m in methods]).alias(field)
+    some = F.coalesce(*[F.when(F.col("flavor") == m, F.col(f"{m}_any")) for m in methods])
+    gaps = lambda field: F.when(some, F.map_from_entries(of("", field))).alias(field)
+    recall = F.try_divide(of("", "matched_tokens"), F.nullif(of("", "reference_tokens"), F.lit(0))).alias("recall")
+    return own.select(*PAGE, "flavor", of("", "reference_tokens"), of("", "matched_tokens"), gaps("missing_tokens"), gaps("extra_tokens"), recall, of("_sizes", "tables"), of("_sizes", "rows"))

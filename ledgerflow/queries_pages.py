@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import tables
 from ledgerflow.queries import ORACLE_SQL, QUERIES, query, read
-from ledgerflow.staging import DEALT_ROWS, dealt, parts
+from ledgerflow.staging import dealt
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -20,13 +20,12 @@ WITH lines AS (
 """
 
 
-def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    """A page for each order with a row for each line number: edges, words, and over how many partitions they are dealt. The last two columns are one cell where the line is open."""
+def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source_page, edges, words: a page for each order with a row for each line number. The last two columns are one cell where the line is open."""
     items = read(spark, sf_dir, "lineitem")
-    n = parts(items, DEALT_ROWS)
     own = dealt(items.select(F.col("l_orderkey").cast("string").alias("doc_id"), "l_linenumber", "l_partkey", "l_quantity", "l_linestatus"), "doc_id")
     line = own.groupBy("doc_id", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_quantity").cast("long").alias("quantity"), (F.max("l_linestatus") == "O").alias("joined"))
-    nth = F.row_number().over(tables.Window.partitionBy("doc_id").orderBy("l_linenumber"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("l_linenumber"))
     line = line.select("doc_id", F.lit(1).alias("source_page"), (nth * 20.0).alias("y"), *line.columns[1:])
     y = F.col("y")
 
@@ -37,8 +36,8 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     edges = F.array(*[box(0.0, 300.0, y + a, y + a) for a in (0, 20)], *[box(x, x, y, y + 20) for x in (0.0, 100.0, 300.0)], box(200.0, 200.0, y, y + 20, ~F.col("joined")))
     word = lambda text, x: F.struct(text.alias("text"), F.lit(x).alias("x0"), F.lit(x + 30).alias("x1"), (y + 6).alias("top"), (y + 14).alias("bottom"))
     words = F.array(word(F.concat(F.lit("#"), F.col("l_linenumber").cast("string")), 10.0), word(F.col("quantity").cast("string"), 110.0), word(F.col("part").cast("string"), 210.0))
-    each = lambda found: line.select("doc_id", "source_page", F.explode(F.array_compact(found)).alias("e")).select("doc_id", "source_page", "e.*")
-    return each(edges), each(words), n
+    whole = lambda found, name: F.flatten(F.collect_list(F.array_compact(found))).alias(name)
+    return line.groupBy("doc_id", "source_page").agg(whole(edges, "edges"), whole(words, "words"))
 
 
 @query(
@@ -51,8 +50,7 @@ UNION ALL SELECT CAST(l_orderkey AS VARCHAR), row_index, 2, 1, part || '' FROM p
 )
 def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells that rules bound, with what stands in them. tests/test_tables.py has random rectangles and rules off their places."""
-    edges, words, n = _order_pages(spark, sf_dir)
-    return tables.ruled_cells(edges, words, n).select("doc_id", "row_index", "column_index", "colspan", "raw_text")
+    return tables.named(_order_pages(spark, sf_dir), tables.ruled(), "ruled").select("doc_id", "row_index", "column_index", "colspan", "raw_text")
 
 
 @query(
@@ -65,9 +63,10 @@ FROM placed, (VALUES ('ruled'), ('spaced')) f(flavor) GROUP BY l_orderkey, flavo
 )
 def table_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ways to find tables on the same pages, and how many of their texts' numbers each has; one line alone is no block."""
-    edges, words, n = _order_pages(spark, sf_dir)
-    found = tables.ruled_cells(edges, words, n).unionByName(tables.spaced_cells(words))
-    metrics = tables.method_metrics(words.withColumnRenamed("text", "raw_text"), found, words)
+    pages = _order_pages(spark, sf_dir)
+    cells = lambda found: F.transform(found, lambda c: F.struct(c["table_index"].alias("table"), c["row_index"].alias("row_index"), c["raw_text"].alias("raw_text")))
+    found = pages.select(*tables.PAGE, F.transform("words", lambda w: w["text"]).alias("texts"), tables.ruled().alias("ruled"), tables.spaced().alias("spaced"))
+    metrics = tables.page_metrics(found.select(*tables.PAGE, "texts", *[cells(m).alias(m) for m in ("ruled", "spaced")]))
     return metrics.select("doc_id", "flavor", "tables", "rows", "reference_tokens", "matched_tokens", "recall")
 
 
@@ -83,7 +82,7 @@ def spaced_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each customer with a line for each order: columns by the white between words, where a customer may have no middle one."""
     orders = read(spark, sf_dir, "orders")
     own = dealt(orders.select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderkey", "o_orderstatus", "o_totalprice"), "doc_id")
-    y = F.row_number().over(tables.Window.partitionBy("doc_id").orderBy("o_orderkey")) * 12.0
+    y = F.row_number().over(Window.partitionBy("doc_id").orderBy("o_orderkey")) * 12.0
     own = own.withColumns({"y": y, "shift": (F.col("o_orderkey") % 3).cast("double")})
     word = lambda text, x0, x1: F.struct(text.alias("text"), x0.alias("x0"), x1.alias("x1"), F.col("y").alias("top"), (F.col("y") + 8).alias("bottom"))
     status = F.when(F.col("o_orderstatus") != "O", word(F.col("o_orderstatus"), F.col("shift") + 90, F.col("shift") + 110))
