@@ -16,7 +16,7 @@ from ledgerflow.operators import tables as T
 WORD = "doc_id string, source_page int, text string, x0 double, x1 double, top double, bottom double"
 
 
-@pytest.mark.parametrize("name", ["table_methods"])
+@pytest.mark.parametrize("name", ["ruled_tables", "table_methods"])
 def test_pages_are_sorted_once(spark, name):
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
