@@ -6,6 +6,7 @@ A page whose layout its source doesn't prove has one row with the first thing th
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from ledgerflow.functions.fixed_values import CURRENCIES, DASHES, NOT_AVAILABLE,
 from ledgerflow.functions.text import DATE
 from ledgerflow.functions.tokens import SINGLE
 from ledgerflow.operators.grids import lines_of_words
+from ledgerflow.operators.tables import lined
 from ledgerflow.staging import cut
 
 # Points that results depend on. Width of a column at least, share of the page that its label column takes at least, and how far above a table
@@ -102,7 +104,7 @@ def columns_of_rules(edges: DataFrame, off: float = EDGES_OFF, wide: float = WID
 
 
 def _tokens(text: Column) -> Column:
-    return F.array_sort(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""))
+    return F.sort_array(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""))
 
 
 def _first_of(problems: dict[str, str], flags: dict[str, Column]) -> Column:
@@ -110,14 +112,38 @@ def _first_of(problems: dict[str, str], flags: dict[str, Column]) -> Column:
     return F.get(F.array_compact(F.array(*[F.when(F.coalesce(flags[k], F.lit(True)), text) for k, text in problems.items()])), F.lit(0))
 
 
-def _result(pages: DataFrame, found: DataFrame, flavor: str) -> DataFrame:
+def _result(found: DataFrame, flavor: str) -> DataFrame:
     """One row for each page: what was found, or why it is unclear."""
     clear = lambda c: F.when(F.col("error").isNull(), F.col(c))
     name = F.format_string(f"P%04d_{flavor.upper()}", "page")
-    out = pages.select(*K, "statement_type").join(found, K, "left")
     columns = [clear(c).alias(c) if c != "error" else F.col(c) for c in _RESULT]
     table = F.when(F.col("error").isNull(), F.concat(name, F.lit("_01"))).otherwise(name)
-    return out.select("doc_id", table.alias("table_id"), F.col("page").alias("source_page"), "statement_type", F.lit(flavor).alias("flavor"), *columns)
+    return found.select("doc_id", table.alias("table_id"), F.col("page").alias("source_page"), "statement_type", F.lit(flavor).alias("flavor"), *columns)
+
+
+def _once(pages: DataFrame, **columns: Column) -> DataFrame:
+    """pages with columns that are worked out once for each page: a plain projection is put into the lambda functions that use it, and worked out for each
+    element."""
+    return pages.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _places(values: Column, test: Callable[[Column], Column]) -> Column:
+    """The places, from 0, of the values that pass."""
+    return F.filter(F.transform(values, lambda v, i: F.when(test(v), i)), lambda i: i.isNotNull())
+
+
+def _text(words: Column) -> Column:
+    """The texts of words that stand in reading order."""
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+
+
+def _candidates(tables: str) -> Column:
+    """Candidate tables as array<struct<left, right, top, lines>>; a line is its cells as array<struct<x0, y0, x1, y1, value>>, null where there is no box."""
+    cell = lambda c: F.struct(*[c["box"][i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.coalesce(c["value"], F.lit("")).alias("value"))
+    cells = lambda row: F.transform(F.arrays_zip(row["boxes"].alias("box"), row["values"].alias("value")), cell)
+    none = "array<struct<x0:double,y0:double,x1:double,y1:double,value:string>>"
+    lines = lambda t: F.transform(F.arrays_zip(t["rows"].alias("boxes"), t["extracted"].alias("values")), lambda row: F.coalesce(cells(row), F.array().cast(none)))
+    return F.transform(tables, lambda t: F.struct(t["bbox"][0].alias("left"), t["bbox"][2].alias("right"), t["bbox"][1].alias("top"), F.coalesce(lines(t), F.array().cast(f"array<{none}>")).alias("lines")))
 
 
 def balance_grids(pages: DataFrame) -> DataFrame:
@@ -126,83 +152,94 @@ def balance_grids(pages: DataFrame) -> DataFrame:
     The body is the one table whose first row has a wide label cell and others. Its columns are these cells; where rows are one cell across all dates, they
     are the rules under the dated heads instead. A row of the table is all words in its height: with an amount beyond the labels it is a data row, whose words
     go to the value column that holds them whole; without one it is a section, or notes on the columns where it says no more than (un)audited. Each column has
-    one date above it. Each cell's words must be its text, and all rows together the body of the page's text.
+    one date above it. Each cell's words must be its text, and all rows together the body of the page's text. A page stays one row from beginning to end:
+    nothing is shuffled, joined or kept on disk. State: one page.
     """
-    pages = cut(pages)
-    words = cut(lines_of_words(pages.select(*K, F.explode("words").alias("w")).select(*K, "w.*")).withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("top") + F.col("bottom")) / 2}))
-    cells = cut(_cells(pages))
-    fits = _wide_rows(cells.filter("r = 0")).filter(F.size("columns") >= 2)
-    table = fits.groupBy(*K).agg(F.count("*").alias("n_tables"), *[F.first(c).alias(c) for c in ("t", "left", "right", "columns", "width")], F.first("top").alias("table_top"))
-    own = cut(cells.drop("left", "right", "top", "width").join(table.filter("n_tables = 1").select(*K, "t", "left", "right", "table_top", "width", "columns"), [*K, "t"]))
-    across = (F.col("x1") - F.col("x0") >= F.col("right") - F.col("left") - 1) & F.col("value").rlike(r"\d")
-    mode = own.groupBy(*K).agg(F.max(across).alias("across"))
-    table = table.join(mode, K, "left")
-    of_page = lambda *c: table.filter("n_tables = 1").select(*K, *c)
-
-    edges = pages.select(*K, F.explode("edges").alias("e")).select(*K, F.col("e.x0").alias("lo"), F.col("e.x1").alias("hi"), F.col("e.top").alias("y0"), F.col("e.bottom").alias("y1"))
-    under = edges.join(of_page("table_top", "across"), K).filter(F.col("across") & (F.abs(F.col("y0") - F.col("table_top")) <= OFF) & (F.abs(F.col("y1") - F.col("y0")) <= OFF) & (F.col("hi") - F.col("lo") >= WIDE))
-    above = words.join(of_page("table_top"), K).filter((F.col("top") >= F.col("table_top") - HEAD) & (F.col("top") < F.col("table_top")))
-    heads = under.select(*K, F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi")).distinct().join(above, K).filter((F.col("x0") >= F.col("lo")) & (F.col("x1") <= F.col("hi")))
-    dated = heads.groupBy(*K, "lo", "hi").agg(_joined(_words()).alias("text")).filter(F.regexp_replace("text", DATE, "") == "")
-    by_rules = dated.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ruled"))
-    table = table.join(by_rules, K, "left").withColumn("values", F.when(F.col("across"), F.col("ruled")).otherwise(F.slice("columns", F.lit(2), F.size("columns"))))
-    apart = lambda v: ~F.exists(F.sequence(F.lit(1), F.size(v) - 1), lambda i: F.get(v, i - 1)["hi"] > F.get(v, i)["lo"])
-    fine = F.when(F.col("across"), (F.size("values") >= 2) & apart(F.col("values")) & (F.get("values", F.lit(0))["lo"] - F.col("left") >= LABEL_SHARE * F.col("width"))).otherwise(True)
-    table = cut(table.withColumn("fine", F.coalesce(fine, F.lit(False))))
-    columns = table.filter("n_tables = 1 AND fine").select(*K, "across", F.get("values", F.lit(0))["lo"].alias("label_end"), F.size("values").alias("n_columns"), F.posexplode("values").alias("k", "v")).select(*K, "across", "label_end", "n_columns", (F.col("k") + 1).alias("k"), F.col("v.lo").alias("lo"), F.col("v.hi").alias("hi"))
-
-    dates = columns.join(above, K).filter(F.col("cx").between(F.col("lo"), F.col("hi"))).groupBy(*K, "k").agg(F.regexp_extract_all(_joined(_words()), F.lit(f"({DATE})"), 1).alias("dates"))
-    labels = columns.select(*K, "k").join(dates, [*K, "k"], "left").groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("k", "dates"))).alias("_d"), F.min(F.coalesce(F.size("dates") == 1, F.lit(False))).alias("one_date"))
-    labels = labels.select(*K, "one_date", F.transform("_d", lambda d: F.get(d["dates"], F.lit(0))).alias("labels"))
-
-    heights = own.filter("y0 IS NOT NULL").groupBy(*K, "r").agg(F.min("y0").alias("row_top"), F.max("y1").alias("row_bottom"))
-    page = columns.select(*K, "label_end", "n_columns", "across").distinct()
-    placed = words.join(heights, K).filter((F.col("cy") >= F.col("row_top")) & (F.col("cy") < F.col("row_bottom"))).join(page, K).withColumn("id", F.struct("line", "x0", "x1", "top", "text"))
-    beyond = F.col("x1") > F.col("label_end")
-    row = Window.partitionBy(*K, "r")
-    placed = placed.withColumn("amounts", F.max(beyond & is_amount(F.col("text"))).over(row)).withColumn("status", F.min(F.lower("text").isin("(unaudited)", "(audited)") & beyond).over(row))
-    inside = columns.select(*K, "k", "lo", "hi").join(placed.filter(beyond & (F.col("amounts") | F.col("status"))), K).filter((F.col("x0") >= F.col("lo") - OFF) & (F.col("x1") <= F.col("hi") + OFF)).groupBy(*K, "r", "id").agg(F.count("*").alias("held_by"), F.min("k").alias("k"))
-    word = placed.join(inside, [*K, "r", "id"], "left")
-    column = F.when(beyond & (F.col("amounts") | F.col("status")), F.col("k")).otherwise(0)
-    word = cut(word.withColumn("column", column).withColumn("lost", beyond & (F.col("amounts") | F.col("status")) & (F.coalesce("held_by", F.lit(0)) != 1)))
-
-    fields = ["amounts", "status", "n_columns"]
-    texts = word.groupBy(*K, "r", *fields, "column").agg(_joined(_words()).alias("text"), F.max("lost").alias("lost"))
-    rows = texts.groupBy(*K, "r", *fields).agg(F.map_from_entries(F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "text")))).alias("by"), F.max("lost").alias("lost"))
-    full = F.transform(F.sequence(F.lit(0), F.col("n_columns")), lambda k: F.coalesce(F.try_element_at(F.col("by"), k), F.lit("")))
-    rows = rows.withColumn("cells", full).withColumn("kind", F.when(F.col("amounts"), "data").when(F.col("status"), "note").otherwise("section"))
-    whole_row = (F.get("cells", F.lit(0)) != "") & F.forall(F.slice("cells", F.lit(2), F.col("n_columns")), lambda v: (v != "") & is_amount(v))
-    rows = rows.withColumn("bad", (F.col("kind") == "data") & ~whole_row)
-    body = rows.groupBy(*K).agg(F.array_sort(F.collect_list(F.when(F.col("kind") != "note", F.struct("r", "cells", "kind")))).alias("_rows"), F.array_sort(F.collect_list(F.when(F.col("kind") == "note", F.struct("r", "cells")))).alias("_notes"), F.max("lost").alias("lost"), F.max("bad").alias("bad"), F.first("n_columns").alias("n_columns"))
-
-    # The table's own texts: by row and column, or by row where a cell is all of it.
-    owner = F.filter(F.transform(F.col("columns"), lambda x, i: F.when((F.col("x0") >= x["lo"] - OFF) & (F.col("x1") <= x["hi"] + OFF), i)), lambda i: i.isNotNull())
-    said = own.filter(F.trim("value") != "").join(mode, K).withColumn("owners", F.when(F.col("across"), F.array(F.lit(0))).otherwise(owner))
-    stray = said.groupBy(*K).agg(F.max(F.col("x0").isNull() | (F.size("owners") != 1)).alias("stray"))
-    expected = said.groupBy(*K, "r", F.get("owners", F.lit(0)).alias("part")).agg(F.array_sort(F.flatten(F.collect_list(_tokens(F.col("value"))))).alias("expected"))
-    centre = F.filter(F.transform(F.col("columns"), lambda x, i: F.when(F.col("cx").between(x["lo"] - OFF, x["hi"] + OFF), i)), lambda i: i.isNotNull())
-    part = F.when(F.col("across"), F.lit(0)).otherwise(F.get(centre, F.lit(0)))
-    actual = word.join(of_page("columns"), K).groupBy(*K, "r", part.alias("part")).agg(F.array_sort(F.flatten(F.collect_list(_tokens(F.col("text"))))).alias("actual"))
-    agree = expected.join(actual, [*K, "r", "part"], "full_outer").groupBy(*K).agg(F.max(~F.col("expected").eqNullSafe(F.col("actual"))).alias("disagrees"))
-
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x))  # F.trim alone would take an index as what to trim
-    where = lambda test: F.filter(F.transform("_lines", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
-    source = pages.withColumn("_lines", lines).withColumns({"_starts": where(lambda x: F.lower(F.regexp_replace(x, ":+$", "")) == "assets"), "_ends": where(lambda x: x.rlike(NOTES))})
-    bounded = (F.size("_starts") == 1) & (F.size("_ends") == 1) & (F.get("_starts", F.lit(0)) < F.get("_ends", F.lit(0)))
-    middle = F.slice("_lines", F.get("_starts", F.lit(0)) + 1, F.get("_ends", F.lit(0)) - F.get("_starts", F.lit(0)))
-    source = source.select(*K, bounded.alias("bounded"), F.when(bounded, _tokens(F.array_join(middle, " "))).alias("source_tokens"), F.when(bounded, F.get("_lines", F.get("_ends", F.lit(0)))).alias("source_note"))
-
-    every = pages.select(*K).join(table.select(*K, "n_tables", "fine"), K, "left").join(labels, K, "left").join(body, K, "left").join(stray, K, "left").join(agree, K, "left").join(source, K, "left")
+    text, x0, x1 = (lambda w: w["text"]), (lambda w: w["x0"]), (lambda w: w["x1"])
+    word = lambda w: F.struct(w["line"].alias("line"), x0(w).alias("x0"), text(w).alias("text"), x1(w).alias("x1"), w["top"].alias("top"), ((x0(w) + x1(w)) / 2).alias("cx"), ((w["top"] + w["bottom"]) / 2).alias("cy"), is_amount(text(w)).alias("amount"), F.lower(text(w)).isin("(unaudited)", "(audited)").alias("audited"))
+    first_cells = lambda t: F.transform(F.filter(F.get(t["lines"], F.lit(0)), lambda c: c["x1"] - c["x0"] >= WIDE), lambda c: F.struct(c["x0"].alias("lo"), c["x1"].alias("hi")))
+    own = pages.select(*K, "statement_type", F.col("width").alias("page_width"), F.col("text").alias("page_text"), "edges", "tables", lined(F.col("words")).alias("_lined"))
+    own = _once(own, words=F.sort_array(F.transform("_lined", word)), _tables=F.transform(_candidates("tables"), lambda t: F.struct(t.alias("t"), first_cells(t).alias("columns"))))
+    wide = lambda t: (F.size(t["columns"]) >= 2) & (F.get(t["columns"], F.lit(0))["hi"] - F.get(t["columns"], F.lit(0))["lo"] >= LABEL_SHARE * F.col("page_width"))
+    own = _once(own, _fits=F.filter("_tables", wide))
+    own = _once(own, n_tables=F.size("_fits"), _one=F.when(F.size("_fits") == 1, F.get("_fits", F.lit(0))))
+    left, right, table_top, columns, lines = F.col("_one.t.left"), F.col("_one.t.right"), F.col("_one.t.top"), F.col("_one.columns"), F.col("_one.t.lines")
+    whole = lambda c: F.coalesce((c["x1"] - c["x0"] >= right - left - 1) & c["value"].rlike(r"\d"), F.lit(False))
+    own = _once(own, across=F.coalesce(F.exists(F.flatten(lines), whole), F.lit(False)), above=F.filter("words", lambda w: (w["top"] >= table_top - HEAD) & (w["top"] < table_top)))
+
+    # Value columns: the wide cells of the first row, or rules under dated heads.
+    under = F.filter("edges", lambda e: (F.abs(e["top"] - table_top) <= OFF) & (F.abs(e["bottom"] - e["top"]) <= OFF) & (e["x1"] - e["x0"] >= WIDE))
+    spans = F.array_sort(F.array_distinct(F.transform(under, lambda e: F.struct(F.round(e["x0"], 3).alias("lo"), F.round(e["x1"], 3).alias("hi")))))
+    held = lambda s: F.filter("above", lambda w: (x0(w) >= s["lo"]) & (x1(w) <= s["hi"]))
+    ruled = F.filter(spans, lambda s: (F.size(held(s)) > 0) & (F.regexp_replace(_text(held(s)), DATE, "") == ""))
+    values = F.when(F.col("across"), ruled).otherwise(F.slice(columns, F.lit(2), F.size(columns)))
+    own = _once(own, values=F.coalesce(values, F.array().cast("array<struct<lo:double,hi:double>>")))
+    apart = ~F.exists(F.sequence(F.lit(1), F.size("values") - 1), lambda i: F.get("values", i - 1)["hi"] > F.get("values", i)["lo"])
+    label_end, n = F.get("values", F.lit(0))["lo"], F.size("values")
+    fine = F.when(F.col("across"), (n >= 2) & apart & (label_end - left >= LABEL_SHARE * F.col("page_width"))).otherwise(True)
+    dates = F.transform("values", lambda v: F.regexp_extract_all(_text(F.filter("above", lambda w: w["cx"].between(v["lo"], v["hi"]))), F.lit(f"({DATE})"), 1))
+    own = _once(own, fine=F.coalesce(fine, F.lit(False)) & F.col("_one").isNotNull(), dates=dates)
+
+    # Rows: the words in each line's height, and its cells' own texts with the columns that they are in.
+    side = lambda cells, c: F.transform(F.filter(cells, lambda x: x["y0"].isNotNull()), lambda x: x[c])
+    owners = lambda c: F.when(F.col("across"), F.array(F.lit(0))).otherwise(_places(columns, lambda x: (c["x0"] >= x["lo"] - OFF) & (c["x1"] <= x["hi"] + OFF)))
+    said = lambda cells: F.transform(F.filter(cells, lambda c: F.trim(c["value"]) != ""), lambda c: F.struct(_tokens(c["value"]).alias("tokens"), c["x0"].isNull().alias("loose"), owners(c).alias("owners")))
+    line = lambda cells: F.struct(F.array_min(side(cells, "y0")).alias("top"), F.array_max(side(cells, "y1")).alias("bottom"), said(cells).alias("said"))
+    own = _once(own, _lines=F.transform(F.when(F.col("fine"), lines), line))
+    yes = lambda test: F.coalesce(test, F.lit(False))
+    beyond = lambda w: yes(x1(w) > label_end)
+    holds = lambda w: _places(F.col("values"), lambda v: (x0(w) >= v["lo"] - OFF) & (x1(w) <= v["hi"] + OFF))
+    part = lambda w: F.when(F.col("across"), F.lit(0)).otherwise(F.get(_places(columns, lambda v: w["cx"].between(v["lo"] - OFF, v["hi"] + OFF)), F.lit(0)))
+    full = lambda w: F.struct(*[w[c].alias(c) for c in ("line", "x0", "text", "x1", "top", "cy")], beyond(w).alias("beyond"), (beyond(w) & yes(w["amount"])).alias("amount"), (beyond(w) & w["audited"]).alias("audited"), holds(w).alias("holds"), part(w).alias("part"), _tokens(text(w)).alias("tokens"))
+    own = _once(own, _words=F.transform("words", full))
+    inside = lambda x: F.filter("_words", lambda w: (w["cy"] >= x["top"]) & (w["cy"] < x["bottom"]))
+    own = _once(own, _held=F.transform("_lines", lambda x: F.struct(inside(x).alias("words"), x["said"].alias("said"))))
+    amounts = lambda x: F.exists(x["words"], lambda w: w["amount"])
+    status = lambda x: F.exists(x["words"], lambda w: yes(w["audited"])) & F.forall(x["words"], lambda w: F.coalesce(w["audited"], F.lit(True)))
+    own = _once(own, _kinds=F.transform("_held", lambda x: F.struct(x["words"].alias("words"), x["said"].alias("said"), amounts(x).alias("amounts"), status(x).alias("status"))))
+
+    def placed(w: Column, x: Column) -> Column:
+        """A word's value column (from 1; 0 for labels, null for none), and whether it isn't held by just one. A word that is there twice is held twice."""
+        valued = (x["amounts"] | x["status"]) & w["beyond"]
+        same = lambda o: (x0(o) == x0(w)) & (x1(o) == x1(w)) & (o["line"] == w["line"]) & (o["top"] == w["top"]) & text(o).eqNullSafe(text(w))
+        lost = valued & ((F.size(w["holds"]) != 1) | (F.size(F.filter(x["words"], same)) != 1))
+        return F.struct(text(w).alias("text"), F.when(valued, F.get(w["holds"], F.lit(0)) + 1).otherwise(0).alias("column"), lost.alias("lost"), w["part"].alias("part"), w["tokens"].alias("tokens"))
+
+    own = _once(own, _placed=F.transform("_kinds", lambda x: F.struct(F.transform(x["words"], lambda w: placed(w, x)).alias("words"), x["said"].alias("said"), F.when(x["amounts"], "data").when(x["status"], "note").otherwise("section").alias("kind"))))
+    all_tokens = lambda found: F.when(F.size(found) > 0, F.sort_array(F.flatten(found)))
+    expected = lambda x, p: all_tokens(F.transform(F.filter(x["said"], lambda c: F.get(c["owners"], F.lit(0)) == p), lambda c: c["tokens"]))
+    actual = lambda x, p: all_tokens(F.transform(F.filter(x["words"], lambda w: w["part"] == p), lambda w: F.coalesce(w["tokens"], F.array().cast("array<string>"))))
+    parts = F.when(F.col("across"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(columns) - 1))
+    differs = lambda x: F.exists(parts, lambda p: ~expected(x, p).eqNullSafe(actual(x, p))) | F.exists(x["words"], lambda w: w["part"].isNull()) | F.exists(x["said"], lambda c: c["loose"] | (F.size(c["owners"]) != 1))
+    cells = lambda x: F.transform(F.sequence(F.lit(0), n), lambda k: _text(F.filter(x["words"], lambda w: w["column"] == k)))
+    row = lambda x: F.struct(cells(x).alias("cells"), x["kind"].alias("kind"), (F.size(x["words"]) > 0).alias("found"), (F.size(x["said"]) > 0).alias("said"), F.exists(x["words"], lambda w: w["lost"]).alias("lost"), differs(x).alias("differs"))
+    own = _once(own, _every=F.transform("_placed", row))
+    own = _once(own, _rows=F.filter("_every", lambda x: x["found"] & (x["kind"] != "note")), _notes=F.filter("_every", lambda x: x["found"] & (x["kind"] == "note")))
+    whole_row = lambda v: (F.get(v, F.lit(0)) != "") & F.forall(F.slice(v, F.lit(2), n), lambda x: (x != "") & is_amount(x))
+    bad = F.exists("_rows", lambda x: (x["kind"] == "data") & ~whole_row(x["cells"]))
+
+    lines_of = F.transform(F.split(F.coalesce("page_text", F.lit("")), "\n"), lambda x: F.trim(x))  # F.trim alone would take an index as what to trim
+    own = _once(own, _text=lines_of)
+    own = _once(own, _starts=_places(F.col("_text"), lambda x: F.lower(F.regexp_replace(x, ":+$", "")) == "assets"), _ends=_places(F.col("_text"), lambda x: x.rlike(NOTES)))
+    start, end = F.get("_starts", F.lit(0)), F.get("_ends", F.lit(0))
+    bounded = (F.size("_starts") == 1) & (F.size("_ends") == 1) & (start < end)
+    source_tokens = F.when(bounded, _tokens(F.array_join(F.slice("_text", start + 1, end - start), " ")))
     own_rows = F.transform("_rows", lambda x: x["cells"])
-    notes = F.transform(F.sequence(F.lit(1), F.col("n_columns")), lambda k: F.array_join(F.filter(F.transform("_notes", lambda x: F.get(x["cells"], k)), lambda v: v != ""), " "))
+    labels = F.transform("dates", lambda d: F.get(d, F.lit(0)))
+    one_date = F.forall("dates", lambda d: F.size(d) == 1)
+    notes = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.filter(F.transform("_notes", lambda x: F.get(x["cells"], k)), lambda v: v != ""), " "))
     data = F.size(F.filter("_rows", lambda x: x["kind"] == "data"))
-    twice = F.exists(F.sequence(F.lit(1), F.col("n_columns")), lambda k: F.size(F.filter("_notes", lambda x: F.get(x["cells"], k) != "")) > 1)
+    twice = F.exists(F.sequence(F.lit(1), n), lambda k: F.size(F.filter("_notes", lambda x: F.get(x["cells"], k) != "")) > 1)
     flags = {
-        "table": F.col("n_tables") != 1, "columns": ~F.col("fine"), "dates": ~F.col("one_date") | (F.size(F.array_distinct("labels")) != F.size("labels")), "cells": F.coalesce("stray", F.lit(False)) | F.col("disagrees"),
-        "crossing": F.col("lost"), "rows": F.col("bad") | twice, "bounds": ~F.col("bounded"), "body": (_tokens(F.array_join(F.flatten(own_rows), " ")) != F.col("source_tokens")) | (data < 2),
+        "table": F.col("n_tables") != 1, "columns": ~F.col("fine"), "dates": ~one_date | (F.size(F.array_distinct(labels)) != F.size(labels)),
+        "cells": F.exists("_every", lambda x: x["differs"]) | ~F.exists("_every", lambda x: x["found"] | x["said"]), "crossing": F.exists("_every", lambda x: x["lost"]) | ~F.exists("_every", lambda x: x["found"]),
+        "rows": bad | twice, "bounds": ~bounded, "body": (_tokens(F.array_join(F.flatten(own_rows), " ")) != source_tokens) | (data < 2),
     }
-    found = every.select(*K, own_rows.alias("rows"), F.transform("_rows", lambda x: x["kind"]).alias("row_kinds"), "labels", notes.alias("notes"), "source_note", F.array().cast("array<struct<start:int,end:int,caption:string>>").alias("sections"), _first_of(BALANCE_UNCLEAR, flags).alias("error"))
-    return _result(pages, found, "balance_geometry")
+    found = own.select(
+        *K, "statement_type", own_rows.alias("rows"), F.transform("_rows", lambda x: x["kind"]).alias("row_kinds"), labels.alias("labels"), F.when(F.col("fine"), notes).alias("notes"),
+        F.when(bounded, F.get("_text", end)).alias("source_note"), F.array().cast("array<struct<start:int,end:int,caption:string>>").alias("sections"), _first_of(BALANCE_UNCLEAR, flags).alias("error"),
+    )
+    return _result(found, "balance_geometry")
 
 
 def _column_of(x: Column, edges: str = "edges") -> Column:
@@ -351,4 +388,4 @@ def equity_grids(pages: DataFrame) -> DataFrame:
     complete = F.array_sort(covered(F.col("chosen"))) == F.sequence(first_data, F.size("rows") - 1)
     every = every.withColumn("chosen", chosen)
     found = every.select(*K, "rows", "row_kinds", F.slice("leaf", F.lit(2), F.size("edges")).alias("labels"), F.array().cast("array<string>").alias("notes"), F.lit("").alias("source_note"), F.when(complete, F.col("chosen")).otherwise(F.array().cast(section)).alias("sections"), _first_of(EQUITY_UNCLEAR, flags).alias("error"))
-    return _result(pages, found, "equity_geometry")
+    return _result(pages.select(*K, "statement_type").join(found, K, "left"), "equity_geometry")

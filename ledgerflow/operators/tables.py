@@ -23,7 +23,7 @@ _TYPES = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boo
 _EDGE, _WORD = ("x0", "x1", "top", "bottom"), ("text", "x0", "x1", "top", "bottom")
 _RULE, _CORNER = "level boolean, at double, lo double, hi double", "x double, y double, row double, column double, left boolean, right boolean, up boolean, down boolean"
 _BOX, _PLACE = "x0 double, x1 double, top double, bottom double", "table_index int, row_index int, column_index int, rowspan int, colspan int"
-_BLOCK, _RIVERS = f"line int, text string, {_BOX}, table_index int, row_index int", "table_index int, x double, lo double, hi double"
+_LINED, _RIVERS = f"line int, text string, {_BOX}", "table_index int, x double, lo double, hi double"
 
 
 def _over_pages(fields: str, step: Callable[[pa.DataType, pa.Array, pa.Array], pa.Array]) -> Callable[[str, str], Column]:
@@ -40,6 +40,20 @@ def _plain(step: Callable[[A.Rows], A.Rows]) -> Callable[[pa.DataType, pa.Array,
     return lambda type, rows, _: A.pages_of(step(A.rows_of(rows)), len(rows), type)
 
 
+def _with_texts(step: Callable[[A.Rows], A.Rows]) -> Callable[[pa.DataType, pa.Array, pa.Array], pa.Array]:
+    def run(type: pa.DataType, words: pa.Array, _: pa.Array) -> pa.Array:
+        own = step(A.rows_of(words))
+        return A.pages_of(own, len(words), type, text=pc.struct_field(words.flatten(), "text").take(pa.array(own["text"])))
+
+    return run
+
+
+def lined(words: Column) -> Column:
+    """A page's list of words(text, x0, x1, top, bottom) with the numbers of their lines; words without a height have none and go."""
+    own = F.transform(words, lambda w: F.struct(w["text"].cast("string").alias("text"), *[w[c].cast("double").alias(c) for c in _EDGE]))
+    return _over_pages(_LINED, _with_texts(lambda rows: A.lines(rows, LINE)))(own, own)
+
+
 def pages_of(**parts: DataFrame) -> DataFrame:
     """One row for each page with its rows of each part as a list: `edges` and `words` have numbers and texts, other parts what they have. Pages that are dealt
     stay where they are."""
@@ -139,12 +153,8 @@ def named(pages: DataFrame, cells: Column, flavor: str) -> DataFrame:
 def blocks(words: DataFrame, gap: float = GAP, least: int = LINES) -> DataFrame:
     """Words of lines that stand in columns: with table_index (from 1) and row_index. A line counts that has white of more than `gap` between two of its
     words; such lines that follow each other on a page are a block, if there are `least` of them or more."""
-
-    def step(type: pa.DataType, words: pa.Array, _: pa.Array) -> pa.Array:
-        own = A.blocks(A.lines(A.rows_of(words), LINE), gap, least)
-        return A.pages_of(own, len(words), type, text=pc.struct_field(words.flatten(), "text").take(pa.array(own["text"])))
-
-    return _each(pages_of(words=words), _over_pages(_BLOCK, step)("words", "words"))
+    step = _with_texts(lambda own: A.blocks(A.lines(own, LINE), gap, least))
+    return _each(pages_of(words=words), _over_pages(f"{_LINED}, table_index int, row_index int", step)("words", "words"))
 
 
 def rivers(words: DataFrame, least: float = RIVER, share: float = 0.0) -> DataFrame:

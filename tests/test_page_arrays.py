@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from __spark_entry__ import queries
-from ledgerflow.operators import grids
+from ledgerflow.operators import geometry, grids
 from ledgerflow.operators import page_arrays as A
 from ledgerflow.operators import tables as T
 
@@ -73,3 +73,23 @@ def test_numbers_that_are_missing_or_too_many(spark):
         (2, "ruled"): (None, None, 0, None, 0, 0), (2, "spaced"): (None, None, 0, None, 0, 0),
         (3, "ruled"): ({"9": 1}, {}, 0, 0.0, 0, 0), (3, "spaced"): ({"9": 1}, {}, 0, 0.0, 0, 0),
     }
+
+
+def test_a_balance_page_stays_one_row(spark):
+    plan = queries()["balance_page_grids"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ExistingRDD" not in plan and plan.count("Exchange") == 1
+
+
+def test_a_word_that_is_printed_twice_has_no_single_column(spark):
+    at = lambda text, x0, top: (text, float(x0), x0 + 20.0, float(top), top + 8.0)
+    heads = [at("June", 200, 80), at("30,", 221, 80), at("2026", 242, 80)]
+    body = [at("Assets", 0, 100), at("Cash", 0, 112), at("10", 230, 112), at("Debt", 0, 124), at("7", 230, 124)]
+    boxes = [[[0.0, 95.0, 180.0, 99.0], [200.0, 95.0, 280.0, 99.0]], *[[[0.0, y - 1.0, 180.0, y + 10.0], [200.0, y - 1.0, 280.0, y + 10.0]] for y in (100, 112, 124)]]
+    said = lambda cash: [["", ""], ["Assets", ""], ["Cash", cash], ["Debt", "7"]]
+    text = "Balance Sheets\nAssets\nCash 10\nDebt 7\nSee notes"
+    page = lambda doc, words, cash: (doc, 1, "BalanceSheet", 300.0, text, words, None, [([0.0, 95.0, 280.0, 140.0], boxes, said(cash))])
+    schema = "doc_id string, page int, statement_type string, width double, text string, words array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>, edges array<struct<x0:double,x1:double,top:double,bottom:double>>, tables array<struct<bbox:array<double>,rows:array<array<array<double>>>,extracted:array<array<string>>>>"
+    pages = spark.createDataFrame([page("once", heads + body, "10"), page("twice", [*heads, *body, body[2]], "10 10"), page("said", [*heads, *body, body[2]], "10"), page("none", None, "10")], schema)
+    got = {r.doc_id: (r.rows, r.error) for r in geometry.balance_grids(pages).collect()}
+    assert got["once"] == ([["Assets", ""], ["Cash", "10"], ["Debt", "7"]], None)
+    assert {k: e for k, (_, e) in got.items() if e} == {"twice": geometry.BALANCE_UNCLEAR["crossing"], "said": geometry.BALANCE_UNCLEAR["cells"], "none": geometry.BALANCE_UNCLEAR["dates"]}
